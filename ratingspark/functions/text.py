@@ -84,8 +84,17 @@ def title_has(title, keyword: str) -> Column:
     return F.coalesce(F.lower(_c(title)).contains(keyword.lower()), F.lit(False))
 
 
+# Leading / trailing whitespace as Python's str.strip() sees it (ASCII controls and Unicode spaces).
+WS_EDGES = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+
+
+def strip_ws(text) -> Column:
+    return F.regexp_replace(_c(text), WS_EDGES, "")
+
+
 def preview(text, n: int = 200) -> Column:
-    return F.substring(F.trim(_c(text)), 1, n)
+    """Stripped text, first ``n`` characters."""
+    return F.substring(strip_ws(text), 1, n)
 
 
 def tokens(text) -> Column:

@@ -40,3 +40,74 @@ SQL["qwk_macro"] = (
     f"SELECT round(avg(qwk), 6) AS qwk_macro, count(*) AS n_groups FROM "
     f"({O.qwk_sql(_PARSED_LONG, digits=None)})"
 )
+
+# ---------------------------------------------------------------- curation
+
+_GRID = (
+    "SELECT CAST(row_number() OVER (ORDER BY batch) - 1 AS INTEGER) AS qid, batch, "
+    "'YC ' || batch || ' Application Video' AS query FROM ("
+    "SELECT s || CAST(y AS VARCHAR) AS batch FROM (VALUES ('W'), ('S')) t(s), range(10, 26) r(y) "
+    "UNION SELECT s || ' ' || CAST(y AS VARCHAR) FROM (VALUES ('Winter'), ('Summer')) t(s), range(2010, 2026) r(y) "
+    "UNION SELECT 'F24' UNION SELECT 'Fall 2024')"
+)
+_HITS = (
+    f"SELECT h.*, g.query FROM (SELECT page_id, CAST({O.unit_hash_sql('q', 'page_id')} % 66 AS INTEGER) AS qid, "
+    f"{O.unit_hash_sql('r', 'page_id')} AS rank_key, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, "
+    f"url AS link FROM pages) h JOIN ({_GRID}) g USING (qid)"
+)
+
+
+def clean_url_sql(u: str, keep: str) -> str:
+    scheme = f"lower(regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.\\-]*:)', 1))"
+    base = f"regexp_replace(regexp_extract({u}, '^([^?#]*)', 1), '^[A-Za-z][A-Za-z0-9+.\\-]*:', '')"
+    query = f"regexp_extract({u}, '^[^?#]*\\?([^#]*)', 1)"
+    frag = f"regexp_extract({u}, '#(.*)$', 1)"
+    kept = (f"array_to_string(list_filter(string_split({query}, '&'), "
+            f"lambda x: starts_with(x, '{keep}=') AND length(x) > {len(keep) + 1}), '&')")
+    return (f"({scheme} || {base} || CASE WHEN {kept} <> '' THEN '?' || {kept} ELSE '' END || "
+            f"CASE WHEN {frag} <> '' THEN '#' || {frag} ELSE '' END)")
+
+
+SANITIZE = "regexp_replace({0}, '[^a-zA-Z0-9_\\-]', '_', 'g')"
+
+SQL["query_grid"] = (
+    f"SELECT g.qid, g.batch, g.query, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hits FROM ({_GRID}) g "
+    f"LEFT JOIN (SELECT qid, count(*) AS n FROM ({_HITS}) GROUP BY qid) c USING (qid)"
+)
+SQL["corpus_build"] = (
+    f"SELECT DISTINCT title, {clean_url_sql('link', 'page')} AS link FROM ("
+    f"SELECT * FROM ({_HITS}) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank_key, page_id) <= 20) "
+    f"WHERE contains(lower(title), 'en')"
+)
+SQL["title_filter"] = f"SELECT doc_id, title FROM ({O.transcripts_sql()}) WHERE contains(lower(title), 'en')"
+SQL["clean_url"] = (f"SELECT page_id, url, {clean_url_sql('url', 'page')} AS clean, "
+                    f"{clean_url_sql('url', 'v')} AS clean_v FROM pages")
+SQL["sanitize_name"] = f"SELECT page_id, {SANITIZE.format('url')} AS name FROM pages"
+SQL["host_filter"] = "SELECT page_id, url FROM pages WHERE contains(url, 'example.org') OR contains(url, 'blog.')"
+_DL = "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)"
+SQL["drop_null_text"] = f"SELECT * FROM ({_DL}) WHERE quality IS NOT NULL"
+SQL["null_policy"] = f"SELECT doc_id, coalesce(CAST(quality AS VARCHAR), 'nan') AS quality_text FROM ({_DL})"
+SQL["preview"] = ("SELECT doc_id, substr(regexp_replace(text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'), 1, 200) "
+                  "AS preview FROM documents")
+SQL["resume_anti_join"] = (f"SELECT link, title FROM ({O.transcripts_sql()}) t "
+                           "WHERE link NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)")
+SQL["dedup_pairs"] = f"SELECT DISTINCT title, {clean_url_sql('link', 'v')} AS link FROM ({_HITS})"
+SQL["dedup_links"] = (f"SELECT min(title) AS title, {clean_url_sql('link', 'v')} AS link FROM ({_HITS}) "
+                      "GROUP BY 2")
+SQL["top_n_per_group"] = ("SELECT event_id, user_id, event_type, value FROM events "
+                          "QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 20")
+SQL["drop_errors"] = f"SELECT doc_id, link FROM ({O.transcripts_sql()}) WHERE NOT starts_with(transcript, 'ERROR: ')"
+
+# ---------------------------------------------------------------- sources and sinks
+
+SQL["csv_roundtrip"] = f"SELECT title, link, transcript FROM ({O.transcripts_sql()})"
+SQL["json_roundtrip"] = (
+    "SELECT CAST(doc_id AS BIGINT) AS id, transcript, "
+    + ", ".join(f"{r}_score, {r}_score_rationale" for r in RUBRICS)
+    + f" FROM ({O.rated_wide_sql()})"
+)
+SQL["text_sink"] = "SELECT line FROM documents, unnest(string_split(text, chr(10))) AS t(line)"
+SQL["match_media"] = (
+    "SELECT l.id, min(p.name) AS name FROM (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM labels) l "
+    f"JOIN (SELECT DISTINCT {SANITIZE.format('url')} AS name FROM pages) p ON contains(p.name, l.id) GROUP BY l.id"
+)

@@ -11,9 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratingspark import fixtures as fx
+from ratingspark import schemas as SC
 from ratingspark.functions import text as tx
+from ratingspark.operators import curate as C
+from ratingspark.operators import media as MD
 from ratingspark.operators import metrics as M
 from ratingspark.operators import reshape as R
+from ratingspark.session import scratch_path
+from ratingspark.sources import files as IO
 
 DIGITS = 6
 
@@ -83,5 +88,136 @@ def q_qwk_macro(spark, sf_dir):
     return M.qwk_macro(per).select(F.round("qwk_macro", DIGITS).alias("qwk_macro"), "n_groups")
 
 
+# ---------------------------------------------------------------- curation
+
+KEYWORD = "en"          # stands in for the reference's title keyword on these tables
+PAGE_PARAM = "page"     # the query parameter kept when cleaning page links
+HOSTS = ("example.org", "blog.")
+PER_QUERY_LIMIT = 20
+
+
+def _hits(spark, sf_dir):
+    grid = C.query_grid(spark)
+    return C.search_hits_from_pages(fx.read(spark, sf_dir, "pages"), grid, C.grid_size())
+
+
+@register("query_grid")
+def q_query_grid(spark, sf_dir):
+    grid = C.query_grid(spark)
+    counts = _hits(spark, sf_dir).groupBy("qid").agg(F.count(F.lit(1)).alias("n_hits"))
+    return (grid.join(counts, "qid", "left")
+            .select("qid", "batch", "query", F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits")))
+
+
+@register("corpus_build")
+def q_corpus_build(spark, sf_dir):
+    hits = C.top_n_per_group(_hits(spark, sf_dir), ["qid"], ["rank_key", "page_id"], PER_QUERY_LIMIT)
+    hits = C.title_filter(hits, KEYWORD)
+    hits = C.clean_links(hits, "link", keep=PAGE_PARAM)
+    return C.dedup_pairs(hits)
+
+
+@register("title_filter")
+def q_title_filter(spark, sf_dir):
+    return C.title_filter(fx.transcripts(spark, sf_dir), KEYWORD).select("doc_id", "title")
+
+
+@register("clean_url")
+def q_clean_url(spark, sf_dir):
+    pages = fx.read(spark, sf_dir, "pages")
+    return pages.select("page_id", "url", tx.clean_url("url", PAGE_PARAM).alias("clean"),
+                        tx.clean_url("url", "v").alias("clean_v"))
+
+
+@register("sanitize_name")
+def q_sanitize_name(spark, sf_dir):
+    return fx.read(spark, sf_dir, "pages").select("page_id", tx.sanitize_name("url").alias("name"))
+
+
+@register("host_filter")
+def q_host_filter(spark, sf_dir):
+    pages = fx.read(spark, sf_dir, "pages")
+    return pages.where(tx.host_matches("url", HOSTS)).select("page_id", "url")
+
+
+def _docs_with_labels(spark, sf_dir):
+    docs = fx.read(spark, sf_dir, "documents").select("doc_id")
+    return docs.join(fx.read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+
+
+@register("drop_null_text")
+def q_drop_null_text(spark, sf_dir):
+    return C.drop_null(_docs_with_labels(spark, sf_dir), ["quality"])
+
+
+@register("null_policy")
+def q_null_policy(spark, sf_dir):
+    return C.null_to_literal(_docs_with_labels(spark, sf_dir), "quality").withColumnRenamed("quality", "quality_text")
+
+
+@register("preview")
+def q_preview(spark, sf_dir):
+    return fx.read(spark, sf_dir, "documents").select("doc_id", tx.preview("text").alias("preview"))
+
+
+@register("resume_anti_join")
+def q_resume_anti_join(spark, sf_dir):
+    todo = fx.transcripts(spark, sf_dir).select("link", "title")
+    done = fx.read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("link"))
+    return C.resume(todo, done, "link")
+
+
+@register("dedup_pairs")
+def q_dedup_pairs(spark, sf_dir):
+    return C.dedup_pairs(C.clean_links(_hits(spark, sf_dir), "link", keep="v"))
+
+
+@register("dedup_links")
+def q_dedup_links(spark, sf_dir):
+    return C.dedup_links(C.clean_links(_hits(spark, sf_dir), "link", keep="v"))
+
+
+@register("top_n_per_group")
+def q_top_n_per_group(spark, sf_dir):
+    ev = fx.read(spark, sf_dir, "events")
+    return C.top_n_per_group(ev, ["user_id"], ["ts", "event_id"], PER_QUERY_LIMIT).select(
+        "event_id", "user_id", "event_type", "value")
+
+
+@register("drop_errors")
+def q_drop_errors(spark, sf_dir):
+    return C.drop_errors(fx.transcripts(spark, sf_dir)).select("doc_id", "link")
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+@register("csv_roundtrip")
+def q_csv_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "csv_roundtrip")
+    IO.write_csv(fx.transcripts(spark, sf_dir).select("title", "link", "transcript"), path)
+    return IO.read_csv(spark, path, SC.TRANSCRIPTS)
+
+
+@register("json_roundtrip")
+def q_json_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "json_roundtrip")
+    IO.write_json(R.nest_ratings(fx.rated_wide(spark, sf_dir)), path)
+    return R.flatten_nested(IO.read_json(spark, path, SC.NESTED))
+
+
+@register("text_sink")
+def q_text_sink(spark, sf_dir):
+    path = scratch_path(spark, "text_sink")
+    IO.write_text(fx.read(spark, sf_dir, "documents"), path, col="text")
+    return IO.read_text_lines(spark, path).select(F.col("value").alias("line"))
+
+
+@register("match_media")
+def q_match_media(spark, sf_dir):
+    ids = fx.read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"))
+    names = fx.read(spark, sf_dir, "pages").select(tx.sanitize_name("url").alias("name"))
+    return MD.match_media(ids, names, "id", "name")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_qwk(spark, sf_dir)
