@@ -111,3 +111,100 @@ SQL["match_media"] = (
     "SELECT l.id, min(p.name) AS name FROM (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM labels) l "
     f"JOIN (SELECT DISTINCT {SANITIZE.format('url')} AS name FROM pages) p ON contains(p.name, l.id) GROUP BY l.id"
 )
+
+# ---------------------------------------------------------------- reshaping, prompts, chats
+
+_NEST = ("struct_pack(" + ", ".join(
+    f"{r} := struct_pack(rationale := {r}_score_rationale, score := {r}_score)" for r in RUBRICS) + ")")
+SQL["nest_ratings"] = (f"SELECT CAST(doc_id AS BIGINT) AS id, transcript, to_json({_NEST}) AS rationales_json "
+                       f"FROM ({O.rated_wide_sql()})")
+SQL["flatten_nested"] = SQL["json_roundtrip"]
+SQL["seq2seq_pairs"] = (
+    "SELECT doc_id, 'Rate this pitch transcript: ' || coalesce(transcript, '') AS input_text, "
+    + " || chr(10) || ".join(
+        f"'{r}: ' || coalesce({r}_score_rationale, '') || ' (score ' || coalesce(CAST({r}_score AS VARCHAR), '') || ')'"
+        for r in RUBRICS)
+    + f" AS target_text FROM ({O.rated_wide_sql()})"
+)
+
+
+def _rubric_values() -> str:
+    rows = []
+    for r in RUBRICS:
+        label = r.replace("_", " ")
+        sys_p = f"You grade pitch transcripts on {label}. Explain briefly, then give a score as [[n]] with n from 1 to 5."
+        rows.append(f"('{r}', '{sys_p}', 'Rate the {label} of this pitch transcript:' || chr(10))")
+    return "(VALUES " + ", ".join(rows) + ") AS rt(rubric, system_prompt, user_prefix)"
+
+
+_REQ = (f"SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'pitch_energy' "
+        f"ELSE regexp_replace(rationale_type, '_score$', '') END AS rubric, transcript, rationale, score "
+        f"FROM ({O.long_sql(keep=('doc_id', 'transcript'))})")
+_PROMPTED = (
+    f"SELECT q.*, q.rubric IN ({', '.join(repr(r) for r in RUBRICS)}) IS NOT TRUE AS unknown_rubric, "
+    f"rt.rubric AS prompt_rubric, rt.system_prompt, rt.user_prefix || coalesce(q.transcript, '') AS user_prompt "
+    f"FROM ({_REQ}) q JOIN {_rubric_values()} ON rt.rubric = CASE WHEN q.rubric IN "
+    f"({', '.join(repr(r) for r in RUBRICS)}) THEN q.rubric ELSE '{RUBRICS[-1]}' END"
+)
+SQL["build_prompts"] = (f"SELECT doc_id, rubric, prompt_rubric, unknown_rubric, system_prompt, user_prompt "
+                        f"FROM ({_PROMPTED})")
+_TRAIN = f"(NOT ({O.below_sql('42', 'doc_id', 0.2)}))"
+_MSG = "struct_pack(role := '{0}', content := {1})"
+_CHATS = (
+    f"SELECT doc_id, rubric, {_TRAIN} AS train, CASE WHEN {_TRAIN} THEN ["
+    f"{_MSG.format('system', 'system_prompt')}, {_MSG.format('user', 'user_prompt')}, "
+    f"{_MSG.format('assistant', 'coalesce(rationale, '''''')')}] ELSE ["
+    f"{_MSG.format('system', 'system_prompt')}, {_MSG.format('user', 'user_prompt')}] END AS chat "
+    f"FROM ({_PROMPTED})"
+)
+SQL["build_chats"] = ("SELECT doc_id, rubric, train, CAST(len(chat) AS INTEGER) AS n_messages, "
+                      f"to_json(chat) AS chat_json FROM ({_CHATS})")
+_BOS, _ST, _EOT = "'<|begin_of_text|>'", "'<|start_header_id|>'", "'<|eot_id|>'"
+_MID = "'<|end_header_id|>' || chr(10) || chr(10)"
+_RENDER = (f"{_BOS} || array_to_string(list_transform(chat, lambda m: {_ST} || m.role || {_MID} || "
+           f"coalesce(m.content, '') || {_EOT}), '')")
+_AHDR = f"({_ST} || 'assistant' || {_MID})"
+SQL["render_chats"] = (f"SELECT doc_id, rubric, train, CASE WHEN train THEN {_RENDER} ELSE {_RENDER} || {_AHDR} END "
+                       f"AS text FROM ({_CHATS})")
+SQL["response_span"] = (
+    f"SELECT doc_id, rubric, CASE WHEN r IS NOT NULL THEN substr(t, 1, length(t) - length(r)) END AS prompt_part, "
+    f"r AS response_part, CAST(CASE WHEN r IS NOT NULL THEN length(t) - length(r) + 1 ELSE 0 END AS INTEGER) "
+    f"AS response_start FROM (SELECT doc_id, rubric, t, CASE WHEN contains(t, {_AHDR}) THEN "
+    f"string_split(t, {_AHDR})[-1] END AS r FROM (SELECT doc_id, rubric, {_RENDER} AS t FROM ({_CHATS}) WHERE train))"
+)
+
+# ---------------------------------------------------------------- token arrays, argmax, loss
+
+_TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')"
+SQL["tokenize"] = (f"SELECT doc_id, CAST(len({_TOK}) AS INTEGER) AS n_tokens, array_to_string({_TOK}, ' ') AS tokens "
+                   "FROM documents")
+_IDS = f"list_transform({_TOK}, lambda t: CAST(('0x' || substr(md5(t), 1, 4)) AS INTEGER) + 1)"
+SQL["pad_truncate"] = (
+    "SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_tokens, "
+    "array_to_string(list_resize(ids[1:512], 512, 0), ',') AS input_ids, "
+    "array_to_string(list_transform(range(1, 513), lambda i: CASE WHEN i <= len(ids) THEN 1 ELSE 0 END), ',') "
+    f"AS attention_mask FROM (SELECT doc_id, {_IDS} AS ids FROM documents)"
+)
+SQL["argmax_class"] = (
+    "SELECT vec_id, label, CAST(p - 1 AS INTEGER) AS pred_class, CAST(p AS INTEGER) AS pred_score FROM "
+    "(SELECT vec_id, label, list_position(embedding[1:5], list_max(embedding[1:5])) AS p FROM embeddings)"
+)
+
+
+def _ce(arr: str, target: str) -> str:
+    a = f"list_transform({arr}, lambda x: CAST(x AS DOUBLE))"
+    return (f"(list_max({a}) + ln(list_sum(list_transform({a}, lambda x: exp(x - list_max({a})))))"
+            f" - {a}[{target}])")
+
+
+_LOSS_ROWS = (
+    "SELECT vec_id % 4 AS grp, "
+    f"{_ce('embedding[1:5]', 'label % 5 + 1')} AS ce_a, "
+    f"{_ce('embedding[6:10]', 'CAST(floor(label / 2) + 1 AS BIGINT)')} AS ce_b, "
+    f"{_ce('embedding[11:15]', '(vec_id + label) % 5 + 1')} AS ce_c FROM embeddings"
+)
+SQL["multitask_loss"] = (
+    "SELECT grp, count(*) AS n, round(avg(ce_a), 6) AS ce_a, round(avg(ce_b), 6) AS ce_b, "
+    "round(avg(ce_c), 6) AS ce_c, round(avg(ce_a * 1.0 + ce_b * 0.5 + ce_c * 2.0), 6) AS loss "
+    f"FROM ({_LOSS_ROWS}) GROUP BY grp"
+)

@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from ratingspark import fixtures as fx
 from ratingspark import schemas as SC
 from ratingspark.functions import text as tx
+from ratingspark.functions.hashing import below
 from ratingspark.operators import curate as C
 from ratingspark.operators import media as MD
+from ratingspark.functions import arrays as AR
 from ratingspark.operators import metrics as M
+from ratingspark.operators import prompts as PR
 from ratingspark.operators import reshape as R
 from ratingspark.session import scratch_path
 from ratingspark.sources import files as IO
@@ -219,5 +222,130 @@ def q_match_media(spark, sf_dir):
     return MD.match_media(ids, names, "id", "name")
 
 
+# ---------------------------------------------------------------- reshaping, prompts, chats
+
+@register("nest_ratings")
+def q_nest_ratings(spark, sf_dir):
+    nested = R.nest_ratings(fx.rated_wide(spark, sf_dir))
+    return nested.select("id", "transcript", F.to_json("rationales").alias("rationales_json"))
+
+
+@register("flatten_nested")
+def q_flatten_nested(spark, sf_dir):
+    return R.flatten_nested(R.nest_ratings(fx.rated_wide(spark, sf_dir)))
+
+
+@register("seq2seq_pairs")
+def q_seq2seq_pairs(spark, sf_dir):
+    return R.seq2seq_pairs(fx.rated_wide(spark, sf_dir), keep=("doc_id",))
+
+
+# Rubric names the requests use: every 13th document asks for a rubric the table
+# does not know, which must fall back to the default rubric's prompt.
+UNKNOWN_RUBRIC = "pitch_energy"
+
+
+def _requests(spark, sf_dir):
+    long = R.unpivot_ratings(fx.rated_wide(spark, sf_dir), keep=("doc_id", "transcript"))
+    rubric = F.when(F.col("doc_id") % 13 == 0, F.lit(UNKNOWN_RUBRIC)).otherwise(R.rubric_of())
+    return long.select("doc_id", rubric.alias("rubric"), "transcript", "rationale", "score")
+
+
+def _prompted(spark, sf_dir):
+    return PR.resolve_prompts(_requests(spark, sf_dir), PR.rubric_table(spark))
+
+
+@register("build_prompts")
+def q_build_prompts(spark, sf_dir):
+    return _prompted(spark, sf_dir).select("doc_id", "rubric", "prompt_rubric", "unknown_rubric",
+                                           "system_prompt", "user_prompt")
+
+
+def _chats(spark, sf_dir):
+    p = _prompted(spark, sf_dir)
+    train = _train_flag()
+    chat = F.when(train, PR.build_chat(F.col("system_prompt"), F.col("user_prompt"), F.col("rationale"))) \
+        .otherwise(PR.build_chat(F.col("system_prompt"), F.col("user_prompt")))
+    return p.select("doc_id", "rubric", train.alias("train"), chat.alias("chat"))
+
+
+def _train_flag():
+    """Training rows: documents outside the 20 % test share (group-safe: keyed on the document)."""
+    return ~below("42", "doc_id", 0.2)
+
+
+@register("build_chats")
+def q_build_chats(spark, sf_dir):
+    return _chats(spark, sf_dir).select("doc_id", "rubric", "train", F.size("chat").alias("n_messages"),
+                                        F.to_json("chat").alias("chat_json"))
+
+
+@register("render_chats")
+def q_render_chats(spark, sf_dir):
+    c = _chats(spark, sf_dir)
+    return c.select("doc_id", "rubric", "train",
+                    F.when(F.col("train"), PR.render_chat("chat"))
+                    .otherwise(PR.render_chat("chat", add_generation_prompt=True)).alias("text"))
+
+
+@register("response_span")
+def q_response_span(spark, sf_dir):
+    c = _chats(spark, sf_dir).where("train")
+    return c.select("doc_id", "rubric", PR.render_chat("chat").alias("_t")).select(
+        "doc_id", "rubric", *PR.response_span("_t"))
+
+
+# ---------------------------------------------------------------- token arrays, argmax, loss
+
+SEQ_LEN = 512
+
+
+def token_ids(text_col: str = "text"):
+    """Stand-in subword ids: each word token hashed to 1..65536 (0 is the pad id)."""
+    return F.transform(tx.tokens(text_col), lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") + 1)
+
+
+@register("tokenize")
+def q_tokenize(spark, sf_dir):
+    d = fx.read(spark, sf_dir, "documents")
+    return d.select("doc_id", tx.tokens("text").alias("_t")).select(
+        "doc_id", F.size("_t").alias("n_tokens"), F.array_join("_t", " ").alias("tokens"))
+
+
+@register("pad_truncate")
+def q_pad_truncate(spark, sf_dir):
+    d = fx.read(spark, sf_dir, "documents").select("doc_id", token_ids().alias("ids"))
+    return d.select("doc_id", F.size("ids").alias("n_tokens"),
+                    AR.join_ints(AR.pad_truncate("ids", SEQ_LEN)).alias("input_ids"),
+                    AR.join_ints(AR.attention_mask("ids", SEQ_LEN)).alias("attention_mask"))
+
+
+N_CLASSES = 5
+
+
+@register("argmax_class")
+def q_argmax_class(spark, sf_dir):
+    e = fx.read(spark, sf_dir, "embeddings")
+    pos = AR.argmax_label(F.slice("embedding", 1, N_CLASSES))
+    return e.select("vec_id", "label", (pos - 1).alias("pred_class"), pos.alias("pred_score"))
+
+
+# Three heads over the embedding: classes 1-5, 6-10 and 11-15; targets derived from the label.
+LOSS_TASKS = (("a", 1, 1.0), ("b", 6, 0.5), ("c", 11, 2.0))
+
+
+@register("multitask_loss")
+def q_multitask_loss(spark, sf_dir):
+    e = fx.read(spark, sf_dir, "embeddings").select(
+        "embedding", (F.col("label") % 5 + 1).alias("t_a"), (F.floor(F.col("label") / 2) + 1).alias("t_b"),
+        ((F.col("vec_id") + F.col("label")) % 5 + 1).alias("t_c"), (F.col("vec_id") % 4).alias("grp"))
+    for name, start, _ in LOSS_TASKS:
+        e = e.withColumn(f"s_{name}", F.slice("embedding", start, N_CLASSES))
+    tasks = [(name, f"s_{name}", f"t_{name}", w) for name, _, w in LOSS_TASKS]
+    out = M.multitask_loss(e, tasks, group_cols=("grp",))
+    return out.select("grp", "n", *[F.round(f"ce_{n}", DIGITS).alias(f"ce_{n}") for n, *_ in LOSS_TASKS],
+                      F.round("loss", DIGITS).alias("loss"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_qwk(spark, sf_dir)
