@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ratingspark.functions.hashing import threshold_hex
 from ratingspark.plans import oracle as O
 from ratingspark.schemas import RUBRICS
 
@@ -150,10 +151,11 @@ SQL["build_prompts"] = (f"SELECT doc_id, rubric, prompt_rubric, unknown_rubric,
                         f"FROM ({_PROMPTED})")
 _TRAIN = f"(NOT ({O.below_sql('42', 'doc_id', 0.2)}))"
 _MSG = "struct_pack(role := '{0}', content := {1})"
+_EMPTY_COALESCE = "coalesce(rationale, '')"
 _CHATS = (
     f"SELECT doc_id, rubric, {_TRAIN} AS train, CASE WHEN {_TRAIN} THEN ["
     f"{_MSG.format('system', 'system_prompt')}, {_MSG.format('user', 'user_prompt')}, "
-    f"{_MSG.format('assistant', 'coalesce(rationale, '''''')')}] ELSE ["
+    f"{_MSG.format('assistant', _EMPTY_COALESCE)}] ELSE ["
     f"{_MSG.format('system', 'system_prompt')}, {_MSG.format('user', 'user_prompt')}] END AS chat "
     f"FROM ({_PROMPTED})"
 )
@@ -208,3 +210,98 @@ SQL["multitask_loss"] = (
     "round(avg(ce_c), 6) AS ce_c, round(avg(ce_a * 1.0 + ce_b * 0.5 + ce_c * 2.0), 6) AS loss "
     f"FROM ({_LOSS_ROWS}) GROUP BY grp"
 )
+
+# ---------------------------------------------------------------- splits and folds
+
+_HOLD = f"CASE WHEN {O.below_sql('42', 'doc_id', 0.2)} THEN 'test' ELSE 'train' END"
+SQL["split_holdout"] = f"SELECT doc_id, {_HOLD} AS split FROM documents"
+_H8 = "substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 8)"
+SQL["split_three_way"] = (f"SELECT doc_id, CASE WHEN {_H8} < '{threshold_hex(0.15)}' THEN 'test' "
+                          f"WHEN {_H8} < '{threshold_hex(0.3)}' THEN 'val' ELSE 'train' END AS split FROM documents")
+_LONG_KEYS = (f"SELECT doc_id, regexp_replace(rationale_type, '_score$', '') AS rubric "
+              f"FROM ({O.long_sql(keep=('doc_id',))})")
+SQL["split_grouped"] = f"SELECT doc_id, rubric, {_HOLD} AS split FROM ({_LONG_KEYS})"
+_ROW_HOLD = ("CASE WHEN substr(md5('42:' || CAST(doc_id AS VARCHAR) || ':' || rubric), 1, 8) < "
+             f"'{threshold_hex(0.2)}' THEN 'test' ELSE 'train' END")
+
+
+def _leak(side: str) -> str:
+    return (f"SELECT count(*) AS n_groups, count(*) FILTER (WHERE s > 1) AS n_leaked FROM "
+            f"(SELECT doc_id, count(DISTINCT {side}) AS s FROM ({_LONG_KEYS}) GROUP BY doc_id)")
+
+
+SQL["leak_count"] = (f"SELECT 'row' AS split_key, * FROM ({_leak(_ROW_HOLD)}) "
+                     f"UNION ALL SELECT 'document', * FROM ({_leak(_HOLD)})")
+SQL["kfold"] = ("SELECT doc_id, CAST(ntile(5) OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 "
+                "AS INTEGER) AS fold FROM documents")
+SQL["kfold_hash"] = f"SELECT doc_id, CAST({O.unit_hash_sql('42', 'doc_id')} % 5 AS INTEGER) AS fold FROM documents"
+
+# ---------------------------------------------------------------- baselines and metrics
+
+_PSPLIT = f"SELECT *, {_HOLD} AS split FROM ({_PARSED_LONG})"
+_TRAIN_ROWS = f"SELECT * FROM ({_PSPLIT}) WHERE split = 'train'"
+_TEST_ROWS = f"SELECT doc_id, rubric, y_true FROM ({_PSPLIT}) WHERE split = 'test'"
+SQL["label_shares"] = (
+    "SELECT rubric, label, n, round(n / sum(n) OVER (PARTITION BY rubric), 6) AS share FROM "
+    f"(SELECT rubric, y_true AS label, count(*) AS n FROM ({_TRAIN_ROWS}) WHERE y_true IS NOT NULL GROUP BY ALL)"
+)
+_MAJ = (f"SELECT rubric, label AS y_pred FROM (SELECT rubric, y_true AS label, count(*) AS n FROM ({_TRAIN_ROWS}) "
+        "WHERE y_true IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY rubric ORDER BY n DESC, label) = 1")
+_MAJ_ROWS = f"SELECT t.doc_id, t.rubric, t.y_true, CAST(m.y_pred AS INTEGER) AS y_pred FROM ({_TEST_ROWS}) t LEFT JOIN ({_MAJ}) m USING (rubric)"
+SQL["baseline_majority"] = _MAJ_ROWS
+_CUM = (
+    "SELECT rubric, label, sum(c) OVER (PARTITION BY rubric ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - c AS lo, "
+    "sum(c) OVER (PARTITION BY rubric ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi, "
+    "sum(c) OVER (PARTITION BY rubric) AS tot FROM "
+    f"(SELECT rubric, y_true AS label, count(*) AS c FROM ({_TRAIN_ROWS}) WHERE y_true IS NOT NULL GROUP BY ALL)"
+)
+_DRAWS = (
+    f"SELECT t.doc_id, t.rubric, {O.unit_hash_sql('42', 't.doc_id', 't.rubric', 'r.i')} AS u "
+    f"FROM ({_TEST_ROWS}) t, range(1, 1001) r(i)"
+)
+_PICK = (
+    f"SELECT d.doc_id, d.rubric, c.label, count(*) AS k FROM ({_DRAWS}) d JOIN ({_CUM}) c ON c.rubric = d.rubric "
+    "AND CAST(c.lo AS HUGEINT) * 4294967296 <= CAST(d.u AS HUGEINT) * c.tot "
+    "AND CAST(d.u AS HUGEINT) * c.tot < CAST(c.hi AS HUGEINT) * 4294967296 GROUP BY ALL"
+)
+_SAMPLED_ROWS = (
+    f"SELECT t.doc_id, t.rubric, t.y_true, CAST(p.label AS INTEGER) AS y_pred FROM ({_TEST_ROWS}) t LEFT JOIN "
+    f"(SELECT * FROM ({_PICK}) QUALIFY row_number() OVER (PARTITION BY doc_id, rubric ORDER BY k DESC, label) = 1) p "
+    "USING (doc_id, rubric)"
+)
+SQL["baseline_sampled"] = _SAMPLED_ROWS
+_SECOND = (
+    "WITH w AS (SELECT doc_id, " + ", ".join(f"{O.pred_sql(r)} AS p{i}" for i, r in enumerate(RUBRICS))
+    + " FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rubric, p{i} AS y_pred FROM w"
+                                               for i, r in enumerate(RUBRICS))
+)
+SQL["align_predictions"] = (
+    f"SELECT t.doc_id, t.rubric, t.y_true, s.y_pred FROM (SELECT doc_id, rubric, y_true FROM ({_PARSED_LONG}) "
+    f"WHERE doc_id IN (SELECT doc_id FROM labels)) t JOIN ({_SECOND}) s USING (doc_id, rubric)"
+)
+_FOLDS = ("SELECT doc_id, CAST(ntile(5) OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 "
+          "AS INTEGER) AS fold FROM documents")
+_CV_ROWS = f"SELECT p.*, f.fold FROM ({_PARSED_LONG}) p JOIN ({_FOLDS}) f USING (doc_id)"
+SQL["qwk_cv"] = (
+    "SELECT rubric, round(qm, 6) AS qwk_mean, n_folds, round(avg(qm) OVER (), 6) AS qwk_macro FROM "
+    f"(SELECT rubric, avg(qwk) AS qm, count(*) AS n_folds FROM ({O.qwk_sql(_CV_ROWS, ('rubric', 'fold'), digits=None)}) "
+    "GROUP BY rubric)"
+)
+SQL["best_run"] = (
+    "SELECT run, epoch, round(qwk, 6) AS qwk FROM (SELECT event_type AS run, event_id AS epoch, "
+    "(value - 10.0) / 10.0 AS qwk FROM events) WHERE qwk > 0 "
+    "QUALIFY row_number() OVER (PARTITION BY run ORDER BY qwk DESC, epoch) = 1"
+)
+
+
+def _macro(src: str, model: str) -> str:
+    return (f"SELECT '{model}' AS model, avg(qwk) AS qwk FROM "
+            f"({O.qwk_sql(f'SELECT * FROM ({src}) WHERE y_pred IS NOT NULL', digits=None)})")
+
+
+_MODELS = (f"{_macro(f'SELECT * FROM ({_PSPLIT}) WHERE split = ' + chr(39) + 'test' + chr(39), 'second_rater')} "
+           f"UNION ALL {_macro(_MAJ_ROWS, 'majority')} UNION ALL {_macro(_SAMPLED_ROWS, 'sampled')}")
+SQL["model_compare"] = (
+    "SELECT model, round(qwk, 6) AS qwk, round(qwk / nullif(lag(qwk) OVER (ORDER BY qwk ASC NULLS FIRST, model), 0) - 1, 6) "
+    f"AS gain FROM ({_MODELS})"
+)

@@ -7,7 +7,7 @@ Floating-point outputs are rounded to 6 decimals for comparison.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratingspark import fixtures as fx
@@ -17,7 +17,9 @@ from ratingspark.functions.hashing import below
 from ratingspark.operators import curate as C
 from ratingspark.operators import media as MD
 from ratingspark.functions import arrays as AR
+from ratingspark.operators import baseline as BL
 from ratingspark.operators import metrics as M
+from ratingspark.operators import splits as SPL
 from ratingspark.operators import prompts as PR
 from ratingspark.operators import reshape as R
 from ratingspark.session import scratch_path
@@ -347,5 +349,136 @@ def q_multitask_loss(spark, sf_dir):
                       F.round("loss", DIGITS).alias("loss"))
 
 
+# ---------------------------------------------------------------- splits and folds
+
+SEED = 42
+
+
+@register("split_holdout")
+def q_split_holdout(spark, sf_dir):
+    return SPL.split_holdout(fx.read(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.2, SEED)
+
+
+@register("split_three_way")
+def q_split_three_way(spark, sf_dir):
+    return SPL.split_three_way(fx.read(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.15, 0.15, SEED)
+
+
+def _long_keys(spark, sf_dir):
+    long = R.unpivot_ratings(fx.rated_wide(spark, sf_dir), keep=("doc_id",))
+    return long.select("doc_id", R.rubric_of().alias("rubric"))
+
+
+@register("split_grouped")
+def q_split_grouped(spark, sf_dir):
+    return SPL.split_holdout(_long_keys(spark, sf_dir), "doc_id", 0.2, SEED)
+
+
+@register("leak_count")
+def q_leak_count(spark, sf_dir):
+    long = _long_keys(spark, sf_dir).withColumn("_row", F.concat_ws(":", "doc_id", "rubric"))
+    by_row = SPL.leak_count(SPL.split_holdout(long, "_row", 0.2, SEED), "doc_id")
+    by_doc = SPL.leak_count(SPL.split_holdout(long, "doc_id", 0.2, SEED), "doc_id")
+    return (by_row.select(F.lit("row").alias("split_key"), "*")
+            .unionByName(by_doc.select(F.lit("document").alias("split_key"), "*")))
+
+
+@register("kfold")
+def q_kfold(spark, sf_dir):
+    return SPL.kfold_exact(fx.read(spark, sf_dir, "documents").select("doc_id"), "doc_id", 5, SEED)
+
+
+@register("kfold_hash")
+def q_kfold_hash(spark, sf_dir):
+    return SPL.kfold_hash(fx.read(spark, sf_dir, "documents").select("doc_id"), "doc_id", 5, SEED)
+
+
+# ---------------------------------------------------------------- baselines and metrics
+
+def _parsed_split(spark, sf_dir):
+    return SPL.split_holdout(parsed_long(spark, sf_dir), "doc_id", 0.2, SEED)
+
+
+@register("label_shares")
+def q_label_shares(spark, sf_dir):
+    train = _parsed_split(spark, sf_dir).where("split = 'train'")
+    return BL.label_shares(train, ("rubric",), "y_true").select(
+        "rubric", "label", "n", F.round("share", DIGITS).alias("share"))
+
+
+def _majority(spark, sf_dir):
+    p = _parsed_split(spark, sf_dir)
+    train = p.where("split = 'train'")
+    test = p.where("split = 'test'").select("doc_id", "rubric", "y_true")
+    return BL.baseline_majority(train, test, ("rubric",), "y_true", "y_pred")
+
+
+@register("baseline_majority")
+def q_baseline_majority(spark, sf_dir):
+    return _majority(spark, sf_dir)
+
+
+N_DRAWS = 1000
+
+
+def _sampled(spark, sf_dir):
+    p = _parsed_split(spark, sf_dir)
+    train = p.where("split = 'train'")
+    test = p.where("split = 'test'").select("doc_id", "rubric", "y_true")
+    return BL.baseline_sampled(train, test, "doc_id", N_DRAWS, SEED, ("rubric",), "y_true", "y_pred")
+
+
+@register("baseline_sampled")
+def q_baseline_sampled(spark, sf_dir):
+    return _sampled(spark, sf_dir)
+
+
+@register("align_predictions")
+def q_align_predictions(spark, sf_dir):
+    labelled = fx.read(spark, sf_dir, "labels").select("doc_id")
+    truth = parsed_long(spark, sf_dir).select("doc_id", "rubric", "y_true").join(labelled, "doc_id", "left_semi")
+    preds = fx.second_rater(spark, sf_dir)
+    return M.align_predictions(truth, preds, ("doc_id", "rubric"))
+
+
+@register("qwk_cv")
+def q_qwk_cv(spark, sf_dir):
+    folds = SPL.kfold_exact(fx.read(spark, sf_dir, "documents").select("doc_id"), "doc_id", 5, SEED)
+    p = parsed_long(spark, sf_dir).join(folds, "doc_id")
+    per_rubric, _ = M.qwk_cv(p, "fold", "rubric")
+    # One row per rubric: the macro mean is a window over that tiny table.
+    macro = F.avg("qwk_mean").over(Window.partitionBy())
+    return per_rubric.select("rubric", F.round("qwk_mean", DIGITS).alias("qwk_mean"), "n_folds",
+                             F.round(macro, DIGITS).alias("qwk_macro"))
+
+
+def _metrics_log(spark, sf_dir):
+    """A training log stand-in: run = event type, epoch = event id, qwk from the value."""
+    ev = fx.read(spark, sf_dir, "events")
+    return ev.select(F.col("event_type").alias("run"), F.col("event_id").alias("epoch"),
+                     ((F.col("value") - 10.0) / 10.0).alias("qwk"))
+
+
+@register("best_run")
+def q_best_run(spark, sf_dir):
+    b = M.best_run(_metrics_log(spark, sf_dir), ("run",), "epoch", "qwk")
+    return b.select("run", "epoch", F.round("qwk", DIGITS).alias("qwk"))
+
+
+def _test_macro(df, model):
+    per = M.qwk(df.where(F.col("y_pred").isNotNull()), ("rubric",))
+    return M.qwk_macro(per).select(F.lit(model).alias("model"), F.col("qwk_macro").alias("qwk"))
+
+
+@register("model_compare")
+def q_model_compare(spark, sf_dir):
+    p = _parsed_split(spark, sf_dir).where("split = 'test'")
+    models = (_test_macro(p.select("doc_id", "rubric", "y_true", "y_pred"), "second_rater")
+              .unionByName(_test_macro(_majority(spark, sf_dir), "majority"))
+              .unionByName(_test_macro(_sampled(spark, sf_dir), "sampled")))
+    out = M.model_compare(models, "model", "qwk")
+    return out.select("model", F.round("qwk", DIGITS).alias("qwk"), F.round("gain", DIGITS).alias("gain"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_qwk(spark, sf_dir)
