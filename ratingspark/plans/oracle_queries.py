@@ -337,3 +337,22 @@ SQL["verdict"] = (
     f"SELECT doc_id, round(({_TOT}) / 3.0, 6) AS overall, ({_TOT}) * 2 >= 21 AS passed, "
     f"CASE WHEN ({_TOT}) * 2 >= 21 THEN 'Promising pitch' ELSE 'Needs more work' END AS verdict FROM ({_PWIDE})"
 )
+
+# ---------------------------------------------------------------- text features
+
+_DSPLIT = f"SELECT doc_id, text, {_HOLD} AS split FROM documents"
+_TERMS = (f"SELECT doc_id, split, term, count(*) AS tf FROM (SELECT doc_id, split, unnest({_TOK}) AS term "
+          f"FROM ({_DSPLIT})) GROUP BY ALL")
+_TOP = (f"SELECT term, sum(tf) AS n FROM ({_TERMS}) WHERE split = 'train' GROUP BY term "
+        "ORDER BY n DESC, term LIMIT 500")
+SQL["top_terms"] = _TOP
+_MODEL = (
+    "SELECT CAST(row_number() OVER (ORDER BY v.n DESC, v.term) - 1 AS INTEGER) AS idx, v.term, "
+    f"ln((1.0 + (SELECT count(*) FROM ({_DSPLIT}) WHERE split = 'train')) / (1.0 + d.df)) + 1.0 AS idf "
+    f"FROM ({_TOP}) v JOIN (SELECT term, count(*) AS df FROM ({_TERMS}) WHERE split = 'train' GROUP BY term) d "
+    "USING (term)"
+)
+SQL["tfidf"] = (
+    "SELECT doc_id, idx, term, round(tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)), 6) "
+    f"AS weight FROM ({_TERMS}) t JOIN ({_MODEL}) m USING (term)"
+)

@@ -18,6 +18,7 @@ from ratingspark.operators import curate as C
 from ratingspark.operators import media as MD
 from ratingspark.functions import arrays as AR
 from ratingspark.operators import baseline as BL
+from ratingspark.operators import features as FE
 from ratingspark.operators import metrics as M
 from ratingspark.operators import splits as SPL
 from ratingspark.operators import prompts as PR
@@ -509,5 +510,28 @@ def q_verdict(spark, sf_dir):
     return v.select("doc_id", F.round("overall", DIGITS).alias("overall"), "passed", "verdict")
 
 
+# ---------------------------------------------------------------- text features
+
+def _doc_split(spark, sf_dir):
+    return SPL.split_holdout(fx.read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", 0.2, SEED)
+
+
+@register("top_terms")
+def q_top_terms(spark, sf_dir):
+    train = _doc_split(spark, sf_dir).where("split = 'train'")
+    return FE.top_terms(FE.doc_terms(train, "doc_id"), FE.MAX_FEATURES)
+
+
+@register("tfidf")
+def q_tfidf(spark, sf_dir):
+    docs = _doc_split(spark, sf_dir)
+    terms = FE.doc_terms(docs, "doc_id").join(docs.select("doc_id", "split"), "doc_id")
+    train_terms = terms.where("split = 'train'")
+    n_train = docs.where("split = 'train'").count()
+    model = FE.fit_tfidf(train_terms, "doc_id", n_train, FE.MAX_FEATURES)
+    out = FE.transform_tfidf(terms, model, "doc_id")
+    return out.select("doc_id", "idx", "term", F.round("weight", DIGITS).alias("weight"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_qwk(spark, sf_dir)
