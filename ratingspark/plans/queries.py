@@ -22,6 +22,7 @@ from ratingspark.operators import features as FE
 from ratingspark.operators import metrics as M
 from ratingspark.operators import splits as SPL
 from ratingspark.operators import prompts as PR
+from ratingspark.operators import raters as RT
 from ratingspark.operators import report as RP
 from ratingspark.operators import reshape as R
 from ratingspark.session import scratch_path
@@ -533,5 +534,13 @@ def q_tfidf(spark, sf_dir):
     return out.select("doc_id", "idx", "term", F.round("weight", DIGITS).alias("weight"))
 
 
+@register("svm_test")
+def q_svm_test(spark, sf_dir):
+    """TF-IDF -> PCA -> one-vs-rest SVM per rubric, fitted on the train split, predicted on test."""
+    wide = SPL.split_holdout(_parsed_wide(spark, sf_dir).join(
+        fx.read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id", 0.2, SEED)
+    return RT.fit_predict(wide.where("split = 'train'"), wide.where("split = 'test'"), "doc_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_qwk(spark, sf_dir)
