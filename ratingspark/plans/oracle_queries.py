@@ -141,12 +141,17 @@ def _rubric_values() -> str:
 _REQ = (f"SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'pitch_energy' "
         f"ELSE regexp_replace(rationale_type, '_score$', '') END AS rubric, transcript, rationale, score "
         f"FROM ({O.long_sql(keep=('doc_id', 'transcript'))})")
-_PROMPTED = (
-    f"SELECT q.*, q.rubric IN ({', '.join(repr(r) for r in RUBRICS)}) IS NOT TRUE AS unknown_rubric, "
-    f"rt.rubric AS prompt_rubric, rt.system_prompt, rt.user_prefix || coalesce(q.transcript, '') AS user_prompt "
-    f"FROM ({_REQ}) q JOIN {_rubric_values()} ON rt.rubric = CASE WHEN q.rubric IN "
-    f"({', '.join(repr(r) for r in RUBRICS)}) THEN q.rubric ELSE '{RUBRICS[-1]}' END"
-)
+def _prompted_sql(req: str) -> str:
+    known = ", ".join(repr(r) for r in RUBRICS)
+    return (
+        f"SELECT q.*, q.rubric IN ({known}) IS NOT TRUE AS unknown_rubric, "
+        f"rt.rubric AS prompt_rubric, rt.system_prompt, rt.user_prefix || coalesce(q.transcript, '') AS user_prompt "
+        f"FROM ({req}) q JOIN {_rubric_values()} ON rt.rubric = CASE WHEN q.rubric IN ({known}) "
+        f"THEN q.rubric ELSE '{RUBRICS[-1]}' END"
+    )
+
+
+_PROMPTED = _prompted_sql(_REQ)
 SQL["build_prompts"] = (f"SELECT doc_id, rubric, prompt_rubric, unknown_rubric, system_prompt, user_prompt "
                         f"FROM ({_PROMPTED})")
 _TRAIN = f"(NOT ({O.below_sql('42', 'doc_id', 0.2)}))"
@@ -356,3 +361,25 @@ SQL["tfidf"] = (
     "SELECT doc_id, idx, term, round(tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)), 6) "
     f"AS weight FROM ({_TERMS}) t JOIN ({_MODEL}) m USING (term)"
 )
+
+# ---------------------------------------------------------------- enrichment
+
+_REQ_KNOWN = (f"SELECT doc_id, regexp_replace(rationale_type, '_score$', '') AS rubric, transcript "
+              f"FROM ({O.long_sql(keep=('doc_id', 'transcript'))}) WHERE doc_id % 17 <> 0")
+_JUDGED = (
+    "SELECT doc_id, rubric, 'Assessed ' || rubric || ' over ' || CAST(length(user_prompt) AS VARCHAR) || "
+    "' characters. [[' || CAST(1 + length(user_prompt) % 5 AS VARCHAR) || ']]' AS rationale "
+    f"FROM ({_prompted_sql(_REQ_KNOWN)})"
+)
+SQL["judge_apply"] = (
+    "SELECT doc_id, " + ", ".join(
+        f"max(CASE WHEN rubric = '{r}' THEN {O.extract_score_sql('rationale')} END) AS {r}_score, "
+        f"max(CASE WHEN rubric = '{r}' THEN rationale END) AS {r}_score_rationale" for r in RUBRICS)
+    + f" FROM ({_JUDGED}) GROUP BY doc_id"
+)
+SQL["enrich_capture"] = (
+    "SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'ERROR: cannot transcribe ' || CAST(doc_id AS VARCHAR) "
+    "ELSE CAST(length(coalesce(text, '')) AS VARCHAR) || ' chars: ' || substr(coalesce(text, ''), 1, 50) END "
+    "AS transcript, CASE WHEN doc_id % 17 = 0 THEN 'cannot transcribe ' || CAST(doc_id AS VARCHAR) END AS error "
+    "FROM documents"
+)

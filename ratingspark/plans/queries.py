@@ -18,6 +18,7 @@ from ratingspark.operators import curate as C
 from ratingspark.operators import media as MD
 from ratingspark.functions import arrays as AR
 from ratingspark.operators import baseline as BL
+from ratingspark.operators import enrich as EN
 from ratingspark.operators import features as FE
 from ratingspark.operators import metrics as M
 from ratingspark.operators import splits as SPL
@@ -542,5 +543,27 @@ def q_svm_test(spark, sf_dir):
     return RT.fit_predict(wide.where("split = 'train'"), wide.where("split = 'test'"), "doc_id")
 
 
+# ---------------------------------------------------------------- enrichment
+
+@register("judge_apply")
+def q_judge_apply(spark, sf_dir):
+    """Every (document, rubric) request judged in one pass, parsed, and pivoted back to wide."""
+    docs = fx.transcripts(spark, sf_dir, with_errors=True)
+    todo = C.drop_errors(docs)
+    req = R.unpivot_ratings(fx.rated_wide(spark, sf_dir).join(todo.select("doc_id"), "doc_id", "left_semi"),
+                            keep=("doc_id", "transcript")).select("doc_id", R.rubric_of().alias("rubric"),
+                                                                  "transcript")
+    prompted = PR.resolve_prompts(req, PR.rubric_table(spark))
+    judged = EN.judge_apply(prompted, EN.length_scorer_factory, ("doc_id",))
+    return EN.judged_wide(judged, "doc_id")
+
+
+@register("enrich_capture")
+def q_enrich_capture(spark, sf_dir):
+    d = fx.read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = EN.enrich(d, EN.failing_transcriber_factory, ["doc_id", "text"], "transcript", on_error="capture")
+    return out.select("doc_id", "transcript", "error")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_qwk(spark, sf_dir)
