@@ -383,3 +383,5 @@ SQL["enrich_capture"] = (
     "AS transcript, CASE WHEN doc_id % 17 = 0 THEN 'cannot transcribe ' || CAST(doc_id AS VARCHAR) END AS error "
     "FROM documents"
 )
+
+SQL["stream_resume"] = SQL["enrich_capture"]

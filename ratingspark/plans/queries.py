@@ -565,5 +565,25 @@ def q_enrich_capture(spark, sf_dir):
     return out.select("doc_id", "transcript", "error")
 
 
+@register("stream_resume")
+def q_stream_resume(spark, sf_dir):
+    """documents arrive as a file stream; each new doc_id is transcribed once. A second run
+    with a fresh checkpoint finds every key in the sink and appends nothing."""
+    from ratingspark.streaming.resume import run_incremental
+
+    schema = fx.read(spark, sf_dir, "documents").select("doc_id", "text").schema
+    sink = scratch_path(spark, "stream_sink")
+
+    def transcribe(rows):
+        return EN.enrich(rows.select("doc_id", "text"), EN.failing_transcriber_factory, ["doc_id", "text"],
+                         "transcript", on_error="capture").select("doc_id", "transcript", "error")
+
+    opts = {"pathGlobFilter": "documents.parquet"}
+    for run in ("first", "again"):
+        run_incremental(spark, sf_dir, schema, sink, scratch_path(spark, f"stream_ckpt_{run}"), "doc_id",
+                        transcribe, source_options=opts)
+    return spark.read.parquet(sink)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_qwk(spark, sf_dir)
