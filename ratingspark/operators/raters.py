@@ -63,11 +63,14 @@ def featurize(model: PipelineModel, df: DataFrame, text_col: str = "text") -> Da
     return out.drop("_tokens", "_tf", "_tfidf", "_norm", "_centred")
 
 
-def fit_rater(train_feats: DataFrame, label_col: str, reg: float | None = None, max_iter: int = 100,
+def fit_rater(train_feats: DataFrame, label_col: str, reg: float | None = 0.0, max_iter: int = 100,
               parallelism: int = 4) -> PipelineModel:
     """One-vs-rest linear SVM on ``features``; labels re-indexed so missing classes do not fail.
 
-    ``reg=None`` uses ``1 / n``: the penalty of a C=1 SVM written as Spark's mean loss.
+    ``reg`` defaults to Spark's 0. ``reg=None`` uses ``1 / n``, the penalty of a C=1
+    SVM rewritten for Spark's mean-loss objective; with the non-smooth hinge loss
+    Spark's quasi-Newton solver can stop early at that setting (measured: a
+    constant prediction on separable rows), so it is not the default.
     """
     if reg is None:
         reg = 1.0 / max(1, train_feats.count())
