@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratingspark.functions.hashing import unit_hash
+from ratingspark.functions.hashing import salted_md5
 
 # Larger distribution tables are joined without a broadcast hint (AQE decides,
 # and splits skewed partitions).
@@ -33,9 +33,17 @@ def _as_list(cols) -> list[str]:
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the (small, already aggregated) table is within ``max_rows``."""
+    """Broadcast hint only when the (small, already aggregated) table is within ``max_rows``.
+
+    The table is cached before counting so the check and the join share one
+    computation; a table over the bound is released and joined as is.
+    """
+    df = df.cache()
     n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    if n <= max_rows:
+        return F.broadcast(df)
+    df.unpersist()
+    return df
 
 
 def label_shares(train: DataFrame, group_cols=("rubric",), label_col: str = "label") -> DataFrame:
@@ -65,34 +73,59 @@ def baseline_majority(train: DataFrame, test: DataFrame, group_cols=("rubric",),
 
 
 def _cumulative(train: DataFrame, g: list[str], label_col: str) -> DataFrame:
-    """Per group and label: integer bounds [lo, hi) of the label's share of n rows."""
+    """Per group and label: the draw interval ``[t_lo, t_hi)`` of 32-bit uniforms.
+
+    With ``lo, hi`` the label's cumulative count bounds out of ``tot`` rows, a draw
+    ``u`` picks the label when ``lo * 2^32 <= u * tot < hi * 2^32``, i.e. when
+    ``ceil(lo * 2^32 / tot) <= u < ceil(hi * 2^32 / tot)``. The thresholds are
+    exact integers computed once on this small table, so each draw needs two
+    BIGINT comparisons and no wide arithmetic.
+    """
     counts = train.where(F.col(label_col).isNotNull()).groupBy(*g, F.col(label_col).alias("_label")) \
         .agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*g).orderBy("_label") if g else Window.orderBy("_label")
+    w = Window.partitionBy(*g).orderBy("_label")
     run = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    tot = F.sum("_c").over(Window.partitionBy(*g) if g else Window.partitionBy())
-    return counts.select(*g, "_label", (run - F.col("_c")).alias("_lo"), run.alias("_hi"), tot.alias("_tot"))
+    tot = F.sum("_c").over(Window.partitionBy(*g))
+    bounds = counts.select(*g, "_label", (run - F.col("_c")).alias("_lo"), run.alias("_hi"), tot.alias("_tot"))
+
+    big = "decimal(38,0)"
+    out = bounds
+    for c, t in (("_lo", "_tlo"), ("_hi", "_thi")):
+        num = F.col(c).cast(big) * F.lit(TWO32).cast(big) + F.col("_tot").cast(big) - F.lit(1).cast(big)
+        out = out.withColumn("_num", num).withColumn(
+            t, F.expr("CAST(`_num` div CAST(`_tot` AS DECIMAL(38,0)) AS BIGINT)"))
+    # As 8-digit hex text, so draws compare as text with md5 digits (no base conversion);
+    # 2^32 itself becomes "g", above every 8-digit hex string.
+    def hex8(c):
+        return F.when(F.col(c) >= F.lit(TWO32), F.lit("g")).otherwise(F.lpad(F.lower(F.hex(F.col(c))), 8, "0"))
+    return out.select(*g, "_label", hex8("_tlo").alias("_tlo"), hex8("_thi").alias("_thi"))
 
 
 def baseline_sampled(train: DataFrame, test: DataFrame, key: str, n_draws: int = 1000, seed: int | str = 42,
                      group_cols=("rubric",), label_col: str = "label", pred_col: str = "y_pred") -> DataFrame:
     """Mode of ``n_draws`` draws from the training label distribution per test row.
 
-    A draw ``u`` in [0, 2^32) picks the label whose bounds satisfy
-    ``lo * 2^32 <= u * n < hi * 2^32`` (exact integers). Draws are generated and
-    counted inside the task that holds the test row; the mode is a max over
-    (count, -label), an ordinary aggregate.
+    Each md5 digest of ``seed:key:group:block`` gives four 32-bit draws; a draw
+    picks the label whose interval holds it (see :func:`_cumulative`). Draws are made
+    and counted inside the task that holds the test row (the interval table is
+    broadcast after a size check); only per-(row, label) counts are shuffled.
+    The mode is a max over (count, -label): ties go to the smallest label.
     """
     g = _as_list(group_cols)
     if not g:
         train, test, g = train.withColumn("_all", F.lit(0)), test.withColumn("_all", F.lit(0)), ["_all"]
     cum = maybe_broadcast(_cumulative(train, g, label_col))
-    draws = test.select(key, *g).withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(int(n_draws)))))
-    draws = draws.withColumn("_u", unit_hash(str(seed), key, *g, "_i"))
-    big = "decimal(20,0)"
-    scaled = F.col("_u").cast(big) * F.col("_tot").cast(big)
-    picked = draws.join(cum, g).where((F.col("_lo").cast(big) * F.lit(TWO32).cast(big) <= scaled)
-                                      & (scaled < F.col("_hi").cast(big) * F.lit(TWO32).cast(big)))
+    # One md5 digest yields four 32-bit draws: draw 4*b + k (k = 0..3) is hex digits 8k+1..8k+8 of
+    # md5(seed:key:group:b).
+    n_blocks = (int(n_draws) + 3) // 4
+    blocks = test.select(key, *g).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    # The digest is a column of its own so the four slices below share one md5 call.
+    hashed = blocks.withColumn("_h", salted_md5(str(seed), key, *g, "_b"))
+    h = F.col("_h")
+    draws = hashed.select(key, *g, "_b", F.posexplode(F.array(*[F.substring(h, 8 * k + 1, 8) for k in range(4)]))
+                          .alias("_k", "_x"))
+    draws = draws.where(F.col("_b") * 4 + F.col("_k") < F.lit(int(n_draws)))
+    picked = draws.join(cum, g).where((F.col("_tlo") <= F.col("_x")) & (F.col("_x") < F.col("_thi")))
     counts = picked.groupBy(key, *g, "_label").agg(F.count(F.lit(1)).alias("_k"))
     mode = counts.groupBy(key, *g).agg(F.max(F.struct("_k", (-F.col("_label")).alias("_nl"))).alias("_b"))
     pred = mode.select(key, *g, (-F.col("_b._nl")).cast("int").alias(pred_col))

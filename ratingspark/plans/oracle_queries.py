@@ -261,8 +261,9 @@ _CUM = (
     f"(SELECT rubric, y_true AS label, count(*) AS c FROM ({_TRAIN_ROWS}) WHERE y_true IS NOT NULL GROUP BY ALL)"
 )
 _DRAWS = (
-    f"SELECT t.doc_id, t.rubric, {O.unit_hash_sql('42', 't.doc_id', 't.rubric', 'r.i')} AS u "
-    f"FROM ({_TEST_ROWS}) t, range(1, 1001) r(i)"
+    "SELECT t.doc_id, t.rubric, CAST(('0x' || substr(md5('42:' || CAST(t.doc_id AS VARCHAR) || ':' || t.rubric || "
+    "':' || CAST(b.j AS VARCHAR)), 8 * k.k + 1, 8)) AS BIGINT) AS u "
+    f"FROM ({_TEST_ROWS}) t, range(0, 250) b(j), range(0, 4) k(k) WHERE b.j * 4 + k.k < 1000"
 )
 _PICK = (
     f"SELECT d.doc_id, d.rubric, c.label, count(*) AS k FROM ({_DRAWS}) d JOIN ({_CUM}) c ON c.rubric = d.rubric "
