@@ -32,19 +32,28 @@ def top_terms(terms: DataFrame, k: int = MAX_FEATURES) -> DataFrame:
     return freq.orderBy(F.col("n").desc(), F.col("term").asc()).limit(k)
 
 
-def fit_tfidf(terms: DataFrame, key: str, n_docs: int, k: int = MAX_FEATURES) -> DataFrame:
+def fit_tfidf(terms: DataFrame, key: str, n_docs: int, k: int = MAX_FEATURES,
+              fit_col: str | None = None) -> DataFrame:
     """Fitted model ``idx, term, idf`` (at most ``k`` rows) from the fitting set's term counts.
 
+    Corpus frequency (for the vocabulary) and document frequency (for idf) come
+    from one aggregate per term. With ``fit_col`` (a boolean column of ``terms``)
+    only flagged rows count, and ``terms`` can be the same table that is later
+    transformed, so both uses share one tokenisation and one exchange.
     ``n_docs`` counts every fitting document, also those without any token.
     ``idx`` is the 0-based column of the term: vocabulary order (frequency desc, term).
     """
-    vocab = top_terms(terms, k)
+    if fit_col:
+        fit = F.col(fit_col)
+        stats = terms.groupBy("term").agg(F.sum(F.when(fit, F.col("tf"))).alias("n"),
+                                          F.count_if(fit).alias("df")).where(F.col("df") > 0)
+    else:
+        stats = terms.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
+    vocab = stats.orderBy(F.col("n").desc(), F.col("term").asc()).limit(k)
+    # ``vocab`` has at most ``k`` rows: one ordered window over it is cheap.
     w = Window.orderBy(F.col("n").desc(), F.col("term").asc())
-    vocab = vocab.select("term", (F.row_number().over(w) - 1).cast("int").alias("idx"))
-    dfreq = terms.join(F.broadcast(vocab.select("term")), "term").groupBy("term") \
-        .agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(1.0) + F.lit(float(n_docs))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    return vocab.join(dfreq, "term").select("idx", "term", idf.alias("idf"))
+    return vocab.select((F.row_number().over(w) - 1).cast("int").alias("idx"), "term", idf.alias("idf"))
 
 
 def transform_tfidf(terms: DataFrame, model: DataFrame, key: str) -> DataFrame:

@@ -306,9 +306,9 @@ def q_response_span(spark, sf_dir):
 SEQ_LEN = 512
 
 
-def token_ids(text_col: str = "text"):
+def token_ids(toks):
     """Stand-in subword ids: each word token hashed to 1..65536 (0 is the pad id)."""
-    return F.transform(tx.tokens(text_col), lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") + 1)
+    return F.transform(toks, lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") + 1)
 
 
 @register("tokenize")
@@ -320,8 +320,10 @@ def q_tokenize(spark, sf_dir):
 
 @register("pad_truncate")
 def q_pad_truncate(spark, sf_dir):
-    d = fx.read(spark, sf_dir, "documents").select("doc_id", token_ids().alias("ids"))
-    return d.select("doc_id", F.size("ids").alias("n_tokens"),
+    # Ids are only needed for the first SEQ_LEN tokens; the count is of all of them.
+    d = fx.read(spark, sf_dir, "documents").select("doc_id", tx.tokens("text").alias("_t"))
+    d = d.select("doc_id", F.size("_t").alias("n_tokens"), token_ids(F.slice("_t", 1, SEQ_LEN)).alias("ids"))
+    return d.select("doc_id", "n_tokens",
                     AR.join_ints(AR.pad_truncate("ids", SEQ_LEN)).alias("input_ids"),
                     AR.join_ints(AR.attention_mask("ids", SEQ_LEN)).alias("attention_mask"))
 
@@ -527,11 +529,10 @@ def q_top_terms(spark, sf_dir):
 @register("tfidf")
 def q_tfidf(spark, sf_dir):
     docs = _doc_split(spark, sf_dir)
-    terms = FE.doc_terms(docs, "doc_id").join(docs.select("doc_id", "split"), "doc_id")
-    train_terms = terms.where("split = 'train'")
+    terms = FE.doc_terms(docs, "doc_id").withColumn("_fit", SPL.holdout_side("doc_id", 0.2, SEED) == "train")
     n_train = docs.where("split = 'train'").count()
-    model = FE.fit_tfidf(train_terms, "doc_id", n_train, FE.MAX_FEATURES)
-    out = FE.transform_tfidf(terms, model, "doc_id")
+    model = FE.fit_tfidf(terms, "doc_id", n_train, FE.MAX_FEATURES, fit_col="_fit")
+    out = FE.transform_tfidf(terms.drop("_fit"), model, "doc_id")
     return out.select("doc_id", "idx", "term", F.round("weight", DIGITS).alias("weight"))
 
 
