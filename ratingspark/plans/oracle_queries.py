@@ -386,3 +386,12 @@ SQL["enrich_capture"] = (
 )
 
 SQL["stream_resume"] = SQL["enrich_capture"]
+
+_TEST_LONG = (f"SELECT doc_id, regexp_replace(rationale_type, '_score$', '') AS rubric, transcript, "
+              f"{O.extract_score_sql('rationale')} AS y_true FROM ({O.long_sql(keep=('doc_id', 'transcript'))}) "
+              f"WHERE {O.below_sql('42', 'doc_id', 0.2)}")
+_AGREE = (
+    "SELECT p.doc_id, p.rubric, t.y_true, 1 + length(p.user_prompt) % 5 AS y_pred "
+    f"FROM ({_prompted_sql(_TEST_LONG)}) p JOIN ({_TEST_LONG}) t USING (doc_id, rubric)"
+)
+SQL["judge_agreement"] = O.qwk_sql(_AGREE)

@@ -559,6 +559,20 @@ def q_judge_apply(spark, sf_dir):
     return EN.judged_wide(judged, "doc_id")
 
 
+@register("judge_agreement")
+def q_judge_agreement(spark, sf_dir):
+    """A second rater (the distilled model's role) re-rates the test split; its parsed
+    scores are compared with the first rater's by QWK per rubric."""
+    wide = SPL.split_holdout(fx.rated_wide(spark, sf_dir), "doc_id", 0.2, SEED).where("split = 'test'")
+    long = R.unpivot_ratings(wide, keep=("doc_id", "transcript")).select(
+        "doc_id", R.rubric_of().alias("rubric"), "transcript", tx.extract_score("rationale").alias("y_true"))
+    judged = EN.judge_apply(PR.resolve_prompts(long, PR.rubric_table(spark)), EN.length_scorer_factory,
+                            ("doc_id",))
+    pairs = long.select("doc_id", "rubric", "y_true").join(
+        judged.select("doc_id", "rubric", F.col("score").alias("y_pred")), ["doc_id", "rubric"])
+    return M.qwk(pairs, ("rubric",)).select("rubric", "n", F.round("qwk", DIGITS).alias("qwk"))
+
+
 @register("enrich_capture")
 def q_enrich_capture(spark, sf_dir):
     d = fx.read(spark, sf_dir, "documents").select("doc_id", "text")
