@@ -84,9 +84,10 @@ def q_confusion(spark, sf_dir):
 
 @register("qwk")
 def q_qwk(spark, sf_dir):
-    p = parsed_long(spark, sf_dir)
-    obs = M.qwk(p, ("rubric",))
-    fixed = M.qwk(p, ("rubric",), label_space="fixed").select("rubric", F.col("qwk").alias("qwk_fixed"))
+    # One confusion table feeds both label spaces (its exchange is planned once and reused).
+    cm = M.confusion(parsed_long(spark, sf_dir), ("rubric",))
+    obs = M.qwk_from_confusion(cm, ("rubric",))
+    fixed = M.qwk_from_confusion(cm, ("rubric",), label_space="fixed").select("rubric", F.col("qwk").alias("qwk_fixed"))
     return obs.join(fixed, "rubric").select(
         "rubric", "n", F.round("qwk", DIGITS).alias("qwk"), F.round("qwk_fixed", DIGITS).alias("qwk_fixed"))
 
