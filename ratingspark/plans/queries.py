@@ -26,7 +26,7 @@ from ratingspark.operators import prompts as PR
 from ratingspark.operators import raters as RT
 from ratingspark.operators import report as RP
 from ratingspark.operators import reshape as R
-from ratingspark.session import scratch_path
+from ratingspark.session import cut_lineage, scratch_path
 from ratingspark.sources import files as IO
 
 DIGITS = 6
@@ -472,17 +472,25 @@ def q_best_run(spark, sf_dir):
     return b.select("run", "epoch", F.round("qwk", DIGITS).alias("qwk"))
 
 
-def _test_macro(df, model):
-    per = M.qwk(df.where(F.col("y_pred").isNotNull()), ("rubric",))
-    return M.qwk_macro(per).select(F.lit(model).alias("model"), F.col("qwk_macro").alias("qwk"))
-
-
 @register("model_compare")
 def q_model_compare(spark, sf_dir):
-    p = _parsed_split(spark, sf_dir).where("split = 'test'")
-    models = (_test_macro(p.select("doc_id", "rubric", "y_true", "y_pred"), "second_rater")
-              .unionByName(_test_macro(_majority(spark, sf_dir), "majority"))
-              .unionByName(_test_macro(_sampled(spark, sf_dir), "sampled")))
+    """Second rater, majority and sampled baselines on the test split, compared by macro QWK.
+
+    The parsed, split table is written once (a reliable checkpoint) and read by all
+    three raters; their predictions are stacked and scored by one QWK aggregate
+    grouped by (model, rubric).
+    """
+    p = cut_lineage(_parsed_split(spark, sf_dir))
+    train = p.where("split = 'train'")
+    test = p.where("split = 'test'").select("doc_id", "rubric", "y_true")
+    preds = (p.where("split = 'test'").select(F.lit("second_rater").alias("model"), "doc_id", "rubric", "y_true",
+                                             "y_pred")
+             .unionByName(BL.baseline_majority(train, test, ("rubric",), "y_true", "y_pred")
+                          .select(F.lit("majority").alias("model"), "doc_id", "rubric", "y_true", "y_pred"))
+             .unionByName(BL.baseline_sampled(train, test, "doc_id", N_DRAWS, SEED, ("rubric",), "y_true", "y_pred")
+                          .select(F.lit("sampled").alias("model"), "doc_id", "rubric", "y_true", "y_pred")))
+    per = M.qwk(preds.where(F.col("y_pred").isNotNull()), ("model", "rubric"))
+    models = M.qwk_macro(per, by=("model",)).select("model", F.col("qwk_macro").alias("qwk"))
     out = M.model_compare(models, "model", "qwk")
     return out.select("model", F.round("qwk", DIGITS).alias("qwk"), F.round("gain", DIGITS).alias("gain"))
 
