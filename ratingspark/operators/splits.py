@@ -98,3 +98,30 @@ def kfold_exact(df: DataFrame, key: str, k: int = 5, seed: int | str = 42, fold_
     big = rem * (q + 1)
     fold = F.when(r < big, F.floor(r / (q + 1))).otherwise(rem + F.floor((r - big) / F.greatest(q, F.lit(1))))
     return ranked.withColumn(fold_col, fold.cast("int")).drop(h, "_r", "_total")
+
+
+def _ceil_share(share: float, n):
+    return F.ceil(F.lit(float(share)) * n.cast("double"))
+
+
+def split_holdout_exact(df: DataFrame, key: str, test_share: float = 0.2, seed: int | str = 42,
+                        side_col: str = "split", num_partitions: int | None = None) -> DataFrame:
+    """Holdout with exact sizes: ``ceil(test_share * n)`` test rows, the first in (salted hash, key) order."""
+    h = "_sp_h"
+    ranked = global_rank(df.withColumn(h, salted_md5(str(seed), key)), [h, key], "_r", num_partitions, "_n")
+    side = F.when(F.col("_r") < _ceil_share(test_share, F.col("_n")), F.lit("test")).otherwise(F.lit("train"))
+    return ranked.withColumn(side_col, side).drop(h, "_r", "_n")
+
+
+def split_three_way_exact(df: DataFrame, key: str, held_share: float = 0.3, test_of_held: float = 0.5,
+                          seed: int | str = 42, side_col: str = "split",
+                          num_partitions: int | None = None) -> DataFrame:
+    """Two nested exact splits: ``ceil(held_share * n)`` rows are held out, and ``ceil(test_of_held * held)``
+    of those are test, the rest validation (70/15/15 by default)."""
+    h = "_sp_h"
+    ranked = global_rank(df.withColumn(h, salted_md5(str(seed), key)), [h, key], "_r", num_partitions, "_n")
+    held = _ceil_share(held_share, F.col("_n"))
+    n_test = F.ceil(F.lit(float(test_of_held)) * held.cast("double"))
+    r = F.col("_r")
+    side = F.when(r < n_test, F.lit("test")).when(r < held, F.lit("val")).otherwise(F.lit("train"))
+    return ranked.withColumn(side_col, side).drop(h, "_r", "_n")

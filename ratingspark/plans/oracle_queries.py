@@ -395,3 +395,10 @@ _AGREE = (
     f"FROM ({_prompted_sql(_TEST_LONG)}) p JOIN ({_TEST_LONG}) t USING (doc_id, rubric)"
 )
 SQL["judge_agreement"] = O.qwk_sql(_AGREE)
+
+SQL["split_three_way_exact"] = (
+    "SELECT doc_id, CASE WHEN r < ceil(CAST(0.5 AS DOUBLE) * ceil(CAST(0.3 AS DOUBLE) * n)) THEN 'test' "
+    "WHEN r < ceil(CAST(0.3 AS DOUBLE) * n) THEN 'val' ELSE 'train' END AS split FROM ("
+    "SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS r, "
+    "count(*) OVER () AS n FROM documents)"
+)

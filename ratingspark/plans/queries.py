@@ -371,6 +371,11 @@ def q_split_three_way(spark, sf_dir):
     return SPL.split_three_way(fx.read(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.15, 0.15, SEED)
 
 
+@register("split_three_way_exact")
+def q_split_three_way_exact(spark, sf_dir):
+    return SPL.split_three_way_exact(fx.read(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.3, 0.5, SEED)
+
+
 def _long_keys(spark, sf_dir):
     long = R.unpivot_ratings(fx.rated_wide(spark, sf_dir), keep=("doc_id",))
     return long.select("doc_id", R.rubric_of().alias("rubric"))

@@ -38,3 +38,15 @@ def test_grouped_split_has_no_leak(spark):
     assert by_doc.n_leaked == 0 and by_doc.n_groups == 300
     rows = S.split_holdout(df.withColumn("row", F.concat_ws(":", "doc", "r")), "row")
     assert S.leak_count(rows, "doc").first().n_leaked > 0
+
+
+def test_exact_splits_have_library_sizes(spark):
+    import math
+    for n in (7, 10, 1001):
+        df = spark.range(n).withColumnRenamed("id", "k")
+        c = {r.split: r["count"] for r in S.split_three_way_exact(df, "k").groupBy("split").count().collect()}
+        held = math.ceil(0.3 * n)
+        assert c.get("test", 0) == math.ceil(0.5 * held) and c.get("val", 0) == held - math.ceil(0.5 * held)
+        assert sum(c.values()) == n
+        h = {r.split: r["count"] for r in S.split_holdout_exact(df, "k", 0.2).groupBy("split").count().collect()}
+        assert h["test"] == math.ceil(0.2 * n)
