@@ -28,6 +28,7 @@ from ratingspark.functions.text import tokens
 from ratingspark.operators import features as FE
 from ratingspark.operators import metrics as M
 from ratingspark.schemas import RUBRICS
+from ratingspark.session import cut_lineage
 
 PCA_K = 100
 
@@ -96,8 +97,10 @@ def fit_predict(train: DataFrame, test: DataFrame, key: str, rubrics=RUBRICS, te
                 label_fmt: str = "{}_score", **rater_kw) -> DataFrame:
     """Long predictions ``key, rubric, y_true, y_pred`` for ``test``; features fitted on ``train`` only."""
     fm = fit_features(train, key, text_col)
-    tr = featurize(fm, train, text_col).cache()
-    te = featurize(fm, test, text_col).cache()
+    # Written once to the shared checkpoint folder: every rubric's solver iterates over
+    # these rows, and a lost executor re-reads them instead of re-running the featurisation.
+    tr = cut_lineage(featurize(fm, train, text_col))
+    te = cut_lineage(featurize(fm, test, text_col))
 
     def one(r):
         lab = label_fmt.format(r)
@@ -120,10 +123,16 @@ def cross_validate(train: DataFrame, key: str, fold_col: str = "fold", rubrics=R
     (per-rubric mean QWK, macro) as :func:`metrics.qwk_cv`. The fold loop is over model
     fits (k of them), never over data rows."""
     folds = [r[0] for r in train.select(fold_col).distinct().orderBy(fold_col).collect()]
-    preds = None
-    for f in folds:
+
+    def one(f):
         fit_on = train.where(F.col(fold_col) != f)
         held = train.where(F.col(fold_col) == f)
-        p = fit_predict(fit_on, held, key, rubrics, text_col, label_fmt, **rater_kw).withColumn(fold_col, F.lit(f))
-        preds = p if preds is None else preds.unionByName(p)
+        return fit_predict(fit_on, held, key, rubrics, text_col, label_fmt, **rater_kw).withColumn(fold_col, F.lit(f))
+
+    # Folds are independent fits: submit them concurrently.
+    with ThreadPoolExecutor(max_workers=len(folds)) as pool:
+        parts = list(pool.map(one, folds))
+    preds = parts[0]
+    for p in parts[1:]:
+        preds = preds.unionByName(p)
     return M.qwk_cv(preds, fold_col, "rubric")

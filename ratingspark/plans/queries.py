@@ -614,5 +614,15 @@ def q_stream_resume(spark, sf_dir):
     return spark.read.parquet(sink)
 
 
+@register("svm_cv")
+def q_svm_cv(spark, sf_dir):
+    """5-fold cross-validation on the train split: features and raters refitted inside each fold."""
+    wide = SPL.split_holdout(_parsed_wide(spark, sf_dir).join(
+        fx.read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id", 0.2, SEED)
+    train = SPL.kfold_hash(wide.where("split = 'train'"), "doc_id", 5, SEED)
+    per_rubric, _ = RT.cross_validate(train, "doc_id", "fold")
+    return per_rubric.select("rubric", "n_folds", F.round("qwk_mean", DIGITS).alias("qwk_mean"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_qwk(spark, sf_dir)

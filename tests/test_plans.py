@@ -4,7 +4,7 @@ import pytest
 from __spark_entry__ import queries
 
 QUERIES = queries()
-SKIP = {"svm_test", "stream_resume"}
+SKIP = {"svm_test", "svm_cv", "stream_resume"}
 
 
 def _plan(df) -> str:

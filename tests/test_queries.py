@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
-SLOW = {"svm_test"}
+SLOW = {"svm_test", "svm_cv"}
 
 
 def _load():
