@@ -52,11 +52,14 @@ def new_rows(batch: DataFrame, sink: str, key: str, retry_errors: bool = False,
 def run_incremental(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str,
                     key: str, transform: Callable[[DataFrame], DataFrame], fmt: str = "parquet",
                     source_options: dict | None = None, max_files_per_trigger: int | None = None,
-                    fail_after_append: bool = False) -> int:
+                    fail_after_append: bool = False, retry_errors: bool = False,
+                    error_col: str = "error") -> int:
     """Process every file now in ``source`` once; returns the number of micro-batches run.
 
     ``transform(new_rows) -> rows to append`` is the enrichment (e.g. a model call).
     ``fail_after_append`` simulates a crash right after the sink append (tests).
+    With ``retry_errors``, keys whose sink rows all carry an ``error_col`` value are
+    processed again (by default a failed row counts as done).
     """
     reader = spark.readStream.schema(schema).format(fmt).options(**(source_options or {}))
     if max_files_per_trigger:
@@ -68,7 +71,7 @@ def run_incremental(spark: SparkSession, source: str, schema: T.StructType, sink
         count["n"] += 1
         batch.persist()
         try:
-            fresh = new_rows(batch, sink, key)
+            fresh = new_rows(batch, sink, key, retry_errors, error_col)
             transform(fresh).write.mode("append").parquet(sink)
         finally:
             batch.unpersist()

@@ -40,3 +40,19 @@ def test_crash_after_append_then_restart(spark):
     run_incremental(spark, src, schema, sink, ck, "doc_id", _transcribe)
     out = spark.read.parquet(sink)
     assert out.count() == 60 and out.select("doc_id").distinct().count() == 60
+
+
+def test_retry_errors_reprocesses_failed_keys(spark):
+    src, sink = scratch_path(spark, "src"), scratch_path(spark, "sink")
+    _source(spark, 0, 40, src)
+    schema = spark.read.parquet(src).schema
+    run_incremental(spark, src, schema, sink, scratch_path(spark, "ck"), "doc_id", _transcribe)
+    failed = spark.read.parquet(sink).where("error IS NOT NULL").count()
+    assert failed == 3  # keys 0, 17, 34
+
+    def fixed(rows):
+        return rows.selectExpr("doc_id", "concat('ok ', text) AS transcript", "CAST(NULL AS STRING) AS error")
+
+    run_incremental(spark, src, schema, sink, scratch_path(spark, "ck2"), "doc_id", fixed, retry_errors=True)
+    out = spark.read.parquet(sink)
+    assert out.count() == 43 and out.where("error IS NULL").select("doc_id").distinct().count() == 40
