@@ -40,7 +40,8 @@ def query_grid(spark: SparkSession, prefix: str = QUERY_PREFIX, suffix: str = QU
         .alias("batch"))
     batches = short.unionByName(full)
     if extra:
-        batches = batches.unionByName(spark.createDataFrame([(b,) for b in extra], "batch string"))
+        batches = batches.unionByName(spark.range(1).select(F.explode(F.array(*[F.lit(b) for b in extra]))
+                                                            .alias("batch")))
     batches = batches.distinct().coalesce(1)
     w = Window.orderBy("batch")
     return batches.select((F.row_number().over(w) - 1).cast("int").alias("qid"), "batch",

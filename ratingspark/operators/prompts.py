@@ -28,7 +28,11 @@ def default_rubric_rows(rubrics=RUBRICS) -> list[tuple[str, str, str]]:
 
 def rubric_table(spark: SparkSession, rows=None) -> DataFrame:
     """``rubric, system_prompt, user_prefix``: one row per rubric (small, parameter-sized)."""
-    return spark.createDataFrame(rows or default_rubric_rows(), RUBRIC_TABLE)
+    rows = rows or default_rubric_rows()
+    names = [f.name for f in RUBRIC_TABLE.fields]
+    structs = [F.struct(*[F.lit(v).cast("string").alias(n) for v, n in zip(r, names)]) for r in rows]
+    # Built from literals in the JVM: no Python-side data conversion.
+    return spark.range(1).select(F.inline(F.array(*structs)))
 
 
 def resolve_prompts(requests: DataFrame, rubrics: DataFrame, rubric_col: str = "rubric",
