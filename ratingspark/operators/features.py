@@ -22,7 +22,9 @@ MAX_FEATURES = 500
 
 def doc_terms(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``key, term, tf``: count of each token in each document."""
-    toks = df.select(key, F.explode(tokens(text_col)).alias("term"))
+    # Tokens are never NULL; saying so keeps this subtree identical wherever a join
+    # would infer the filter, so a fit and a transform over it share one exchange.
+    toks = df.select(key, F.explode(tokens(text_col)).alias("term")).where(F.col("term").isNotNull())
     return toks.groupBy(key, "term").agg(F.count(F.lit(1)).cast("bigint").alias("tf"))
 
 
