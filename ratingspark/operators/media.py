@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ratingspark.operators.baseline import maybe_broadcast
+
 
 def id_lengths(ids: DataFrame, id_col: str = "id") -> list[int]:
     """Distinct id lengths: a tiny set (at most the longest id's length)."""
@@ -43,5 +45,8 @@ def match_media(ids: DataFrame, names: DataFrame, id_col: str = "id", name_col:
     lengths = id_lengths(ids, id_col)
     subs = name_substrings(names.select(name_col).distinct(), lengths, name_col)
     keyed = ids.select(F.col(id_col).cast("string").alias("_id")).distinct()
-    joined = keyed.join(subs, keyed["_id"] == subs["sub"])
+    # Ids are broadcast when their count is within the checked bound: the join then runs
+    # map-side, and an id contained in a large share of names never forms a hot partition.
+    keyed = maybe_broadcast(keyed)
+    joined = subs.join(keyed, subs["sub"] == keyed["_id"])
     return joined.groupBy(F.col("_id").alias(id_col)).agg(F.min(name_col).alias(name_col))
