@@ -1,9 +1,9 @@
 """Plan shape checks: the properties that matter at scale, read from the physical plans."""
 import pytest
 
-from __spark_entry__ import queries
+from ratingspark.plans.queries import REGISTRY
 
-QUERIES = queries()
+QUERIES = dict(REGISTRY)
 SKIP = {"svm_test", "svm_cv", "stream_resume"}
 
 

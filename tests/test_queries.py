@@ -10,8 +10,9 @@ SLOW = {"svm_test", "svm_cv"}
 
 
 def _load():
-    from __spark_entry__ import oracle_sql, queries
-    return queries(), oracle_sql()
+    from ratingspark.plans.oracle_queries import SQL
+    from ratingspark.plans.queries import REGISTRY
+    return dict(REGISTRY), dict(SQL)
 
 
 QUERIES, SQLS = _load()
