@@ -35,3 +35,10 @@ def ascii_lower(text: Column) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often ``body`` mentions it."""
     return F.transform(F.array(value), body)[0]
+
+
+def one_row_each(df: DataFrame, *keys: Column) -> DataFrame:
+    """(keys..., row): one row of ``df``, as a struct, for each value of the named key expressions; of several, the one
+    with the least hash of its columns (maps, which have no hash, left out). Combined before the shuffle."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return df.groupBy(*keys).agg(F.min_by(F.struct("*"), F.xxhash64(*plain)).alias("row"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratingspark.llm.common import ascii_lower
+from ratingspark.llm.common import ascii_lower, one_row_each
 
 
 def normalised(text: Column) -> Column:
@@ -48,16 +48,13 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str =
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "min") -> DataFrame:
     """``docs`` with one row per text, the one with the smallest (or largest) id; all columns kept.
 
-    Rows that repeat the kept id with the same text are copies too: the smallest by the remaining columns stays.
+    Rows that repeat both id and text are one row first. Texts are shuffled by id and hash, so no group of copies
+    meets in one task.
     """
-    others = [F.col(f"`{c}`").cast("string") for c in docs.columns if c not in (key, text)]
-    rank = F.xxhash64(*others) if others else F.lit(0)
     content = normalised(F.col(text))
-    tagged = docs.select("*", F.unhex(F.md5(content)).alias("_hash"), F.sha2(content, 256).alias("_sha"),
-                         rank.alias("_rank"))
-    dup = groups(docs, key, text, keep).select(F.col("content_hash").alias("_hash"), F.col("text_sha256").alias("_sha"),
-                                               F.col("keep_id").alias("_keep"), F.lit(True).alias("_dup"))
-    found = tagged.join(dup, ["_hash", "_sha"], "left").filter(
-        F.col("_dup").isNull() | F.col("_keep").eqNullSafe(F.col(key)))
-    # Of a group only rows with the kept id are left; dropDuplicates settles repeats of that very id.
-    return found.dropDuplicates(["_hash", "_sha"]).drop("_hash", "_sha", "_keep", "_dup", "_rank")
+    names = [F.col(key).alias("id"), F.unhex(F.md5(content)).alias("content_hash"), F.sha2(content, 256).alias("text_sha256")]
+    once = one_row_each(docs, *names)
+    dropped = assign(docs, key, text, keep).filter(~F.col("kept")).select(
+        F.col(key).alias("id"), F.col("text_sha256")).distinct()
+    return once.join(dropped, once["id"].eqNullSafe(dropped["id"]) & (once["text_sha256"] == dropped["text_sha256"]),
+                     "left_anti").select("row.*")

@@ -101,22 +101,21 @@ def targets(planned: DataFrame, max_epochs: int = 3) -> DataFrame:
             .drop("level", "capped", "turn", "final"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 11,
-        weights: Sequence[float] = (1, 2, 3), curves=CURVES, max_epochs: int = 3, whole: bool = False) -> DataFrame:
-    """One row per row of ``docs``, sorted by training position: id, ``size``, ``source``, ``source_size``,
-    ``target``, ``taken`` (words, repeats counted), ``passes`` (times it is seen) and ``positions``, one per pass.
-
-    A source's documents, in hash order, are passed over again and again until its target is reached; the last
-    one is cut there, or with ``whole`` seen whole if at least half of it lies before the target.
-    """
+def _rows(docs: DataFrame, key: str, text: str, source: str, seed: int, *more: Column) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    # A source's name with a mark before it, so that null (no mark) is a plain value to group and join by.
-    sized = stored(docs.select(
+    # ``s`` is the source with a mark before it, so that null (no mark) is a plain value to group and join by.
+    return docs.select(
         F.col(key).alias("id"), F.col(source).alias("source"), word_count(t).alias("size"), order.alias("hash"),
-        F.xxhash64(t).alias("tie"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("s")), "mix-sizes")
-    sized = sized.withColumn("bucket", F.substring("hash", 1, BUCKET_DIGITS))
-    cells = sized.groupBy("s", "bucket").agg(F.sum("size").alias("cell_size"))
+        F.substring(order, 1, BUCKET_DIGITS).alias("bucket"), F.xxhash64(t).alias("tie"),
+        F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("s"), *more)
+
+
+def _place(rows: DataFrame, cells: DataFrame, weights, curves, max_epochs: int, whole: bool) -> DataFrame:
+    """``rows`` with their source's plan, ``passes`` (array of (n, words)) and ``positions``.
+
+    cells: (s, bucket, cell_size), the sizes of all rows; rows are shuffled once, by cell.
+    """
     sums = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.select("s", "bucket", F.coalesce(F.sum("cell_size").over(sums), F.lit(0)).alias("cell_before"))
     sources = cells.groupBy("s").agg(F.sum("cell_size").alias("source_size")).withColumn(
@@ -127,19 +126,51 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     plan = plan.withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
 
     inside = Window.partitionBy("s", "bucket").orderBy("hash", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (sized.withColumn("in_cell", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = (rows.withColumn("in_cell", F.coalesce(F.sum("size").over(inside), F.lit(0)))
               .join(offsets, ["s", "bucket"]).join(plan, "s")
               .withColumn("start", F.col("cell_before") + F.col("in_cell")))
     size, goal, total = F.col("size"), F.round("target").cast("long"), F.col("source_size")
-    begin = lambda n: F.col("start") + n * total
-    seen = lambda n: F.least(F.greatest(goal - begin(n), F.lit(0)), size)
-    if whole:
-        seen = lambda n: F.when(2 * begin(n) + size <= 2 * goal, size).otherwise(F.lit(0))
+
+    def begin(n: Column) -> Column:
+        return F.col("start") + n * total
+
+    def words(n: Column) -> Column:
+        if whole:
+            return F.when(2 * begin(n) + size <= 2 * goal, size).otherwise(F.lit(0))
+        return F.least(F.greatest(goal - begin(n), F.lit(0)), size)
+
     turns = F.sequence(F.lit(0), F.lit(max_epochs - 1))
-    passes = F.filter(F.transform(turns, lambda n: F.struct(n.alias("n"), seen(n).alias("words"))), lambda x: x["words"] > 0)
-    found = placed.withColumn("p", passes).withColumn("positions", F.transform(
-        "p", lambda x: invert(F.col("pieces"), begin(x["n"]) / F.col("target") * F.col("weight"))))
-    return found.select(
+    passes = F.filter(F.transform(turns, lambda n: F.struct(n.alias("n"), words(n).alias("words"))), lambda x: x["words"] > 0)
+    return placed.withColumn("passes", passes).withColumn("positions", F.transform(
+        "passes", lambda x: invert(F.col("pieces"), begin(x["n"]) / F.col("target") * F.col("weight"))))
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("s", "bucket").agg(F.sum("size").alias("cell_size"))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 11,
+        weights: Sequence[float] = (1, 2, 3), curves=CURVES, max_epochs: int = 3, whole: bool = False) -> DataFrame:
+    """One row per row of ``docs``, sorted by training position: id, ``size``, ``source``, ``source_size``,
+    ``target``, ``taken`` (words, repeats counted), ``passes`` (times it is seen) and ``positions``, one per pass.
+
+    A source's documents, in hash order, are passed over again and again until its target is reached; the last
+    one is cut there, or with ``whole`` seen whole if at least half of it lies before the target.
+    """
+    rows = stored(_rows(docs, key, text, source, seed), "mix-sizes")
+    placed = _place(rows, _cells(rows), weights, curves, max_epochs, whole)
+    return placed.select(
         F.col("id").alias(key), "size", "source", "source_size", "target",
-        F.aggregate("p", F.lit(0).cast("long"), lambda acc, x: acc + x["words"]).alias("taken"),
-        F.size("p").alias("passes"), "positions").orderBy(F.get("positions", 0), key)
+        F.aggregate("passes", F.lit(0).cast("long"), lambda acc, x: acc + x["words"]).alias("taken"),
+        F.size("passes").alias("passes"), "positions").orderBy(F.get("positions", 0), key)
+
+
+def ordered(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 11,
+            weights: Sequence[float] = (1, 2, 3), curves=CURVES, max_epochs: int = 3) -> DataFrame:
+    """The mix itself: whole documents in training order, a document once for each pass that it is seen in; all
+    columns kept. Documents outside their source's target, or without words, are not in it."""
+    cells = stored(_cells(_rows(docs, key, text, source, seed)), "mix-cells")
+    rows = _rows(docs, key, text, source, seed, F.struct("*").alias("row"))
+    placed = _place(rows, cells, weights, curves, max_epochs, whole=True)
+    seen = placed.select("row", "id", "tie", F.explode("positions").alias("position"))
+    return seen.orderBy("position", "id", "tie").select("row.*")

@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratingspark.llm import exact_dedup, mix, quality_rules, shards
+from ratingspark.llm import bpe, brown, compression, exact_dedup, mix, quality_rules, repeats, shards, simhash, urls
 from ratingspark.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary; only the driver reads the file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def query(fn):
     REGISTRY[fn.__name__] = fn
     return fn
@@ -26,6 +33,42 @@ def op1_mix(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken", F.get("positions", 0).alias("position"))
 
 
+@query
+def op2_simhash(spark, sf_dir):
+    """Components of documents whose fingerprints are at most 4 bits apart."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, bits=4)
+
+
+@query
+def op3_urls(spark, sf_dir):
+    """Every page's rule and verdict."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_repeats(spark, sf_dir):
+    """Every document without the bytes that strings of 400 bytes occurring more than once cover."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), 400, with_kept=False)
+
+
+@query
+def op5_brown(spark, sf_dir):
+    """Every document's log10 probability under the class model, beside that of add-half unigrams."""
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_compression(spark, sf_dir):
+    """Every document's quality score, learned from the labels outside the held-out fold."""
+    return compression.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_bpe(spark, sf_dir):
+    """Every document's tokens and the text that they decode to, as digests."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @query
 def op8_quality_rules(spark, sf_dir):
     """Counts and verdict of the threshold table for every document."""
@@ -85,11 +128,8 @@ SELECT doc_id, size, source_size, target, (a + b + c)::BIGINT AS taken,
        THEN least(1.0::DOUBLE, 2 * demand / (w0 + sqrt(greatest(w0 * w0 + 2 * (w1 - w0) * demand, 0)))) ELSE 0 END END AS position
 FROM taken"""
 
-SQL["op8_quality_rules"] = None
-SQL["op9_shards"] = None
 SQL["op10_exact_dedup"] = r"""
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
            FROM documents),
 h AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM h"""
-SQL = {k: v for k, v in SQL.items() if v}
