@@ -128,6 +128,27 @@ SELECT doc_id, size, source_size, target, (a + b + c)::BIGINT AS taken,
        THEN least(1.0::DOUBLE, 2 * demand / (w0 + sqrt(greatest(w0 * w0 + 2 * (w1 - w0) * demand, 0)))) ELSE 0 END END AS position
 FROM taken"""
 
+SQL["op8_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]'), lambda x: x <> '') AS words,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+win AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS g
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(8) AS r(k) GROUP BY doc_id),
+c AS (SELECT w.doc_id, len(words)::BIGINT AS n_words,
+             coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+             (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
+             len(lines)::BIGINT AS n_lines, len(list_intersect(words, [STOPS]))::BIGINT AS n_stop_words,
+             ((strlen(t) - strlen(replace(t, '!!', ''))) // 2)::BIGINT AS n_shouts
+      FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
+SELECT *, NOT base_failed AND n_words >= 20 AND word_chars BETWEEN 2 * n_words AND 12 * n_words
+          AND n_symbols <= 0.1::DOUBLE * n_words AND n_dup_lines <= 0.5::DOUBLE * n_lines
+          AND n_repeat_words <= 0.3::DOUBLE * n_words AND n_stop_words >= 2 AND n_shouts <= 0.3::DOUBLE * n_words AS kept
+FROM b""".replace("STOPS", ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS))
+
 SQL["op10_exact_dedup"] = r"""
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
            FROM documents),
