@@ -36,7 +36,7 @@ def derived_pred(rubric: str) -> Column:
 def derived_rationale(rubric: str, text: Column | None = None) -> Column:
     """A rationale whose marker exercises the parser: none, two, out of range, normal."""
     text = F.col("text") if text is None else text
-    quote = F.concat(F.lit("Quote: "), F.substring(text, 1, 40))
+    quote = F.concat(F.lit("Quote: "), text)
     s = derived_score(rubric).cast("string")
     p = derived_pred(rubric).cast("string")
     m = F.col("doc_id") % 10

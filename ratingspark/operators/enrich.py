@@ -125,11 +125,11 @@ def length_scorer_factory():
 
 
 def failing_transcriber_factory(fail_every: int = 17):
-    """Offline transcriber ``fn(key, text)``: ``"<n> chars: <first 50>"``; fails when
+    """Offline transcriber ``fn(key, text)``: ``"<n> chars: <text>"``; fails when
     ``key % fail_every == 0``."""
     def transcribe(key, text):
         if key is not None and int(key) % fail_every == 0:
             raise ValueError(f"cannot transcribe {int(key)}")
         text = text or ""
-        return f"{len(text)} chars: {text[:50]}"
+        return f"{len(text)} chars: {text}"
     return transcribe

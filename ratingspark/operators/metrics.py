@@ -32,15 +32,33 @@ def confusion(df: DataFrame, group_cols=("rubric",), y_true: str = "y_true", y_p
 
 
 def _positions(cm: DataFrame, g: list[str]) -> DataFrame:
-    """Replace label values by their 1-based rank among labels seen on either side."""
-    labels = (cm.select(*g, F.col("y_true").alias("label"))
-              .unionByName(cm.select(*g, F.col("y_pred").alias("label")))
-              .distinct())
-    w = Window.partitionBy(*g).orderBy("label") if g else Window.orderBy("label")
-    ranked = labels.withColumn("pos", F.dense_rank().over(w))
-    ra = ranked.select(*g, F.col("label").alias("y_true"), F.col("pos").alias("a"))
-    rb = ranked.select(*g, F.col("label").alias("y_pred"), F.col("pos").alias("b"))
-    return cm.join(ra, g + ["y_true"]).join(rb, g + ["y_pred"])
+    """Label values of a confusion table replaced by their 1-based rank among the labels seen on either side (``a``, ``b``).
+
+    Each row is taken apart into its two labels, ranked within its group, and put together again: no join, so
+    nothing upstream is read twice. The table has at most ``groups x labels^2`` rows.
+    """
+    sides = F.array(F.struct(F.lit("a").alias("side"), F.col("y_true").alias("label")),
+                    F.struct(F.lit("b").alias("side"), F.col("y_pred").alias("label")))
+    w = Window.partitionBy(*g).orderBy("_s.label")
+    ranked = cm.withColumn("_s", F.explode(sides)).withColumn("_pos", F.dense_rank().over(w))
+
+    def side(name):
+        return F.max(F.when(F.col("_s.side") == name, F.col("_pos"))).alias(name)
+
+    return ranked.groupBy(*g, "y_true", "y_pred", "n").agg(side("a"), side("b"))
+
+
+def _kappa(s: str):
+    """QWK from the integer sums with suffix ``s``: 1 - n * sum of squared distances / its expectation."""
+    num = (F.col("_n") * F.col(f"_d2{s}")).cast("double")
+    den = (F.col("_n") * F.col(f"_sq{s}") - F.lit(2).cast(_BIG) * F.col(f"_sa{s}") * F.col(f"_sb{s}")).cast("double")
+    return F.lit(1.0) - num / F.nullif(den, F.lit(0.0))
+
+
+def _sums(a: str, b: str, s: str) -> list:
+    n, a, b = F.col("n").cast("bigint"), F.col(a).cast("bigint"), F.col(b).cast("bigint")
+    terms = {"_d2": n * (a - b) * (a - b), "_sq": n * (a * a + b * b), "_sa": n * a, "_sb": n * b}
+    return [F.sum(x).cast(_BIG).alias(name + s) for name, x in terms.items()]
 
 
 def qwk_from_confusion(cm: DataFrame, group_cols=("rubric",), label_space: str = "observed") -> DataFrame:
@@ -48,35 +66,24 @@ def qwk_from_confusion(cm: DataFrame, group_cols=("rubric",), label_space: str =
 
     ``label_space='observed'`` weights by the position of a label among the labels
     seen on either side (parity with the common library definition);
-    ``'fixed'`` weights by the label values themselves.
+    ``'fixed'`` weights by the label values themselves; ``'both'`` returns the first as
+    ``qwk`` and the second as ``qwk_fixed``, from one aggregate.
     Both sides one constant: 0/0, returned as NULL.
     """
     g = _as_list(group_cols)
-    if label_space == "observed":
-        t = _positions(cm, g)
-    elif label_space == "fixed":
-        t = cm.withColumn("a", F.col("y_true")).withColumn("b", F.col("y_pred"))
-    else:
-        raise ValueError("label_space must be 'observed' or 'fixed'")
-    n = F.col("n").cast("bigint")
-    a = F.col("a").cast("bigint")
-    b = F.col("b").cast("bigint")
-    s = t.groupBy(*g).agg(
-        F.sum(n).cast(_BIG).alias("_n"),
-        F.sum(n * (a - b) * (a - b)).cast(_BIG).alias("_d2"),
-        F.sum(n * (a * a + b * b)).cast(_BIG).alias("_sq"),
-        F.sum(n * a).cast(_BIG).alias("_sa"),
-        F.sum(n * b).cast(_BIG).alias("_sb"),
-    )
-    num = (F.col("_n") * F.col("_d2")).cast("double")
-    den = (F.col("_n") * F.col("_sq") - F.lit(2).cast(_BIG) * F.col("_sa") * F.col("_sb")).cast("double")
-    return s.select(*g, F.col("_n").cast("bigint").alias("n"),
-                    (F.lit(1.0) - num / F.nullif(den, F.lit(0.0))).alias("qwk"))
+    sums = {"observed": [("a", "b", "", "qwk")], "fixed": [("y_true", "y_pred", "", "qwk")],
+            "both": [("a", "b", "", "qwk"), ("y_true", "y_pred", "f", "qwk_fixed")]}.get(label_space)
+    if sums is None:
+        raise ValueError("label_space must be 'observed', 'fixed' or 'both'")
+    t = cm if label_space == "fixed" else _positions(cm, g)
+    s = t.groupBy(*g).agg(F.sum(F.col("n").cast("bigint")).cast(_BIG).alias("_n"),
+                          *[x for a, b, suffix, _ in sums for x in _sums(a, b, suffix)])
+    return s.select(*g, F.col("_n").cast("bigint").alias("n"), *[_kappa(suffix).alias(name) for _, _, suffix, name in sums])
 
 
 def qwk(df: DataFrame, group_cols=("rubric",), y_true: str = "y_true", y_pred: str = "y_pred",
         label_space: str = "observed") -> DataFrame:
-    """Quadratic weighted kappa per group, one pass over the rows."""
+    """Quadratic weighted kappa per group; the rows are read once, for the confusion counts."""
     return qwk_from_confusion(confusion(df, group_cols, y_true, y_pred), group_cols, label_space)
 
 

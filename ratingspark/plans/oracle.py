@@ -24,7 +24,7 @@ def pred_sql(r: str) -> str:
 
 
 def rationale_sql(r: str, text: str = "text") -> str:
-    q = f"('Quote: ' || substr({text},1,40))"
+    q = f"('Quote: ' || {text})"
     s = f"CAST({score_sql(r)} AS VARCHAR)"
     p = f"CAST({pred_sql(r)} AS VARCHAR)"
     return (f"CASE doc_id % 10 WHEN 0 THEN {q} "

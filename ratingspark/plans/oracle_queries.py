@@ -194,7 +194,7 @@ SQL["pad_truncate"] = (
 )
 SQL["argmax_class"] = (
     "SELECT vec_id, label, CAST(p - 1 AS INTEGER) AS pred_class, CAST(p AS INTEGER) AS pred_score FROM "
-    "(SELECT vec_id, label, list_position(embedding[1:5], list_max(embedding[1:5])) AS p FROM embeddings)"
+    "(SELECT vec_id, label, list_position(embedding, list_max(embedding)) AS p FROM embeddings)"
 )
 
 
@@ -206,9 +206,9 @@ def _ce(arr: str, target: str) -> str:
 
 _LOSS_ROWS = (
     "SELECT vec_id % 4 AS grp, "
-    f"{_ce('embedding[1:5]', 'label % 5 + 1')} AS ce_a, "
-    f"{_ce('embedding[6:10]', 'CAST(floor(label / 2) + 1 AS BIGINT)')} AS ce_b, "
-    f"{_ce('embedding[11:15]', '(vec_id + label) % 5 + 1')} AS ce_c FROM embeddings"
+    f"{_ce('embedding[1:22]', 'label % 22 + 1')} AS ce_a, "
+    f"{_ce('embedding[23:43]', 'CAST(floor(label / 2) AS BIGINT) % 21 + 1')} AS ce_b, "
+    f"{_ce('embedding[44:64]', '(vec_id + label) % 21 + 1')} AS ce_c FROM embeddings"
 )
 SQL["multitask_loss"] = (
     "SELECT grp, count(*) AS n, round(avg(ce_a), 6) AS ce_a, round(avg(ce_b), 6) AS ce_b, "
@@ -282,8 +282,8 @@ _SECOND = (
                                                for i, r in enumerate(RUBRICS))
 )
 SQL["align_predictions"] = (
-    f"SELECT t.doc_id, t.rubric, t.y_true, s.y_pred FROM (SELECT doc_id, rubric, y_true FROM ({_PARSED_LONG}) "
-    f"WHERE doc_id IN (SELECT doc_id FROM labels)) t JOIN ({_SECOND}) s USING (doc_id, rubric)"
+    f"SELECT t.doc_id, t.rubric, t.y_true, s.y_pred FROM (SELECT doc_id, rubric, y_true FROM ({_PARSED_LONG})) t "
+    f" JOIN ({_SECOND}) s USING (doc_id, rubric)"
 )
 _FOLDS = ("SELECT doc_id, CAST(ntile(5) OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 "
           "AS INTEGER) AS fold FROM documents")
@@ -380,7 +380,7 @@ SQL["judge_apply"] = (
 )
 SQL["enrich_capture"] = (
     "SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'ERROR: cannot transcribe ' || CAST(doc_id AS VARCHAR) "
-    "ELSE CAST(length(coalesce(text, '')) AS VARCHAR) || ' chars: ' || substr(coalesce(text, ''), 1, 50) END "
+    "ELSE CAST(length(coalesce(text, '')) AS VARCHAR) || ' chars: ' || coalesce(text, '') END "
     "AS transcript, CASE WHEN doc_id % 17 = 0 THEN 'cannot transcribe ' || CAST(doc_id AS VARCHAR) END AS error "
     "FROM documents"
 )

@@ -84,12 +84,8 @@ def q_confusion(spark, sf_dir):
 
 @register("qwk")
 def q_qwk(spark, sf_dir):
-    # One confusion table feeds both label spaces (its exchange is planned once and reused).
-    cm = M.confusion(parsed_long(spark, sf_dir), ("rubric",))
-    obs = M.qwk_from_confusion(cm, ("rubric",))
-    fixed = M.qwk_from_confusion(cm, ("rubric",), label_space="fixed").select("rubric", F.col("qwk").alias("qwk_fixed"))
-    return obs.join(fixed, "rubric").select(
-        "rubric", "n", F.round("qwk", DIGITS).alias("qwk"), F.round("qwk_fixed", DIGITS).alias("qwk_fixed"))
+    both = M.qwk_from_confusion(M.confusion(parsed_long(spark, sf_dir), ("rubric",)), ("rubric",), "both")
+    return both.select("rubric", "n", F.round("qwk", DIGITS).alias("qwk"), F.round("qwk_fixed", DIGITS).alias("qwk_fixed"))
 
 
 @register("qwk_macro")
@@ -329,28 +325,25 @@ def q_pad_truncate(spark, sf_dir):
                     AR.join_ints(AR.attention_mask("ids", SEQ_LEN)).alias("attention_mask"))
 
 
-N_CLASSES = 5
-
-
 @register("argmax_class")
 def q_argmax_class(spark, sf_dir):
     e = fx.read(spark, sf_dir, "embeddings")
-    pos = AR.argmax_label(F.slice("embedding", 1, N_CLASSES))
+    pos = AR.argmax_label("embedding")
     return e.select("vec_id", "label", (pos - 1).alias("pred_class"), pos.alias("pred_score"))
 
 
-# Three heads over the embedding: classes 1-5, 6-10 and 11-15; targets derived from the label.
-LOSS_TASKS = (("a", 1, 1.0), ("b", 6, 0.5), ("c", 11, 2.0))
+# Three heads that together take the whole 64-element vector (first position, classes, weight); targets from the label.
+LOSS_TASKS = (("a", 1, 22, 1.0), ("b", 23, 21, 0.5), ("c", 44, 21, 2.0))
 
 
 @register("multitask_loss")
 def q_multitask_loss(spark, sf_dir):
     e = fx.read(spark, sf_dir, "embeddings").select(
-        "embedding", (F.col("label") % 5 + 1).alias("t_a"), (F.floor(F.col("label") / 2) + 1).alias("t_b"),
-        ((F.col("vec_id") + F.col("label")) % 5 + 1).alias("t_c"), (F.col("vec_id") % 4).alias("grp"))
-    for name, start, _ in LOSS_TASKS:
-        e = e.withColumn(f"s_{name}", F.slice("embedding", start, N_CLASSES))
-    tasks = [(name, f"s_{name}", f"t_{name}", w) for name, _, w in LOSS_TASKS]
+        "embedding", (F.col("label") % 22 + 1).alias("t_a"), (F.floor(F.col("label") / 2) % 21 + 1).alias("t_b"),
+        ((F.col("vec_id") + F.col("label")) % 21 + 1).alias("t_c"), (F.col("vec_id") % 4).alias("grp"))
+    for name, start, size, _ in LOSS_TASKS:
+        e = e.withColumn(f"s_{name}", F.slice("embedding", start, size))
+    tasks = [(name, f"s_{name}", f"t_{name}", w) for name, _, _, w in LOSS_TASKS]
     out = M.multitask_loss(e, tasks, group_cols=("grp",))
     return out.select("grp", "n", *[F.round(f"ce_{n}", DIGITS).alias(f"ce_{n}") for n, *_ in LOSS_TASKS],
                       F.round("loss", DIGITS).alias("loss"))
@@ -447,8 +440,7 @@ def q_baseline_sampled(spark, sf_dir):
 
 @register("align_predictions")
 def q_align_predictions(spark, sf_dir):
-    labelled = fx.read(spark, sf_dir, "labels").select("doc_id")
-    truth = parsed_long(spark, sf_dir).select("doc_id", "rubric", "y_true").join(labelled, "doc_id", "left_semi")
+    truth = parsed_long(spark, sf_dir).select("doc_id", "rubric", "y_true")
     preds = fx.second_rater(spark, sf_dir)
     return M.align_predictions(truth, preds, ("doc_id", "rubric"))
 
