@@ -69,14 +69,29 @@ def search_hits_from_pages(pages: DataFrame, grid: DataFrame, n_queries: int) ->
     return hits.join(F.broadcast(grid.select("qid", "query")), "qid")
 
 
+# Fixed value: the largest limit for which the planner puts a partial per-group limit before the exchange by default.
+PLANNED_LIMIT = 1000
+SPREAD = 64
+
+
 def top_n_per_group(df: DataFrame, group_cols, order_cols, n: int) -> DataFrame:
     """Keep the first ``n`` rows of each group by ``order_cols``.
 
-    ``row_number() <= n`` is planned with a partial window-group limit, so each map
-    task forwards at most ``n`` rows per group: a hot group never lands whole in one task.
+    Up to ``PLANNED_LIMIT`` each map task forwards at most ``n`` rows per group (a partial window-group limit). For a
+    larger ``n`` each group is first cut to ``n`` in each of ``SPREAD`` parts, by a hash of the order columns, so the
+    task that finishes a hot group sees at most ``SPREAD * n`` of its rows.
     """
-    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    groups, order = list(group_cols), list(order_cols)
+
+    def first(rows: DataFrame, keys: list) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+    if n > PLANNED_LIMIT:
+        names = [c for c in order if isinstance(c, str)]
+        part = F.pmod(F.xxhash64(*names), F.lit(SPREAD)) if names else F.pmod(F.spark_partition_id(), F.lit(SPREAD))
+        df = first(df.withColumn("_part", part), [*groups, "_part"]).drop("_part")
+    return first(df, groups)
 
 
 def title_filter(df: DataFrame, keyword: str, title_col: str = "title") -> DataFrame:
@@ -100,19 +115,27 @@ def dedup_links(df: DataFrame, link_col: str = "link", title_col: str = "title")
     return df.groupBy(link_col).agg(F.min(title_col).alias(title_col)).select(title_col, link_col)
 
 
+def first_by_key(df: DataFrame, key: str) -> DataFrame:
+    """One row per non-null or null key: the least by the remaining columns, so a re-run picks the same row."""
+    others = [c for c in df.columns if c != key]
+    if not others:
+        return df.distinct()
+    best = df.groupBy(key).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("_row"))
+    return best.select(*[F.col(key) if c == key else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
+
+
 def resume(df: DataFrame, done: DataFrame, key: str = "link", retry_errors: bool = False,
            done_text_col: str = "transcript") -> DataFrame:
-    """Rows of ``df`` whose key is not in ``done`` yet; repeats inside ``df`` run once.
+    """Rows of ``df`` whose key is not in ``done`` yet; of rows that repeat a key, the least one runs.
 
-    Failed rows count as done unless ``retry_errors``. The anti-join runs as a
-    broadcast or sort-merge join as AQE decides from the runtime sizes.
+    Failed rows count as done unless ``retry_errors``. The anti-join comes first, so finished rows are not
+    shuffled for the de-duplication; AQE decides from the runtime sizes how to join.
     """
-    todo = df.dropDuplicates([key])
     finished = done
     if retry_errors and done_text_col in done.columns:
         finished = finished.where(~tx.is_error(done_text_col))
     finished = finished.select(key).distinct()
-    return todo.join(finished, key, "left_anti")
+    return first_by_key(df.join(finished, key, "left_anti").select(*df.columns), key)
 
 
 def drop_errors(df: DataFrame, text_col: str = "transcript", enabled: bool = True) -> DataFrame:

@@ -1,26 +1,31 @@
 """Enrichment through a user-supplied model call (M1-M5).
 
 The model call (a judge that writes a rationale, a transcriber, a distilled
-rater) is the only Python on the data path. It runs inside ``mapInPandas``:
-Arrow batches in and out, the model built once per task by a user factory, and
-everything around it (prompt assembly, score parsing, reshaping, error
-filtering) stays in JVM column expressions.
+rater) is the only Python on the data path. It runs inside ``mapInArrow``: the
+columns that a row merely carries stay Arrow columns and come out bit for bit as
+they went in; only the model's inputs become Python values (NULL as ``None``,
+integers as ``int``). The model is built once per task by a user factory, and
+everything around it (score parsing, reshaping, error filtering) stays in JVM
+column expressions.
 
 Parallelism is the number of partitions of the request table; pass
 ``num_partitions`` to spread expensive calls evenly (a round-robin shuffle of
-the requests, which are small next to the model's work).
+the requests, which are small next to the model's work). ``batch_size`` bounds
+the rows handed to the model at once, ``args`` are extra arguments of the factory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratingspark.functions.text import ERROR_PREFIX, extract_score
+from ratingspark.operators.prompts import default_rubric_rows
 from ratingspark.operators.reshape import wide_from_long
 from ratingspark.schemas import RUBRICS
 
@@ -31,11 +36,18 @@ def _spread(df: DataFrame, num_partitions: int | None) -> DataFrame:
     return df.repartition(num_partitions) if num_partitions else df
 
 
-def enrich(df: DataFrame, fn_factory: Callable[[], Callable], input_cols, output_col: str,
-           on_error: str = "capture", num_partitions: int | None = None) -> DataFrame:
+def _pieces(batches: Iterator[pa.RecordBatch], size: int | None) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for start in range(0, b.num_rows, size or max(1, b.num_rows)):
+            yield b.slice(start, size) if size else b
+
+
+def enrich(df: DataFrame, fn_factory: Callable[..., Callable], input_cols, output_col: str,
+           on_error: str = "capture", num_partitions: int | None = None, batch_size: int | None = None,
+           args: Mapping | None = None) -> DataFrame:
     """Apply a per-item model call to ``input_cols``; adds ``output_col`` and ``error``.
 
-    ``fn_factory()`` is called once per task and returns ``fn(*values) -> str``
+    ``fn_factory(**args)`` is called once per task and returns ``fn(*values) -> str``
     (NULLs arrive as ``None``).
     On failure: ``capture`` keeps the row with ``output = "ERROR: <message>"``;
     ``empty`` keeps it with an empty output; ``raise`` fails the job. ``error``
@@ -48,14 +60,15 @@ def enrich(df: DataFrame, fn_factory: Callable[[], Callable], input_cols, output
                                     T.StructField("error", T.StringType())])
     names = [f.name for f in fields]
     inputs = [input_cols] if isinstance(input_cols, str) else list(input_cols)
+    extra = dict(args or {})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fn = fn_factory()
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = fn_factory(**extra)
+        for b in _pieces(batches, batch_size):
             outs, errs = [], []
-            for vals in zip(*[pdf[c] for c in inputs]):
+            for vals in zip(*[b.column(c).to_pylist() for c in inputs]):
                 try:
-                    outs.append(fn(*[None if _missing(v) else v for v in vals]))
+                    outs.append(fn(*vals))
                     errs.append(None)
                 except Exception as e:  # noqa: BLE001 - the policy decides
                     if on_error == "raise":
@@ -63,49 +76,70 @@ def enrich(df: DataFrame, fn_factory: Callable[[], Callable], input_cols, output
                     msg = str(e)
                     outs.append(ERROR_PREFIX + msg if on_error == "capture" else "")
                     errs.append(msg)
-            out = pdf[names].copy()
-            out[output_col] = outs
-            out["error"] = errs
-            yield out
-
-    return _spread(df, num_partitions).mapInPandas(run, schema)
-
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(outs, pa.string()),
+                                              pa.array(errs, pa.string())], [*names, output_col, "error"])
 
-def _missing(v) -> bool:
-    try:
-        return bool(pd.isna(v))
-    except (TypeError, ValueError):
-        return False
+    return _spread(df, num_partitions).mapInArrow(run, schema)
 
 
-def judge_apply(requests: DataFrame, scorer_factory: Callable[[], Callable[[pd.DataFrame], list]],
+def judge_apply(requests: DataFrame, scorer_factory: Callable[..., Callable[[pd.DataFrame], list]],
                 key_cols=("link",), rubric_col: str = "rubric", num_partitions: int | None = None,
-                strict: bool = False) -> DataFrame:
-    """One judging pass for all rubrics over long request rows.
+                strict: bool = False, batch_size: int | None = None, args: Mapping | None = None) -> DataFrame:
+    """One judging pass over long request rows, one row per (key, rubric).
 
     ``requests`` carries the key columns, ``rubric_col``, ``system_prompt`` and
-    ``user_prompt``. ``scorer_factory()`` (once per task) returns
+    ``user_prompt``. ``scorer_factory(**args)`` (once per task) returns
     ``score_batch(pdf) -> list[str]`` giving one rationale per request row.
     The score is parsed from the rationale in the JVM (first ``[[n]]``; default 3
     unless ``strict``). Returns ``keys..., rubric, rationale, score``.
+    For several rubrics of one text, :func:`judge_documents` sends the text once.
     """
-    keys = list(key_cols)
-    cols = keys + [rubric_col, "system_prompt", "user_prompt"]
-    src = requests.select(*cols)
-    schema = T.StructType([f for f in src.schema.fields if f.name in keys + [rubric_col]]
-                          + [T.StructField("rationale", T.StringType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score_batch = scorer_factory()
-        for pdf in batches:
-            out = pdf[keys + [rubric_col]].copy()
-            out["rationale"] = list(score_batch(pdf))
-            yield out
-
-    judged = _spread(src, num_partitions).mapInPandas(run, schema)
+    keep = list(key_cols) + [rubric_col]
+    src = requests.select(*keep, "system_prompt", "user_prompt")
+    schema = T.StructType([f for f in src.schema.fields if f.name in keep] + [T.StructField("rationale", T.StringType())])
+    extra = dict(args or {})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score_batch = scorer_factory(**extra)
+        for b in _pieces(batches, batch_size):
+            asked = pd.DataFrame({c: b.column(c).to_pylist() for c in (rubric_col, "system_prompt", "user_prompt")})
+            said = list(score_batch(asked.rename(columns={rubric_col: "rubric"})))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(said, pa.string())], [*keep, "rationale"])
+
+    judged = _spread(src, num_partitions).mapInArrow(run, schema)
     return judged.withColumn("score", extract_score("rationale", strict=strict))
 
 
+def judge_documents(docs: DataFrame, scorer_factory: Callable[..., Callable[[pd.DataFrame], list]], text_col: str = "transcript",
+                    keep=("doc_id",), rubric_rows=None, num_partitions: int | None = None, strict: bool = False,
+                    batch_size: int | None = None, args: Mapping | None = None) -> DataFrame:
+    """Every rubric of every document judged in one pass, one wide row per document.
+
+    A document's text goes to Python once; its prompts are put together there from ``rubric_rows`` (rubric, system
+    prompt, user prefix), and the wide row with ``<rubric>_score_rationale`` and the parsed ``<rubric>_score`` comes out of
+    the same map: nothing is shuffled. The scorer is as in :func:`judge_apply`; it gets a batch per rubric.
+    """
+    rows = [tuple(r) for r in (rubric_rows or default_rubric_rows())]
+    keep = list(keep)
+    src = docs.select(*keep, F.col(text_col).alias("_judged_text"))
+    schema = T.StructType([f for f in src.schema.fields if f.name in keep]
+                          + [T.StructField(f"{r}_score_rationale", T.StringType()) for r, _, _ in rows])
+    extra = dict(args or {})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score_batch = scorer_factory(**extra)
+        for b in _pieces(batches, batch_size):
+            texts = [t or "" for t in b.column("_judged_text").to_pylist()]
+            said = [pa.array(list(score_batch(pd.DataFrame({"rubric": r, "system_prompt": system,
+                                                            "user_prompt": [prefix + t for t in texts]}))), pa.string())
+                    for r, system, prefix in rows]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *said], schema.names)
+
+    judged = _spread(src, num_partitions).mapInArrow(run, schema)
+    return judged.select(*keep, *[c for r, _, _ in rows for c in (
+        extract_score(f"{r}_score_rationale", strict=strict).alias(f"{r}_score"), F.col(f"{r}_score_rationale"))])
+
+
 def judged_wide(judged: DataFrame, key: str, rubrics=RUBRICS, rubric_col: str = "rubric") -> DataFrame:
     """Long judgements -> one row per key with ``<rubric>_score`` and ``<rubric>_score_rationale``."""
     return wide_from_long(judged, key, rubrics, rubric_col, "score", "rationale")
@@ -124,6 +158,19 @@ def length_scorer_factory():
     return score_batch
 
 
+def word_scorer_factory(marker: str = "and", per: int = 10):
+    """A second offline judge, in the distilled rater's role: its score grows with the share of one word among all
+    (one point per ``per`` occurrences in a thousand words, 1 to 5)."""
+    def score_batch(pdf: pd.DataFrame) -> list[str]:
+        out = []
+        for user in pdf["user_prompt"]:
+            words = (user or "").split(" ")
+            share = 1000 * words.count(marker) // len(words)
+            out.append(f"{share} in a thousand words are '{marker}'. [[{1 + min(4, share // per)}]]")
+        return out
+    return score_batch
+
+
 def failing_transcriber_factory(fail_every: int = 17):
     """Offline transcriber ``fn(key, text)``: ``"<n> chars: <text>"``; fails when
     ``key % fail_every == 0``."""

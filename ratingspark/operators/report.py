@@ -16,7 +16,7 @@ from ratingspark.schemas import RUBRICS
 LEVELS = {5: "excellent", 4: "good", 3: "adequate", 2: "weak", 1: "poor"}
 PASS_TEXT = "Promising pitch"
 FAIL_TEXT = "Needs more work"
-# Verdict: mean of the rubric scores at or above 3.5, checked as 2 * sum >= 7 * n.
+# Fixed value: a mean of the rubric scores at or above 3.5 passes, checked as 2 * sum >= 7 * n.
 PASS_MEAN_TIMES_2 = 7
 
 
@@ -55,9 +55,11 @@ def explanation(wide: DataFrame, key: str = "link", rubrics=RUBRICS) -> DataFram
 
 
 def verdict(wide: DataFrame, key: str = "link", rubrics=RUBRICS) -> DataFrame:
-    """``overall`` = mean score; ``passed`` when the mean is at least 3.5 (integer test, no float edge)."""
+    """``overall`` = mean score; ``passed`` when the mean is at least 3.5 (integer test, no float edge). All three are
+    NULL while a score is missing."""
+    wide = normalize_rated(wide, rubrics)
     total = sum((F.col(f"{r}_score") for r in rubrics), F.lit(0))
     n = len(rubrics)
     passed = total * 2 >= F.lit(PASS_MEAN_TIMES_2 * n)
     return wide.select(key, (total / F.lit(float(n))).alias("overall"), passed.alias("passed"),
-                       F.when(passed, F.lit(PASS_TEXT)).otherwise(F.lit(FAIL_TEXT)).alias("verdict"))
+                       F.when(passed, F.lit(PASS_TEXT)).when(~passed, F.lit(FAIL_TEXT)).alias("verdict"))

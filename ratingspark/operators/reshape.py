@@ -40,7 +40,9 @@ def unpivot_ratings(df: DataFrame, rubrics=RUBRICS, keep=("title", "link", "tran
         ", ".join([f"'{r}_score'", f"`{r}_score_rationale`", f"`{r}_score`"] + [f"`{r}_{x}`" for x in extra])
         for r in rubrics)
     names = ", ".join(["rationale_type", "rationale", "score"] + list(extra))
-    keep_cols = [f"`{c}`" for c in keep if c in df.columns]
+    if missing := [c for c in keep if c not in df.columns]:
+        raise ValueError(f"no such columns to keep: {missing}")
+    keep_cols = [f"`{c}`" for c in keep]
     return df.selectExpr(*keep_cols, f"stack({len(rubrics)}, {tuples}) as ({names})")
 
 
@@ -76,13 +78,14 @@ def flatten_struct(df: DataFrame, struct_col: str) -> DataFrame:
 
 def wide_from_long(df: DataFrame, key: str, rubrics=RUBRICS, rubric_col: str = "rubric",
                    score_col: str = "score", rationale_col: str = "rationale") -> DataFrame:
-    """Long -> wide. One shuffle on ``key`` (grouped pivot with a fixed value list)."""
-    aggs = []
-    for r in rubrics:
-        sel = F.col(rubric_col) == r
-        aggs += [F.max(F.when(sel, F.col(score_col))).alias(f"{r}_score"),
-                 F.max(F.when(sel, F.col(rationale_col))).alias(f"{r}_score_rationale")]
-    return df.groupBy(key).agg(*aggs)
+    """Long -> wide. One shuffle on ``key`` (grouped pivot with a fixed value list).
+
+    Of repeated (key, rubric) rows the one with the largest score stays, with its own rationale (largest on ties).
+    """
+    pair = F.struct(F.col(score_col).alias("score"), F.col(rationale_col).alias("rationale"))
+    best = df.groupBy(key).agg(*[F.max(F.when(F.col(rubric_col) == r, pair)).alias(f"_{r}") for r in rubrics])
+    return best.select(key, *[c for r in rubrics for c in (F.col(f"_{r}.score").alias(f"{r}_score"),
+                                                           F.col(f"_{r}.rationale").alias(f"{r}_score_rationale"))])
 
 
 # Wording of the sequence-to-sequence pairs (our own short test wording).

@@ -341,7 +341,7 @@ SQL["explanation"] = (
 _TOT = " + ".join(f"{r}_score" for r in RUBRICS)
 SQL["verdict"] = (
     f"SELECT doc_id, round(({_TOT}) / 3.0, 6) AS overall, ({_TOT}) * 2 >= 21 AS passed, "
-    f"CASE WHEN ({_TOT}) * 2 >= 21 THEN 'Promising pitch' ELSE 'Needs more work' END AS verdict FROM ({_PWIDE})"
+    f"CASE WHEN ({_TOT}) * 2 >= 21 THEN 'Promising pitch' WHEN ({_TOT}) * 2 < 21 THEN 'Needs more work' END AS verdict FROM ({_PWIDE})"
 )
 
 # ---------------------------------------------------------------- text features
@@ -385,13 +385,25 @@ SQL["enrich_capture"] = (
     "FROM documents"
 )
 
+SQL["enrich_empty"] = (
+    "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE CAST(length(coalesce(text, '')) AS VARCHAR) || ' chars: ' || "
+    "coalesce(text, '') END AS transcript, CASE WHEN doc_id % 10 = 0 THEN 'cannot transcribe ' || CAST(doc_id AS VARCHAR) END "
+    "AS error FROM documents"
+)
+SQL["enrich_nullable"] = (
+    "SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN CAST(doc_id % 7 AS INTEGER) END AS small, "
+    "CASE WHEN doc_id % 3 > 0 THEN 9007199254740993 + doc_id END AS big, "
+    "coalesce(doc_id % 3 > 0 AND (9007199254740993 + doc_id) % 17 = 0, false) AS failed FROM documents"
+)
 SQL["stream_resume"] = SQL["enrich_capture"]
 
 _TEST_LONG = (f"SELECT doc_id, regexp_replace(rationale_type, '_score$', '') AS rubric, transcript, "
               f"{O.extract_score_sql('rationale')} AS y_true FROM ({O.long_sql(keep=('doc_id', 'transcript'))}) "
               f"WHERE {O.below_sql('42', 'doc_id', 0.2)}")
+_WORDS = "string_split(p.user_prompt, ' ')"
 _AGREE = (
-    "SELECT p.doc_id, p.rubric, t.y_true, 1 + length(p.user_prompt) % 5 AS y_pred "
+    "SELECT p.doc_id, p.rubric, t.y_true, CAST(1 + least(4, (1000 * len(list_filter("
+    f"{_WORDS}, lambda x: x = 'the'))) // len({_WORDS}) // 10) AS INTEGER) AS y_pred "
     f"FROM ({_prompted_sql(_TEST_LONG)}) p JOIN ({_TEST_LONG}) t USING (doc_id, rubric)"
 )
 SQL["judge_agreement"] = O.qwk_sql(_AGREE)

@@ -554,29 +554,41 @@ def q_svm_test(spark, sf_dir):
 
 @register("judge_apply")
 def q_judge_apply(spark, sf_dir):
-    """Every (document, rubric) request judged in one pass, parsed, and pivoted back to wide."""
-    docs = fx.transcripts(spark, sf_dir, with_errors=True)
-    todo = C.drop_errors(docs)
-    req = R.unpivot_ratings(fx.rated_wide(spark, sf_dir).join(todo.select("doc_id"), "doc_id", "left_semi"),
-                            keep=("doc_id", "transcript")).select("doc_id", R.rubric_of().alias("rubric"),
-                                                                  "transcript")
-    prompted = PR.resolve_prompts(req, PR.rubric_table(spark))
-    judged = EN.judge_apply(prompted, EN.length_scorer_factory, ("doc_id",))
-    return EN.judged_wide(judged, "doc_id")
+    """Every rubric of every document judged in one pass, one wide row per document; failed transcripts are left out."""
+    todo = C.drop_errors(fx.transcripts(spark, sf_dir, with_errors=True))
+    return EN.judge_documents(todo, EN.length_scorer_factory, "transcript", ("doc_id",))
 
 
 @register("judge_agreement")
 def q_judge_agreement(spark, sf_dir):
-    """A second rater (the distilled model's role) re-rates the test split; its parsed
-    scores are compared with the first rater's by QWK per rubric."""
+    """A second rater (the distilled model's role, a scorer of its own) re-rates the test split; its parsed scores are
+    compared with the first rater's by QWK per rubric. The first rater's scores ride along as key columns."""
     wide = SPL.split_holdout(fx.rated_wide(spark, sf_dir), "doc_id", 0.2, SEED).where("split = 'test'")
-    long = R.unpivot_ratings(wide, keep=("doc_id", "transcript")).select(
-        "doc_id", R.rubric_of().alias("rubric"), "transcript", tx.extract_score("rationale").alias("y_true"))
-    judged = EN.judge_apply(PR.resolve_prompts(long, PR.rubric_table(spark)), EN.length_scorer_factory,
-                            ("doc_id",))
-    pairs = long.select("doc_id", "rubric", "y_true").join(
-        judged.select("doc_id", "rubric", F.col("score").alias("y_pred")), ["doc_id", "rubric"])
-    return M.qwk(pairs, ("rubric",)).select("rubric", "n", F.round("qwk", DIGITS).alias("qwk"))
+    truth = [tx.extract_score(f"{r}_score_rationale").alias(f"{r}_true") for r in SC.RUBRICS]
+    judged = EN.judge_documents(wide.select("doc_id", "transcript", *truth), EN.word_scorer_factory, "transcript",
+                                ("doc_id", *[f"{r}_true" for r in SC.RUBRICS]), args={"marker": "the", "per": 10})
+    pairs = R.unpivot_ratings(judged, keep=("doc_id",), extra=("true",))
+    return M.qwk(pairs.select(R.rubric_of().alias("rubric"), F.col("true").alias("y_true"), F.col("score").alias("y_pred")),
+                 ("rubric",)).select("rubric", "n", F.round("qwk", DIGITS).alias("qwk"))
+
+
+@register("enrich_empty")
+def q_enrich_empty(spark, sf_dir):
+    """The empty-text policy, a batch size and an argument of the model: every 10th document fails and stays, without text."""
+    d = fx.read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = EN.enrich(d, EN.failing_transcriber_factory, ["doc_id", "text"], "transcript", on_error="empty", batch_size=64,
+                    args={"fail_every": 10})
+    return out.select("doc_id", "transcript", "error")
+
+
+@register("enrich_nullable")
+def q_enrich_nullable(spark, sf_dir):
+    """Nullable integers only carried: large keys beside NULLs come out of the map as they went in."""
+    d = fx.read(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 7).cast("int").alias("small"),
+        F.when(F.col("doc_id") % 3 > 0, F.lit(9007199254740993) + F.col("doc_id")).alias("big"))
+    out = EN.enrich(d, EN.failing_transcriber_factory, ["big", "text"], "transcript", on_error="capture")
+    return out.select("doc_id", "small", "big", F.col("error").isNotNull().alias("failed"))
 
 
 @register("enrich_capture")
