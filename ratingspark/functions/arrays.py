@@ -18,7 +18,7 @@ def pad_truncate(ids, length: int = 512, pad: int = 0) -> Column:
 
 def attention_mask(ids, length: int = 512) -> Column:
     n = F.least(F.size(_c(ids)), F.lit(length))
-    return F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: (i <= n).cast("int"))
+    return F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(length) - n))
 
 
 def argmax_label(scores) -> Column:

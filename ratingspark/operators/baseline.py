@@ -1,28 +1,25 @@
 """Baseline raters fitted on the training labels (A1-A3).
 
-* ``label_shares``: class distribution per rubric.
+* ``label_shares``: class distribution per rubric, with each class's place in the order of labels.
 * ``baseline_majority``: every test row gets the most frequent training class.
 * ``baseline_sampled``: each test row draws ``n_draws`` labels from the training
   distribution and keeps the mode (ties to the smallest label); ``n_draws=1`` is
   a single random draw.
 
 The draws are hashed uniforms of (seed, key, draw number), so results do not
-depend on partitioning. The distribution table has one row per (rubric, label):
-it is broadcast after its size is checked; the draws are counted per
-(key, rubric, label) before any shuffle, so a row's ``n_draws`` draws never
-travel.
+depend on partitioning. A group's distribution is one row (an array with one entry
+per label) that joins the test rows; the draws are made and counted inside the row,
+so they are never shuffled, whatever the sizes. How the one-row-per-group tables join is left to
+the planner, which knows their measured size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratingspark.functions.hashing import salted_md5
 
-# Larger distribution tables are joined without a broadcast hint (AQE decides,
-# and splits skewed partitions).
-MAX_BROADCAST_ROWS = 100_000
 TWO32 = 1 << 32
 
 
@@ -32,27 +29,15 @@ def _as_list(cols) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the (small, already aggregated) table is within ``max_rows``.
-
-    The table is cached before counting so the check and the join share one
-    computation; a table over the bound is released and joined as is.
-    """
-    df = df.cache()
-    n = df.count()
-    if n <= max_rows:
-        return F.broadcast(df)
-    df.unpersist()
-    return df
-
-
 def label_shares(train: DataFrame, group_cols=("rubric",), label_col: str = "label") -> DataFrame:
-    """``group..., label, n, share`` with share = n / rows of the group; ordered by label inside a group."""
+    """``group..., label, n, share, place`` with share = n / rows of the group and place = 1, 2, ... by label inside it."""
     g = _as_list(group_cols)
     counts = train.where(F.col(label_col).isNotNull()).groupBy(*g, F.col(label_col).alias("label")) \
         .agg(F.count(F.lit(1)).alias("n"))
+    # One row per (group, label): both windows run over the small aggregate.
     w = Window.partitionBy(*g) if g else Window.partitionBy()
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(w))
+    return (counts.withColumn("share", F.col("n") / F.sum("n").over(w))
+            .withColumn("place", F.row_number().over(w.orderBy("label"))))
 
 
 def majority_class(train: DataFrame, group_cols=("rubric",), label_col: str = "label") -> DataFrame:
@@ -68,66 +53,52 @@ def baseline_majority(train: DataFrame, test: DataFrame, group_cols=("rubric",),
                       pred_col: str = "y_pred") -> DataFrame:
     """Test rows with the training majority class as prediction."""
     g = _as_list(group_cols)
-    maj = maybe_broadcast(majority_class(train, g, label_col).withColumnRenamed("label", pred_col))
-    return test.join(maj, g, "left")
+    return test.join(majority_class(train, g, label_col).withColumnRenamed("label", pred_col), g, "left")
 
 
-def _cumulative(train: DataFrame, g: list[str], label_col: str) -> DataFrame:
-    """Per group and label: the draw interval ``[t_lo, t_hi)`` of 32-bit uniforms.
+def _intervals(train: DataFrame, g: list[str], label_col: str) -> DataFrame:
+    """Per group one array ``_law`` of (lo, hi, neg): a draw in ``[lo, hi)`` of the 32-bit uniforms picks label -neg.
 
     With ``lo, hi`` the label's cumulative count bounds out of ``tot`` rows, a draw
     ``u`` picks the label when ``lo * 2^32 <= u * tot < hi * 2^32``, i.e. when
-    ``ceil(lo * 2^32 / tot) <= u < ceil(hi * 2^32 / tot)``. The thresholds are
-    exact integers computed once on this small table, so each draw needs two
-    BIGINT comparisons and no wide arithmetic.
+    ``ceil(lo * 2^32 / tot) <= u < ceil(hi * 2^32 / tot)``. The thresholds are exact integers
+    kept as 8-digit hex text, so draws compare as text with md5 digits (no base conversion);
+    2^32 itself becomes "g", above every 8-digit hex string.
     """
     counts = train.where(F.col(label_col).isNotNull()).groupBy(*g, F.col(label_col).alias("_label")) \
         .agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*g).orderBy("_label")
-    run = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    tot = F.sum("_c").over(Window.partitionBy(*g))
-    bounds = counts.select(*g, "_label", (run - F.col("_c")).alias("_lo"), run.alias("_hi"), tot.alias("_tot"))
-
-    big = "decimal(38,0)"
-    out = bounds
-    for c, t in (("_lo", "_tlo"), ("_hi", "_thi")):
-        num = F.col(c).cast(big) * F.lit(TWO32).cast(big) + F.col("_tot").cast(big) - F.lit(1).cast(big)
-        out = out.withColumn("_num", num).withColumn(
-            t, F.expr("CAST(`_num` div CAST(`_tot` AS DECIMAL(38,0)) AS BIGINT)"))
-    # As 8-digit hex text, so draws compare as text with md5 digits (no base conversion);
-    # 2^32 itself becomes "g", above every 8-digit hex string.
-    def hex8(c):
-        return F.when(F.col(c) >= F.lit(TWO32), F.lit("g")).otherwise(F.lpad(F.lower(F.hex(F.col(c))), 8, "0"))
-    return out.select(*g, "_label", hex8("_tlo").alias("_tlo"), hex8("_thi").alias("_thi"))
+    w = Window.partitionBy(*g)
+    run = F.sum("_c").over(w.orderBy("_label").rowsBetween(Window.unboundedPreceding, 0))
+    bounds = counts.select(*g, "_label", (run - F.col("_c")).alias("_lo"), run.alias("_hi"), F.sum("_c").over(w).alias("_tot"))
+
+    def threshold(c: str) -> Column:
+        cut = F.expr(f"CAST((CAST({c} AS DECIMAL(38,0)) * {TWO32} + _tot - 1) div CAST(_tot AS DECIMAL(38,0)) AS BIGINT)")
+        return F.when(cut >= F.lit(TWO32), F.lit("g")).otherwise(F.lpad(F.lower(F.hex(cut)), 8, "0"))
+
+    entry = F.struct(threshold("_lo").alias("lo"), threshold("_hi").alias("hi"), (-F.col("_label")).alias("neg"))
+    return bounds.groupBy(*g).agg(F.collect_list(entry).alias("_law"))
 
 
 def baseline_sampled(train: DataFrame, test: DataFrame, key: str, n_draws: int = 1000, seed: int | str = 42,
                      group_cols=("rubric",), label_col: str = "label", pred_col: str = "y_pred") -> DataFrame:
     """Mode of ``n_draws`` draws from the training label distribution per test row.
 
-    Each md5 digest of ``seed:key:group:block`` gives four 32-bit draws; a draw
-    picks the label whose interval holds it (see :func:`_cumulative`). Draws are made
-    and counted inside the task that holds the test row (the interval table is
-    broadcast after a size check); only per-(row, label) counts are shuffled.
-    The mode is a max over (count, -label): ties go to the smallest label.
+    Each md5 digest of ``seed:key:group:block`` gives four 32-bit draws: draw 4*b + k is its hex digits 8k+1 to 8k+8.
+    A row's draws are counted by label in the row itself; ties go to the smallest label.
     """
     g = _as_list(group_cols)
     if not g:
         train, test, g = train.withColumn("_all", F.lit(0)), test.withColumn("_all", F.lit(0)), ["_all"]
-    cum = maybe_broadcast(_cumulative(train, g, label_col))
-    # One md5 digest yields four 32-bit draws: draw 4*b + k (k = 0..3) is hex digits 8k+1..8k+8 of
-    # md5(seed:key:group:b).
-    n_blocks = (int(n_draws) + 3) // 4
-    blocks = test.select(key, *g).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    # The digest is a column of its own so the four slices below share one md5 call.
-    hashed = blocks.withColumn("_h", salted_md5(str(seed), key, *g, "_b"))
-    h = F.col("_h")
-    draws = hashed.select(key, *g, "_b", F.posexplode(F.array(*[F.substring(h, 8 * k + 1, 8) for k in range(4)]))
-                          .alias("_k", "_x"))
-    draws = draws.where(F.col("_b") * 4 + F.col("_k") < F.lit(int(n_draws)))
-    picked = draws.join(cum, g).where((F.col("_tlo") <= F.col("_x")) & (F.col("_x") < F.col("_thi")))
-    counts = picked.groupBy(key, *g, "_label").agg(F.count(F.lit(1)).alias("_k"))
-    mode = counts.groupBy(key, *g).agg(F.max(F.struct("_k", (-F.col("_label")).alias("_nl"))).alias("_b"))
-    pred = mode.select(key, *g, (-F.col("_b._nl")).cast("int").alias(pred_col))
-    out = test.join(pred, [key] + g, "left")
+    n = int(n_draws)
+    blocks = F.transform(F.sequence(F.lit(0), F.lit((n + 3) // 4 - 1)), lambda b: salted_md5(str(seed), key, *g, b))
+    draws = F.slice(F.flatten(F.transform(blocks, lambda h: F.array(*[F.substring(h, 8 * k + 1, 8) for k in range(4)]))), 1, n)
+
+    def counted(xs: Column) -> Column:
+        return F.transform("_law", lambda e: F.struct(
+            F.size(F.filter(xs, lambda x: (e["lo"] <= x) & (x < e["hi"]))).alias("k"), e["neg"].alias("neg")))
+
+    # The draws are bound to one lambda variable, so they are made once however many labels there are.
+    mode = F.array_max(F.transform(F.array(draws), counted)[0])
+    out = (test.join(_intervals(train, g, label_col), g, "left").withColumn(pred_col, (-mode["neg"]).cast("int"))
+           .select(*test.columns, pred_col))
     return out.drop("_all") if "_all" in g else out

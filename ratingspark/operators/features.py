@@ -4,10 +4,9 @@ TF-IDF follows the common library defaults: raw term counts, smoothed
 ``idf = ln((1 + n) / (1 + df)) + 1``, rows scaled to unit L2 norm, vocabulary
 limited to the ``k`` most frequent terms of the fitting set (ties by term).
 
-Everything is a DataFrame in long form ``(doc, term, value)``: term counts are
-combined map-side, the vocabulary is a top-k of an aggregate, and the fitted
-model (vocabulary + idf) has at most ``k`` rows, which is what makes it safe to
-broadcast.
+Everything is a DataFrame in long form ``(doc, term, value)``. Corpus and document frequency come from one aggregate
+by term, combined map-side; the vocabulary is a top-k of it. The fitted model (vocabulary + idf) has at most ``k`` rows
+and is broadcast up to ``MAX_MODEL`` rows; only tokens of the vocabulary are shuffled, once, by document.
 """
 
 from __future__ import annotations
@@ -18,53 +17,55 @@ from pyspark.sql import functions as F
 from ratingspark.functions.text import tokens
 
 MAX_FEATURES = 500
+#: Models of up to this many terms are broadcast (terms are words: a few MB).
+MAX_MODEL = 100_000
 
 
 def doc_terms(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``key, term, tf``: count of each token in each document."""
-    # Tokens are never NULL; saying so keeps this subtree identical wherever a join
-    # would infer the filter, so a fit and a transform over it share one exchange.
-    toks = df.select(key, F.explode(tokens(text_col)).alias("term")).where(F.col("term").isNotNull())
+    toks = df.select(key, F.explode(tokens(text_col)).alias("term"))
     return toks.groupBy(key, "term").agg(F.count(F.lit(1)).cast("bigint").alias("tf"))
 
 
-def top_terms(terms: DataFrame, k: int = MAX_FEATURES) -> DataFrame:
+def term_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``term, n, df``: corpus frequency and number of documents of each term, in one pass and one exchange.
+
+    A row's tokens are counted as they are, its distinct ones once more as documents.
+    """
+    both = F.concat(F.transform("_t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("df"))),
+                    F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("df"))))
+    rows = df.select(tokens(text_col).alias("_t")).select(F.inline(both))
+    return rows.groupBy("term").agg(F.sum("n").cast("bigint").alias("n"), F.sum("df").cast("bigint").alias("df"))
+
+
+def top_terms(df: DataFrame, k: int = MAX_FEATURES, text_col: str = "text") -> DataFrame:
     """``term, n``: the ``k`` terms with the highest corpus frequency; ties broken by term."""
-    freq = terms.groupBy("term").agg(F.sum("tf").alias("n"))
+    freq = df.select(F.explode(tokens(text_col)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return freq.orderBy(F.col("n").desc(), F.col("term").asc()).limit(k)
 
 
-def fit_tfidf(terms: DataFrame, key: str, n_docs: int, k: int = MAX_FEATURES,
-              fit_col: str | None = None) -> DataFrame:
-    """Fitted model ``idx, term, idf`` (at most ``k`` rows) from the fitting set's term counts.
+def fit_tfidf(df: DataFrame, k: int = MAX_FEATURES, text_col: str = "text") -> DataFrame:
+    """Fitted model ``idx, term, idf`` (at most ``k`` rows) of the documents ``df``.
 
-    Corpus frequency (for the vocabulary) and document frequency (for idf) come
-    from one aggregate per term. With ``fit_col`` (a boolean column of ``terms``)
-    only flagged rows count, and ``terms`` can be the same table that is later
-    transformed, so both uses share one tokenisation and one exchange.
-    ``n_docs`` counts every fitting document, also those without any token.
-    ``idx`` is the 0-based column of the term: vocabulary order (frequency desc, term).
+    ``idx`` is the 0-based column of the term: vocabulary order (frequency desc, term). Documents without any token
+    count for idf too.
     """
-    if fit_col:
-        fit = F.col(fit_col)
-        stats = terms.groupBy("term").agg(F.sum(F.when(fit, F.col("tf"))).alias("n"),
-                                          F.count_if(fit).alias("df")).where(F.col("df") > 0)
-    else:
-        stats = terms.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
-    vocab = stats.orderBy(F.col("n").desc(), F.col("term").asc()).limit(k)
+    vocab = term_stats(df, text_col).orderBy(F.col("n").desc(), F.col("term").asc()).limit(k)
+    n_docs = df.count()  # reads no text
     # ``vocab`` has at most ``k`` rows: one ordered window over it is cheap.
     w = Window.orderBy(F.col("n").desc(), F.col("term").asc())
     idf = F.log((F.lit(1.0) + F.lit(float(n_docs))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     return vocab.select((F.row_number().over(w) - 1).cast("int").alias("idx"), "term", idf.alias("idf"))
 
 
-def transform_tfidf(terms: DataFrame, model: DataFrame, key: str) -> DataFrame:
-    """``key, idx, term, weight``: L2-normalised tf * idf over the model's vocabulary.
+def transform_tfidf(df: DataFrame, model: DataFrame, key: str, text_col: str = "text", k: int = MAX_FEATURES) -> DataFrame:
+    """``key, idx, term, weight``: L2-normalised tf * idf over a model of at most ``k`` rows.
 
-    The model has at most ``k`` rows and is broadcast; the norm is a window per
-    document, whose rows are bounded by ``k``.
+    Tokens outside the vocabulary are dropped before the exchange by key, which serves the counts and the norm.
     """
-    joined = terms.join(F.broadcast(model), "term")
+    small = F.broadcast(model) if k <= MAX_MODEL else model
+    toks = df.select(key, F.explode(tokens(text_col)).alias("term")).join(small, "term").repartition(key)
+    counts = toks.groupBy(key, "idx", "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
     raw = F.col("tf") * F.col("idf")
     norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy(key)))
-    return joined.select(key, "idx", "term", (raw / norm).alias("weight"))
+    return counts.select(key, "idx", "term", (raw / norm).alias("weight"))

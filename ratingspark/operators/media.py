@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingspark.operators.baseline import maybe_broadcast
-
 
 def id_lengths(ids: DataFrame, id_col: str = "id") -> list[int]:
     """Distinct id lengths: a tiny set (at most the longest id's length)."""
@@ -37,16 +35,13 @@ def name_substrings(names: DataFrame, lengths: list[int], name_col: str = "name"
 
 
 def match_media(ids: DataFrame, names: DataFrame, id_col: str = "id", name_col: str = "name") -> DataFrame:
-    """For each id, the smallest file name containing it (ids without a match are dropped).
+    """For each id, the smallest file name containing it; NULL for an id that no name contains.
 
-    The final ``min`` is an ordinary aggregate, combined map-side, so an id matching
-    a large share of all files is never gathered in one task.
+    The names' substrings are reduced to the smallest name of each before they meet the ids. That aggregate is
+    combined map-side, so a substring found in nearly all names (a one-digit id) leaves each task once, and the
+    join has at most one row per id on either side: no key is hot.
     """
-    lengths = id_lengths(ids, id_col)
-    subs = name_substrings(names.select(name_col).distinct(), lengths, name_col)
-    keyed = ids.select(F.col(id_col).cast("string").alias("_id")).distinct()
-    # Ids are broadcast when their count is within the checked bound: the join then runs
-    # map-side, and an id contained in a large share of names never forms a hot partition.
-    keyed = maybe_broadcast(keyed)
-    joined = subs.join(keyed, subs["sub"] == keyed["_id"])
-    return joined.groupBy(F.col("_id").alias(id_col)).agg(F.min(name_col).alias(name_col))
+    subs = name_substrings(names.select(name_col), id_lengths(ids, id_col), name_col)
+    best = subs.groupBy("sub").agg(F.min(name_col).alias(name_col))
+    wanted = ids.select(F.col(id_col).cast("string").alias(id_col)).distinct()
+    return wanted.join(best, wanted[id_col] == best["sub"], "left").select(id_col, name_col)

@@ -110,7 +110,7 @@ SQL["json_roundtrip"] = (
 SQL["text_sink"] = "SELECT line FROM documents, unnest(string_split(text, chr(10))) AS t(line)"
 SQL["match_media"] = (
     "SELECT l.id, min(p.name) AS name FROM (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM labels) l "
-    f"JOIN (SELECT DISTINCT {SANITIZE.format('url')} AS name FROM pages) p ON contains(p.name, l.id) GROUP BY l.id"
+    f"LEFT JOIN (SELECT DISTINCT {SANITIZE.format('url')} AS name FROM pages) p ON contains(p.name, l.id) GROUP BY l.id"
 )
 
 # ---------------------------------------------------------------- reshaping, prompts, chats
@@ -247,7 +247,8 @@ _PSPLIT = f"SELECT *, {_HOLD} AS split FROM ({_PARSED_LONG})"
 _TRAIN_ROWS = f"SELECT * FROM ({_PSPLIT}) WHERE split = 'train'"
 _TEST_ROWS = f"SELECT doc_id, rubric, y_true FROM ({_PSPLIT}) WHERE split = 'test'"
 SQL["label_shares"] = (
-    "SELECT rubric, label, n, round(n / sum(n) OVER (PARTITION BY rubric), 6) AS share FROM "
+    "SELECT rubric, label, n, round(n / sum(n) OVER (PARTITION BY rubric), 6) AS share, "
+    "CAST(row_number() OVER (PARTITION BY rubric ORDER BY label) AS INTEGER) AS place FROM "
     f"(SELECT rubric, y_true AS label, count(*) AS n FROM ({_TRAIN_ROWS}) WHERE y_true IS NOT NULL GROUP BY ALL)"
 )
 _MAJ = (f"SELECT rubric, label AS y_pred FROM (SELECT rubric, y_true AS label, count(*) AS n FROM ({_TRAIN_ROWS}) "

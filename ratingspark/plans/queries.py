@@ -408,7 +408,7 @@ def _parsed_split(spark, sf_dir):
 def q_label_shares(spark, sf_dir):
     train = _parsed_split(spark, sf_dir).where("split = 'train'")
     return BL.label_shares(train, ("rubric",), "y_true").select(
-        "rubric", "label", "n", F.round("share", DIGITS).alias("share"))
+        "rubric", "label", "n", F.round("share", DIGITS).alias("share"), "place")
 
 
 def _majority(spark, sf_dir):
@@ -528,17 +528,14 @@ def _doc_split(spark, sf_dir):
 
 @register("top_terms")
 def q_top_terms(spark, sf_dir):
-    train = _doc_split(spark, sf_dir).where("split = 'train'")
-    return FE.top_terms(FE.doc_terms(train, "doc_id"), FE.MAX_FEATURES)
+    return FE.top_terms(_doc_split(spark, sf_dir).where("split = 'train'"), FE.MAX_FEATURES)
 
 
 @register("tfidf")
 def q_tfidf(spark, sf_dir):
     docs = _doc_split(spark, sf_dir)
-    terms = FE.doc_terms(docs, "doc_id").withColumn("_fit", SPL.holdout_side("doc_id", 0.2, SEED) == "train")
-    n_train = docs.where("split = 'train'").count()
-    model = FE.fit_tfidf(terms, "doc_id", n_train, FE.MAX_FEATURES, fit_col="_fit")
-    out = FE.transform_tfidf(terms.drop("_fit"), model, "doc_id")
+    model = FE.fit_tfidf(docs.where("split = 'train'"), FE.MAX_FEATURES)
+    out = FE.transform_tfidf(docs, model, "doc_id")
     return out.select("doc_id", "idx", "term", F.round("weight", DIGITS).alias("weight"))
 
 
