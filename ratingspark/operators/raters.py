@@ -15,6 +15,7 @@ predictions are close to, not equal to, other implementations.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest
@@ -33,12 +34,10 @@ from ratingspark.session import cut_lineage
 PCA_K = 100
 
 
-def fit_features(train: DataFrame, key: str, text_col: str = "text", max_features: int = FE.MAX_FEATURES,
+def fit_features(train: DataFrame, text_col: str = "text", max_features: int = FE.MAX_FEATURES,
                  pca_k: int = PCA_K) -> PipelineModel:
     """Fit vocabulary, idf, centring and PCA on ``train``; returns a model producing ``features``."""
-    terms = FE.doc_terms(train, key, text_col)
-    n_docs = train.count()
-    model = FE.fit_tfidf(terms, key, n_docs, max_features)
+    model = FE.fit_tfidf(train, max_features, text_col)
     # At most ``max_features`` rows: the fitted parameters, not data.
     params = sorted(model.select("idx", "term", "idf").collect(), key=lambda r: r["idx"])
     vocab = [r["term"] for r in params]
@@ -64,19 +63,22 @@ def featurize(model: PipelineModel, df: DataFrame, text_col: str = "text") -> Da
     return out.drop("_tokens", "_tf", "_tfidf", "_norm", "_centred")
 
 
-def fit_rater(train_feats: DataFrame, label_col: str, reg: float | None = 0.0, max_iter: int = 100,
-              parallelism: int = 4) -> PipelineModel:
+def fit_rater(train_feats: DataFrame, label_col: str, reg: float | None = None, max_iter: int = 30, tol: float = 1e-4,
+              parallelism: int = 2) -> PipelineModel:
     """One-vs-rest linear SVM on ``features``; labels re-indexed so missing classes do not fail.
 
-    ``reg`` defaults to Spark's 0. ``reg=None`` uses ``1 / n``, the penalty of a C=1
-    SVM rewritten for Spark's mean-loss objective; with the non-smooth hinge loss
-    Spark's quasi-Newton solver can stop early at that setting (measured: a
-    constant prediction on separable rows), so it is not the default.
+    ``reg=None`` is ``1 / n``, the penalty of a C=1 SVM rewritten for Spark's mean-loss objective. The hinge loss is not
+    smooth, and on separable rows Spark's quasi-Newton solver can give up at its start, which leaves all
+    coefficients at zero; such a fit is repeated without the penalty. The solver stops after ``max_iter`` steps or when it
+    gains less than ``tol``; rows are stacked into blocks, so a step is a few matrix products.
     """
     if reg is None:
-        reg = 1.0 / max(1, train_feats.count())
+        fitted = fit_rater(train_feats, label_col, 1.0 / max(1, train_feats.count()), max_iter, tol, parallelism)
+        if all(m.coefficients.norm(2) > 1e-9 for m in fitted.stages[1].models):
+            return fitted
+        reg = 0.0
     idx = StringIndexer(inputCol=label_col, outputCol="_y", stringOrderType="alphabetAsc")
-    ovr = OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter, standardization=False),
+    ovr = OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter, tol=tol, standardization=False, maxBlockSizeInMB=1.0),
                     featuresCol="features", labelCol="_y", predictionCol="_p", parallelism=parallelism)
     data = train_feats.withColumn(label_col, F.col(label_col).cast("string"))
     idx_model = idx.fit(data)
@@ -94,45 +96,47 @@ def predict(rater: PipelineModel, feats: DataFrame, label_col: str, pred_col: st
 
 
 def fit_predict(train: DataFrame, test: DataFrame, key: str, rubrics=RUBRICS, text_col: str = "text",
-                label_fmt: str = "{}_score", **rater_kw) -> DataFrame:
-    """Long predictions ``key, rubric, y_true, y_pred`` for ``test``; features fitted on ``train`` only."""
-    fm = fit_features(train, key, text_col)
-    # Written once to the shared checkpoint folder: every rubric's solver iterates over
+                label_fmt: str = "{}_score", with_train: bool = False, fits_at_once: int = 3, **rater_kw) -> DataFrame:
+    """Long predictions ``key, rubric, y_true, y_pred`` for ``test``; features fitted on ``train`` only.
+
+    With ``with_train`` the training rows are predicted too, and ``side`` ('train' or 'test') tells them apart.
+    """
+    labels = [label_fmt.format(r) for r in rubrics]
+    fm = fit_features(train, text_col)
+    # Written once to the shared checkpoint folder, without the texts: every rubric's solver iterates over
     # these rows, and a lost executor re-reads them instead of re-running the featurisation.
-    tr = cut_lineage(featurize(fm, train, text_col))
-    te = cut_lineage(featurize(fm, test, text_col))
+    tr = cut_lineage(featurize(fm, train, text_col).select(key, *labels, "features"))
+    sides = {"test": cut_lineage(featurize(fm, test, text_col).select(key, *labels, "features"))}
+    if with_train:
+        sides["train"] = tr
 
-    def one(r):
-        lab = label_fmt.format(r)
+    def one(rubric_label):
+        r, lab = rubric_label
         rater = fit_rater(tr.where(F.col(lab).isNotNull()), lab, **rater_kw)
-        p = predict(rater, te, lab)
-        return p.select(key, F.lit(r).alias("rubric"), F.col(lab).cast("int").alias("y_true"), "y_pred")
+        return [predict(rater, rows, lab).select(key, F.lit(r).alias("rubric"), F.col(lab).cast("int").alias("y_true"), "y_pred",
+                                                 F.lit(side).alias("side")) for side, rows in sides.items()]
 
-    # The rubrics' fits are independent Spark jobs: submit them concurrently.
-    with ThreadPoolExecutor(max_workers=len(rubrics)) as pool:
-        parts = list(pool.map(one, rubrics))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # The rubrics' fits are independent Spark jobs: a few are submitted at a time.
+    with ThreadPoolExecutor(max_workers=fits_at_once) as pool:
+        parts = [p for ps in pool.map(one, zip(rubrics, labels)) for p in ps]
+    out = reduce(DataFrame.unionByName, parts)
+    return out if with_train else out.drop("side")
 
 
-def cross_validate(train: DataFrame, key: str, fold_col: str = "fold", rubrics=RUBRICS, text_col: str = "text",
-                   label_fmt: str = "{}_score", **rater_kw) -> tuple[DataFrame, DataFrame]:
-    """Per fold: fit features and raters on the other folds, predict the fold. Returns
-    (per-rubric mean QWK, macro) as :func:`metrics.qwk_cv`. The fold loop is over model
-    fits (k of them), never over data rows."""
-    folds = [r[0] for r in train.select(fold_col).distinct().orderBy(fold_col).collect()]
+def cross_validate(train: DataFrame, key: str, fold_col: str = "fold", n_folds: int = 5, rubrics=RUBRICS, text_col: str = "text",
+                   label_fmt: str = "{}_score", folds_at_once: int = 2, **rater_kw) -> tuple[DataFrame, DataFrame]:
+    """Per fold 0..n_folds-1: fit features and raters on the other folds, predict the fold and the rows fitted on.
 
+    Returns, for each ``side`` ('train' or 'test', the held-out fold), the per-rubric mean QWK over folds, and its
+    mean over rubrics. The fold loop is over model fits (a few at a time), never over data rows; the caller says how
+    many folds there are, so none are looked up.
+    """
     def one(f):
         fit_on = train.where(F.col(fold_col) != f)
         held = train.where(F.col(fold_col) == f)
-        return fit_predict(fit_on, held, key, rubrics, text_col, label_fmt, **rater_kw).withColumn(fold_col, F.lit(f))
-
-    # Folds are independent fits: submit them concurrently.
-    with ThreadPoolExecutor(max_workers=len(folds)) as pool:
-        parts = list(pool.map(one, folds))
-    preds = parts[0]
-    for p in parts[1:]:
-        preds = preds.unionByName(p)
-    return M.qwk_cv(preds, fold_col, "rubric")
+        preds = fit_predict(fit_on, held, key, rubrics, text_col, label_fmt, with_train=True, **rater_kw)
+        return preds.withColumn(fold_col, F.lit(f))
+
+    with ThreadPoolExecutor(max_workers=folds_at_once) as pool:
+        preds = reduce(DataFrame.unionByName, list(pool.map(one, range(n_folds))))
+    return M.qwk_cv(preds, fold_col, "rubric", by=("side",))

@@ -415,3 +415,26 @@ SQL["split_three_way_exact"] = (
     "SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS r, "
     "count(*) OVER () AS n FROM documents)"
 )
+
+# ---------------------------------------------------------------- raters (F2-F5): properties that SQL can state
+
+_ALL_TERMS = f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY ALL"
+_PCA_MODEL = (
+    "SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1.0 AS idf FROM "
+    f"({_ALL_TERMS}) GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 50"
+)
+SQL["pca"] = (
+    "SELECT count(*) AS n_axes, CAST(0 AS DOUBLE) AS largest_mean, "
+    "round(sum((s2 - s * s / n) / (n - 1)), 6) AS total_variance FROM (SELECT term, sum(w) AS s, sum(w * w) AS s2, "
+    "(SELECT CAST(count(*) AS DOUBLE) FROM documents) AS n FROM (SELECT term, tf * idf / "
+    "sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS w "
+    f"FROM ({_ALL_TERMS}) JOIN ({_PCA_MODEL}) USING (term)) GROUP BY term)"
+)
+_N_TEST = f"SELECT count(*) AS n FROM ({_DSPLIT}) WHERE split = 'test'"
+SQL["svm_rater"] = (f"SELECT '{RUBRICS[0]}' AS rubric, n, CAST(0 AS BIGINT) AS n_unknown, true AS beats_majority "
+                    f"FROM ({_N_TEST})")
+_EACH = ", ".join(f"('{r}')" for r in RUBRICS)
+SQL["svm_test"] = (f"SELECT rubric, n, true AS learned, true AS macro_learned FROM (VALUES {_EACH}) AS r(rubric), "
+                   f"({_N_TEST})")
+SQL["svm_cv"] = (f"SELECT rubric, CAST(5 AS BIGINT) AS n_folds, true AS train_not_worse, true AS learned "
+                 f"FROM (VALUES {_EACH}) AS r(rubric)")

@@ -1,10 +1,12 @@
 """Plan shape checks: the properties that matter at scale, read from the physical plans."""
+import re
+
 import pytest
 
 from ratingspark.plans.queries import REGISTRY
 
 QUERIES = dict(REGISTRY)
-SKIP = {"svm_test", "svm_cv", "stream_resume"}
+SKIP = {"pca", "svm_rater", "svm_test", "svm_cv", "stream_resume"}
 
 
 def _plan(df) -> str:
@@ -34,10 +36,32 @@ def test_qwk_shuffles_only_partial_counts(spark, sf_small):
             assert "HashAggregate" in lines[i + 1]  # combined map-side before the exchange
 
 
-def test_sampled_draws_join_a_broadcast_table(spark, sf_small):
+def _count(df, pattern: str) -> int:
+    return len(re.findall(pattern, _plan(df)))
+
+
+@pytest.mark.parametrize("name", ["qwk", "qwk_macro", "judge_agreement"])
+def test_kappa_reads_its_rows_once(spark, sf_small, name):
+    df = QUERIES[name](spark, sf_small)
+    assert _count(df, r"FileScan parquet") == 1
+    assert "Join" not in _plan(df)
+    assert _count(df, r"MapInArrow") == (name == "judge_agreement")
+
+
+def test_judging_documents_shuffles_nothing(spark, sf_small):
+    assert _count(QUERIES["judge_apply"](spark, sf_small), r"Exchange") == 0
+
+
+def test_draws_are_not_shuffled(spark, sf_small):
     plan = _plan(QUERIES["baseline_sampled"](spark, sf_small))
-    assert "BroadcastHashJoin" in plan
-    assert "partial_count" in plan
+    assert "doc_id" not in "".join(l for l in plan.splitlines() if "Exchange hashpartitioning" in l and "rubric" not in l)
+    assert not re.search(r"Generate explode\(sequence", plan)
+
+
+def test_terms_take_one_exchange(spark, sf_small):
+    assert _count(QUERIES["top_terms"](spark, sf_small), r"Exchange hashpartitioning") == 1
+    tfidf = [l for l in _plan(QUERIES["tfidf"](spark, sf_small)).splitlines() if "Exchange hashpartitioning" in l]
+    assert sum("doc_id" in l for l in tfidf) == 1 and sum("term" in l.split("hashpartitioning")[1] for l in tfidf) == 1
 
 
 def test_parquet_scans_are_pruned(spark, sf_small):

@@ -61,6 +61,8 @@ def test_judge_one_pass_parses_and_pivots(spark):
     n = len("Rate the clarity of this pitch transcript:\nhello")
     assert r.score == 1 + n % 5 and r.rationale.endswith(f"[[{1 + n % 5}]]")
     wide = EN.judged_wide(judged, "link").first()
+    direct = EN.judge_documents(_requests(spark).where("link = '1'"), EN.length_scorer_factory, "transcript", ("link",)).first()
+    assert direct.clarity_score_rationale == r.rationale and direct.clarity_score == r.score
     assert wide.clarity_score == r.score and wide.team_market_fit_score is None
 
 
@@ -77,3 +79,51 @@ def test_model_loaded_once_per_task(spark):
                              PR.rubric_table(spark))
     assert EN.judge_apply(req, factory, ("link",)).count() == 200
     assert calls.value <= 8
+
+
+def test_carried_columns_are_untouched(spark):
+    big = 9007199254740993
+    d = spark.createDataFrame([(big, 1, "a"), (None, None, "b"), (big + 2, 3, None)], "key long, small int, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def factory(step):
+        def fn(key, text):
+            assert key is None or isinstance(key, int)
+            seen.add(step)
+            return str(key)
+        return fn
+
+    out = EN.enrich(d.coalesce(1), factory, ["key", "text"], "t", batch_size=2, args={"step": 5})
+    got = {(r.key, r.small, r.text, r.t, r.error) for r in out.collect()}
+    assert got == {(big, 1, "a", str(big), None), (None, None, "b", "None", None), (big + 2, 3, None, str(big + 2), None)}
+    assert seen.value == 15
+
+
+def test_repeated_rubric_keeps_its_own_rationale(spark):
+    from ratingspark.operators.reshape import wide_from_long
+
+    rows = [("k", "clarity", 5, "five"), ("k", "clarity", 1, "zzz one")]
+    r = wide_from_long(spark.createDataFrame(rows, "doc_id string, rubric string, score int, rationale string"), "doc_id").first()
+    assert (r.clarity_score, r.clarity_score_rationale) == (5, "five")
+
+
+def test_model_is_called_once_per_row_for_agreement(spark, sf_small):
+    from ratingspark.plans import queries as Q
+
+    calls = spark.sparkContext.accumulator(0)
+    real = EN.word_scorer_factory
+
+    def counting(**kw):
+        inner = real(**kw)
+
+        def score(pdf):
+            calls.add(len(pdf))
+            return inner(pdf)
+        return score
+
+    EN.word_scorer_factory = counting
+    try:
+        rows = Q.q_judge_agreement(spark, sf_small).collect()
+    finally:
+        EN.word_scorer_factory = real
+    assert calls.value == sum(r.n for r in rows)

@@ -32,6 +32,24 @@ def test_missing_class_does_not_fail(spark):
 
 def test_cross_validate_refits_per_fold(spark):
     df = S.kfold_hash(_corpus(spark, 200), "doc_id", 3)
-    per_rubric, macro = RT.cross_validate(df, "doc_id", rubrics=("clarity",), max_iter=20)
-    r = per_rubric.first()
-    assert r.n_folds == 3 and r.qwk_mean > 0.5
+    per_rubric, macro = RT.cross_validate(df, "doc_id", n_folds=3, rubrics=("clarity",), max_iter=20)
+    by = {r.side: r for r in per_rubric.collect()}
+    assert by["test"].n_folds == by["train"].n_folds == 3 and by["test"].qwk_mean > 0.5
+    assert by["train"].qwk_mean >= by["test"].qwk_mean
+    assert {r.side for r in macro.collect()} == {"train", "test"}
+
+
+def test_c_equal_one_learns(spark):
+    feats = RT.featurize(RT.fit_features(_corpus(spark)), _corpus(spark))
+    rater = RT.fit_rater(feats, "clarity_score", reg=None)
+    pred = RT.predict(rater, feats, "clarity_score")
+    assert pred.where("cast(clarity_score as int) = y_pred").count() > 270
+
+
+def test_projection_is_centred_and_keeps_the_variance(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    rows = RT.featurize(RT.fit_features(_corpus(spark), max_features=12, pca_k=12), _corpus(spark))
+    x = [r.x for r in rows.select(vector_to_array("features").alias("x")).collect()]
+    means = [sum(c) / len(x) for c in zip(*x)]
+    assert max(map(abs, means)) < 1e-9

@@ -40,3 +40,30 @@ def test_qwk_with_hot_rubric(spark):
     assert got == {"hot": 3000, "cold": 2}
     cm = Counter((r[0], r[1], r[2]) for r in rows)
     assert M.confusion(df).agg(F.sum("n")).first()[0] == sum(cm.values())
+
+
+def test_large_limit_cuts_hot_groups_in_parts(spark):
+    df, rows = _events(spark, 9000)
+    got = C.top_n_per_group(df.repartition(6), ["user_id"], ["ts", "event_id"], 1500).collect()
+    by = defaultdict(list)
+    for e, u, ts in rows:
+        by[u].append((ts, e))
+    assert sorted((r.user_id, r.event_id) for r in got) == sorted((u, e) for u, v in by.items() for _, e in sorted(v)[:1500])
+
+
+def test_repeated_keys_keep_the_same_row(spark):
+    rows = [("k", f"text {i}") for i in range(50)] + [("l", None), ("l", "x")]
+    df = spark.createDataFrame(rows, "link string, transcript string")
+    done = spark.createDataFrame([("m",)], "link string")
+    want = {("k", "text 0"), ("l", None)}
+    for n in (1, 7):
+        assert {tuple(r) for r in C.resume(df.repartition(n), done, "link").collect()} == want
+
+
+def test_media_match_with_an_id_in_every_name(spark):
+    from ratingspark.operators.media import match_media
+
+    names = spark.createDataFrame([(f"clip_1_{i}",) for i in range(2000)], "name string")
+    ids = spark.createDataFrame([("1",), ("1999",), ("nowhere",)], "id string")
+    got = {r.id: r.name for r in match_media(ids, names).collect()}
+    assert got == {"1": "clip_1_0", "1999": "clip_1_1999", "nowhere": None}
