@@ -13,10 +13,10 @@ DEFAULT_SCORE = 3
 # Word tokens: two or more letters, digits or underscores (Unicode aware), after lower-casing.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
-# Characters allowed in a file name stem; everything else becomes "_".
+# Fixed value: characters allowed in a file name stem; everything else becomes "_".
 UNSAFE_NAME_CHARS = r"[^a-zA-Z0-9_\-]"
 
-# Prefix that marks a failed enrichment row.
+# Fixed value: prefix that marks a failed enrichment row.
 ERROR_PREFIX = "ERROR: "
 
 
@@ -37,10 +37,6 @@ def extract_score(text, default: int | None = DEFAULT_SCORE, strict: bool = Fals
     return F.coalesce(parsed, F.lit(int(default)))
 
 
-def has_score_marker(text) -> Column:
-    return F.coalesce(F.regexp_extract(_c(text), SCORE_PATTERN, 1) != F.lit(""), F.lit(False))
-
-
 def clean_url(url, keep: str = "v") -> Column:
     """Keep only query parameter ``keep`` (all non-blank values, in order).
 
@@ -72,7 +68,11 @@ def sanitize_name(name) -> Column:
     return F.regexp_replace(_c(name), UNSAFE_NAME_CHARS, "_")
 
 
-def host_matches(url, hosts=("youtube.com", "youtu.be")) -> Column:
+# Hosts whose links are taken for videos.
+VIDEO_HOSTS = ("youtube.com", "youtu.be")
+
+
+def host_matches(url, hosts=VIDEO_HOSTS) -> Column:
     u = _c(url)
     cond = F.lit(False)
     for h in hosts:

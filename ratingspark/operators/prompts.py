@@ -74,7 +74,7 @@ def build_chat(system: Column, user: Column, assistant: Column | None = None) ->
 class ChatTemplate:
     """How a chat becomes one string: ``start + role + mid + content + end`` per message.
 
-    The defaults are the header markers of a widely used public chat format.
+    Fixed values: the defaults are the header markers of a widely used public chat format.
     """
     bos: str = "<|begin_of_text|>"
     start: str = "<|start_header_id|>"

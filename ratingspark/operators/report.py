@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratingspark.functions.text import extract_score
 from ratingspark.operators.reshape import normalize_rated
 from ratingspark.schemas import RUBRICS
 
@@ -63,3 +64,11 @@ def verdict(wide: DataFrame, key: str = "link", rubrics=RUBRICS) -> DataFrame:
     passed = total * 2 >= F.lit(PASS_MEAN_TIMES_2 * n)
     return wide.select(key, (total / F.lit(float(n))).alias("overall"), passed.alias("passed"),
                        F.when(passed, F.lit(PASS_TEXT)).when(~passed, F.lit(FAIL_TEXT)).alias("verdict"))
+
+
+def score_audit(long: DataFrame, rubric_col: str = "rubric", rationale_col: str = "rationale", low: int = 1, high: int = 5) -> DataFrame:
+    """The parser's silent default made visible: rationales per rubric with a score, without one, and out of range."""
+    score = extract_score(rationale_col, strict=True)
+    return long.groupBy(rubric_col).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(score.isNotNull()).alias("n_parsed"), F.count_if(score.isNull()).alias("n_defaulted"),
+        F.count_if(~score.between(low, high)).alias("n_out_of_range"))

@@ -70,12 +70,7 @@ def q_extract_score(spark, sf_dir):
 @register("score_audit")
 def q_score_audit(spark, sf_dir):
     long = R.unpivot_ratings(fx.rated_wide(spark, sf_dir), keep=("doc_id",))
-    strict = tx.extract_score("rationale", strict=True)
-    return (long.groupBy(R.rubric_of().alias("rubric"))
-            .agg(F.count(F.lit(1)).alias("n"),
-                 F.count_if(strict.isNotNull()).alias("n_parsed"),
-                 F.count_if(strict.isNull()).alias("n_defaulted"),
-                 F.count_if(strict.isNotNull() & ((strict < 1) | (strict > 5))).alias("n_out_of_range")))
+    return RP.score_audit(long.withColumn("rubric", R.rubric_of()))
 
 
 @register("confusion")
@@ -219,6 +214,35 @@ def q_text_sink(spark, sf_dir):
     return IO.read_text_lines(spark, path).select(F.col("value").alias("line"))
 
 
+@register("text_documents")
+def q_text_documents(spark, sf_dir):
+    """Transcripts exported as one keyed record each, and read back whole."""
+    path = scratch_path(spark, "text_documents")
+    IO.write_documents(fx.transcripts(spark, sf_dir), path, "doc_id", "transcript")
+    return IO.read_documents(spark, path, "doc_id long", "transcript")
+
+
+@register("published_dataset")
+def q_published_dataset(spark, sf_dir):
+    """The rated table as records of one struct column, published as Parquet by language, loaded and flattened again."""
+    path = scratch_path(spark, "published")
+    d = fx.read(spark, sf_dir, "documents").select("doc_id", "lang")
+    records = fx.rated_wide(spark, sf_dir).select("doc_id", F.struct("title", *[f"{r}_score" for r in SC.RUBRICS]).alias("train"))
+    IO.write_parquet(records.join(d, "doc_id"), path, partition_by=("lang",))
+    return R.flatten_struct(spark.read.parquet(path), "train")
+
+
+@register("absolute_links")
+def q_absolute_links(spark, sf_dir):
+    """Links without a host, as a search page gives them, made absolute and cleaned."""
+    pages = fx.read(spark, sf_dir, "pages")
+    hits = pages.select("page_id", F.regexp_extract("url", "^[a-z]+://[^/]*(.*)$", 1).alias("link"))
+    return C.clean_links(hits, "link", keep=PAGE_PARAM, prefix=LINK_PREFIX)
+
+
+LINK_PREFIX = "https://videos.example.com"
+
+
 @register("match_media")
 def q_match_media(spark, sf_dir):
     ids = fx.read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"))
@@ -665,7 +689,7 @@ def q_enrich_capture(spark, sf_dir):
 def q_stream_resume(spark, sf_dir):
     """documents arrive as a file stream; each new doc_id is transcribed once. A second run
     with a fresh checkpoint finds every key in the sink and appends nothing."""
-    from ratingspark.streaming.resume import run_incremental
+    from ratingspark.streaming.resume import latest, run_incremental
 
     schema = fx.read(spark, sf_dir, "documents").select("doc_id", "text").schema
     sink = scratch_path(spark, "stream_sink")
@@ -678,7 +702,7 @@ def q_stream_resume(spark, sf_dir):
     for run in ("first", "again"):
         run_incremental(spark, sf_dir, schema, sink, scratch_path(spark, f"stream_ckpt_{run}"), "doc_id",
                         transcribe, source_options=opts)
-    return spark.read.parquet(sink)
+    return latest(spark, sink, "doc_id")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,17 @@ def write_text(df: DataFrame, path: str, col: str = "transcript", mode: str = "o
     df.select(F.coalesce(F.col(col), F.lit("")).alias("value")).write.mode(mode).text(path)
 
 
+def write_documents(df: DataFrame, path: str, key: str, col: str = "transcript", mode: str = "overwrite") -> None:
+    """One record per document (a JSON line of key and whole text), so line breaks stay inside their document."""
+    df.select(key, F.coalesce(F.col(col), F.lit("")).alias("text")).write.mode(mode).json(path)
+
+
+def read_documents(spark: SparkSession, path: str, key: str, col: str = "transcript") -> DataFrame:
+    """``key`` is the key column's name and type, e.g. ``doc_id long``."""
+    name = key.split()[0]
+    return spark.read.schema(f"{key}, text string").json(path).select(name, F.col("text").alias(col))
+
+
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 

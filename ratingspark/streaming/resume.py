@@ -1,52 +1,81 @@
 """Incremental, restartable enrichment of newly arrived rows (ST1).
 
-``readStream`` (file source, explicit schema) -> ``foreachBatch``:
-de-duplicate the batch on the key, drop keys already in the sink (anti-join),
-enrich, append to the parquet sink. ``trigger(availableNow=True)`` processes what
+``readStream`` (file source, explicit schema) -> ``foreachBatch``: drop keys already in the sink (anti-join), keep one
+row of each other key, enrich, append to the parquet sink. ``trigger(availableNow=True)`` processes what
 is there and stops, so the same job serves as a scheduled batch.
 
 No streaming ``dropDuplicates`` state is kept (it would grow without bound); the
-sink itself is the record of finished keys. A crash between the append and the
+sink itself is the record of finished keys. It is partitioned by a hash bucket of the key, and a batch reads the key
+column of its own buckets only. A crash between the append and the
 checkpoint commit replays the batch, and the anti-join makes the replay write
-nothing new. Keys of the sink are read as one pruned column; they are filtered
-by a semi-join against the batch's keys (broadcast when the batch's key count
-is within a checked bound) before the anti-join.
+nothing new. Every appended row carries the time of its attempt; :func:`latest` gives one row per key, so retries of
+failed keys never show twice.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
-MAX_BROADCAST_KEYS = 1_000_000
+from ratingspark.operators.curate import first_by_key
 
+BUCKET, ATTEMPT = "_bucket", "_attempt"
+BUCKETS = 64
+_EMPTY = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
 
-def _existing_keys(spark: SparkSession, sink: str, key: str) -> DataFrame | None:
+
+def bucket_of(key: str, n: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+
+def read_sink(spark: SparkSession, sink: str) -> DataFrame | None:
+    """The sink's rows, or None while nothing has been written. Any other fault of the sink is raised."""
     try:
-        return spark.read.parquet(sink).select(key)
-    except AnalysisException:
+        return spark.read.parquet(sink)
+    except AnalysisException as e:
+        if e.getCondition() in _EMPTY:
+            return None
+        raise
+
+
+def finished_keys(spark: SparkSession, sink: str, key: str, buckets: list[int], error_col: str | None = None) -> DataFrame | None:
+    """Keys in the given buckets of the sink; with ``error_col`` only those with a row without an error."""
+    done = read_sink(spark, sink)
+    if done is None:
         return None
+    if missing := {key, BUCKET, *([error_col] if error_col else [])} - set(done.columns):
+        raise ValueError(f"the sink {sink} has no column {sorted(missing)}")
+    done = done.where(F.col(BUCKET).isin(buckets))
+    return (done.where(F.col(error_col).isNull()) if error_col else done).select(key).distinct()
 
 
 def new_rows(batch: DataFrame, sink: str, key: str, retry_errors: bool = False,
              error_col: str | None = None) -> DataFrame:
-    """Rows of ``batch`` whose key is not yet in ``sink``; one row per key."""
-    spark = batch.sparkSession
-    todo = batch.dropDuplicates([key])
-    done = _existing_keys(spark, sink, key)
-    if done is None:
-        return todo
-    if retry_errors and error_col:
-        done = spark.read.parquet(sink).where(F.col(error_col).isNull()).select(key)
-    keys = todo.select(key)
-    n = keys.count()
-    keys = F.broadcast(keys) if n <= MAX_BROADCAST_KEYS else keys
-    relevant = done.join(keys, key, "left_semi").distinct()
-    return todo.join(relevant, key, "left_anti")
+    """Rows of ``batch`` whose key is not yet in ``sink``; of rows that repeat a key, the least one."""
+    # At most BUCKETS numbers.
+    buckets = [r[0] for r in batch.select(bucket_of(key)).distinct().collect()]
+    done = finished_keys(batch.sparkSession, sink, key, buckets, error_col if retry_errors else None)
+    todo = batch if done is None else batch.join(done, key, "left_anti").select(*batch.columns)
+    return first_by_key(todo, key)
+
+
+def append(rows: DataFrame, sink: str, key: str) -> None:
+    tagged = rows.withColumn(ATTEMPT, F.lit(time.time_ns())).withColumn(BUCKET, bucket_of(key))
+    tagged.write.mode("append").partitionBy(BUCKET).parquet(sink)
+
+
+def latest(spark: SparkSession, sink: str, key: str, error_col: str = "error") -> DataFrame:
+    """One row per key of the sink: the last attempt without an error, else the last one."""
+    rows = spark.read.parquet(sink)
+    data = [c for c in rows.columns if c not in (BUCKET, ATTEMPT)]
+    fine = F.col(error_col).isNull() if error_col in data else F.lit(True)
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*data), F.struct(fine, ATTEMPT)).alias("_row"))
+    return best.select("_row.*")
 
 
 def run_incremental(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str,
@@ -56,10 +85,10 @@ def run_incremental(spark: SparkSession, source: str, schema: T.StructType, sink
                     error_col: str = "error") -> int:
     """Process every file now in ``source`` once; returns the number of micro-batches run.
 
-    ``transform(new_rows) -> rows to append`` is the enrichment (e.g. a model call).
+    ``transform(new_rows) -> rows to append`` is the enrichment (e.g. a model call); its rows keep the key.
     ``fail_after_append`` simulates a crash right after the sink append (tests).
     With ``retry_errors``, keys whose sink rows all carry an ``error_col`` value are
-    processed again (by default a failed row counts as done).
+    processed again (by default a failed row counts as done); read the sink with :func:`latest`.
     """
     reader = spark.readStream.schema(schema).format(fmt).options(**(source_options or {}))
     if max_files_per_trigger:
@@ -69,12 +98,7 @@ def run_incremental(spark: SparkSession, source: str, schema: T.StructType, sink
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         count["n"] += 1
-        batch.persist()
-        try:
-            fresh = new_rows(batch, sink, key, retry_errors, error_col)
-            transform(fresh).write.mode("append").parquet(sink)
-        finally:
-            batch.unpersist()
+        append(transform(new_rows(batch, sink, key, retry_errors, error_col)), sink, key)
         if fail_after_append:
             raise RuntimeError(f"simulated crash after batch {batch_id}")
 

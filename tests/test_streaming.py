@@ -2,7 +2,7 @@ import pytest
 
 from ratingspark.operators import enrich as EN
 from ratingspark.session import scratch_path
-from ratingspark.streaming.resume import run_incremental
+from ratingspark.streaming.resume import append, bucket_of, finished_keys, latest, new_rows, run_incremental
 
 
 def _transcribe(rows):
@@ -56,3 +56,25 @@ def test_retry_errors_reprocesses_failed_keys(spark):
     run_incremental(spark, src, schema, sink, scratch_path(spark, "ck2"), "doc_id", fixed, retry_errors=True)
     out = spark.read.parquet(sink)
     assert out.count() == 43 and out.where("error IS NULL").select("doc_id").distinct().count() == 40
+    view = latest(spark, sink, "doc_id")
+    assert view.columns == ["doc_id", "transcript", "error"] and view.count() == 40 and view.where("error IS NOT NULL").count() == 0
+
+
+def test_a_batch_reads_only_its_buckets(spark):
+    sink = scratch_path(spark, "sink")
+    append(spark.range(500).withColumnRenamed("id", "doc_id"), sink, "doc_id")
+    batch = spark.createDataFrame([(3, "a"), (1000, "b"), (1000, "a")], "doc_id long, text string")
+    assert [tuple(r) for r in new_rows(batch, sink, "doc_id").collect()] == [(1000, "a")]
+    buckets = [r[0] for r in batch.select(bucket_of("doc_id")).distinct().collect()]
+    plan = finished_keys(spark, sink, "doc_id", buckets)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [_bucket" in plan and len(buckets) <= 2
+    assert finished_keys(spark, sink, "doc_id", buckets).count() < 60
+
+
+def test_a_sink_without_the_key_is_an_error(spark):
+    sink = scratch_path(spark, "sink")
+    batch = spark.createDataFrame([(3, "a")], "doc_id long, text string")
+    assert new_rows(batch, sink, "doc_id").count() == 1  # nothing written yet
+    append(spark.range(5), sink, "id")
+    with pytest.raises(ValueError):
+        new_rows(batch, sink, "doc_id")
