@@ -30,8 +30,7 @@ def query_grid(spark: SparkSession, prefix: str = QUERY_PREFIX, suffix: str = QU
                extra=EXTRA_BATCHES) -> DataFrame:
     """One row per search query: ``qid, batch, query``; ``qid`` numbers batches in text order.
 
-    Built from generators (no join); its size is fixed by the parameters, which is
-    what makes it safe to broadcast.
+    Built from generators (no join); its size is fixed by the parameters.
     """
     short = spark.range(short_years[0], short_years[1] + 1).select(
         F.explode(F.array(*[F.concat(F.lit(code), F.col("id").cast("string")) for code, _ in seasons])).alias("batch"))
@@ -56,8 +55,8 @@ def grid_size(seasons=SEASONS, short_years=SHORT_YEARS, full_years=FULL_YEARS, e
 def search_hits_from_pages(pages: DataFrame, grid: DataFrame, n_queries: int) -> DataFrame:
     """Stand-in search results: each page is a hit of one grid query with a rank key.
 
-    ``qid, query, rank_key, page_id, title, link``. The grid has ``n_queries`` rows
-    (known from its parameters), so it is broadcast.
+    ``qid, query, rank_key, page_id, title, link``. The grid is the caller's: the planner broadcasts it if its
+    measured size allows.
     """
     hits = pages.select(
         "page_id",
@@ -66,7 +65,7 @@ def search_hits_from_pages(pages: DataFrame, grid: DataFrame, n_queries: int) ->
         tx.html_title("html").alias("title"),
         F.col("url").alias("link"),
     )
-    return hits.join(F.broadcast(grid.select("qid", "query")), "qid")
+    return hits.join(grid.select("qid", "query"), "qid")
 
 
 # Fixed value: the largest limit for which the planner puts a partial per-group limit before the exchange by default.

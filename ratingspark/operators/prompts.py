@@ -1,8 +1,8 @@
 """Prompt and chat assembly for judging and for training a distilled rater.
 
 A request row is (document, rubric). The rubric table is a handful of rows whose
-size is fixed by its parameters, so it is broadcast; everything else is per-row
-column expressions (no shuffle).
+size is fixed by its parameters; everything else is per-row
+column expressions.
 """
 
 from __future__ import annotations
@@ -42,15 +42,15 @@ def resolve_prompts(requests: DataFrame, rubrics: DataFrame, rubric_col: str = "
     An unknown rubric name falls back to ``default_rubric`` (the reference's
     if/elif/else); ``prompt_rubric`` says which rubric's text was used and
     ``unknown_rubric`` flags the fallback so it can be counted.
-    The rubric table is broadcast: its size is the number of rubrics.
+    The rubric table is the caller's: the planner broadcasts it if its measured size allows.
     """
-    names = F.broadcast(rubrics.select(F.col("rubric").alias("_r")).distinct())
+    names = rubrics.select(F.col("rubric").alias("_r")).distinct()
     flagged = requests.join(names, requests[rubric_col] == names["_r"], "left")
     unknown = F.col("_r").isNull()
     flagged = flagged.select(*[F.col(c) for c in requests.columns],
                              F.coalesce(F.col("_r"), F.lit(default_rubric)).alias("prompt_rubric"),
                              unknown.alias("unknown_rubric"))
-    rb = F.broadcast(rubrics.select(F.col("rubric").alias("prompt_rubric"), "system_prompt", "user_prefix"))
+    rb = rubrics.select(F.col("rubric").alias("prompt_rubric"), "system_prompt", "user_prefix")
     out = flagged.join(rb, "prompt_rubric", "left")
     return out.select(
         *[F.col(c) for c in requests.columns], "prompt_rubric", "unknown_rubric", "system_prompt",

@@ -60,14 +60,16 @@ def global_rank(df: DataFrame, order_cols: list[str], rank_col: str = "_rank",
     """0-based rank of each row in the total order ``order_cols`` (must be unique), computed
     without gathering the table in one task.
 
-    The table is range-partitioned and sorted within partitions, then written
-    as a reliable checkpoint so both passes below see the same partitions. Each
+    Only the order columns are ranked: they are range-partitioned (``spark.sql.shuffle.partitions`` unless given) and
+    sorted within partitions, then written as a reliable checkpoint so both passes below see the same partitions. Each
     partition's row count (a table with one row per partition) gives the
     offsets; a row's rank is its partition offset plus its index inside the
-    partition (the low 33 bits of ``monotonically_increasing_id``).
+    partition (the low 33 bits of ``monotonically_increasing_id``). The ranks then join the table by the order columns.
     """
-    n = num_partitions or df.sparkSession.sparkContext.defaultParallelism
-    ordered = cut_lineage(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols))
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(*order_cols)
+    ordered = cut_lineage(keys.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols))
     mid = F.monotonically_increasing_id()
     tagged = ordered.select("*", F.shiftright(mid, 33).alias("_pid"),
                             mid.bitwiseAND(F.lit((1 << 33) - 1)).alias("_idx"))
@@ -79,7 +81,12 @@ def global_rank(df: DataFrame, order_cols: list[str], rank_col: str = "_rank",
     ranked = tagged.join(F.broadcast(offsets), "_pid").withColumn(rank_col, F.col("_off") + F.col("_idx"))
     if total_col:
         ranked = ranked.withColumnRenamed("_tot", total_col)
-    return ranked.drop("_pid", "_idx", "_off", "_tot")
+    ranked = ranked.drop("_pid", "_idx", "_off", "_tot")
+    if set(df.columns) == set(order_cols):
+        return ranked
+    ranked = ranked.select(*[F.col(c).alias(f"_o{i}") if c in order_cols else F.col(c) for i, c in enumerate(ranked.columns)])
+    same = [df[c].eqNullSafe(ranked[f"_o{i}"]) for i, c in enumerate(order_cols)]
+    return df.join(ranked, same).drop(*[f"_o{i}" for i in range(len(order_cols))])
 
 
 def kfold_exact(df: DataFrame, key: str, k: int = 5, seed: int | str = 42, fold_col: str = "fold",

@@ -118,6 +118,8 @@ SQL["match_media"] = (
     f"LEFT JOIN (SELECT DISTINCT {SANITIZE.format('url')} AS name FROM pages) p ON contains(p.name, l.id) GROUP BY l.id"
 )
 
+SQL["media_listing"] = SQL["match_media"]
+
 # ---------------------------------------------------------------- reshaping, prompts, chats
 
 _NEST = ("struct_pack(" + ", ".join(

@@ -65,9 +65,10 @@ def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def list_media(spark: SparkSession, folder: str, glob: str = "*.mp4", recursive: bool = True) -> DataFrame:
-    """``path, name, length`` of media files. Only metadata is read: the content
-    column is pruned away, so file bodies never leave storage."""
+def list_media(spark: SparkSession, folder: str, glob: str = "*.mp4", recursive: bool = True,
+               name_pattern: str = r"([^/]*)$") -> DataFrame:
+    """``path, name, length`` of media files; ``name`` is the first group of ``name_pattern`` in the path. Only metadata
+    is read: the content column is pruned away, so file bodies never leave storage."""
     df = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
           .option("recursiveFileLookup", str(recursive).lower()).load(folder))
-    return df.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length")
+    return df.select("path", F.regexp_extract("path", name_pattern, 1).alias("name"), "length")

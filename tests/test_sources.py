@@ -38,7 +38,7 @@ def test_list_media_and_containment_match(spark):
     assert sorted(r.name for r in files.collect()) == ["intro_abc123.mp4", "other_777.mp4", "xyz_abc123_final.mp4"]
     ids = spark.createDataFrame([("abc123",), ("777",), ("nope",)], "id string")
     got = {r.id: r.name for r in MD.match_media(ids, files.select("name")).collect()}
-    assert got == {"abc123": "intro_abc123.mp4", "777": "other_777.mp4"}
+    assert got == {"abc123": "intro_abc123.mp4", "777": "other_777.mp4", "nope": None}
 
 
 def test_append_sink(spark):
