@@ -84,10 +84,10 @@ def dictionaries(docs: DataFrame, labelled: DataFrame) -> tuple[bytes, bytes] |
     return (train_dictionary(texts[1]), train_dictionary(texts[0])) if texts[1] and texts[0] else None
 
 
-def measure(docs: DataFrame, dicts: tuple[bytes, bytes], text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``packing`` (difference, packed) for every row's whole text."""
+def measure(docs: DataFrame, dicts: tuple[bytes, bytes], text: str = "text", name: str = "packing") -> DataFrame:
+    """``docs`` with a struct column ``name`` (difference, packed) for every row's whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(dicts)
-    out = docs.select("*", F.struct(F.lit(0.0).alias("difference"), F.lit(0.0).alias("packed")).alias("packing")).schema
+    out = docs.select("*", F.struct(F.lit(0.0).alias("difference"), F.lit(0.0).alias("packed")).alias(name)).schema
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +95,7 @@ def measure(docs: DataFrame, dicts: tuple[bytes, bytes], text: str = "text") ->
         for b in batches:
             pairs = np.array([sizes.features((t.as_py() or "").encode()) for t in b.column(at)]).reshape(-1, 2)
             packing = pa.StructArray.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["difference", "packed"])
-            yield pa.RecordBatch.from_arrays([*b.columns, packing], [*b.schema.names, "packing"])
+            yield pa.RecordBatch.from_arrays([*b.columns, packing], [*b.schema.names, name])
 
     return docs.mapInArrow(run, out)
 
@@ -167,5 +167,7 @@ def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     model = fit(docs, labels, key, text, label)
     if model.dicts is None:
         return docs
-    rows = docs.select(F.col(text).alias("text"), F.struct("*").alias("row"))
-    return measure(rows, model.dicts).filter(model.of(F.col("packing")) >= threshold).select("row.*")
+    name = "packing"
+    while name in docs.columns:
+        name = f"_{name}"
+    return measure(docs, model.dicts, text, name).filter(model.of(F.col(name)) >= threshold).drop(name)
