@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -50,6 +52,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     d = tempfile.mkdtemp(prefix="ratingspark-ckpt-")
+    atexit.register(shutil.rmtree, d, ignore_errors=True)  # only the folder made here; a named one is its owner's
     spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d

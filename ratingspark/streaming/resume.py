@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from ratingspark.operators.curate import first_by_key
 
 BUCKET, ATTEMPT = "_bucket", "_attempt"
-BUCKETS = 64
+BUCKETS = 32
 _EMPTY = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
 
 

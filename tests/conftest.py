@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -10,10 +9,10 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from ratingspark.session import build_session
 
-    ckpt = tempfile.mkdtemp(prefix="ratingspark-test-ckpt-")
+    ckpt = str(tmp_path_factory.mktemp("ckpt"))  # pytest keeps the last three runs' folders
     s = build_session("local[4]", 8, extra={"spark.checkpoint.dir": ckpt})
     s.sparkContext.setCheckpointDir(ckpt)
     yield s
