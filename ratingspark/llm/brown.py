@@ -1,14 +1,20 @@
 """Language-model scores from Brown classes: P(word | previous) = P(class | class of the previous) * P(word | class).
 
-All training words are counted by Spark. The ``UNITS`` most frequent words, and one stand-in for each of ``ENDINGS``
-groups of the other words (by a hash of their last letters), are clustered by the exchange algorithm on the class
-bigram likelihood; every word, seen or not, so has a class, and counts of neighbouring units are gathered from all
-training texts. A word's emission is its count over its class's; a class's transition counts are smoothed by 0.5. A word
+All training words are counted by Spark, and every word that occurs ``LEAST`` times is clustered by the exchange algorithm
+on the class bigram likelihood. The driver seeds the classes with the most frequent words and one stand-in for each of
+``ENDINGS`` groups of the other words (by a hash of their last letters). Then Spark gathers each word's neighbours by
+class from all training texts, a hash batch of the words at a time, and the words of the batch move to their best
+class; where all moves of a batch together lower the likelihood, only those of the largest gain stand, as many as raise
+it. Sweeps end when one raises the likelihood by less than ``ENOUGH`` of itself. Words that are rarer, or never seen, keep the class of their
+ending. The number of classes is the cube root of that of the clustered words, at least ``CLASSES``.
+
+A word's emission is its count over its class's; a class's transition counts are smoothed by 0.5. A word
 never seen has the probability that the base model gives it, and the rest is shared by the known words, so the
 probabilities of all next tokens sum to one.
 
 Words are looked up in a broadcast head of at most ``HEAD`` frequent words; a text's other words travel as (word, count)
-rows and join the table of all counts. The model's matrices are bounded by their parameters and live on the driver.
+rows and join the table of all counts. The driver and each worker hold a hash, a class and a batch number for each
+clustered word (some 11 bytes a word), never the words themselves beyond the head.
 
 Defined results: a null or empty text is the end token alone; white space around words does not matter; rows with
 null ids are trained on; repeated rows count and are scored as often as they occur; an empty training set knows nothing:
@@ -19,6 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 from zlib import crc32
 
@@ -30,6 +37,10 @@ from pyspark.sql import functions as F
 from ratingspark.llm.common import stored
 
 HEAD, HEAD_BYTES, UNITS, ENDINGS, CLASSES, PASSES = 200_000, 64, 480, 96, 40, 12
+#: Words seen so often are clustered one by one; every word moves once a sweep, together with its batch.
+LEAST, SWEEPS, BATCHES, ENOUGH = 5, 12, 4, 0.002
+#: Neighbours that a task sums up before it hands them on, words whose moves are weighed at once, and counts looked up.
+PENDING, CHUNK, SMALL = 4_000_000, 512, 16
 #: Words that a counting task holds before it hands its counts on.
 HELD = 1_000_000
 
@@ -77,43 +88,245 @@ def head_words(counts: DataFrame, limit: int = HEAD) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r.word), r.n) for r in found), key=lambda x: (-x[1], x[0]))
 
 
+def word_key(word: bytes) -> int:
+    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
+
+
 class Units:
-    """Maps words to units: 0 is the end token, then the frequent words, then the groups of endings."""
+    """Maps words to units: 0 is the end token, then the head words, the other clustered words in the order of their
+    keys, and the groups of endings."""
 
-    def __init__(self, head: list[tuple[bytes, int]], units: int = UNITS, endings: int = ENDINGS):
-        self.first_ending, self.endings = 1 + min(units, len(head)), endings
-        self.size = self.first_ending + endings
+    def __init__(self, head: list[tuple[bytes, int]], seeds: int = UNITS, endings: int = ENDINGS):
+        self.head, self.endings = len(head), endings
         self.place = {w: i for i, (w, _) in enumerate(head)}
-        self.head_unit = np.array([i + 1 if i < units else self.ending(w) for i, (w, _) in enumerate(head)] or [0], np.int32)
+        self.alone = np.array([n >= LEAST for _, n in head], bool)
+        self.seeds = min(seeds, int(self.alone.sum()))  # the head comes by falling counts
+        self.head_ending = np.array([self.ending(w) for w, _ in head], np.int64)
+        self.with_keys(np.zeros(0, np.int64))
+
+    def with_keys(self, keys: np.ndarray) -> Units:
+        """keys: sorted keys of the clustered words outside the head."""
+        self.keys = keys
+        self.first_ending = 1 + self.head + len(keys)
+        self.size = self.first_ending + self.endings
+        self.head_unit = np.where(self.alone, np.arange(self.head) + 1, self.first_ending + self.head_ending).astype(np.int32)
+        if not self.head:
+            self.head_unit = np.zeros(1, np.int32)
+        return self
 
     def ending(self, word: bytes) -> int:
-        return self.first_ending + crc32(word[-3:]) % self.endings
+        return crc32(word[-3:]) % self.endings
 
     def of(self, text: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(place in the head or -1, unit) of every word."""
         get = self.place.get
         at = np.array([get(w, -1) for w in text], np.int64)
         unit = self.head_unit[at] if len(at) else np.zeros(0, np.int32)
-        for i in np.flatnonzero(at < 0).tolist():
-            unit[i] = self.ending(text[i])
+        other = np.flatnonzero(at < 0)
+        if len(other):
+            rare = [text[i] for i in other.tolist()]
+            unit[other] = [self.first_ending + self.ending(w) for w in rare]
+            if len(self.keys):
+                key = np.array([word_key(w) for w in rare], np.int64)
+                found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                known = self.keys[found] == key
+                unit[other[known]] = 1 + self.head + found[known]
         return at, unit
 
 
-def unit_bigrams(texts: DataFrame, units) -> DataFrame:
-    """(a, b, n): neighbouring units over all rows of (text), ends included; at most units.size ** 2 rows a task."""
+def other_keys(counts: DataFrame, units) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the words to be clustered that are not in the head, and the group of endings of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = units.value
-        n = np.zeros(u.size * u.size, np.int64)
         for b in batches:
-            for t in b.column(0):
-                line = np.concatenate([[0], u.of(words(t.as_py()))[1], [0]]).astype(np.int64)
-                seen, times = np.unique(line[:-1] * u.size + line[1:], return_counts=True)
-                n[seen] += times
+            found = [w for w in b.column(0).to_pylist() if w not in u.place]
+            yield pa.RecordBatch.from_pydict({"key": pa.array([word_key(w) for w in found], pa.int64()),
+                                              "ending": pa.array([u.ending(w) for w in found], pa.int16())})
+
+    found = counts.filter(F.col("n") >= LEAST).select("word").mapInArrow(run, "key long, ending short").toArrow()
+    keys, first = np.unique(found.column("key").to_numpy(), return_index=True)
+    return keys, found.column("ending").to_numpy()[first].astype(np.int64)
+
+
+def encoded(texts: DataFrame, units) -> DataFrame:
+    """(line): the units of each row of (text) and the end token, 4 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u = units.value
+        for b in batches:
+            lines = [np.append(u.of(words(t.as_py()))[1], 0).astype("<i4").tobytes() for t in b.column(0)]
+            yield pa.RecordBatch.from_pydict({"line": pa.array(lines, pa.binary())})
+
+    return texts.mapInArrow(run, "line binary")
+
+
+def _line(batch: pa.RecordBatch) -> np.ndarray:
+    """All lines one after the other, with the end token in front."""
+    return np.frombuffer(b"".join([b"\0\0\0\0", *batch.column(0).to_pylist()]), "<i4")
+
+
+def class_bigrams(lines: DataFrame, label: np.ndarray, classes: int) -> np.ndarray:
+    """How often a unit of class b follows one of class a, over all lines; at most classes ** 2 rows a task."""
+    shared = lines.sparkSession.sparkContext.broadcast(label)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(classes * classes, np.int64)
+        for b in batches:
+            line = shared.value[_line(b)].astype(np.int64)
+            n += np.bincount(line[:-1] * classes + line[1:], minlength=len(n))
         at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_pydict({"a": (at // u.size).astype(np.int32), "b": (at % u.size).astype(np.int32), "n": n[at]})
+        yield pa.RecordBatch.from_pydict({"at": at, "n": n[at]})
+
+    found = lines.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(classes * classes, np.int64)
+    n[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    shared.destroy()
+    return n.reshape(classes, classes)
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def neighbours(lines: DataFrame, state, batch: int, classes: int) -> DataFrame:
+    """(unit, at, n) of the batch's words, summed per task: at is the class of the next unit, ``classes`` + that of the one
+    before, or 2 * ``classes`` where a unit follows itself."""
+    width = 2 * classes + 1
 
-    return texts.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, group = state.value
+
+        def handed_on(held):
+            key, n = _summed(*map(np.concatenate, zip(*held, strict=True)))
+            return pa.RecordBatch.from_pydict({"unit": (key // width).astype(np.int32), "at": (key % width).astype(np.int32), "n": n})
+
+        held, pending = [], 0
+        for b in batches:
+            line = _line(b)
+            kind, here = label[line].astype(np.int64), group[line] == batch
+            same = line[:-1] == line[1:]
+            left, right = np.flatnonzero(here[:-1]), np.flatnonzero(here[1:] & ~same)
+            key = np.concatenate([line[left].astype(np.int64) * width + np.where(same[left], 2 * classes, kind[left + 1]),
+                                  line[right + 1].astype(np.int64) * width + classes + kind[right]])
+            held.append(np.unique(key, return_counts=True))
+            pending += len(held[-1][0])
+            if pending > PENDING:
+                yield handed_on(held)
+                held, pending = [], 0
+        if held:
+            yield handed_on(held)
+
+    return lines.mapInArrow(run, "unit int, at int, n long")
+
+
+def moves(found: DataFrame, state, n: np.ndarray) -> DataFrame:
+    """(unit, class, gain) of the units that gain by another class. found: neighbours; all rows of a unit meet in one task."""
+    classes = len(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, _ = state.value
+        held = [[c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns] for b in batches]
+        if not held:
+            return
+        unit, at, times = map(np.concatenate, zip(*held, strict=True))
+        key, times = _summed(unit * (2 * classes + 1) + at, times)
+        unit, at = np.divmod(key, 2 * classes + 1)
+        starts = np.flatnonzero(np.diff(unit, prepend=-1))
+        weigh = Gains(n)
+        for i in range(0, len(starts), CHUNK):
+            part = slice(starts[i], starts[i + CHUNK] if i + CHUNK < len(starts) else len(unit))
+            names = unit[starts[i:i + CHUNK]]
+            old = label[names].astype(np.int64)
+            new, gain = weigh.best(np.searchsorted(names, unit[part]), at[part], times[part].astype(float), old)
+            left = new != old
+            yield pa.RecordBatch.from_pydict({"unit": names[left].astype(np.int32), "class": new[left].astype(np.int32),
+                                              "gain": gain[left].astype(np.float32)})
+
+    return found.repartition("unit").mapInArrow(run, "unit int, class int, gain float")
+
+
+class Gains:
+    """Gain in the class bigram likelihood of putting one unit into each class, all others left where they are."""
+
+    def __init__(self, n: np.ndarray):
+        self.n = n = n.astype(float)
+        self.rows, self.cols = n.sum(1), n.sum(0)
+        small = np.arange(SMALL + 1.0)[:, None, None]
+        # [times, class of the neighbour, class joined]
+        self.out, self.into = (_f(m[None] + small) - _f(m)[None] for m in (n.T, n))
+
+    def best(self, row: np.ndarray, at: np.ndarray, times: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(best class, gain over the present one) of each unit. row, at, times: neighbours by unit number, sorted; old: class of each unit."""
+        classes, units = len(self.n), len(old)
+        dense = np.zeros((units, 2 * classes + 1))
+        dense[row, at] = times
+        out, into, own = dense[:, :classes], dense[:, classes:-1], dense[:, -1]
+        each = np.arange(units)
+        gain = np.zeros((units, classes))
+        for shift, table, m, mine, cross in ((0, self.out, self.n.T, out, into), (classes, self.into, self.n, into, out)):
+            pick = np.flatnonzero((at >= shift) & (at < shift + classes))
+            if not len(pick):
+                continue
+            u, d, x = row[pick], at[pick] - shift, times[pick]
+            value = table[np.minimum(x, SMALL).astype(np.int64), d]
+            many = np.flatnonzero(x > SMALL)
+            value[many] = _f(m[d[many]] + x[many, None]) - _f(m[d[many]])
+            # The counts without the unit itself: less in the row of its class, and where its class is the neighbour's.
+            less = m[d, old[u]] - x - np.where(d == old[u], cross[u, old[u]] + own[u], 0)
+            home = np.flatnonzero(d == old[u])
+            rest = m[d[home]] - cross[u[home]]
+            value[home] = _f(rest + x[home, None]) - _f(rest)
+            value[np.arange(len(u)), old[u]] = _f(less + x) - _f(less)
+            first = np.flatnonzero(np.diff(u, prepend=-1))
+            gain[u[first]] += np.add.reduceat(value, first)
+        corner = np.broadcast_to(np.diag(self.n), (units, classes)).copy()
+        corner[each, old] -= out[each, old] + into[each, old] + own
+        gain += _f(corner + out + into + own[:, None]) + _f(corner) - _f(corner + out) - _f(corner + into)
+        for total, mine in ((self.rows, out.sum(1) + own), (self.cols, into.sum(1) + own)):
+            rest = np.broadcast_to(total, (units, classes)).copy()
+            rest[each, old] -= mine
+            gain -= _f(rest + mine[:, None]) - _f(rest)
+        gain[:, 0] = -np.inf
+        new = gain.argmax(1)
+        more = gain[each, new] - gain[each, old]
+        return np.where(more > 1e-9, new, old), more
+
+
+def likelihood(n: np.ndarray) -> float:
+    n = n.astype(float)
+    return float(_f(n).sum() - _f(n.sum(1)).sum() - _f(n.sum(0)).sum())
+
+
+def cluster(lines: DataFrame, label: np.ndarray, group: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each unit, class bigrams) after at most ``SWEEPS`` sweeps over the batches that ``group`` puts the units
+    in; units in none stay."""
+    context = lines.sparkSession.sparkContext
+    n = class_bigrams(lines, label, classes)
+    worth = likelihood(n)
+    for _ in range(SWEEPS):
+        before = worth
+        for batch in range(BATCHES):
+            state = context.broadcast((label, group))
+            # At most the units of the batch, 12 bytes each.
+            found = moves(neighbours(lines, state, batch, classes), state, n).toArrow()
+            state.destroy()
+            unit, to, gain = (found.column(c).to_numpy() for c in ("unit", "class", "gain"))
+            order = np.lexsort((unit, -gain))
+            while len(order):
+                trial = label.copy()
+                trial[unit[order]] = to[order]
+                then = class_bigrams(lines, trial, classes)
+                if likelihood(then) > worth:
+                    label, n, worth = trial, then, likelihood(then)
+                    break
+                order = order[:len(order) // 4]
+        if worth - before <= ENOUGH * abs(worth):
+            break
+    return label, n
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -178,20 +391,28 @@ class Model(NamedTuple):
 def train(texts: DataFrame, counts: DataFrame) -> Model:
     """The model of all rows of (text); counts: their stored word counts."""
     spark = texts.sparkSession
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"),
+                       F.count(F.when(F.col("n") >= LEAST, 1)).alias("clustered")).first()
     ends = texts.count()
     n, v = total.n + ends, total.v + (ends > 0)
-    head = head_words(counts)
-    units = Units(head)
-    pairs = np.zeros((units.size, units.size), np.int64)
-    # At most units.size ** 2 rows.
-    found = unit_bigrams(texts, spark.sparkContext.broadcast(units)).toArrow()
-    pairs[found.column("a").to_numpy(), found.column("b").to_numpy()] = found.column("n").to_numpy()
-    label = exchange(pairs)
-    member = np.eye(CLASSES)[label]
-    follows = member.T @ pairs @ member
+    head = head_words(counts, HEAD)
+    classes = max(CLASSES, round(total.clustered ** (1 / 3)))
+    units = Units(head, max(UNITS, 8 * (classes - CLASSES)))
+    keys, ending = other_keys(counts, spark.sparkContext.broadcast(units))
+    units.with_keys(keys)
+    lines = stored(encoded(texts, spark.sparkContext.broadcast(units)), "brown-lines")
+
+    # Seed units: the end token, the most frequent words, the groups of endings.
+    seed = 1 + units.seeds + np.concatenate([[0], units.head_ending, ending, np.arange(units.endings)]).astype(np.int64)
+    seed[:1 + units.seeds] = np.arange(1 + units.seeds)
+    seeds = 1 + units.seeds + units.endings
+    label = exchange(class_bigrams(lines, seed.astype(np.int32), seeds), classes)[seed].astype(np.uint16)
+    group = np.full(units.size, BATCHES, np.uint8)  # the end token and the endings are in no batch
+    group[1:1 + units.head] = [word_key(w) % BATCHES for w, _ in head]
+    group[1 + units.head:units.first_ending] = keys % BATCHES
+    label, follows = cluster(lines, label, group, classes)
     of_class = follows.sum(0)
-    chance = (follows + 0.5) / (follows.sum(1, keepdims=True) + 0.5 * CLASSES)
+    chance = (follows + 0.5) / (follows.sum(1, keepdims=True) + 0.5 * classes)
     denominator = n + 0.5 * (v + 1)
     step = np.log10(chance) - np.log10(np.maximum(of_class, 1))[None, :]
     many = np.array([c for _, c in head] or [1], float)

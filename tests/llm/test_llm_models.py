@@ -185,6 +185,42 @@ def test_exchange_finds_the_classes():
     assert len(set(zip(truth.tolist(), got.tolist(), strict=True))) == 4
 
 
+def test_words_beyond_the_seeds_are_clustered_by_their_neighbours(spark, monkeypatch):
+    rng = random.Random(8)
+    a, b = [f"a{i:03d}" for i in range(600)], [f"b{i:03d}" for i in range(600)]  # each ending holds one of either kind
+    lines = [" ".join(rng.choice(a if k % 2 else b) for k in range(40)) for _ in range(600)]
+    monkeypatch.setattr(brown, "HEAD", 700)  # the others have their class by key
+    table = docs(spark, list(enumerate(lines))).select("text")
+    m = brown.train(table, brown.word_counts(table).cache())
+    assert len(m.units.head_unit) <= 700
+    kinds = [m.label[m.units.of([w.encode() for w in names])[1]].tolist() for names in (a, b)]
+    both = np.array([np.bincount(k, minlength=m.label.max() + 1) for k in kinds])
+    assert both.max(0).sum() > 0.97 * both.sum()
+
+
+def test_weighed_moves_are_exact():
+    rng = np.random.default_rng(3)
+    units, classes = 30, 6
+    pairs = rng.poisson(rng.choice([0, 0.5, 30], (units, units)))
+    label = np.concatenate([[0], rng.integers(1, classes, units - 1)])
+    counted = lambda label: np.eye(classes)[label].T @ pairs @ np.eye(classes)[label]
+    row, at, times = [], [], []
+    for u in range(1, units):
+        line, back = pairs[u].copy(), pairs[:, u].copy()
+        line[u] = back[u] = 0
+        found = np.concatenate([np.bincount(label, line, classes), np.bincount(label, back, classes), [pairs[u, u]]])
+        for k in np.flatnonzero(found):
+            row, at, times = [*row, u - 1], [*at, k], [*times, found[k]]
+    got = brown.Gains(counted(label)).best(np.array(row), np.array(at), np.array(times, float), label[1:])[0]
+    for u in range(1, units):
+        worth = []
+        for c in range(1, classes):
+            trial = label.copy()
+            trial[u] = c
+            worth.append(brown.likelihood(counted(trial)))
+        assert worth[got[u - 1] - 1] == pytest.approx(max(worth), abs=1e-6)
+
+
 def test_nothing_learned_or_nothing_to_score(spark):
     held = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 5 == 1)
     row = brown.score(docs(spark, [(held, "a b")])).first()
