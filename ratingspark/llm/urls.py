@@ -3,8 +3,9 @@
 A host's labels are cut at dots and hyphens, and what is left is segmented into words by a unigram Viterbi search
 (``cheappills`` becomes ``cheap pills``). Multinomial naive Bayes then scores those words and the path's tokens. Unigram
 counts come from all page titles, path tokens and hyphenated host labels; class counts from all pages, where a page is
-an example of ``block`` if one of its delimited host parts is a seed word, and of ``allow`` otherwise. The tables that
-are kept and broadcast hold the ``VOCABULARY`` most frequent entries; everything else counts as unknown.
+an example of ``block`` if one of its delimited host parts is a seed word, and of ``allow`` otherwise. Every counted
+word enters the segmentation: each distinct host part is joined with the counts of its own substrings. The class counts
+that are kept and broadcast hold the ``VOCABULARY`` most frequent entries; everything else counts as unknown.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and has no words, so the
 class priors decide; an empty page table gives an empty table; repeated pages are judged alike; null titles add nothing.
@@ -61,20 +62,12 @@ def fitting(rules, host: Column, path: Column) -> Column:
 class Segmenter:
     """Most probable split of a name into words under unigram counts; unknown words cost ten times more a letter."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = max(1, sum(counts.values()))
-        self.cost = {w: math.log(total / n) for w, n in counts.items()}
-        self.unknown = [math.log(total) + k * math.log(10) for k in range(LONGEST_WORD + 1)]
-        self.known: dict[str, list[str]] = {}
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        self.total = max(1, sum(counts.values()) if total is None else total)
+        self.cost = {w: math.log(self.total / n) for w, n in counts.items()}
+        self.unknown = [math.log(self.total) + k * math.log(10) for k in range(LONGEST_WORD + 1)]
 
     def __call__(self, name: str) -> list[str]:
-        if (found := self.known.get(name)) is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            found = self.known[name] = self.split(name)
-        return found
-
-    def split(self, name: str) -> list[str]:
         best, cut = [0.0], [0]
         for end in range(1, len(name) + 1):
             costs = [(best[start] + self.cost.get(name[start:end], self.unknown[end - start]), start)
@@ -89,42 +82,66 @@ class Segmenter:
         return words[::-1]
 
 
-def tokens(host: str, path: str, segment: Segmenter) -> list[str]:
-    """Words of the host (top-level domain left out) and tokens of the path, marked apart; numbers count as one."""
+def parts(host: str) -> list[str]:
+    """The delimited parts of a host, top-level domain left out."""
     labels = host.split(".")[:-1] or [host]
-    words = [w for label in labels for part in re.split(r"[^0-9a-z]+", label) if part
-             for w in (segment(part) if part.isalpha() else [part])]
-    steps = [t for t in re.split(r"[^0-9a-z]+", path.lower()) if t]
-    return [*words, *("/" + ("#" if t.isdigit() else t) for t in steps)]
-
+    return [part for label in labels for part in re.split(r"[^0-9a-z]+", label) if part]
 
-def _most_frequent(words: DataFrame, by: list[str]) -> list:
-    return (words.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *by).limit(VOCABULARY).collect())
 
-
-def unigrams(pages: DataFrame) -> dict[str, int]:
-    """Counts of the most frequent words of titles, paths and hyphenated host labels. pages: host, path, html."""
+def unigrams(pages: DataFrame) -> DataFrame:
+    """(word, n): all words of titles, paths and hyphenated host labels. pages: host, path, html. Seeds count once at least."""
     title = F.regexp_extract(F.coalesce("html", F.lit("")), "(?s)<title>([^<]*)", 1)
     labels = F.filter(F.split("host", r"\."), lambda x: x.contains("-"))
     text = F.lower(F.concat_ws(" ", title, F.col("path"), F.array_join(labels, " ")))
     words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word"))
-    found = _most_frequent(words.filter(F.length("word").between(2, LONGEST_WORD)), ["word"])
-    counts = {r.word: r.n for r in found}
-    return {w: counts.get(w, 1) for w in {*counts, *SEEDS}}
+    found = words.filter(F.length("word").between(2, LONGEST_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    least = pages.sparkSession.createDataFrame([(w, 0) for w in SEEDS], "word string, n long")
+    return found.unionByName(least).groupBy("word").agg(F.greatest(F.sum("n"), F.lit(1)).alias("n"))
 
 
-def tokenised(pages: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """Adds ``tokens`` to (id, host, path)."""
-    shared = pages.sparkSession.sparkContext.broadcast(counts)
+def segmented(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(host, words) of distinct (host). counts: stored (word, n); each distinct name meets the counts of its own
+    substrings, by a join with all of them."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment = Segmenter(shared.value)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [tokens(h.as_py(), p.as_py(), segment) for h, p in zip(b.column(1), b.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.string()))], ["id", "host", "path", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([parts(h.as_py()) for h in b.column(0)], pa.list_(pa.string()))],
+                                             ["host", "parts"])
 
+    def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                found = sorted({name[i:k] for i in range(len(name)) for k in range(i + 2, min(len(name), i + LONGEST_WORD) + 1)})
+                yield pa.RecordBatch.from_pydict({"name": pa.array([name] * len(found), pa.string()), "word": pa.array(found, pa.string())})
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [Segmenter({x["word"]: x["n"] for x in known}, total)(name)
+                     for name, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], ["name", "split"])
+
+    cuts = stored(hosts.mapInArrow(cut, "host string, parts array<string>"), "url-hosts")
+    each = cuts.select("host", F.posexplode("parts").alias("at", "name"))
+    alpha = F.col("name").rlike("^[a-z]+$")
+    names = each.filter(alpha).select("name").distinct()
+    known = names.mapInArrow(substrings, "name string, word string").join(counts, "word")
+    lists = known.groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    splits = (names.join(lists, "name", "left").select("name", F.coalesce("known", F.array().cast("array<struct<word:string,n:bigint>>")).alias("known"))
+              .mapInArrow(split, "name string, split array<string>"))
+    placed = each.join(splits, "name", "left").groupBy("host").agg(
+        F.array_sort(F.collect_list(F.struct("at", F.coalesce("split", F.array("name")).alias("split")))).alias("found"))
+    return cuts.select("host").join(placed, "host", "left").select(
+        "host", F.coalesce(F.flatten(F.col("found.split")), F.array().cast("array<string>")).alias("words"))
+
+
+def tokenised(pages: DataFrame, counts: DataFrame) -> DataFrame:
+    """(id, host, path, tokens): words of the host, then tokens of the path. counts: stored (word, n)."""
     rows = pages.select("id", "host", "path")
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, host string, path string, tokens array<string>")
+    words = stored(segmented(rows.select("host").distinct(), counts), "url-splits")
+    marked = F.transform(F.filter(F.split(F.lower("path"), "[^0-9a-z]+"), lambda t: t != ""),
+                         lambda t: F.concat(F.lit("/"), F.when(t.rlike("^[0-9]+$"), "#").otherwise(t)))
+    return rows.join(words, "host").select("id", "host", "path", F.concat("words", marked).alias("tokens"))
 
 
 class Bayes(NamedTuple):
@@ -156,7 +173,7 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     ``block``), the naive Bayes log odds of ``block``, and the words they are made of."""
     u = F.col(url)
     rows = pages.select(F.col(key).alias("id"), host(u).alias("host"), path(u).alias("path"), F.col(html).alias("html"))
-    words = stored(tokenised(rows, unigrams(rows)), "url-words")
+    words = stored(tokenised(rows, stored(unigrams(rows), "url-unigrams")), "url-words")
     model = train(words, seeds)
     shared = pages.sparkSession.sparkContext.broadcast(model)
 

@@ -283,3 +283,11 @@ def test_viterbi_is_the_best_split():
     for _ in range(200):
         name = "".join(rng.choice("abcx") for _ in range(rng.randint(1, 9)))
         assert sum(map(cost, s(name))) == pytest.approx(min(sum(map(cost, x)) for x in splits(name)))
+
+
+def test_every_counted_word_is_used_in_segmentation(spark, monkeypatch):
+    monkeypatch.setattr(urls, "VOCABULARY", 30)
+    many = [f"http://www.x{'abcdefghijklmnopqrstuvwxyz'[i % 26]}-site.net/word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    many += ["http://www.maple-kettle.net/p", "http://www.maplekettle.org/p"]
+    row = urls.judge(pages(spark, many)).filter("host = 'www.maplekettle.org'").first()
+    assert row.tokens == ["www", "maple", "kettle", "/p"]
