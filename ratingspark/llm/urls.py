@@ -4,8 +4,9 @@ A host's labels are cut at dots and hyphens, and what is left is segmented into
 (``cheappills`` becomes ``cheap pills``). Multinomial naive Bayes then scores those words and the path's tokens. Unigram
 counts come from all page titles, path tokens and hyphenated host labels; class counts from all pages, where a page is
 an example of ``block`` if one of its delimited host parts is a seed word, and of ``allow`` otherwise. Every counted
-word enters the segmentation: each distinct host part is joined with the counts of its own substrings. The class counts
-that are kept and broadcast hold the ``VOCABULARY`` most frequent entries; everything else counts as unknown.
+word enters the segmentation: each distinct host part is joined with the counts of its own substrings. Class
+counts hold one row per token with both classes; the ``VOCABULARY`` most frequent tokens are broadcast as a fast path,
+and a page's other tokens join the table of all, with the same result.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and has no words, so the
 class priors decide; an empty page table gives an empty table; repeated pages are judged alike; null titles add nothing.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -145,27 +147,54 @@ def tokenised(pages: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 class Bayes(NamedTuple):
-    """Log odds of ``block`` over ``allow``: of no token, of each known token, and of any other."""
+    """Log odds of ``block`` over ``allow``: of no token, of each token of the head, and of one in no example."""
 
     prior: float
-    odds: dict[str, float]
+    head: dict[str, float]
     other: float
 
 
-def train(words: DataFrame, seeds=SEEDS) -> Bayes:
-    """Multinomial naive Bayes from all rows of (host, tokens)."""
+def train(words: DataFrame, seeds=SEEDS) -> tuple[Bayes, DataFrame]:
+    """Multinomial naive Bayes from all rows of (host, tokens): the model with its broadcast head, and the stored
+    (token, odds) of all tokens."""
     parts = F.split("host", "[^0-9a-z]+")
     named = words.withColumn("bad", F.arrays_overlap(parts, F.array(*map(F.lit, seeds))))
     docs = {r.bad: r.n for r in named.groupBy("bad").agg(F.count(F.lit(1)).alias("n")).collect()}
-    totals = named.select("bad", F.explode("tokens").alias("token"))
-    mass = {r.bad: r.n for r in totals.groupBy("bad").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts: dict[str, list[int]] = {}
-    for r in _most_frequent(totals, ["token", "bad"]):
-        counts.setdefault(r.token, [0, 0])[r.bad] = r.n
-    size = len(counts) + 1
-    log = lambda n, bad: math.log((n + 1) / (mass.get(bad, 0) + size))
-    return Bayes(math.log((docs.get(True, 0) + 1) / (docs.get(False, 0) + 1)),
-                 {t: log(n[1], True) - log(n[0], False) for t, n in counts.items()}, log(0, True) - log(0, False))
+    counts = stored(named.select("bad", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count_if("bad").alias("block"), F.count_if(~F.col("bad")).alias("allow")), "url-counts")
+    sums = counts.agg(F.count(F.lit(1)).alias("size"), F.coalesce(F.sum("block"), F.lit(0)).alias("block"),
+                      F.coalesce(F.sum("allow"), F.lit(0)).alias("allow")).first()
+    size = sums.size + 1
+    other = math.log(1 / (sums.block + size)) - math.log(1 / (sums.allow + size))
+    odds = counts.select("token", (F.col("block") + F.col("allow")).alias("n"),
+                         (F.log((F.col("block") + 1) / F.lit(float(sums.block + size)))
+                          - F.log((F.col("allow") + 1) / F.lit(float(sums.allow + size)))).alias("odds"))
+    head = odds.orderBy(F.desc("n"), "token").limit(VOCABULARY).collect()
+    return Bayes(math.log((docs.get(True, 0) + 1) / (docs.get(False, 0) + 1)), {r.token: r.odds for r in head}, other), odds
+
+
+def scored(words: DataFrame, model: Bayes, odds: DataFrame) -> DataFrame:
+    """Adds ``log_odds`` to stored (row, id, host, path, tokens); row is unique."""
+    shared = words.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            tokens = b.column(1).to_pylist()
+            part = [m.prior + math.fsum(m.head.get(t, 0.0) for t in x) for x in tokens]
+            tail = [list(Counter(t for t in x if t not in m.head).items()) for x in tokens]
+            kind = pa.list_(pa.struct([("token", pa.string()), ("times", pa.int64())]))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(part, pa.float64()), pa.array([[{"token": t, "times": n} for t, n in x] for x in tail], kind)],
+                ["row", "part", "tail"])
+
+    parts = stored(words.select("row", "tokens").mapInArrow(
+        run, "row long, part double, tail array<struct<token:string,times:long>>"), "url-parts")
+    more = (parts.select("row", F.inline("tail")).join(odds, "token", "left").groupBy("row")
+            .agg(F.sum(F.col("times") * F.coalesce("odds", F.lit(model.other))).alias("more")))
+    sums = parts.select("row", "part").join(more, "row", "left").select(
+        "row", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("log_odds"))
+    return words.join(sums, "row")
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES, seeds=SEEDS) -> DataFrame:
@@ -173,22 +202,11 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     ``block``), the naive Bayes log odds of ``block``, and the words they are made of."""
     u = F.col(url)
     rows = pages.select(F.col(key).alias("id"), host(u).alias("host"), path(u).alias("path"), F.col(html).alias("html"))
-    words = stored(tokenised(rows, stored(unigrams(rows), "url-unigrams")), "url-words")
-    model = train(words, seeds)
-    shared = pages.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            scores = [m.prior + sum(m.odds.get(t, m.other) for t in x.as_py()) for x in b.column(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())],
-                                             ["id", "host", "path", "tokens", "log_odds"])
-
-    kind = words.schema["id"].dataType.simpleString()
-    scored = words.select("id", "host", "path", "tokens").mapInArrow(
-        run, f"id {kind}, host string, path string, tokens array<string>, log_odds double")
+    words = tokenised(rows, stored(unigrams(rows), "url-unigrams"))
+    words = stored(words.withColumn("row", F.monotonically_increasing_id()), "url-words")
+    judged = scored(words, *train(words, seeds))
     fit = fitting(rules, F.col("host"), F.col("path"))
-    return scored.withColumn("fit", fit).select(
+    return judged.withColumn("fit", fit).select(
         F.col("id").alias(key), "host", "path", F.col("fit.rule").alias("rule"),
         F.coalesce("fit.verdict", F.when(F.col("log_odds") > 0, "block").otherwise("allow")).alias("verdict"),
         "log_odds", "tokens")

@@ -291,3 +291,12 @@ def test_every_counted_word_is_used_in_segmentation(spark, monkeypatch):
     many += ["http://www.maple-kettle.net/p", "http://www.maplekettle.org/p"]
     row = urls.judge(pages(spark, many)).filter("host = 'www.maplekettle.org'").first()
     assert row.tokens == ["www", "maple", "kettle", "/p"]
+
+
+def test_no_class_count_is_cut(spark, monkeypatch):
+    many = [f"http://www.cheap-pills{i}.net/p/only{i % 7}" for i in range(20)]
+    many += [f"http://www.quiet-garden{i}.net/p/other{i % 9}/p" for i in range(60)] + [None, "http://www.only3.net/only3/only3"]
+    whole = [r.log_odds for r in urls.judge(pages(spark, many)).orderBy("page_id").collect()]
+    monkeypatch.setattr(urls, "VOCABULARY", 4)
+    again = [r.log_odds for r in urls.judge(pages(spark, many)).orderBy("page_id").collect()]
+    assert again == pytest.approx(whole, abs=1e-9) and len(set(whole)) > 10
