@@ -3,7 +3,7 @@
 A host's labels are cut at dots and hyphens, and what is left is segmented into words by a unigram Viterbi search
 (``cheappills`` becomes ``cheap pills``). Multinomial naive Bayes then scores those words and the path's tokens. Unigram
 counts come from all page titles, path tokens and hyphenated host labels; class counts from all pages, where a page is
-an example of ``block`` if one of its delimited host parts is a seed word, and of ``allow`` otherwise. Every counted
+an example of ``block`` if a delimited part of its host or a word that it is segmented into is a seed, and of ``allow`` otherwise. Every counted
 word enters the segmentation: each distinct host part is joined with the counts of its own substrings. Class
 counts hold one row per token with both classes; the ``VOCABULARY`` most frequent tokens are broadcast as a fast path,
 and a page's other tokens join the table of all, with the same result.
@@ -157,7 +157,7 @@ class Bayes(NamedTuple):
 def train(words: DataFrame, seeds=SEEDS) -> tuple[Bayes, DataFrame]:
     """Multinomial naive Bayes from all rows of (host, tokens): the model with its broadcast head, and the stored
     (token, odds) of all tokens."""
-    parts = F.split("host", "[^0-9a-z]+")
+    parts = F.array_union(F.split("host", "[^0-9a-z]+"), "tokens")  # path tokens begin with a slash and are no seeds
     named = words.withColumn("bad", F.arrays_overlap(parts, F.array(*map(F.lit, seeds))))
     docs = {r.bad: r.n for r in named.groupBy("bad").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = stored(named.select("bad", F.explode("tokens").alias("token")).groupBy("token").agg(

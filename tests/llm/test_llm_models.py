@@ -300,3 +300,10 @@ def test_no_class_count_is_cut(spark, monkeypatch):
     monkeypatch.setattr(urls, "VOCABULARY", 4)
     again = [r.log_odds for r in urls.judge(pages(spark, many)).orderBy("page_id").collect()]
     assert again == pytest.approx(whole, abs=1e-9) and len(set(whole)) > 10
+
+
+def test_concatenated_seed_hosts_are_examples_of_block(spark):
+    many = ["http://www.cheappills.net/p"] * 40 + ["http://www.cheap-pills.net/p"] * 10 + ["http://www.quiet-garden.net/p"] * 70
+    rows = urls.judge(pages(spark, many)).collect()
+    assert {(r.host, r.verdict) for r in rows} == {("www.cheappills.net", "block"), ("www.cheap-pills.net", "block"),
+                                                   ("www.quiet-garden.net", "allow")}
