@@ -1,6 +1,6 @@
 """URL filter: longest matching rule, else naive Bayes over the words that a host and path are made of.
 
-A host's labels are cut at dots and hyphens, and what is left is segmented into words by a unigram Viterbi search
+A host's labels are cut at dots, hyphens and between letters and digits, and what is left is segmented into words by a unigram Viterbi search
 (``cheappills`` becomes ``cheap pills``). Multinomial naive Bayes then scores those words and the path's tokens. Unigram
 counts come from all page titles, path tokens and hyphenated host labels; class counts from all pages, where a page is
 an example of ``block`` if a delimited part of its host or a word that it is segmented into is a seed, and of ``allow`` otherwise. Every counted
@@ -85,9 +85,9 @@ class Segmenter:
 
 
 def parts(host: str) -> list[str]:
-    """The delimited parts of a host, top-level domain left out."""
+    """The letter runs and digit runs of a host, top-level domain left out."""
     labels = host.split(".")[:-1] or [host]
-    return [part for label in labels for part in re.split(r"[^0-9a-z]+", label) if part]
+    return [part for label in labels for part in re.findall("[a-z]+|[0-9]+", label)]
 
 
 def unigrams(pages: DataFrame) -> DataFrame:

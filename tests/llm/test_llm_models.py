@@ -307,3 +307,9 @@ def test_concatenated_seed_hosts_are_examples_of_block(spark):
     rows = urls.judge(pages(spark, many)).collect()
     assert {(r.host, r.verdict) for r in rows} == {("www.cheappills.net", "block"), ("www.cheap-pills.net", "block"),
                                                    ("www.quiet-garden.net", "allow")}
+
+
+def test_letters_beside_digits_are_segmented(spark):
+    many = ["http://www.cheap-pills.net/p"] * 10 + ["http://www.quiet-garden.net/p"] * 20 + ["http://www.cheappills24.net/p"]
+    row = urls.judge(pages(spark, many)).filter("host = 'www.cheappills24.net'").first()
+    assert row.tokens == ["www", "cheap", "pills", "24", "/p"] and row.verdict == "block"
