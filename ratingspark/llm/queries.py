@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratingspark.llm import bpe, brown, compression, exact_dedup, mix, quality_rules, repeats, shards, simhash, urls
+from ratingspark.llm import (bpe, brown, compression, exact_dedup, licenses, mix, periodic, quality_rules, repeats, shards, simhash,
+                             urls, whitening)
 from ratingspark.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +92,26 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.assign(table(spark, sf_dir, "documents"), keep="max")
 
 
+@query
+def op11_periodic(spark, sf_dir):
+    """The runs of every document, of which every tenth hash of an id is given a periodic end first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic.digests(periodic.find_runs(docs))
+
+
+@query
+def op12_licenses(spark, sf_dir):
+    """Every document's licence phrases and the labels of the templates found in it."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    """Every embedding on the first eight whitened components of all of them."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 8, scale=1024, offset=100_000).select(
+        "vec_id", "component", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
 SQL["op1_mix"] = r"""
 WITH sized AS (
   SELECT doc_id, '=' || source AS s, source,
@@ -154,3 +175,42 @@ WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
            FROM documents),
 h AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM h"""
+
+
+def _licenses_sql() -> str:
+    words = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+             r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+    rows = ", ".join(f"({i}, '{t.label}', '{t.text}', {str(t.phrase).lower()})" for i, t in enumerate(licenses.TEMPLATES))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS words FROM documents),
+tw AS (SELECT t, label, phrase, {words} AS words FROM (VALUES {rows}) AS v(t, label, text, phrase)),
+tk AS (SELECT *, len(words) AS length, least({licenses.K}, len(words)) AS k FROM tw),
+tg AS (SELECT t, label, phrase, length, k, t_at, array_to_string(words[t_at + 1:t_at + k], ' ') AS gram
+       FROM (SELECT *, unnest(range(length - k + 1)) AS t_at FROM tk)),
+g AS (SELECT rid, pos, k, array_to_string(words[pos + 1:pos + k], ' ') AS gram
+      FROM (SELECT rid, words, unnest(range(len(words))) AS pos FROM d), (SELECT DISTINCT k FROM tg) WHERE pos + k <= len(words)),
+hit AS (SELECT DISTINCT rid, t, label, phrase, length, k, pos - t_at AS diagonal, t_at FROM g JOIN tg USING (k, gram)),
+v AS (SELECT rid, t, label, phrase, length, k, diagonal, min(t_at) AS t_from, diagonal + min(t_at) AS start,
+             diagonal + max(t_at) + k AS stop, count(*) = length - k + 1 AS whole
+      FROM hit GROUP BY rid, t, label, phrase, length, k, diagonal),
+c AS (SELECT *, CASE WHEN abs(diagonal - lag(diagonal) OVER o) <= {licenses.SHIFT} AND t_from > lag(t_from) OVER o
+                     AND start <= lag(stop) OVER o + {licenses.SHIFT} + k THEN 0 ELSE 1 END AS fresh
+      FROM v WINDOW o AS (PARTITION BY rid, t ORDER BY start, diagonal)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, t ORDER BY start, diagonal) AS span FROM c),
+cov AS (SELECT rid, t, span, count(DISTINCT t_at + j) AS n FROM s JOIN hit USING (rid, t, diagonal), range({licenses.K}) AS r(j)
+        WHERE j < s.k GROUP BY ALL),
+p AS (SELECT rid, t, label, phrase, span, any_value(cov.n) / any_value(length) AS coverage, count(*) FILTER (WHERE whole) AS n_whole,
+             min(diagonal) FILTER (WHERE whole) AS first_whole, max(diagonal) FILTER (WHERE whole) AS last_whole
+      FROM s JOIN cov USING (rid, t, span) GROUP BY rid, t, label, phrase, span),
+f AS (SELECT rid, sum(n_whole) FILTER (WHERE phrase) AS n_base, min(first_whole) FILTER (WHERE phrase) AS first_word,
+             max(last_whole) FILTER (WHERE phrase) AS last_word, max(coverage) AS score,
+             list_sort(list(DISTINCT label) FILTER (WHERE phrase AND n_whole > 0)) AS base_labels,
+             list_sort(list(DISTINCT label) FILTER (WHERE CASE WHEN phrase THEN n_whole > 0 ELSE coverage >= {licenses.SHARE} END)) AS labels
+      FROM p GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(array_to_string(base_labels, ','), '') AS base_labels,
+       coalesce(array_to_string(labels, ','), '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN f USING (rid)"""
+
+
+SQL["op12_licenses"] = _licenses_sql()
