@@ -38,3 +38,16 @@ def cross_entropy(scores, target_pos) -> Column:
 def join_ints(arr, sep: str = ",") -> Column:
     """Array of numbers as one string (stable form for comparison and export)."""
     return F.array_join(F.transform(_c(arr), lambda x: x.cast("string")), sep)
+
+
+def value_counts(arr) -> Column:
+    """``array<struct<value, n>>``: every distinct element of an array (without NULLs) and how often it occurs, by value.
+
+    The array is sorted once and cut where its value changes: no shuffle, and n log n for a long one.
+    """
+    def counted(s: Column) -> Column:
+        cuts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull())
+        return F.transform(F.array(cuts), lambda at: F.transform(at, lambda i, j: F.struct(
+            F.get(s, i).alias("value"), (F.coalesce(F.get(at, j + 1), F.size(s)) - i).alias("n"))))[0]
+
+    return F.transform(F.array(F.sort_array(_c(arr))), counted)[0]

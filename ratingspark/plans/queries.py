@@ -592,32 +592,34 @@ def _learnable(spark, sf_dir):
 
 @register("pca")
 def q_pca(spark, sf_dir):
-    """Full-rank PCA of the documents' TF-IDF vectors: the projected columns' means are 0, and their variances add up to
-    those of the TF-IDF columns (fitted on and applied to all documents)."""
+    """PCA of the documents' TF-IDF vectors, 500 terms reduced to 100 components. Of the whole spectrum: its sum, and how
+    many axes of one size would have the same sum and sum of squares (and the same sums of squares and fourth powers); of the
+    reduced rows: how many components, whether their means are 0 and their variances those of the axes."""
     docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = RT.fit_features(docs, max_features=PCA_TERMS, pca_k=PCA_TERMS)
-    rows = RT.featurize(model, docs).select(vector_to_array("features").alias("x"))
-    per = rows.select(F.posexplode("x").alias("axis", "x")).groupBy("axis").agg(
-        F.avg("x").alias("mean"), F.var_samp("x").alias("var"))
-    return per.agg(F.count(F.lit(1)).alias("n_axes"), (F.round(F.max(F.abs("mean")), DIGITS) + F.lit(0.0)).alias("largest_mean"),
-                   F.round(F.sum("var"), DIGITS).alias("total_variance"))
-
-
-PCA_TERMS = 50
-
-
-def _rated_by_svm(spark, sf_dir, rubrics):
+    space = RT.fit_features(docs)
+    rows = RT.featurize(space, docs).select(vector_to_array("features").alias("x"))
+    axes = F.array(*[F.lit(float(v)) for v in space.variances[:RT.PCA_K]])
+    per = rows.select(F.posexplode("x").alias("axis", "x")).groupBy("axis").agg(F.avg("x").alias("mean"), F.var_samp("x").alias("var"))
+    e = space.variances
+    numbers = {"total_variance": e.sum(), "effective_axes": e.sum() ** 2 / (e**2).sum(), "peak_axes": (e**2).sum() ** 2 / (e**4).sum()}
+    return per.agg(F.lit(len(space.terms)).cast("bigint").alias("n_terms"), F.count(F.lit(1)).alias("n_axes"),
+                   (F.round(F.max(F.abs("mean")), DIGITS) + F.lit(0.0)).alias("largest_mean"),
+                   (F.max(F.abs(F.col("var") - F.get(axes, F.col("axis")))) < 1e-9).alias("variances_match"),
+                   *[F.round(F.lit(float(v)), DIGITS).alias(name) for name, v in numbers.items()])
+
+
+def _rated_by_svm(spark, sf_dir):
     wide = _learnable(spark, sf_dir)
-    return wide, RT.fit_predict(wide.where("split = 'train'"), wide.where("split = 'test'"), "doc_id", rubrics)
+    return wide, RT.fit_predict(wide.where("split = 'train'"), wide.where("split = 'test'"), "doc_id")
 
 
 @register("svm_rater")
 def q_svm_rater(spark, sf_dir):
-    """One rubric's rater on the test split: rows, predictions outside the trained labels, and whether it is right more
+    """Every rubric's rater on the test split: rows, predictions outside the trained labels, and whether it is right more
     often than the majority class."""
-    wide, preds = _rated_by_svm(spark, sf_dir, SC.RUBRICS[:1])
-    lab = f"{SC.RUBRICS[0]}_score"
-    train = wide.where("split = 'train'").select(F.lit(SC.RUBRICS[0]).alias("rubric"), F.col(lab).alias("label"))
+    wide, preds = _rated_by_svm(spark, sf_dir)
+    train = wide.where("split = 'train'").select(F.explode(F.array(*[F.struct(F.lit(r).alias("rubric"), F.col(f"{r}_score").alias("label"))
+                                                                     for r in SC.RUBRICS])).alias("s")).select("s.*")
     known = train.select("rubric", F.col("label").alias("y_pred"), F.lit(True).alias("known")).distinct()
     major = BL.majority_class(train).withColumnRenamed("label", "major")
     scored = preds.join(known, ["rubric", "y_pred"], "left").join(major, "rubric")
@@ -626,26 +628,65 @@ def q_svm_rater(spark, sf_dir):
         (F.count_if(F.col("y_pred") == F.col("y_true")) > F.count_if(F.col("major") == F.col("y_true"))).alias("beats_majority"))
 
 
+def _test_qwk(spark, sf_dir):
+    per = M.qwk(_rated_by_svm(spark, sf_dir)[1], ("rubric",))
+    return per.withColumn("macro", F.avg("qwk").over(Window.partitionBy()))
+
+
 @register("svm_test")
 def q_svm_test(spark, sf_dir):
     """TF-IDF -> PCA -> one-vs-rest SVM per rubric, fitted on the train split: QWK on the test split, and its mean. The
     majority class has QWK 0; ``learned`` says that the rater does clearly better."""
-    _, preds = _rated_by_svm(spark, sf_dir, SC.RUBRICS)
-    per = M.qwk(preds, ("rubric",)).withColumn("macro", F.avg("qwk").over(Window.partitionBy()))
-    return per.select("rubric", "n", (F.col("qwk") > 0.2).alias("learned"), (F.col("macro") > 0.2).alias("macro_learned"))
+    return _test_qwk(spark, sf_dir).select("rubric", "n", (F.col("qwk") > 0.2).alias("learned"), (F.col("macro") > 0.2).alias("macro_learned"))
 
 
-@register("svm_cv")
-def q_svm_cv(spark, sf_dir):
-    """5-fold cross-validation on the train split, features and raters refitted inside each fold: mean QWK of the rows
-    fitted on and of the held-out folds, checked for sign and order."""
+@register("svm_test_qwk")
+def q_svm_test_qwk(spark, sf_dir):
+    """The numbers of ``svm_test``: QWK of every rubric on the test split, and their mean."""
+    return _test_qwk(spark, sf_dir).select("rubric", "n", F.round("qwk", DIGITS).alias("qwk"), F.round("macro", DIGITS).alias("qwk_macro"))
+
+
+def _cv_qwk(spark, sf_dir):
     train = SPL.kfold_hash(_learnable(spark, sf_dir).where("split = 'train'"), "doc_id", 5, SEED)
-    per_rubric, _ = RT.cross_validate(train, "doc_id", "fold", 5)
-    wide = per_rubric.groupBy("rubric").agg(
+    return _both_sides(RT.cross_validate(train, "doc_id", "fold", 5)[0])
+
+
+def _both_sides(per_rubric):
+    return per_rubric.groupBy("rubric").agg(
         F.max("n_folds").alias("n_folds"), F.max(F.when(F.col("side") == "train", F.col("qwk_mean"))).alias("qwk_train"),
         F.max(F.when(F.col("side") == "test", F.col("qwk_mean"))).alias("qwk_held_out"))
-    return wide.select("rubric", "n_folds", (F.col("qwk_train") >= F.col("qwk_held_out")).alias("train_not_worse"),
-                       (F.col("qwk_held_out") > 0.1).alias("learned"))
+
+
+@register("svm_cv")
+def q_svm_cv(spark, sf_dir):
+    """5-fold cross-validation on the train split, features and raters fitted for each fold: mean QWK of the rows
+    fitted on and of the held-out folds, checked for sign and order."""
+    return _cv_qwk(spark, sf_dir).select("rubric", "n_folds", (F.col("qwk_train") >= F.col("qwk_held_out")).alias("train_not_worse"),
+                                         (F.col("qwk_held_out") > 0.1).alias("learned"))
+
+
+@register("svm_cv_qwk")
+def q_svm_cv_qwk(spark, sf_dir):
+    """The numbers of ``svm_cv``: mean QWK over the folds, of the rows fitted on and of the rows held out."""
+    return _cv_qwk(spark, sf_dir).select("rubric", "n_folds", F.round("qwk_train", DIGITS).alias("qwk_train"),
+                                         F.round("qwk_held_out", DIGITS).alias("qwk_held_out"))
+
+
+#: Words whose share of a text (per hundred tokens) are the two features of ``svm_words_cv``.
+FEATURE_WORDS = ("the", "of")
+
+
+@register("svm_words_cv")
+def q_svm_words_cv(spark, sf_dir):
+    """Squared-hinge raters on two numbers per document, shares of words, cross-validated over all documents: rows
+    predicted and mean QWK over the folds, fitted on and held out. Small enough for SQL to fit them too."""
+    d = fx.read(spark, sf_dir, "documents").select("doc_id", tx.tokens("text").alias("_t"))
+    shares = [F.expr(f"100.0D * size(filter(_t, x -> x = '{w}')) / greatest(size(_t), 1) as share_{w}") for w in FEATURE_WORDS]
+    folds = SPL.kfold_hash(d.select("doc_id", *shares, *learnable_scores()), "doc_id", 5, SEED)
+    preds = RT.rate_columns(folds, "doc_id", [f"share_{w}" for w in FEATURE_WORDS], "fold", 5)
+    rows = M.qwk_cv(preds, "fold", "rubric", by=("side",))[0]
+    return _both_sides(rows).select("rubric", "n_folds", F.round("qwk_train", DIGITS).alias("qwk_train"),
+                                    F.round("qwk_held_out", DIGITS).alias("qwk_held_out"))
 
 
 # ---------------------------------------------------------------- enrichment
