@@ -5,11 +5,11 @@ row of each other key, enrich, append to the parquet sink. ``trigger(availableNo
 is there and stops, so the same job serves as a scheduled batch.
 
 No streaming ``dropDuplicates`` state is kept (it would grow without bound); the
-sink itself is the record of finished keys. It is partitioned by a hash bucket of the key, and a batch reads the key
-column of its own buckets only. A crash between the append and the
+sink itself (:mod:`ratingspark.streaming.sink`) is the record of finished keys. A batch reads the keys of only those parts of the sink
+that its key index does not rule out. Appends are atomic, so a crash in the middle of one leaves nothing to see, and a crash between the append and the
 checkpoint commit replays the batch, and the anti-join makes the replay write
 nothing new. Every appended row carries the time of its attempt; :func:`latest` gives one row per key, so retries of
-failed keys never show twice.
+failed keys never show twice. Read a sink with it, or with ``sink.committed``: the folder may hold parts that no append committed.
 """
 
 from __future__ import annotations
@@ -17,62 +17,41 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratingspark.operators.curate import first_by_key
+from ratingspark.streaming import sink as S
 
-BUCKET, ATTEMPT = "_bucket", "_attempt"
-BUCKETS = 32
-_EMPTY = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
-
-
-def bucket_of(key: str, n: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-
-
-def read_sink(spark: SparkSession, sink: str) -> DataFrame | None:
-    """The sink's rows, or None while nothing has been written. Any other fault of the sink is raised."""
-    try:
-        return spark.read.parquet(sink)
-    except AnalysisException as e:
-        if e.getCondition() in _EMPTY:
-            return None
-        raise
-
-
-def finished_keys(spark: SparkSession, sink: str, key: str, buckets: list[int], error_col: str | None = None) -> DataFrame | None:
-    """Keys in the given buckets of the sink; with ``error_col`` only those with a row without an error."""
-    done = read_sink(spark, sink)
-    if done is None:
-        return None
-    if missing := {key, BUCKET, *([error_col] if error_col else [])} - set(done.columns):
-        raise ValueError(f"the sink {sink} has no column {sorted(missing)}")
-    done = done.where(F.col(BUCKET).isin(buckets))
-    return (done.where(F.col(error_col).isNull()) if error_col else done).select(key).distinct()
+ATTEMPT = "_attempt"
 
 
 def new_rows(batch: DataFrame, sink: str, key: str, retry_errors: bool = False,
-             error_col: str | None = None) -> DataFrame:
-    """Rows of ``batch`` whose key is not yet in ``sink``; of rows that repeat a key, the least one."""
-    # At most BUCKETS numbers.
-    buckets = [r[0] for r in batch.select(bucket_of(key)).distinct().collect()]
-    done = finished_keys(batch.sparkSession, sink, key, buckets, error_col if retry_errors else None)
+             error_col: str | None = None, upto: int | None = None) -> DataFrame:
+    """Rows of ``batch`` whose key is not yet in ``sink`` (as of version ``upto``); of rows that repeat a key, the least one."""
+    log = S.Log(batch.sparkSession, sink)
+    parts = log.parts(upto=upto)
+    if parts:
+        there = log.read(parts[:1]).columns
+        if missing := {key, *([error_col] if error_col and retry_errors else [])} - set(there):
+            raise ValueError(f"the sink {sink} has no column {sorted(missing)}")
+    done = S.finished(log, parts, batch.select(key), key, error_col if retry_errors else None)
     todo = batch if done is None else batch.join(done, key, "left_anti").select(*batch.columns)
     return first_by_key(todo, key)
 
 
-def append(rows: DataFrame, sink: str, key: str) -> None:
-    tagged = rows.withColumn(ATTEMPT, F.lit(time.time_ns())).withColumn(BUCKET, bucket_of(key))
-    tagged.write.mode("append").partitionBy(BUCKET).parquet(sink)
+def append(rows: DataFrame, sink: str, key: str, since: int | None = None, error_col: str | None = None) -> S.Part | None:
+    """Appends ``rows`` with the time of this attempt, in one atomic step (see :func:`ratingspark.streaming.sink.append`)."""
+    return S.append(rows.withColumn(ATTEMPT, F.lit(time.time_ns())), sink, key, since, error_col)
 
 
 def latest(spark: SparkSession, sink: str, key: str, error_col: str = "error") -> DataFrame:
     """One row per key of the sink: the last attempt without an error, else the last one."""
-    rows = spark.read.parquet(sink)
-    data = [c for c in rows.columns if c not in (BUCKET, ATTEMPT)]
+    rows = S.committed(spark, sink)
+    if rows is None:
+        raise ValueError(f"nothing has been appended to {sink}")
+    data = [c for c in rows.columns if c not in (S.PART, ATTEMPT)]
     fine = F.col(error_col).isNull() if error_col in data else F.lit(True)
     best = rows.groupBy(key).agg(F.max_by(F.struct(*data), F.struct(fine, ATTEMPT)).alias("_row"))
     return best.select("_row.*")
@@ -98,7 +77,8 @@ def run_incremental(spark: SparkSession, source: str, schema: T.StructType, sink
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         count["n"] += 1
-        append(transform(new_rows(batch, sink, key, retry_errors, error_col)), sink, key)
+        seen = S.Log(spark, sink).version()
+        append(transform(new_rows(batch, sink, key, retry_errors, error_col, seen)), sink, key, seen, error_col if retry_errors else None)
         if fail_after_append:
             raise RuntimeError(f"simulated crash after batch {batch_id}")
 
