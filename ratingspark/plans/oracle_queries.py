@@ -386,6 +386,21 @@ SQL["judge_apply"] = (
         f"max(CASE WHEN rubric = '{r}' THEN rationale END) AS {r}_score_rationale" for r in RUBRICS)
     + f" FROM ({_JUDGED}) GROUP BY doc_id"
 )
+_CAPTURED = (
+    "SELECT doc_id, rubric, CASE WHEN length(user_prompt) % 13 = 0 THEN 'cannot rate ' || CAST(length(user_prompt) AS VARCHAR) || "
+    "' characters' END AS error, CAST(1 + length(user_prompt) % 5 AS INTEGER) AS score, "
+    "'Assessed ' || rubric || ' over ' || CAST(length(user_prompt) AS VARCHAR) || ' characters. [[' || "
+    "CAST(1 + length(user_prompt) % 5 AS VARCHAR) || ']]' AS rationale FROM ("
+    + _prompted_sql(f"SELECT doc_id, regexp_replace(rationale_type, '_score$', '') AS rubric, transcript FROM ({O.long_sql(keep=('doc_id', 'transcript'))})")
+    + ")"
+)
+SQL["judge_capture"] = (
+    "SELECT doc_id, " + ", ".join(
+        f"max(CASE WHEN rubric = '{r}' AND error IS NULL THEN score END) AS {r}_score, "
+        f"max(CASE WHEN rubric = '{r}' THEN coalesce('ERROR: ' || error, rationale) END) AS {r}_score_rationale, "
+        f"max(CASE WHEN rubric = '{r}' THEN error END) AS {r}_score_error" for r in RUBRICS)
+    + f" FROM ({_CAPTURED}) GROUP BY doc_id"
+)
 SQL["enrich_capture"] = (
     "SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'ERROR: cannot transcribe ' || CAST(doc_id AS VARCHAR) "
     "ELSE CAST(length(coalesce(text, '')) AS VARCHAR) || ' chars: ' || coalesce(text, '') END "

@@ -698,6 +698,14 @@ def q_judge_apply(spark, sf_dir):
     return EN.judge_documents(todo, EN.length_scorer_factory, "transcript", ("doc_id",))
 
 
+@register("judge_capture")
+def q_judge_capture(spark, sf_dir):
+    """The judging pass with a scorer that fails whole batches: the rows that cause it are found, kept with their error
+    and left without a score; all others are judged."""
+    docs = fx.transcripts(spark, sf_dir, with_errors=False)
+    return EN.judge_documents(docs, EN.failing_scorer_factory, "transcript", ("doc_id",), on_error="capture", batch_size=256)
+
+
 @register("judge_agreement")
 def q_judge_agreement(spark, sf_dir):
     """A second rater (the distilled model's role, a scorer of its own) re-rates the test split; its parsed scores are
