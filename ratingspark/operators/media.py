@@ -1,16 +1,25 @@
 """Containment join of ids to file names ("first file whose name contains the id").
 
-A theta join on ``contains`` would compare every id with every name. Instead each
-name emits its distinct substrings of the lengths that ids actually have, and the
-match becomes an equi-join on that substring: exact, and the work per name is
+A theta join on ``contains`` would compare every id with every name. Instead one automaton of all ids (Aho-Corasick) is
+built in each task and reads every name once, whatever the ids' number and lengths; a task keeps the smallest name of each id it met, so it
+emits at most one row per id. The ids are counted and measured first, and are sent to the tasks only up to ``MAX_IDS`` ids
+of ``MAX_CHARS`` characters together.
+
+Beyond that, each name emits its distinct substrings of the lengths that ids actually have, and the
+match becomes an equi-join on that substring: exact too, and the work per name is
 bounded by (name length x number of distinct id lengths).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MAX_IDS, MAX_CHARS = 200_000, 8_000_000
+
 
 def id_lengths(ids: DataFrame, id_col: str = "id") -> list[int]:
     """Distinct id lengths: a tiny set (at most the longest id's length)."""
@@ -34,14 +43,42 @@ def name_substrings(names: DataFrame, lengths: list[int], name_col: str = "name"
     return names.withColumn("_subs", subs).select(name_col, F.explode("_subs").alias("sub"))
 
 
-def match_media(ids: DataFrame, names: DataFrame, id_col: str = "id", name_col: str = "name") -> DataFrame:
-    """For each id, the smallest file name containing it; NULL for an id that no name contains.
+def smallest_by_automaton(names: DataFrame, ids: list[str], name_col: str = "name") -> DataFrame:
+    """``sub, name``: from each task, the smallest name that contains the id, for every id that any of its names contains."""
+    sent = names.sparkSession.sparkContext.broadcast(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for x in sent.value:
+            found.add_word(x, x)
+        found.make_automaton()
+        best: dict[str, str] = {}
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                for _, x in found.iter(name) if name and sent.value else ():
+                    if x not in best or name < best[x]:
+                        best[x] = name
+        yield pa.RecordBatch.from_arrays([pa.array(best.keys(), pa.string()), pa.array(best.values(), pa.string())], ["sub", name_col])
 
-    The names' substrings are reduced to the smallest name of each before they meet the ids. That aggregate is
-    combined map-side, so a substring found in nearly all names (a one-digit id) leaves each task once, and the
+    return names.select(F.col(name_col).cast("string")).mapInArrow(run, f"sub string, `{name_col}` string")
+
+
+def match_media(ids: DataFrame, names: DataFrame, id_col: str = "id", name_col: str = "name", max_ids: int = MAX_IDS,
+                max_chars: int = MAX_CHARS) -> DataFrame:
+    """For each id, the smallest file name containing it; NULL for an id that no name contains (and for an empty one).
+
+    Up to the bounds the names pass an automaton of the ids. Beyond them the names' substrings are reduced to the smallest name of each before they meet the ids. Both
+    are combined map-side, so an id found in nearly all names (a one-digit one) leaves each task once, and the
     join has at most one row per id on either side: no key is hot.
     """
-    subs = name_substrings(names.select(name_col), id_lengths(ids, id_col), name_col)
-    best = subs.groupBy("sub").agg(F.min(name_col).alias(name_col))
     wanted = ids.select(F.col(id_col).cast("string").alias(id_col)).distinct()
+    texts = wanted.where(F.length(id_col) > 0)
+    size = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(id_col)), F.lit(0)).alias("chars")).first()
+    if size["n"] <= max_ids and size["chars"] <= max_chars:
+        subs = smallest_by_automaton(names, [r[0] for r in texts.collect()], name_col)
+    else:
+        subs = name_substrings(names.select(name_col), id_lengths(ids, id_col), name_col)
+    best = subs.groupBy("sub").agg(F.min(name_col).alias(name_col))
     return wanted.join(best, wanted[id_col] == best["sub"], "left").select(id_col, name_col)
