@@ -107,6 +107,8 @@ SQL["json_roundtrip"] = (
     + ", ".join(f"{r}_score, {r}_score_rationale" for r in RUBRICS)
     + f" FROM ({O.rated_wide_sql()})"
 )
+SQL["csv_blocks"] = SQL["csv_roundtrip"]
+SQL["json_blocks"] = SQL["json_roundtrip"]
 SQL["text_sink"] = "SELECT line FROM documents, unnest(string_split(text, chr(10))) AS t(line)"
 SQL["text_documents"] = f"SELECT doc_id, transcript FROM ({O.transcripts_sql()})"
 SQL["published_dataset"] = ("SELECT w.doc_id, d.lang, w.title, " + ", ".join(f"w.{r}_score" for r in RUBRICS)

@@ -28,6 +28,7 @@ from ratingspark.operators import raters as RT
 from ratingspark.operators import report as RP
 from ratingspark.operators import reshape as R
 from ratingspark.session import cut_lineage, scratch_path
+from ratingspark.sources import blocks as IB
 from ratingspark.sources import files as IO
 
 DIGITS = 6
@@ -200,6 +201,23 @@ def q_csv_roundtrip(spark, sf_dir):
     return IO.read_csv(spark, path, SC.TRANSCRIPTS)
 
 
+@register("csv_blocks")
+def q_csv_blocks(spark, sf_dir):
+    """The transcripts as CSV with records over many lines, read back from all blocks of the files at once."""
+    path = scratch_path(spark, "csv_blocks")
+    t = fx.transcripts(spark, sf_dir).select("title", "link", "transcript")
+    IO.write_csv(t, path)
+    return IB.read_csv_blocks(spark, path, t.schema)
+
+
+@register("json_blocks")
+def q_json_blocks(spark, sf_dir):
+    """The nested rating records as JSON arrays, one in each file, read back from all blocks of the files at once."""
+    path = scratch_path(spark, "json_blocks")
+    IO.write_json_arrays(R.nest_ratings(fx.rated_wide(spark, sf_dir)), path)
+    return R.flatten_nested(IB.read_json_blocks(spark, path, SC.NESTED))
+
+
 @register("json_roundtrip")
 def q_json_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "json_roundtrip")

@@ -6,6 +6,7 @@ takes an explicit schema (no inference pass over the data).
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +30,19 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("encoding", "UTF-8").json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Files of one JSON array each, a record per line, as many as ``df`` has partitions."""
+    def run(batches):
+        before = "["
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([f"{before if i == 0 else ','}{v}" for i, v in enumerate(b.column(0).to_pylist())],
+                                                       pa.string())], ["value"])
+            before = "," if b.num_rows else before
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if before == "," else "[]"])], ["value"])
+
+    df.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(run, "value string").write.mode(mode).text(path)
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False) -> DataFrame:
     """JSON Lines, or (``multiline``) files holding one JSON array of records."""
     return spark.read.schema(schema).option("multiLine", str(multiline).lower()).json(path)
