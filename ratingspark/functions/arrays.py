@@ -16,6 +16,14 @@ def pad_truncate(ids, length: int = 512, pad: int = 0) -> Column:
     return F.slice(F.concat(F.slice(arr, 1, length), F.array_repeat(F.lit(pad), length)), 1, length)
 
 
+def response_labels(ids, first, n, length: int | None = None, ignore: int = -100) -> Column:
+    """Training labels of token ``ids`` whose response is the ``n`` tokens from ``first`` (0-based) on: their ids there, ``ignore``
+    elsewhere, so the loss sees the response only. With ``length``, truncated and padded (with ``ignore``) like the ids."""
+    arr, first, n = _c(ids), _c(first), _c(n)
+    labels = F.transform(arr, lambda x, i: F.when((i >= first) & (i < first + n), x).otherwise(F.lit(ignore)))
+    return labels if length is None else pad_truncate(labels, length, ignore)
+
+
 def attention_mask(ids, length: int = 512) -> Column:
     n = F.least(F.size(_c(ids)), F.lit(length))
     return F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(length) - n))

@@ -102,6 +102,25 @@ def tokens(text) -> Column:
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(TOKEN_PATTERN), 0)
 
 
+def token_range(text, start, end) -> list[Column]:
+    """The tokens of ``text`` that begin at its characters ``start`` to ``end`` (1-based; ``end`` lies beyond the span):
+    ``first_token`` (from 0) and ``n_tokens``.
+
+    A token that a bound cuts belongs where it begins, so each bound moves to the end of such a token, and the tokens before
+    it are counted: linear in the text, without a list of offsets.
+    """
+    t, word = F.lower(_c(text)), TOKEN_PATTERN.removesuffix("{2,}")
+
+    def before(place: Column) -> Column:
+        at = F.greatest(place, F.lit(1))
+        rest = F.regexp_extract(F.substring(t, at, F.length(t)), f"^{word}+", 0)
+        cut = F.substring(t, at - 1, F.lit(1)).rlike(f"^{word}$") & (at > 1)
+        return F.size(tokens(F.substring(t, F.lit(1), at - 1 + F.when(cut, F.length(rest)).otherwise(0))))
+
+    first = before(_c(start))
+    return [first.alias("first_token"), F.greatest(before(_c(end)) - first, F.lit(0)).alias("n_tokens")]
+
+
 def is_error(text) -> Column:
     return F.coalesce(_c(text).startswith(ERROR_PREFIX), F.lit(False))
 

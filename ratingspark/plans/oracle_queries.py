@@ -201,6 +201,14 @@ SQL["pad_truncate"] = (
     "array_to_string(list_transform(range(1, 513), lambda i: CASE WHEN i <= len(ids) THEN 1 ELSE 0 END), ',') "
     f"AS attention_mask FROM (SELECT doc_id, {_IDS} AS ids FROM documents)"
 )
+_TOKS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+_IDS_OF = "list_transform({0}, lambda t: CAST(('0x' || substr(md5(t), 1, 4)) AS INTEGER) + 1)"
+SQL["response_mask"] = (
+    "SELECT doc_id, rubric, CAST(len(p) + len(r) AS INTEGER) AS n_ids, CAST(len(p) AS INTEGER) AS first_token, CAST(len(r) AS INTEGER) AS n_tokens, "
+    "md5(array_to_string(labels, ',')) AS labels_md5, md5(array_to_string(list_resize(labels[1:512], 512, -100), ',')) AS cut_md5 FROM ("
+    f"SELECT *, list_concat(list_transform(p, lambda x: -100), {_IDS_OF.format('r')}) AS labels FROM ("
+    f"SELECT doc_id, rubric, {_TOKS.format('prompt_part')} AS p, {_TOKS.format('response_part')} AS r FROM ({SQL['response_span']})))"
+)
 SQL["argmax_class"] = (
     "SELECT vec_id, label, CAST(p - 1 AS INTEGER) AS pred_class, CAST(p AS INTEGER) AS pred_score FROM "
     "(SELECT vec_id, label, list_position(embedding, list_max(embedding)) AS p FROM embeddings)"

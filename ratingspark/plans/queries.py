@@ -379,6 +379,19 @@ def q_pad_truncate(spark, sf_dir):
                     AR.join_ints(AR.attention_mask("ids", SEQ_LEN)).alias("attention_mask"))
 
 
+@register("response_mask")
+def q_response_mask(spark, sf_dir):
+    """Labels of response-only training: every token of a rendered chat, -100 outside the response. Of the whole vectors
+    (as digests) and of what is left of them at the training length."""
+    c = _chats(spark, sf_dir).where("train").select("doc_id", "rubric", PR.render_chat("chat").alias("_t"))
+    c = c.select("doc_id", "rubric", "_t", PR.response_span("_t")[2].alias("_from"), token_ids(tx.tokens("_t")).alias("_ids"))
+    first, n = tx.token_range("_t", F.when(F.col("_from") > 0, F.col("_from")).otherwise(F.length("_t") + 1), F.length("_t") + 1)
+    c = c.select("doc_id", "rubric", F.size("_ids").alias("n_ids"), first.alias("first_token"), n.alias("n_tokens"), "_ids")
+    whole = AR.response_labels("_ids", "first_token", "n_tokens")
+    return c.select("doc_id", "rubric", "n_ids", "first_token", "n_tokens", F.md5(AR.join_ints(whole)).alias("labels_md5"),
+                    F.md5(AR.join_ints(AR.pad_truncate(whole, SEQ_LEN, -100))).alias("cut_md5"))
+
+
 @register("argmax_class")
 def q_argmax_class(spark, sf_dir):
     e = fx.read(spark, sf_dir, "embeddings")
