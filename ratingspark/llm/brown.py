@@ -43,6 +43,8 @@ LEAST, SWEEPS, BATCHES, ENOUGH = 5, 12, 4, 0.002
 PENDING, CHUNK, SMALL = 4_000_000, 512, 16
 #: Words that a counting task holds before it hands its counts on.
 HELD = 1_000_000
+#: Lines scored at a time.
+ROWS = 256
 
 
 def words(text: str | None) -> list[bytes]:
@@ -97,7 +99,7 @@ class Units:
     keys, and the groups of endings."""
 
     def __init__(self, head: list[tuple[bytes, int]], seeds: int = UNITS, endings: int = ENDINGS):
-        self.head, self.endings = len(head), endings
+        self.head, self.counts, self.endings = len(head), head, endings
         self.place = {w: i for i, (w, _) in enumerate(head)}
         self.alone = np.array([n >= LEAST for _, n in head], bool)
         self.seeds = min(seeds, int(self.alone.sum()))  # the head comes by falling counts
@@ -117,21 +119,24 @@ class Units:
     def ending(self, word: bytes) -> int:
         return crc32(word[-3:]) % self.endings
 
-    def of(self, text: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the head or -1, unit) of every word."""
+    def of(self, text: list[bytes]) -> tuple[dict[bytes, list[int]], np.ndarray]:
+        """Where the words stand that have no unit among those of the head, and the unit of every word."""
         get = self.place.get
         at = np.array([get(w, -1) for w in text], np.int64)
         unit = self.head_unit[at] if len(at) else np.zeros(0, np.int32)
-        other = np.flatnonzero(at < 0)
-        if len(other):
-            rare = [text[i] for i in other.tolist()]
-            unit[other] = [self.first_ending + self.ending(w) for w in rare]
+        tail: dict[bytes, list[int]] = {}
+        for i in np.flatnonzero((at < 0) | (unit > self.head)).tolist():
+            tail.setdefault(text[i], []).append(i)
+        if tail:
+            own = np.array([self.first_ending + self.ending(w) for w in tail], np.int32)
             if len(self.keys):
-                key = np.array([word_key(w) for w in rare], np.int64)
+                key = np.array([word_key(w) for w in tail], np.int64)
                 found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
                 known = self.keys[found] == key
-                unit[other[known]] = 1 + self.head + found[known]
-        return at, unit
+                own[known] = 1 + self.head + found[known]
+            for u, places in zip(own.tolist(), tail.values(), strict=True):
+                unit[places] = u
+        return tail, unit
 
 
 def other_keys(counts: DataFrame, units) -> tuple[np.ndarray, np.ndarray]:
@@ -149,21 +154,35 @@ def other_keys(counts: DataFrame, units) -> tuple[np.ndarray, np.ndarray]:
     return keys, found.column("ending").to_numpy()[first].astype(np.int64)
 
 
-def encoded(texts: DataFrame, units) -> DataFrame:
-    """(line): the units of each row of (text) and the end token, 4 bytes each."""
+TAIL = pa.list_(pa.struct([("word", pa.binary()), ("at", pa.list_(pa.int32()))]))
+
+
+def encoded(rows: DataFrame, units) -> DataFrame:
+    """Per row of (id, text): its id; ``line``, the units of its words and the end token, 4 bytes each; and ``tail``, the
+    words without a unit in the head with their places. All later steps read these instead of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = units.value
         for b in batches:
-            lines = [np.append(u.of(words(t.as_py()))[1], 0).astype("<i4").tobytes() for t in b.column(0)]
-            yield pa.RecordBatch.from_pydict({"line": pa.array(lines, pa.binary())})
+            found = [u.of(words(t.as_py())) for t in b.column(1)]
+            lines = pa.array([np.append(unit, 0).astype("<i4").tobytes() for _, unit in found], pa.binary())
+            tails = pa.array([[{"word": w, "at": at} for w, at in tail.items()] for tail, _ in found], TAIL)
+            yield pa.RecordBatch.from_arrays([b.column(0), lines, tails], ["id", "line", "tail"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "text").mapInArrow(run, f"id {kind}, line binary, tail array<struct<word:binary,at:array<int>>>")
 
-    return texts.mapInArrow(run, "line binary")
+
+def _ints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers packed in a column of binaries (4 bytes each), one after the other, and where each row's begin and end."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], "<i4") if column.buffers()[2] else np.zeros(0, "<i4")
+    return data[offsets[0] // 4:offsets[-1] // 4], (offsets - offsets[0]) // 4
 
 
 def _line(batch: pa.RecordBatch) -> np.ndarray:
     """All lines one after the other, with the end token in front."""
-    return np.frombuffer(b"".join([b"\0\0\0\0", *batch.column(0).to_pylist()]), "<i4")
+    return np.append(np.zeros(1, np.int32), _ints(batch.column(0))[0])
 
 
 def class_bigrams(lines: DataFrame, label: np.ndarray, classes: int) -> np.ndarray:
@@ -193,8 +212,8 @@ def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def neighbours(lines: DataFrame, state, batch: int, classes: int) -> DataFrame:
-    """(unit, at, n) of the batch's words, summed per task: at is the class of the next unit, ``classes`` + that of the one
-    before, or 2 * ``classes`` where a unit follows itself."""
+    """(unit, bag) of the batch's words, summed per task, a row for each unit: its bag holds pairs (at, n) of 4 bytes
+    each. at is the class of the next unit, ``classes`` + that of the one before, or 2 * ``classes`` where a unit follows itself."""
     width = 2 * classes + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +221,12 @@ def neighbours(lines: DataFrame, state, batch: int, classes: int) -> DataFrame:
 
         def handed_on(held):
             key, n = _summed(*map(np.concatenate, zip(*held, strict=True)))
-            return pa.RecordBatch.from_pydict({"unit": (key // width).astype(np.int32), "at": (key % width).astype(np.int32), "n": n})
+            unit, at = np.divmod(key, width)
+            first = np.flatnonzero(np.diff(unit, prepend=-1))
+            data = pa.py_buffer(np.stack([at, n], axis=1).astype("<i4"))
+            offsets = pa.py_buffer((8 * np.append(first, len(unit))).astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(unit[first].astype(np.int32)),
+                                               pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, data])], ["unit", "bag"])
 
         held, pending = [], 0
         for b in batches:
@@ -220,7 +244,7 @@ def neighbours(lines: DataFrame, state, batch: int, classes: int) -> DataFrame:
         if held:
             yield handed_on(held)
 
-    return lines.mapInArrow(run, "unit int, at int, n long")
+    return lines.mapInArrow(run, "unit int, bag binary")
 
 
 def moves(found: DataFrame, state, n: np.ndarray) -> DataFrame:
@@ -229,11 +253,14 @@ def moves(found: DataFrame, state, n: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label, _ = state.value
-        held = [[c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns] for b in batches]
+        held = []
+        for b in batches:
+            bag, ends = _ints(b.column(1))
+            unit = np.repeat(b.column(0).to_numpy().astype(np.int64), np.diff(ends) // 2)
+            held.append((unit * (2 * classes + 1) + bag[::2], bag[1::2].astype(np.int64)))
         if not held:
             return
-        unit, at, times = map(np.concatenate, zip(*held, strict=True))
-        key, times = _summed(unit * (2 * classes + 1) + at, times)
+        key, times = _summed(*map(np.concatenate, zip(*held, strict=True)))
         unit, at = np.divmod(key, 2 * classes + 1)
         starts = np.flatnonzero(np.diff(unit, prepend=-1))
         weigh = Gains(n)
@@ -378,7 +405,7 @@ def _totals(rows: np.ndarray, cols: np.ndarray, out: np.ndarray, into: np.ndarra
 
 
 class Model(NamedTuple):
-    units: Units
+    units: Units | None
     label: np.ndarray       # class of each unit
     step: np.ndarray        # log10 P(class | previous class) - log10 count of the class
     head_log: np.ndarray    # log10 count of each head word
@@ -388,19 +415,34 @@ class Model(NamedTuple):
     end_count: int
 
 
+def unit_table(counts: DataFrame) -> tuple[Units, np.ndarray]:
+    """The units of the counted words, and the groups of endings of those clustered outside the head."""
+    clustered = counts.filter(F.col("n") >= LEAST).count()
+    units = Units(head_words(counts, HEAD), max(UNITS, 8 * (class_number(clustered) - CLASSES)))
+    keys, ending = other_keys(counts, counts.sparkSession.sparkContext.broadcast(units))
+    return units.with_keys(keys), ending
+
+
+def class_number(clustered: int) -> int:
+    return max(CLASSES, round(clustered ** (1 / 3)))
+
+
 def train(texts: DataFrame, counts: DataFrame) -> Model:
     """The model of all rows of (text); counts: their stored word counts."""
-    spark = texts.sparkSession
+    units, ending = unit_table(counts)
+    rows = texts.select(F.lit(None).cast("long").alias("id"), "text")
+    lines = stored(encoded(rows, texts.sparkSession.sparkContext.broadcast(units)), "brown-lines")
+    return fit(lines.select("line"), counts, units, ending)
+
+
+def fit(lines: DataFrame, counts: DataFrame, units: Units, ending: np.ndarray) -> Model:
+    """The model of the stored ``lines`` to learn from; counts: the counts of their words."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"),
                        F.count(F.when(F.col("n") >= LEAST, 1)).alias("clustered")).first()
-    ends = texts.count()
+    ends = lines.count()
     n, v = total.n + ends, total.v + (ends > 0)
-    head = head_words(counts, HEAD)
-    classes = max(CLASSES, round(total.clustered ** (1 / 3)))
-    units = Units(head, max(UNITS, 8 * (classes - CLASSES)))
-    keys, ending = other_keys(counts, spark.sparkContext.broadcast(units))
-    units.with_keys(keys)
-    lines = stored(encoded(texts, spark.sparkContext.broadcast(units)), "brown-lines")
+    classes = class_number(total.clustered)
+    head, keys = units.counts, units.keys
 
     # Seed units: the end token, the most frequent words, the groups of endings.
     seed = 1 + units.seeds + np.concatenate([[0], units.head_ending, ending, np.arange(units.endings)]).astype(np.int64)
@@ -419,44 +461,47 @@ def train(texts: DataFrame, counts: DataFrame) -> Model:
     return Model(units, label, step, np.log10(many), np.log10((many + 0.5) / denominator), n, denominator, ends)
 
 
-def measure(docs: DataFrame, model) -> DataFrame:
-    """Per row of (id, text): tokens and scores of its end and head words, and its other words as an array of
-    (word, times, step), step the sum of their transition terms. Logs are to base 10."""
+def measure(lines: DataFrame, model, head: int) -> DataFrame:
+    """Per row of :func:`encoded`: its id, tokens and scores of its end and head words (units up to ``head``), and its other
+    words as an array of (word, times, step), step the sum of their transition terms. Logs are to base 10."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         unknown = np.log10(0.5 / m.denominator)
         known = np.log10(max(1 - 0.5 / m.denominator, 1e-300))
-        end_base = np.log10((m.end_count + 0.5) / m.denominator)
-        end_log = known + np.log10(m.end_count) if m.end_count else unknown
-        tail_kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64()), ("step", pa.float64())]))
+        # By unit up to the head: what a token adds to the base and, beside its transition, to the score.
+        end = (np.log10((m.end_count + 0.5) / m.denominator), known + np.log10(m.end_count) if m.end_count else unknown)
+        base_of = np.append(end[0], m.head_base[:head])
+        score_of = np.append(end[1], m.head_log[:head] + known)
         for b in batches:
-            rows = []
-            for t in b.column(1):
-                text = words(t.as_py())
-                at, unit = m.units.of(text)
-                classes = m.label[np.concatenate([[0], unit, [0]])]
-                step = m.step[classes[:-1], classes[1:]]
-                in_head = at >= 0
-                places = at[in_head]
-                base = m.head_base[places].sum() + end_base
-                score = (m.head_log[places] + step[:-1][in_head] + known).sum() + end_log + (step[-1] if m.end_count else 0)
-                tail: dict[bytes, list] = {}
-                for i in np.flatnonzero(~in_head).tolist():
-                    x = tail.setdefault(text[i], [0, 0.0])
-                    x[0] += 1
-                    x[1] += float(step[i])
-                rows.append((len(text) + 1, len(places) + (m.end_count > 0), float(base), float(score),
-                             [{"word": w, "times": n, "step": s} for w, (n, s) in tail.items()]))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()),
-                 pa.array(cols[3], pa.float64()), pa.array(cols[4], tail_kind)],
-                ["id", "n_tokens", "n_known", "base", "score", "tail"])
-
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n_tokens long, n_known long, base double, score double, "
-                                                     "tail array<struct<word:binary,times:long,step:double>>")
+            for lo in range(0, b.num_rows, ROWS):
+                yield part(b.slice(lo, ROWS), m, base_of, score_of)
+
+    def part(b: pa.RecordBatch, m: Model, base_of: np.ndarray, score_of: np.ndarray) -> pa.RecordBatch:
+        line, ends = _ints(b.column(1))
+        starts = ends[:-1]
+        kind = m.label[np.append(np.zeros(1, np.int32), line)]
+        step = m.step[kind[:-1], kind[1:]]
+        in_head = line <= head
+        place = np.where(in_head, line, 0)
+        moved = step if m.end_count else np.where(line > 0, step, 0)
+        each = lambda x: np.add.reduceat(x, starts)  # noqa: E731  every line has its end token
+        tail = b.column(2)
+        words_, places = tail.flatten().field(0), tail.flatten().field(1)
+        of_row = np.diff(tail.offsets.to_numpy())
+        times = np.diff(places.offsets.to_numpy())
+        at = places.flatten().to_numpy() + np.repeat(np.repeat(starts, of_row), times)
+        steps = np.add.reduceat(step[at], np.cumsum(times) - times) if len(at) else np.zeros(0)
+        others = pa.StructArray.from_arrays([words_, pa.array(times, pa.int64()), pa.array(steps)], ["word", "times", "step"])
+        offsets = pa.array(np.append(0, np.cumsum(of_row)), pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(each(in_head & ((line > 0) | (m.end_count > 0))).astype(np.int64)),
+             pa.array(each(np.where(in_head, base_of[place], 0))), pa.array(each(np.where(in_head, score_of[place] + moved, 0))),
+             pa.ListArray.from_arrays(offsets, others)], ["id", "n_tokens", "n_known", "base", "score", "tail"])
+
+    kind = lines.schema["id"].dataType.simpleString()
+    return lines.select("id", "line", "tail").mapInArrow(run, f"id {kind}, n_tokens long, n_known long, base double, score double, "
+                                                             "tail array<struct<word:binary,times:long,step:double>>")
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -465,9 +510,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     learned = rows.filter(~held_out(F.col("id"))).select("text")
     counts = stored(word_counts(learned), "brown-counts")
-    model = train(learned, counts)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    parts = stored(measure(rows, shared).withColumn("row", F.monotonically_increasing_id()), "brown-parts")
+    units, ending = unit_table(counts)
+    lines = stored(encoded(rows, docs.sparkSession.sparkContext.broadcast(units)), "brown-lines")
+    model = fit(lines.filter(~held_out(F.col("id"))).select("line"), counts, units, ending)
+    shared = docs.sparkSession.sparkContext.broadcast(model._replace(units=None))
+    parts = stored(measure(lines, shared, units.head).withColumn("row", F.monotonically_increasing_id()), "brown-parts")
 
     d = model.denominator
     tail = parts.select("row", F.explode("tail").alias("t")).select("row", "t.*")
