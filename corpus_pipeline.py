@@ -10,27 +10,32 @@ from ratingspark.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier, fitted on labelled ones among them, does not reject."""
+    """Documents that the compression classifier, fitted on labelled ones among them, does not reject. Null and empty texts are
+    scored like any other; rows with null or repeated ids are judged row by row; without labels none is rejected for them."""
     return compression.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts (A-Z lower-cased), the one with the smallest id."""
+    """One document of each group of equal texts (A-Z lower-cased), the one with the smallest id. Null texts equal empty ones; a row
+    without an id stays only where its text has no other; rows that repeat id and text are one."""
     return exact_dedup.deduplicate(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of fingerprints at most 4 bits apart, the one with the smallest id."""
+    """One document of each component of fingerprints at most 4 bits apart, the one with the smallest id. Different texts of one id
+    are different documents; texts without words are one component; rows without an id give way to those with one."""
     return simhash.deduplicate(docs, width=4, bits=4)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in training order, once for each pass that the mix makes over them; those it leaves out go."""
+    """The documents in training order, once for each pass that the mix makes over them; those it leaves out go, as do texts
+    without words. A null source is one of its own."""
     return mix.ordered(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of every document of the mix, as digests of their ids and of the text that they decode to."""
+    """Tokens of every document of the mix, as digests of their ids and of the text that they decode to; no tokens for a null
+    or empty text. Columns that no stage knows pass all stages but this one, whatever their names; an empty table stays one."""
     return bpe.round_trip(docs, tokenizer_path())
 
 

@@ -166,11 +166,13 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def ordered(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 11,
-            weights: Sequence[float] = (1, 2, 3), curves=CURVES, max_epochs: int = 3) -> DataFrame:
+            weights: Sequence[float] = (1, 2, 3), curves=CURVES, max_epochs: int = 3, with_position: bool = False) -> DataFrame:
     """The mix itself: whole documents in training order, a document once for each pass that it is seen in; all
-    columns kept. Documents outside their source's target, or without words, are not in it."""
+    columns kept. Documents outside their source's target, or without words, are not in it. ``with_position`` adds
+    ``mix_position`` (0 to 1, the order) and ``mix_pass`` (from 0), which outlive any later shuffle."""
     cells = stored(_cells(_rows(docs, key, text, source, seed)), "mix-cells")
     rows = _rows(docs, key, text, source, seed, F.struct("*").alias("row"))
     placed = _place(rows, cells, weights, curves, max_epochs, whole=True)
-    seen = placed.select("row", "id", "tie", F.explode("positions").alias("position"))
-    return seen.orderBy("position", "id", "tie").select("row.*")
+    seen = placed.select("row", "id", "tie", "passes", F.posexplode("positions").alias("nth", "position"))
+    more = [F.col("position").alias("mix_position"), F.get("passes", F.col("nth"))["n"].alias("mix_pass")] if with_position else []
+    return seen.orderBy("position", "id", "tie").select("row.*", *more)

@@ -216,10 +216,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, bits: int = 4) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id; all columns kept.
 
-    Of rows that repeat an id, one stays; rows without an id stay as they are, as no id can stand for them.
+    A document is an id with a text: rows that repeat both are one row, different texts of one id are different documents
+    (of two in one component the one with the smaller hash stays), and rows without an id take part, but stay only where
+    no document with an id is in their component.
     """
-    named = docs.filter(F.col(key).isNotNull())
-    kept = near_duplicates(named, key, text, width, bits).filter(F.col(key) == F.col("component_id"))
-    ids = kept.select(F.col(key).alias("id")).distinct()
-    once = one_row_each(named, F.col(key).alias("id")).join(ids, "id", "left_semi").select("row.*")
-    return once.unionByName(docs.filter(F.col(key).isNull()))
+    name = F.md5(F.coalesce(F.col(text), F.lit("")))
+    own = F.struct(F.col(key).isNull().alias("nameless"), F.col(key).alias("id"), name.alias("name"))
+    found = near_duplicates(docs.select(own.alias("own"), F.col(text).alias("text")), "own", "text", width, bits)
+    kept = found.filter(F.col("own") == F.col("component_id")).select("own.id", "own.name").distinct()
+    once = one_row_each(docs, F.col(key).alias("id"), name.alias("name"))
+    same = once["id"].eqNullSafe(kept["id"]) & (once["name"] == kept["name"])
+    return once.join(kept, same, "left_semi").select("row.*")
