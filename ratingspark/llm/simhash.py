@@ -9,8 +9,8 @@ splitting its own members the same way and compares the last few by full Hamming
 split any more (many fingerprints agree in it) the node splits by the whole word.
 
 A leaf's task returns a spanning forest of its links, not the pairs, so thousands of near copies give as many rows
-as there are copies. Equal fingerprints are one node throughout. The trees are fitted on a sample of at most ``SAMPLE``
-fingerprints; every fingerprint is routed, and the result is exact whatever the sample was.
+as there are copies. Equal fingerprints are one node throughout. The trees are fitted on a sample of about ``SAMPLE``
+fingerprints at most, and at most half of them; every fingerprint is routed, and the result is exact whatever the sample was.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero, linked like any other; rows
 with null ids belong to components but never name one, unless there is no other id; an empty table gives an empty one.
@@ -177,7 +177,10 @@ def links(distinct: DataFrame, bits: int = 4, blocks: int = BLOCKS) -> DataFrame
     """Spanning links (a, b) between the distinct fingerprints ``fp`` that are at most ``bits`` apart."""
     spark = distinct.sparkSession
     total = distinct.count()
-    sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    # By hash, so it does not depend on the order of rows; about SAMPLE at most, never more than half of all.
+    share = min(0.5, SAMPLE / max(1, total))
+    drawn = distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).select("fp").limit(2 * SAMPLE)
+    sample = np.sort(drawn.toArrow().column("fp").to_numpy()).astype(np.int64).view(np.uint64)
     masks, radius = _parts(blocks), bits // blocks
     trees = spark.sparkContext.broadcast([grow(sample, total, m, radius, bits, i) for i, m in enumerate(masks)])
 
@@ -220,10 +223,9 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     (of two in one component the one with the smaller hash stays), and rows without an id take part, but stay only where
     no document with an id is in their component.
     """
-    name = F.md5(F.coalesce(F.col(text), F.lit("")))
+    # One key for both, never null, by which rows are grouped and joined without moving them twice.
+    name = F.concat_ws(":", F.md5(F.coalesce(F.col(text), F.lit(""))), F.col(key).cast("string"))
     own = F.struct(F.col(key).isNull().alias("nameless"), F.col(key).alias("id"), name.alias("name"))
     found = near_duplicates(docs.select(own.alias("own"), F.col(text).alias("text")), "own", "text", width, bits)
-    kept = found.filter(F.col("own") == F.col("component_id")).select("own.id", "own.name").distinct()
-    once = one_row_each(docs, F.col(key).alias("id"), name.alias("name"))
-    same = once["id"].eqNullSafe(kept["id"]) & (once["name"] == kept["name"])
-    return once.join(kept, same, "left_semi").select("row.*")
+    kept = found.filter(F.col("own") == F.col("component_id")).select("own.name").distinct()
+    return one_row_each(docs, name.alias("name")).join(kept, "name", "left_semi").select("row.*")
