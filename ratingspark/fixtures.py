@@ -60,10 +60,10 @@ def transcripts(spark: SparkSession, sf_dir: str, with_errors: bool = True) -> D
                     tr.alias("transcript"))
 
 
-def rated_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transcripts + three (score, rationale) pairs, canonical names."""
+def rated_wide(spark: SparkSession, sf_dir: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Transcripts + three (score, rationale) pairs, canonical names; ``carry``: further columns of the documents."""
     d = read(spark, sf_dir, "documents")
-    cols = [F.col("doc_id"), title_col().alias("title"), F.col("doc_id").cast("string").alias("link"),
+    cols = [F.col("doc_id"), *carry, title_col().alias("title"), F.col("doc_id").cast("string").alias("link"),
             F.col("text").alias("transcript")]
     for r in RUBRICS:
         cols += [derived_score(r).alias(f"{r}_score"), derived_rationale(r).alias(f"{r}_score_rationale")]

@@ -111,8 +111,8 @@ SQL["csv_blocks"] = SQL["csv_roundtrip"]
 SQL["json_blocks"] = SQL["json_roundtrip"]
 SQL["text_sink"] = "SELECT line FROM documents, unnest(string_split(text, chr(10))) AS t(line)"
 SQL["text_documents"] = f"SELECT doc_id, transcript FROM ({O.transcripts_sql()})"
-SQL["published_dataset"] = ("SELECT w.doc_id, d.lang, w.title, " + ", ".join(f"w.{r}_score" for r in RUBRICS)
-                            + f" FROM ({O.rated_wide_sql()}) w JOIN documents d USING (doc_id)")
+SQL["published_dataset"] = ("SELECT w.*, d.lang"
+                            f" FROM ({O.rated_wide_sql()}) w JOIN documents d USING (doc_id)")
 _SUFFIX = "('https://videos.example.com' || regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1))"
 SQL["absolute_links"] = f"SELECT page_id, {clean_url_sql(_SUFFIX, 'page')} AS link FROM pages"
 SQL["match_media"] = (

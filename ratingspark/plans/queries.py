@@ -242,11 +242,11 @@ def q_text_documents(spark, sf_dir):
 
 @register("published_dataset")
 def q_published_dataset(spark, sf_dir):
-    """The rated table as records of one struct column, published as Parquet by language, loaded and flattened again."""
+    """The whole rated table as records of one struct column, published as Parquet by language, loaded and flattened again."""
     path = scratch_path(spark, "published")
-    d = fx.read(spark, sf_dir, "documents").select("doc_id", "lang")
-    records = fx.rated_wide(spark, sf_dir).select("doc_id", F.struct("title", *[f"{r}_score" for r in SC.RUBRICS]).alias("train"))
-    IO.write_parquet(records.join(d, "doc_id"), path, partition_by=("lang",))
+    wide = fx.rated_wide(spark, sf_dir, carry=("lang",))
+    records = wide.select("doc_id", "lang", F.struct(*[c for c in wide.columns if c not in ("doc_id", "lang")]).alias("train"))
+    IO.write_parquet(records, path, partition_by=("lang",))
     return R.flatten_struct(spark.read.parquet(path), "train")
 
 
