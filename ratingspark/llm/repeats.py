@@ -13,7 +13,8 @@ is one count per interval over all shards, and no suffix is ever sorted again.
   are its interval; the bytes that any of them covers (prefix, and what precedes the suffix: its BWT context)
   are its hull. A unique interval settles the range: none of its windows repeats. A repeated hull settles it too: all of
   them do. What is left is split, and of a settled group one witness goes on while others still need a partner.
-* At width 1 interval and hull are the window itself, so the answer is exact, up to collisions of 128-bit hashes.
+* At width 1 interval and hull are the window itself, so the answer is exact, up to collisions of polynomial hashes
+  modulo a prime at four random points (124 bits): no structure of the bytes makes two strings agree.
 
 Equal texts are one row with a count (of 2 at least when copied), so groups of copies cost nothing. The distinct
 texts are written once, bucketed by their hash: the rounds join them without shuffling text. Counts are pre-aggregated,
@@ -39,43 +40,65 @@ from ratingspark.llm.common import stored
 from ratingspark.session import scratch_path
 
 GRAM, SAMPLED, FAN, PIECE = 16, 256, 4, 1 << 20
-_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+PRIME = np.uint64((1 << 31) - 1)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A number with the same remainder modulo ``PRIME``, 31 bits shorter (2^31 is 1 modulo ``PRIME``)."""
+    return (x & PRIME) + (x >> np.uint64(31))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
 
 class Rolling:
-    """128-bit hashes of any substring of a text in constant time, from two prefix sums modulo 2^64."""
+    """Hashes of any substring of a text in constant time: polynomials modulo the prime 2^31 - 1 at four random points, two to a
+    hash of 62 bits. Two different strings of n bytes agree at a point with a probability under n / 2^31, whatever they hold."""
 
-    _symbols = np.random.default_rng(20).integers(0, 1 << 64, (2, 256), np.uint64)
+    points = [int(x) for x in np.random.default_rng(20).integers(1 << 20, (1 << 31) - 1, 4)]
     _powers: tuple = ()
 
     def __init__(self, data: np.ndarray):
-        n = len(data)
-        up, down = self.powers(n + 1)
-        self.down, self.sums = down, []
-        for k in range(2):
-            s = np.zeros(n + 1, np.uint64)
-            np.cumsum(self._symbols[k][data] * up[k][:n], out=s[1:])
-            self.sums.append(s)
+        self.symbols = data.astype(np.uint64) + np.uint64(1)
+        self.up, self.down = self.powers(len(data) + 1)
+        self.sums: dict[int, np.ndarray] = {}
 
     @classmethod
     def powers(cls, n: int):
+        """Powers of the points and of their inverses, kept for texts to come."""
         if not cls._powers or len(cls._powers[0][0]) < n:
-            size = max(n, 1 << 17)
-            both = []
-            for sign in (1, -1):
+            size, both = max(n, 1 << 17), []
+            for points in (cls.points, [pow(x, -1, int(PRIME)) for x in cls.points]):
                 both.append([])
-                for m in _MULTIPLIERS:
-                    p = np.full(size, pow(m, sign, 1 << 64), np.uint64)
-                    p[0] = 1
-                    both[-1].append(np.cumprod(p, dtype=np.uint64))
+                for x in points:
+                    p = np.ones(1, np.uint64)
+                    while len(p) < size:
+                        p = np.concatenate([p, _fold(_fold(p * np.uint64(pow(x, len(p), int(PRIME))))) % PRIME])
+                    both[-1].append(p[:size].astype(np.uint32))
             cls._powers = tuple(both)
         return cls._powers
 
+    def _at(self, j: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if j not in self.sums:  # symbols below 2^9 by powers below 2^31: sums of 2^23 bytes stay below 2^63
+            self.sums[j] = np.zeros(len(self.symbols) + 1, np.uint64)
+            np.cumsum(self.symbols * self.up[j][:len(self.symbols)], out=self.sums[j][1:])
+        x = _fold(self.sums[j][end] - self.sums[j][start]) * self.down[j][start]
+        x = _fold(_fold(_fold(x)))
+        return np.where(x >= PRIME, x - PRIME, x)
+
     def of(self, start: np.ndarray, end: np.ndarray, k: int = 0) -> np.ndarray:
-        x = (self.sums[k][end] - self.sums[k][start]) * self.down[k][start]
-        x ^= x >> np.uint64(31)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(29))
+        return _mix(self._at(2 * k, start, end) << np.uint64(31) | self._at(2 * k + 1, start, end))
+
+
+def _grams(data: np.ndarray) -> np.ndarray:
+    """A number for the ``GRAM`` bytes from each place, which only orders the places: that some grams share one does no harm."""
+    x = data.astype(np.uint64)
+    for n in (1, 2, 4):
+        x = x[:-n] | x[n:] << np.uint64(8 * n)
+    return _mix(_mix(x[:-8]) * np.uint64(3) + x[8:])
 
 
 def _pieces(n: int, length: int) -> Iterator[tuple[int, int, int, int]]:
@@ -104,7 +127,7 @@ def _piece_anchors(data: np.ndarray, length: int):
     for first, end, lo, hi in _pieces(n, length):
         roll = Rolling(data[lo:hi])
         at = np.arange(first - lo, end - lo + SAMPLED - 1)
-        gram = roll.of(at, at + GRAM)
+        gram = _grams(data[lo:hi])[at]
         key = (gram & ~np.uint64((1 << 22) - 1)) | (at - at[0]).astype(np.uint64)
         blocks = np.pad(key, (0, -len(key) % SAMPLED), constant_values=np.uint64((1 << 64) - 1)).reshape(-1, SAMPLED)
         before = np.minimum.accumulate(blocks, axis=1).ravel()

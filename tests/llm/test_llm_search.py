@@ -142,6 +142,29 @@ def test_repeats(spark, monkeypatch, piece):
     assert all(sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in rows)
 
 
+@pytest.mark.parametrize("length", [400, 1600])
+def test_thue_morse_words_are_not_repeats(spark, length):
+    """Such words of 1,024 letters and their complements agree in every polynomial modulo 2^64."""
+    rng = random.Random(5)
+    word = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    head, tail = (" ".join(sentences(60 + i, 2, 60)) for i in range(2))
+    texts = [word, word.translate(str.maketrans("ab", "ba"))]
+    pairs = [(i, head[-300:] + t + tail[:276]) for i, t in enumerate(texts)]
+    pairs += [(10 + i, "".join(rng.choice("xyz") for _ in range(700)) + t) for i, t in enumerate(texts)]
+    got = repeats.remove_repeats(docs(spark, pairs), length).collect()
+    assert Counter(tuple(r)[:5] for r in got) == expected_rows(pairs, length)
+
+
+def test_substring_hashes_are_polynomials_modulo_a_prime():
+    data = np.random.default_rng(1).integers(0, 256, 3000, np.uint8)
+    roll, prime = repeats.Rolling(data), (1 << 31) - 1
+    start, end = np.array([0, 7, 2000, 2999, 5]), np.array([3000, 407, 3000, 3000, 5])
+    for j, x in enumerate(roll.points):
+        expected = [sum((int(data[i]) + 1) * pow(x, i - a, prime) for i in range(a, b)) % prime
+                    for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        assert roll._at(j, start, end).tolist() == expected
+
+
 def test_repeats_of_empty_and_short_tables(spark):
     assert repeats.remove_repeats(docs(spark, [(1, "x")]).limit(0)).count() == 0
     pairs = [(1, None), (2, ""), (3, "x" * 399), (3, "x" * 399)]
