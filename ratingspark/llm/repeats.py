@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratingspark.llm.common import stored
@@ -186,7 +186,9 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
     (docs.select(_name(body).alias("h"), body.alias("text")).groupBy("h")
      .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")).repartition(n, "h")
      .write.bucketBy(n, "h").sortBy("h").option("path", scratch_path(spark, "repeat-texts")).saveAsTable(name))
-    return spark.table(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files are the job's, and ``found`` knows them and their buckets
+    return found
 
 
 def _name(text):
@@ -237,6 +239,20 @@ def _range_rows(texts: DataFrame, nodes: DataFrame, width: int, fan: int, length
             .mapInArrow(run, "h binary, weight int, a long, x int, low int, high int, core long, hull1 long, hull2 long"))
 
 
+def _with_totals(hulls: DataFrame) -> DataFrame:
+    """``hulls`` of intervals with more than one suffix, with ``open``, the number of the interval's hulls with one suffix.
+
+    An interval may hold any number of hulls, so it is dealt over salts first: a task that adds up an interval reads a row per salt,
+    and one that hands out the sums reads the hulls of a salt."""
+    salts = int(hulls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = hulls.withColumn("salt", F.pmod(F.xxhash64("hull1", "hull2"), F.lit(salts)).cast("int"))
+    dealt = salted.groupBy("core", "salt").agg(F.sum("same").alias("same"), F.count_if(F.col("same") == 1).alias("alone"))
+    every = Window.partitionBy("core")
+    sums = (dealt.select("core", "salt", F.sum("same").over(every).alias("total"), F.sum("alone").over(every).alias("open"))
+            .filter("total > 1").drop("total"))
+    return salted.join(sums, ["core", "salt"]).drop("salt")
+
+
 def repeated_spans(texts: DataFrame, length: int = 400) -> DataFrame:
     """(h, start, end): byte spans of distinct texts (h, text, copies) that repeated windows cover; spans may overlap."""
     sampled = stored(_anchor_rows(texts, length), "repeat-anchors")
@@ -247,9 +263,7 @@ def repeated_spans(texts: DataFrame, length: int = 400) -> DataFrame:
         rows = stored(_range_rows(texts, nodes, width, fan, length), "repeat-ranges")
         rows = rows.withColumn("id", F.xxhash64("h", "a"))
         hulls = rows.groupBy("core", "hull1", "hull2").agg(F.sum("weight").alias("same"), F.min("id").alias("witness"))
-        cores = (hulls.groupBy("core").agg(F.sum("same").alias("total"), F.count_if(F.col("same") == 1).alias("open"))
-                 .filter("total > 1"))
-        known = rows.join(hulls.join(cores, "core"), ["core", "hull1", "hull2"])
+        known = rows.join(_with_totals(hulls), ["core", "hull1", "hull2"])
         if width > 1:
             known = stored(known.select("h", "weight", "a", "x", "low", "high", "same", "open", (F.col("id") == F.col("witness")).alias("first")),
                            "repeat-known")

@@ -165,6 +165,30 @@ def test_substring_hashes_are_polynomials_modulo_a_prime():
         assert roll._at(j, start, end).tolist() == expected
 
 
+def test_one_interval_of_many_hulls(spark):
+    """Every window holds one interval's bytes and differs beyond them: no task may add up or hand out all its hulls."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(40_000).select(F.when(F.col("id") < 30_000, 7).otherwise(F.col("id")).cast("long").alias("core"),
+                                      F.xxhash64("id").alias("hull1"), F.lit(0).cast("long").alias("hull2"),
+                                      F.when(F.col("id") % 100 == 0, 2).otherwise(1).cast("long").alias("same"), F.col("id").alias("witness"))
+    found = repeats._with_totals(rows)
+    assert {(r.core, r.open, r.n) for r in found.groupBy("core", "open").agg(F.count("*").alias("n")).filter("core = 7").collect()} == {(7, 29_700, 30_000)}
+    assert found.filter("core <> 7").agg(F.min("same"), F.max("open"), F.count("*")).first() == (2, 0, 100)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r.n for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(sizes) < 15_000
+
+
+def test_no_table_stays_in_the_catalog(spark):
+    got = repeats.remove_repeats(docs(spark, [(1, "x" * 500), (2, "y" * 10)]))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("texts_")]
+    assert {r.doc_id: r.n_removed for r in got.collect()} == {1: 500, 2: 0}
+
+
 def test_repeats_of_empty_and_short_tables(spark):
     assert repeats.remove_repeats(docs(spark, [(1, "x")]).limit(0)).count() == 0
     pairs = [(1, None), (2, ""), (3, "x" * 399), (3, "x" * 399)]
