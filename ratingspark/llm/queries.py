@@ -170,6 +170,20 @@ SELECT *, NOT base_failed AND n_words >= 20 AND word_chars BETWEEN 2 * n_words A
           AND n_repeat_words <= 0.3::DOUBLE * n_words AND n_stop_words >= 2 AND n_shouts <= 0.3::DOUBLE * n_words AS kept
 FROM b""".replace("STOPS", ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS))
 
+# CRC-32 byte by byte: its table of 256 remainders comes from eight shifts of each byte.
+SQL["op9_shards"] = r"""
+WITH RECURSIVE shifts AS (
+  SELECT range AS byte, range::BIGINT AS c, 0 AS step FROM range(256)
+  UNION ALL SELECT byte, xor(c >> 1, (c & 1) * 3988292384), step + 1 FROM shifts WHERE step < 8),
+crc AS (SELECT list(c ORDER BY byte) AS steps FROM shifts WHERE step = 8),
+d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes FROM documents),
+s AS (SELECT doc_id, size, xor(list_reduce(list_transform(bytes, lambda x: ('0x' || x)::BIGINT), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32
+      FROM d, crc),
+o AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS earlier, sum(size) OVER () AS total FROM s),
+p AS (SELECT *, ((2 * earlier + size) * 16 // (2 * total))::INT AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1)::INT AS slot,
+       NULL::INT AS grown_shard FROM p"""
+
 SQL["op10_exact_dedup"] = r"""
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
            FROM documents),

@@ -40,6 +40,8 @@ from ratingspark.llm.common import stored
 from ratingspark.session import scratch_path
 
 GRAM, SAMPLED, FAN, PIECE = 16, 256, 4, 1 << 20
+#: Rows of one interval beyond this share of all, one in so many, are not given to one task.
+HOT = 1000
 PRIME = np.uint64((1 << 31) - 1)
 
 
@@ -239,6 +241,15 @@ def _range_rows(texts: DataFrame, nodes: DataFrame, width: int, fan: int, length
             .mapInArrow(run, "h binary, weight int, a long, x int, low int, high int, core long, hull1 long, hull2 long"))
 
 
+def _shared(sampled: DataFrame) -> DataFrame:
+    """The stored anchors whose interval is another's too. Anchors of an interval with over a ``HOT``-th of all rows, which are under
+    ``HOT`` intervals by arithmetic, are told from their broadcast names and not shuffled."""
+    sums = stored(sampled.groupBy("core").agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("anchors")).filter("n > 1"), "repeat-shared")
+    hot = F.broadcast(sums.filter(F.col("anchors") > sampled.count() / HOT).select("core"))
+    rest = sampled.join(hot, "core", "left_anti").join(sums.select("core"), "core", "left_semi")
+    return rest.unionByName(sampled.join(hot, "core", "left_semi"))
+
+
 def _with_totals(hulls: DataFrame) -> DataFrame:
     """``hulls`` of intervals with more than one suffix, with ``open``, the number of the interval's hulls with one suffix.
 
@@ -256,8 +267,7 @@ def _with_totals(hulls: DataFrame) -> DataFrame:
 def repeated_spans(texts: DataFrame, length: int = 400) -> DataFrame:
     """(h, start, end): byte spans of distinct texts (h, text, copies) that repeated windows cover; spans may overlap."""
     sampled = stored(_anchor_rows(texts, length), "repeat-anchors")
-    shared = sampled.groupBy("core").agg(F.sum("weight").alias("n")).filter("n > 1").select("core")
-    nodes = sampled.join(shared, "core", "left_semi").select("h", "weight", "a", F.lit(0).alias("x"), "low", "high")
+    nodes = _shared(sampled).select("h", "weight", "a", F.lit(0).alias("x"), "low", "high")
     spans, width, fan = None, SAMPLED, 1
     while True:
         rows = stored(_range_rows(texts, nodes, width, fan, length), "repeat-ranges")

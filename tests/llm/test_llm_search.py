@@ -183,6 +183,23 @@ def test_one_interval_of_many_hulls(spark):
     assert max(sizes) < 15_000
 
 
+def test_anchors_of_one_interval_are_not_shuffled(spark):
+    """A third of the anchors share an interval, as where one passage is in a third of the documents."""
+    from pyspark.sql import functions as F
+
+    from ratingspark.llm.common import stored
+
+    rows = stored(spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, 1).otherwise(F.floor(F.col("id") / 2) + 10).cast("long").alias("core"),
+                                             F.when(F.col("id") % 7 == 0, 2).otherwise(1).alias("weight")), "anchors")
+    found = repeats._shared(rows)
+    n = Counter()
+    for r in rows.collect():
+        n[r.core] += r.weight
+    assert sorted(map(tuple, found.select("id", "core", "weight").collect())) == sorted(tuple(r) for r in rows.collect() if n[r.core] > 1)
+    assert "BroadcastHashJoin [core" in found._jdf.queryExecution().toString()
+    assert repeats._shared(rows.limit(0)).count() == 0
+
+
 def test_no_table_stays_in_the_catalog(spark):
     got = repeats.remove_repeats(docs(spark, [(1, "x" * 500), (2, "y" * 10)]))
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("texts_")]
