@@ -9,11 +9,12 @@ counts hold one row per token with both classes; the ``VOCABULARY`` most frequen
 and a page's other tokens join the table of all, with the same result.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and has no words, so the
-class priors decide; an empty page table gives an empty table; repeated pages are judged alike; null titles add nothing.
+class priors decide; hosts, paths and words of any length are read whole; an empty page table gives an empty table; repeated pages are judged alike; null titles add nothing.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 
 from ratingspark.llm.common import LOWER, UPPER, stored
 
-VOCABULARY, LONGEST_WORD = 100_000, 24
+VOCABULARY = 100_000
+#: Letters of substrings that a batch may hold.
+BATCH = 1 << 22
 #: Words of host names that mark examples of unwanted sites.
 SEEDS = ("ads adult bet bets betting buy casino cheap farm free gamble loan lottery pharma pill pills poker porn prize "
          "sex slots spam track tracker viagra win xxx").split()
@@ -62,21 +65,24 @@ def fitting(rules, host: Column, path: Column) -> Column:
 
 
 class Segmenter:
-    """Most probable split of a name into words under unigram counts; unknown words cost ten times more a letter."""
+    """Most probable split of a name into words under unigram counts; unknown words cost ten times more a letter. Words and
+    unknown pieces may have any length: of the pieces that end at a letter, the best start is kept from letter to letter."""
 
     def __init__(self, counts: dict[str, int], total: int | None = None):
         self.total = max(1, sum(counts.values()) if total is None else total)
         self.cost = {w: math.log(self.total / n) for w, n in counts.items()}
-        self.unknown = [math.log(self.total) + k * math.log(10) for k in range(LONGEST_WORD + 1)]
+        self.lengths = sorted({len(w) for w in counts}, reverse=True)
 
     def __call__(self, name: str) -> list[str]:
-        best, cut = [0.0], [0]
+        best, cut, letter = [0.0], [0], math.log(10)
+        unknown = (math.log(self.total), 0)
         for end in range(1, len(name) + 1):
-            costs = [(best[start] + self.cost.get(name[start:end], self.unknown[end - start]), start)
-                     for start in range(max(0, end - LONGEST_WORD), end)]
-            cost, start = min(costs)
+            known = ((best[end - n] + self.cost[name[end - n:end]], end - n) for n in self.lengths
+                     if n <= end and name[end - n:end] in self.cost)
+            cost, start = min(((unknown[0] + end * letter, unknown[1]), *known))
             best.append(cost)
             cut.append(start)
+            unknown = min(unknown, (cost + math.log(self.total) - end * letter, end))
         words, end = [], len(name)
         while end:
             words.append(name[cut[end]:end])
@@ -96,15 +102,17 @@ def unigrams(pages: DataFrame) -> DataFrame:
     labels = F.filter(F.split("host", r"\."), lambda x: x.contains("-"))
     text = F.lower(F.concat_ws(" ", title, F.col("path"), F.array_join(labels, " ")))
     words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word"))
-    found = words.filter(F.length("word").between(2, LONGEST_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    found = words.filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     least = pages.sparkSession.createDataFrame([(w, 0) for w in SEEDS], "word string, n long")
     return found.unionByName(least).groupBy("word").agg(F.greatest(F.sum("n"), F.lit(1)).alias("n"))
 
 
 def segmented(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     """(host, words) of distinct (host). counts: stored (word, n); each distinct name meets the counts of its own
-    substrings, by a join with all of them."""
+    substrings, by a join with all of them. Only substrings as long as some word can be one."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    # One number for each length that occurs; the words of n letters are at least one, so their lengths are few.
+    lengths = sorted(r.n for r in counts.select(F.length("word").alias("n")).distinct().collect())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,9 +121,12 @@ def segmented(hosts: DataFrame, counts: DataFrame) -> DataFrame:
 
     def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name in b.column(0).to_pylist():
-                found = sorted({name[i:k] for i in range(len(name)) for k in range(i + 2, min(len(name), i + LONGEST_WORD) + 1)})
-                yield pa.RecordBatch.from_pydict({"name": pa.array([name] * len(found), pa.string()), "word": pa.array(found, pa.string())})
+            for key, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for n in itertools.takewhile(lambda n: n <= len(name), lengths):
+                    step = max(1, BATCH // n)
+                    for first in range(0, len(name) - n + 1, step):
+                        found = {name[i:i + n] for i in range(first, min(first + step, len(name) - n + 1))}
+                        yield pa.RecordBatch.from_pydict({"key": pa.array([key] * len(found), pa.binary()), "word": pa.array(sorted(found), pa.string())})
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,10 +137,10 @@ def segmented(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     cuts = stored(hosts.mapInArrow(cut, "host string, parts array<string>"), "url-hosts")
     each = cuts.select("host", F.posexplode("parts").alias("at", "name"))
     alpha = F.col("name").rlike("^[a-z]+$")
-    names = each.filter(alpha).select("name").distinct()
-    known = names.mapInArrow(substrings, "name string, word string").join(counts, "word")
-    lists = known.groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    splits = (names.join(lists, "name", "left").select("name", F.coalesce("known", F.array().cast("array<struct<word:string,n:bigint>>")).alias("known"))
+    names = each.filter(alpha).select(F.unhex(F.md5("name")).alias("key"), "name").distinct()
+    known = names.mapInArrow(substrings, "key binary, word string").join(counts, "word")
+    lists = known.groupBy("key").agg(F.collect_set(F.struct("word", "n")).alias("known"))
+    splits = (names.join(lists, "key", "left").select("name", F.coalesce("known", F.array().cast("array<struct<word:string,n:bigint>>")).alias("known"))
               .mapInArrow(split, "name string, split array<string>"))
     placed = each.join(splits, "name", "left").groupBy("host").agg(
         F.array_sort(F.collect_list(F.struct("at", F.coalesce("split", F.array("name")).alias("split")))).alias("found"))

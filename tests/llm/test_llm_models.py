@@ -1,5 +1,7 @@
 """op3, op5, op6, op7: models and tokens against the library, by held-out accuracy, sums to one and exact counts."""
+import math
 import random
+import re
 import zlib
 from collections import Counter
 from hashlib import sha256
@@ -274,7 +276,7 @@ def test_viterbi_is_the_best_split():
     s = urls.Segmenter(counts)
 
     def cost(w):
-        return s.cost.get(w, s.unknown[min(len(w), urls.LONGEST_WORD)])
+        return s.cost.get(w, math.log(s.total) + len(w) * math.log(10))
 
     def splits(x):
         return [[]] if not x else [[x[:i], *r] for i in range(1, len(x) + 1) for r in splits(x[i:])]
@@ -293,6 +295,33 @@ def test_every_counted_word_is_used_in_segmentation(spark, monkeypatch):
     assert row.tokens == ["www", "maple", "kettle", "/p"]
 
 
+def test_words_of_any_length_are_counted(spark):
+    word = "pneumonoultramicroscopicsilicovolcanoconiosis"
+    many = [f"http://www.x-{word}.net/p{i}" for i in range(5)] + [f"http://www.garden-q.net/{word}"] * 3
+    row = urls.judge(pages(spark, [*many, f"http://www.garden{word}q.org/p"])).filter("host like '%.org'").first()
+    assert row.tokens == ["www", "garden", word, "q", "/p"]
+
+
+def test_naive_bayes_by_hand(spark):
+    """Log odds of every row from its own tokens and labels, on long urls, repeated rows and urls without a host too."""
+    many = [*URLS, *URLS, "http://" + "cheap" * 4000 + "." + "quiet" * 3000 + ".net/" + "p/" * 20_000, "http://a.net/" + "z" * 100_000]
+    many += ["http://free-bets.net/p/1"] * 5 + ["http://quiet-garden.net/p/1"] * 9
+    rows = urls.judge(pages(spark, many)).collect()
+    assert len(rows) == len(many)
+    bad = [bool(set(urls.SEEDS) & {*re.split("[^0-9a-z]+", r.host), *r.tokens}) for r in rows]
+    n = {b: Counter(t for r, x in zip(rows, bad, strict=True) if x == b for t in r.tokens) for b in (True, False)}
+    size = len(n[True] | n[False]) + 1
+    prior = math.log((sum(bad) + 1) / (len(bad) - sum(bad) + 1))
+    for r in rows:
+        odds = prior + sum(math.log((n[True][t] + 1) / (n[True].total() + size)) - math.log((n[False][t] + 1) / (n[False].total() + size))
+                           for t in r.tokens)
+        assert r.log_odds == pytest.approx(odds, rel=1e-9, abs=1e-9)
+        assert r.rule is not None or r.verdict == ("block" if r.log_odds > 0 else "allow")
+    same = [{(r.host, r.path, r.rule, r.verdict, round(r.log_odds, 9)) for r in rows if r.page_id % len(URLS) == i and r.page_id < 2 * len(URLS)}
+            for i in range(len(URLS))]
+    assert all(len({x[:2] for x in s}) == 1 for s in same)
+
+
 def test_no_class_count_is_cut(spark, monkeypatch):
     many = [f"http://www.cheap-pills{i}.net/p/only{i % 7}" for i in range(20)]
     many += [f"http://www.quiet-garden{i}.net/p/other{i % 9}/p" for i in range(60)] + [None, "http://www.only3.net/only3/only3"]
