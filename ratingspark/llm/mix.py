@@ -6,9 +6,11 @@ source goes beyond ``max_epochs`` passes: the excess is reshared by weight among
 document's n-th pass starts at some cumulated token of its source; inverting the demand there gives its training
 position, and documents are range-sorted by it.
 
-Cumulated tokens come from sums per (source, bucket), where a document's bucket is the start of a hash that also
-orders the source: no task gathers a source, however large. The tables of sources and of (source, bucket) sums are
-small and joined as Spark sees fit by their measured size.
+Cumulated tokens come from sums per (source, cell), where a cell is a range of the source's order: no task gathers a
+source, however large. The order is a hash of the id, then one of the text; cells are as many as give ``CELL`` rows each.
+A cell that still holds over a ``HOT``-th of all rows (rows without ids, a repeated id) is cut by the text's hash, and by the
+stored part it lies in where the texts agree as well. The tables of sources and of cells are small (a cell is some thousand
+rows) and joined as Spark sees fit by their measured size.
 
 Defined results: a null text has no words; a null source is a source like any other, the last; a document without
 words takes nothing; equal ids are told apart by a hash of their text, and full repeats take their turns in some
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 
 from ratingspark.llm.common import SPACE, stored
 
-#: Hex digits of the order hash that make a bucket: 16^digits buckets per source at most.
-BUCKET_DIGITS = 3
+#: Rows that a cell is meant to hold, and the share of all rows, one in so many, beyond which a cell is cut again.
+CELL, HOT = 4096, 1000
+#: What tells a cell from the others; cells of a source follow each other in this order.
+CELLS = ["s", "bucket", "fine", "part"]
 #: Curricula dealt to the sources in turn: fading out, growing, and level. Each integrates to 1.
 CURVES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.0), (1.0, 1.0)))
 
@@ -102,22 +106,49 @@ def targets(planned: DataFrame, max_epochs: int = 3) -> DataFrame:
 
 
 def _rows(docs: DataFrame, key: str, text: str, source: str, seed: int, *more: Column) -> DataFrame:
+    """The stored rows (id, source, size, hash, tie, ...) with the cells they lie in."""
     t = F.coalesce(F.col(text), F.lit(""))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
     # ``s`` is the source with a mark before it, so that null (no mark) is a plain value to group and join by.
-    return docs.select(
+    rows = stored(docs.select(
         F.col(key).alias("id"), F.col(source).alias("source"), word_count(t).alias("size"), order.alias("hash"),
-        F.substring(order, 1, BUCKET_DIGITS).alias("bucket"), F.xxhash64(t).alias("tie"),
-        F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("s"), *more)
+        F.xxhash64(t).alias("tie"), F.spark_partition_id().alias("at"),
+        F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("s"), *more), "mix-rows")
+    return _in_cells(rows, rows.count())
+
+
+def _digits(n: int) -> int:
+    """Hex digits of a hash that tell ``n`` rows into cells of at most ``CELL`` on average."""
+    digits = 1
+    while digits < 15 and n > CELL * 16 ** digits:
+        digits += 1
+    return digits
+
+
+def _in_cells(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` with ``bucket``, the start of the hash, and, in hot cells only, ``fine`` and ``part``. Hot cells are under ``HOT``
+    by arithmetic, and broadcast."""
+    digits = _digits(n)
+    levels = (("fine", F.struct(F.col("hash").alias("hash"), F.shiftright("tie", 64 - 4 * digits).alias("tie")),
+               F.struct(F.lit("").alias("hash"), F.lit(0).cast("long").alias("tie"))),
+              ("part", F.struct("tie", "at"), F.struct(F.lit(0).cast("long").alias("tie"), F.lit(0).alias("at"))))
+    cut, keys = rows.withColumn("bucket", F.substring("hash", 1, digits)), ["s", "bucket"]
+    for name, inside, outside in levels:
+        sums = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        hot = sums.filter(F.col("n") > max(CELL, n / HOT)).select(*keys, F.lit(True).alias("hot"))
+        cut = (cut.join(F.broadcast(hot), keys, "left")
+               .withColumn(name, F.when(F.col("hot"), inside).otherwise(outside)).drop("hot"))
+        keys.append(name)
+    return cut
 
 
 def _place(rows: DataFrame, cells: DataFrame, weights, curves, max_epochs: int, whole: bool) -> DataFrame:
     """``rows`` with their source's plan, ``passes`` (array of (n, words)) and ``positions``.
 
-    cells: (s, bucket, cell_size), the sizes of all rows; rows are shuffled once, by cell.
+    cells: ``CELLS`` and cell_size, the sizes of all rows; rows are shuffled once, by cell.
     """
-    sums = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select("s", "bucket", F.coalesce(F.sum("cell_size").over(sums), F.lit(0)).alias("cell_before"))
+    sums = Window.partitionBy("s").orderBy(*CELLS[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.select(*CELLS, F.coalesce(F.sum("cell_size").over(sums), F.lit(0)).alias("cell_before"))
     sources = cells.groupBy("s").agg(F.sum("cell_size").alias("source_size")).withColumn(
         "source", F.when(F.col("s") != "", F.expr("substring(s, 2)")))
     planned = schedules(sources, weights, curves).withColumn("p", _pieces(F.col("knots")))
@@ -125,9 +156,9 @@ def _place(rows: DataFrame, cells: DataFrame, weights, curves, max_epochs: int,
                                   F.col("p.sum").alias("weight")), max_epochs)
     plan = plan.withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
 
-    inside = Window.partitionBy("s", "bucket").orderBy("hash", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*CELLS).orderBy("hash", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = (rows.withColumn("in_cell", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-              .join(offsets, ["s", "bucket"]).join(plan, "s")
+              .join(offsets, CELLS).join(plan, "s")
               .withColumn("start", F.col("cell_before") + F.col("in_cell")))
     size, goal, total = F.col("size"), F.round("target").cast("long"), F.col("source_size")
 
@@ -146,7 +177,7 @@ def _place(rows: DataFrame, cells: DataFrame, weights, curves, max_epochs: int,
 
 
 def _cells(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("s", "bucket").agg(F.sum("size").alias("cell_size"))
+    return rows.groupBy(*CELLS).agg(F.sum("size").alias("cell_size"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 11,
@@ -157,7 +188,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     A source's documents, in hash order, are passed over again and again until its target is reached; the last
     one is cut there, or with ``whole`` seen whole if at least half of it lies before the target.
     """
-    rows = stored(_rows(docs, key, text, source, seed), "mix-sizes")
+    rows = _rows(docs, key, text, source, seed)
     placed = _place(rows, _cells(rows), weights, curves, max_epochs, whole)
     return placed.select(
         F.col("id").alias(key), "size", "source", "source_size", "target",
@@ -170,9 +201,8 @@ def ordered(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     """The mix itself: whole documents in training order, a document once for each pass that it is seen in; all
     columns kept. Documents outside their source's target, or without words, are not in it. ``with_position`` adds
     ``mix_position`` (0 to 1, the order) and ``mix_pass`` (from 0), which outlive any later shuffle."""
-    cells = stored(_cells(_rows(docs, key, text, source, seed)), "mix-cells")
     rows = _rows(docs, key, text, source, seed, F.struct("*").alias("row"))
-    placed = _place(rows, cells, weights, curves, max_epochs, whole=True)
+    placed = _place(rows, _cells(rows), weights, curves, max_epochs, whole=True)
     seen = placed.select("row", "id", "tie", "passes", F.posexplode("positions").alias("nth", "position"))
     more = [F.col("position").alias("mix_position"), F.get("passes", F.col("nth"))["n"].alias("mix_pass")] if with_position else []
     return seen.orderBy("position", "id", "tie").select("row.*", *more)

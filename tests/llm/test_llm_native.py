@@ -159,6 +159,25 @@ def test_mix_positions_follow_the_curves(spark):
     assert share["s2"] == pytest.approx(0.5, abs=0.02)
 
 
+def test_mix_cuts_hot_cells(spark, monkeypatch):
+    """A third of the rows without an id, a third repeats of one row: cells stay small, and the result is that of one cell."""
+    pairs = [(i, f"w{i} " * (i % 7)) for i in range(400)] + [(None, f"n{i} " * (i % 5 + 1)) for i in range(400)] + [(7, "again and again")] * 400
+    table = docs(spark, pairs).repartition(6)
+    whole = Counter(tuple(map(str, r)) for r in mix.mix(table).collect())
+    rows = mix._rows(table, "doc_id", "text", "source", 11)
+    assert rows.groupBy(*mix.CELLS).count().count() == len({r.bucket for r in rows.select("bucket").distinct().collect()})
+    monkeypatch.setattr(mix, "CELL", 20)
+    monkeypatch.setattr(mix, "HOT", 60)
+    rows = mix._rows(table, "doc_id", "text", "source", 11)
+    assert rows.groupBy(*mix.CELLS).count().agg({"count": "max"}).first()[0] <= 100
+    df = mix.mix(table)
+    plan_has_no_python(df)
+    assert Counter(tuple(map(str, r)) for r in df.collect()) == whole
+    seen = mix.ordered(table).count()
+    monkeypatch.setattr(mix, "CELL", 10**6)
+    assert mix.ordered(table).count() == seen
+
+
 def test_mix_in_order_keeps_whole_documents(odd, none):
     rows = mix.ordered(odd).collect()
     passes = {(r.doc_id): r.passes for r in mix.mix(odd, whole=True).collect() if r.doc_id not in (None, 3)}
