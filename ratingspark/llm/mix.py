@@ -9,7 +9,7 @@ position, and documents are range-sorted by it.
 Cumulated tokens come from sums per (source, cell), where a cell is a range of the source's order: no task gathers a
 source, however large. The order is a hash of the id, then one of the text; cells are as many as give ``CELL`` rows each.
 A cell that still holds over a ``HOT``-th of all rows (rows without ids, a repeated id) is cut by the text's hash, and by the
-stored part it lies in where the texts agree as well. The tables of sources and of cells are small (a cell is some thousand
+stored part it lies in where the texts agree as well. The tables of sources and of cells are small (a cell is some hundred
 rows) and joined as Spark sees fit by their measured size.
 
 Defined results: a null text has no words; a null source is a source like any other, the last; a document without
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ratingspark.llm.common import SPACE, stored
 
 #: Rows that a cell is meant to hold, and the share of all rows, one in so many, beyond which a cell is cut again.
-CELL, HOT = 4096, 1000
+CELL, HOT = 512, 1000
 #: What tells a cell from the others; cells of a source follow each other in this order.
 CELLS = ["s", "bucket", "fine", "part"]
 #: Curricula dealt to the sources in turn: fading out, growing, and level. Each integrates to 1.
