@@ -789,10 +789,10 @@ def q_stream_resume(spark, sf_dir):
         return EN.enrich(rows.select("doc_id", "text"), EN.failing_transcriber_factory, ["doc_id", "text"],
                          "transcript", on_error="capture").select("doc_id", "transcript", "error")
 
-    opts = {"pathGlobFilter": "documents.parquet"}
+    # A table is one file or a folder of files. A file stream takes a single file only if its path is a pattern.
+    source = f"{sf_dir}/{{documents.parquet}}"
     for run in ("first", "again"):
-        run_incremental(spark, sf_dir, schema, sink, scratch_path(spark, f"stream_ckpt_{run}"), "doc_id",
-                        transcribe, source_options=opts)
+        run_incremental(spark, source, schema, sink, scratch_path(spark, f"stream_ckpt_{run}"), "doc_id", transcribe)
     return latest(spark, sink, "doc_id")
 
 

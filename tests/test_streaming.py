@@ -213,3 +213,16 @@ def test_commits_on_a_file_system_that_is_not_local(spark, tmp_path):
     assert not log.commit(1, S.Part("other", 0, 1)) and log.version() == 1
     append(new_rows(_rows(spark, 10, 30), sink, "doc_id"), sink, "doc_id")
     assert [k for k, _ in _found(spark, sink)] == list(range(30))
+
+
+def test_documents_stored_as_a_folder_of_files_are_streamed_too(spark, tmp_path):
+    from ratingspark.plans.queries import q_stream_resume
+
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string").repartition(3)
+    for name, files in (("folder", rows), ("file", rows.coalesce(1))):
+        files.write.parquet(str(tmp_path / name / "documents.parquet"))
+    one = next((tmp_path / "file" / "documents.parquet").glob("part-*"))
+    (tmp_path / "single").mkdir()
+    one.rename(tmp_path / "single" / "documents.parquet")
+    for name in ("folder", "single"):
+        assert sorted(r.doc_id for r in q_stream_resume(spark, str(tmp_path / name)).collect()) == list(range(20))
