@@ -14,10 +14,14 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def salted_text(salt: str, *cols) -> Column:
+    """``salt:col1:col2...`` (NULLs become empty strings)."""
+    return F.concat_ws(":", F.lit(str(salt)), *[F.coalesce(_c(c).cast("string"), F.lit("")) for c in cols])
+
+
 def salted_md5(salt: str, *cols) -> Column:
     """md5 hex of ``salt:col1:col2...`` (NULLs become empty strings)."""
-    parts = [F.coalesce(_c(c).cast("string"), F.lit("")) for c in cols]
-    return F.md5(F.concat_ws(":", F.lit(str(salt)), *parts))
+    return F.md5(salted_text(salt, *cols))
 
 
 def hex_prefix_int(hexcol: Column, n_hex: int = 8) -> Column:

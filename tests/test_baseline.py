@@ -1,3 +1,5 @@
+import hashlib
+
 from ratingspark.operators import baseline as BL
 
 
@@ -40,3 +42,23 @@ def test_sampled_is_deterministic(spark):
     a = BL.baseline_sampled(_train(spark), _test(spark), "key", n_draws=7).collect()
     b = BL.baseline_sampled(_train(spark), _test(spark).repartition(5), "key", n_draws=7).collect()
     assert sorted(a) == sorted(b)
+
+
+def test_sampled_draws_equal_digests_read_by_hand_and_are_dealt_over_all_cores(spark):
+    train = [("r", 3)] * 5 + [("r", 1)] * 5 + [("r", 2)] * 2 + [("s", 4)] * 3 + [("s", 5)] + [(None, 7)] + [("r", None)]
+    test = [(k, g) for k in (None, 1, 2, 3, 3) for g in ("r", "s", "t", None)]
+    df = spark.createDataFrame(test, "key long, rubric string").coalesce(1)
+    out = BL.baseline_sampled(spark.createDataFrame(train, "rubric string, label int"), df, "key", n_draws=9)
+
+    def expected(k, g):
+        labels = sorted(y for r, y in train if r == g and y is not None and g is not None)
+        if not labels:
+            return None
+        text = [f"42:{'' if k is None else k}:{g}:{b}" for b in range(3)]
+        hexes = "".join(hashlib.md5(t.encode()).hexdigest() for t in text)
+        drawn = [labels[int(hexes[8 * i:8 * i + 8], 16) * len(labels) >> 32] for i in range(9)]
+        return min(set(drawn), key=lambda y: (-drawn.count(y), y))
+
+    order = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, out.collect()), key=order) == sorted(((k, g, expected(k, g)) for k, g in test), key=order)
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
