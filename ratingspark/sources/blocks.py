@@ -33,7 +33,8 @@ WHOLE, END, MIDDLE, BEGIN = range(4)
 Blocks = dict[tuple[str, int], tuple]
 Cut = Callable[[tuple, bool, Iterator[str]], Iterator[tuple[int, str]]]
 
-_STRINGS = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
+#: Possessive, so that a string's characters are taken in runs and an opening quote without a partner is given up at once.
+_STRINGS = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', re.S)
 _QUOTES = re.compile(r'\\.|"', re.S)
 
 

@@ -1,4 +1,5 @@
 """Records that span lines and blocks: the block readers against Spark's own whole-file readers, on files cut small."""
+import re
 import csv
 import json
 import random
@@ -107,3 +108,22 @@ def test_written_arrays_are_json(spark, tmp_path):
     IO.write_json_arrays(spark.createDataFrame(rows, "id int, s string").repartition(3), str(tmp_path / "out"))
     found = [json.loads(p.read_text()) for p in (tmp_path / "out").glob("part-*")]
     assert all(isinstance(x, list) for x in found) and sorted((o["id"], o["s"]) for x in found for o in x) == rows
+
+
+def test_long_strings_are_read_in_runs():
+    import random
+    import time
+
+    rng, plain = random.Random(5), re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
+    for _ in range(20_000):
+        s = "".join(rng.choice('"\\a{') for _ in range(rng.randint(0, 14)))
+        assert B._STRINGS.sub("", s) == plain.sub("", s)
+    text = '"' + "a word \\n" * 200_000 + '"'
+    best = {p: min(_seconds(time, p, text) for _ in range(3)) for p in (plain, B._STRINGS)}
+    assert best[B._STRINGS] * 2 < best[plain]
+
+
+def _seconds(time, pattern, text):
+    start = time.perf_counter()
+    assert pattern.sub("", text) == ""
+    return time.perf_counter() - start
