@@ -19,8 +19,12 @@ def pad_truncate(ids, length: int = 512, pad: int = 0) -> Column:
 def response_labels(ids, first, n, length: int | None = None, ignore: int = -100) -> Column:
     """Training labels of token ``ids`` whose response is the ``n`` tokens from ``first`` (0-based) on: their ids there, ``ignore``
     elsewhere, so the loss sees the response only. With ``length``, truncated and padded (with ``ignore``) like the ids."""
-    arr, first, n = _c(ids), _c(first), _c(n)
-    labels = F.transform(arr, lambda x, i: F.when((i >= first) & (i < first + n), x).otherwise(F.lit(ignore)))
+    arr = _c(ids)
+    size = F.size(arr)
+    lo = F.least(F.greatest(F.coalesce(_c(first), size), F.lit(0)), size)
+    hi = F.least(F.greatest(_c(first) + F.coalesce(_c(n), F.lit(0)), lo), size)
+    labels = F.when(arr.isNotNull(), F.concat(F.array_repeat(F.lit(ignore), lo), F.slice(arr, lo + 1, hi - lo),
+                                              F.array_repeat(F.lit(ignore), size - hi)))
     return labels if length is None else pad_truncate(labels, length, ignore)
 
 
@@ -45,7 +49,7 @@ def cross_entropy(scores, target_pos) -> Column:
 
 def join_ints(arr, sep: str = ",") -> Column:
     """Array of numbers as one string (stable form for comparison and export)."""
-    return F.array_join(F.transform(_c(arr), lambda x: x.cast("string")), sep)
+    return F.array_join(_c(arr).cast("array<string>"), sep)
 
 
 def value_counts(arr) -> Column:

@@ -99,23 +99,35 @@ def preview(text, n: int = 200) -> Column:
 
 def tokens(text) -> Column:
     """Lower-cased word tokens of two or more word characters, in text order."""
-    return F.regexp_extract_all(F.lower(_c(text)), F.lit(TOKEN_PATTERN), 0)
+    return tokens_of_lower(F.lower(_c(text)))
+
+
+def tokens_of_lower(lower) -> Column:
+    """:func:`tokens` of a text that is in lower case already."""
+    return F.regexp_extract_all(_c(lower), F.lit(TOKEN_PATTERN), 0)
+
+
+def token_bound(lower, place) -> Column:
+    """How many characters of the lower-case text lie before the tokens that begin at its character ``place`` (1-based) or later.
+
+    A token that the place cuts belongs where it begins, so the place moves to its end: the text falls into two parts there,
+    whose tokens together are its tokens.
+    """
+    t, word = _c(lower), TOKEN_PATTERN.removesuffix("{2,}")
+    at = F.greatest(_c(place), F.lit(1))
+    rest = F.regexp_extract(F.substring(t, at, F.length(t)), f"^{word}+", 0)
+    cut = F.substring(t, at - 1, F.lit(1)).rlike(f"^{word}$") & (at > 1)
+    return at - 1 + F.when(cut, F.length(rest)).otherwise(0)
 
 
 def token_range(text, start, end) -> list[Column]:
     """The tokens of ``text`` that begin at its characters ``start`` to ``end`` (1-based; ``end`` lies beyond the span):
-    ``first_token`` (from 0) and ``n_tokens``.
-
-    A token that a bound cuts belongs where it begins, so each bound moves to the end of such a token, and the tokens before
-    it are counted: linear in the text, without a list of offsets.
+    ``first_token`` (from 0) and ``n_tokens``. The tokens before each bound are counted: linear in the text, without a list of offsets.
     """
-    t, word = F.lower(_c(text)), TOKEN_PATTERN.removesuffix("{2,}")
+    t = F.lower(_c(text))
 
     def before(place: Column) -> Column:
-        at = F.greatest(place, F.lit(1))
-        rest = F.regexp_extract(F.substring(t, at, F.length(t)), f"^{word}+", 0)
-        cut = F.substring(t, at - 1, F.lit(1)).rlike(f"^{word}$") & (at > 1)
-        return F.size(tokens(F.substring(t, F.lit(1), at - 1 + F.when(cut, F.length(rest)).otherwise(0))))
+        return F.size(tokens_of_lower(F.substring(t, F.lit(1), token_bound(t, place))))
 
     first = before(_c(start))
     return [first.alias("first_token"), F.greatest(before(_c(end)) - first, F.lit(0)).alias("n_tokens")]

@@ -7,6 +7,11 @@ Floating-point outputs are rounded to 6 decimals for comparison.
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -357,9 +362,18 @@ def q_response_span(spark, sf_dir):
 SEQ_LEN = 512
 
 
+@F.arrow_udf("array<int>")
+def _ids_of(toks: pa.Array) -> pa.Array:
+    words = toks.flatten().dictionary_encode()
+    ids = pa.array([int(md5(w.encode(), usedforsecurity=False).hexdigest()[:4], 16) + 1 for w in words.dictionary.to_pylist()], pa.int32())
+    sizes = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(toks), 0).to_numpy()))
+    offsets = pa.array(sizes, pa.int32(), mask=np.append(toks.is_null().to_numpy(zero_copy_only=False), False))
+    return pa.ListArray.from_arrays(offsets, ids.take(words.indices))
+
+
 def token_ids(toks):
-    """Stand-in subword ids: each word token hashed to 1..65536 (0 is the pad id)."""
-    return F.transform(toks, lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") + 1)
+    """Stand-in subword ids: each word token hashed to 1..65536 (0 is the pad id). A batch hashes each distinct word once."""
+    return _ids_of(toks)
 
 
 @register("tokenize")
@@ -384,12 +398,18 @@ def q_response_mask(spark, sf_dir):
     """Labels of response-only training: every token of a rendered chat, -100 outside the response. Of the whole vectors
     (as digests) and of what is left of them at the training length."""
     c = _chats(spark, sf_dir).where("train").select("doc_id", "rubric", PR.render_chat("chat").alias("_t"))
-    c = c.select("doc_id", "rubric", "_t", PR.response_span("_t")[2].alias("_from"), token_ids(tx.tokens("_t")).alias("_ids"))
-    first, n = tx.token_range("_t", F.when(F.col("_from") > 0, F.col("_from")).otherwise(F.length("_t") + 1), F.length("_t") + 1)
-    c = c.select("doc_id", "rubric", F.size("_ids").alias("n_ids"), first.alias("first_token"), n.alias("n_tokens"), "_ids")
-    whole = AR.response_labels("_ids", "first_token", "n_tokens")
-    return c.select("doc_id", "rubric", "n_ids", "first_token", "n_tokens", F.md5(AR.join_ints(whole)).alias("labels_md5"),
-                    F.md5(AR.join_ints(AR.pad_truncate(whole, SEQ_LEN, -100))).alias("cut_md5"))
+    c = c.select("doc_id", "rubric", F.lower("_t").alias("_l"), PR.response_span("_t")[2].alias("_from"), F.length("_t").alias("_n"))
+    place = F.when(F.col("_from") > 0, F.col("_from")).otherwise(F.col("_n") + 1)
+    c = c.select("doc_id", "rubric", "_l", tx.token_bound("_l", place).alias("_at"))
+    # The response runs to the end of the chat. Each part is split once; the prompt's tokens are masked and need no ids.
+    c = c.select("doc_id", "rubric", F.size(tx.tokens_of_lower(F.substring("_l", F.lit(1), F.col("_at")))).alias("first_token"),
+                 token_ids(tx.tokens_of_lower(F.substring("_l", F.col("_at") + 1, F.length("_l")))).alias("_ids"))
+    c = c.select("doc_id", "rubric", "first_token", F.size("_ids").alias("n_tokens"),
+                 F.concat(F.array_repeat(F.lit(-100), F.col("first_token")), "_ids").alias("_padded"))
+    c = c.select("doc_id", "rubric", F.size("_padded").alias("n_ids"), "first_token", "n_tokens",
+                 AR.response_labels("_padded", "first_token", "n_tokens").alias("_whole"))
+    return c.select("doc_id", "rubric", "n_ids", "first_token", "n_tokens", F.md5(AR.join_ints("_whole")).alias("labels_md5"),
+                    F.md5(AR.join_ints(AR.pad_truncate("_whole", SEQ_LEN, -100))).alias("cut_md5"))
 
 
 @register("argmax_class")
