@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ratingspark import fixtures as fx
 from ratingspark import schemas as SC
@@ -362,7 +363,7 @@ def q_response_span(spark, sf_dir):
 SEQ_LEN = 512
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _ids_of(toks: pa.Array) -> pa.Array:
     words = toks.flatten().dictionary_encode()
     ids = pa.array([int(md5(w.encode(), usedforsecurity=False).hexdigest()[:4], 16) + 1 for w in words.dictionary.to_pylist()], pa.int32())
