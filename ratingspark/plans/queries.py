@@ -279,7 +279,7 @@ def q_media_listing(spark, sf_dir):
     """Media files, one for each distinct page name, listed from the folder that this query wrote, and matched to ids."""
     folder = scratch_path(spark, "media")
     pages = fx.read(spark, sf_dir, "pages").select(tx.sanitize_name("url").alias("media")).distinct()
-    pages.withColumn("value", F.lit("x")).repartition("media").write.partitionBy("media").text(folder)
+    IO.write_media(pages, folder)
     found = IO.list_media(spark, folder, "part-*", name_pattern=r"media=([^/]*)/[^/]*$")
     ids = fx.read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"))
     return MD.match_media(ids, found, "id", "name")

@@ -79,6 +79,14 @@ def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def write_media(names: DataFrame, folder: str, col: str = "media") -> None:
+    """A folder ``<col>=<name>`` with one file for each of the distinct ``names`` (null and empty ones share a folder). Making a file takes far longer than moving its
+    name, so the names are dealt over all cores by a hash: left to themselves, few bytes would end in one task."""
+    context = names.sparkSession.sparkContext
+    tasks = max(4 * context.defaultParallelism, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names.select(col, F.lit("x").alias("value")).repartition(tasks, F.xxhash64(F.nullif(col, F.lit("")))).write.partitionBy(col).text(folder)
+
+
 def list_media(spark: SparkSession, folder: str, glob: str = "*.mp4", recursive: bool = True,
                name_pattern: str = r"([^/]*)$") -> DataFrame:
     """``path, name, length`` of media files; ``name`` is the first group of ``name_pattern`` in the path. Only metadata

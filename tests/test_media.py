@@ -1,9 +1,13 @@
 """The containment match by both ways against plain Python, and how many rows the automaton emits."""
+import glob
 import random
+import re
 
 import pytest
 
 from ratingspark.operators import media as MD
+from ratingspark.plans.queries import REGISTRY
+from ratingspark.session import checkpoint_root
 
 
 def _case(seed):
@@ -40,3 +44,16 @@ def test_a_task_emits_at_most_one_row_per_id(spark):
     empty = spark.createDataFrame([], "id string")
     assert MD.match_media(empty, names).count() == 0
     assert [tuple(r) for r in MD.match_media(spark.createDataFrame([(7,)], "id int"), names.limit(0)).collect()] == [("7", None)]
+
+
+def test_media_files_are_made_by_many_tasks(spark, tmp_path):
+    pages = [(i, f"https://videos.example.com/talk_{i % 60}_take") for i in range(80)] + [(80, None), (81, "")]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(7,), (59,), (60,)], "doc_id long").write.parquet(str(tmp_path / "labels.parquet"))
+    before = set(glob.glob(checkpoint_root(spark).removeprefix("file:") + "/media-*"))
+    rows = {r.id: r.name for r in REGISTRY["media_listing"](spark, str(tmp_path)).collect()}
+    (folder,) = set(glob.glob(checkpoint_root(spark).removeprefix("file:") + "/media-*")) - before
+    files = glob.glob(f"{folder}/media=*/part-*")
+    assert len(files) == len(glob.glob(f"{folder}/media=*")) == 60 + 1  # no name: one folder
+    assert len({re.search(r"part-(\d+)", f)[1] for f in files}) > 4
+    assert set(rows) == {"7", "59", "60"} and "talk_59_" in rows["59"] and "7" in rows["7"] and rows["60"] is None
