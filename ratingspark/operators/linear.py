@@ -2,9 +2,10 @@
 
 Each problem minimises ``|w|^2 / 2 + C * sum(max(0, 1 - y * (w . x))^2)`` over its rows, x with a constant 1 at its end (so
 the constant's weight is penalised too). The function is convex and piecewise quadratic, so Newton's method ends after a
-few steps: one step is one Spark job in which every task adds up value, gradient and Hessian of all unfinished
-problems over its rows, and the driver solves their small linear systems. What is sent grows with the problems and the square of the
-dimensions, never with the rows. A step that does not lower its value is halved.
+few steps: one step is one Spark job in which every task adds up value and gradient of all unfinished problems over its rows, and what
+their Hessians gain and lose, and the driver solves their small linear systems. A Hessian is the sum over the rows inside the margin, so only
+rows that came in or went out since the last point are added or taken off. What is sent grows with the problems and the square of the
+dimensions, never with the rows. A step that does not lower its value is halved, and the next Hessian is added up anew.
 """
 
 from __future__ import annotations
@@ -72,12 +73,25 @@ def target_values(column: pa.Array) -> np.ndarray:
     return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
 
 
-def _terms(x: np.ndarray, y: np.ndarray, w: np.ndarray, corner) -> np.ndarray:
-    """Value, gradient and upper half of the Hessian of sum(max(0, 1 - y (w . x))^2), in one vector."""
+def _terms(x: np.ndarray, y: np.ndarray, w: np.ndarray, last: np.ndarray, fresh: np.ndarray):
+    """Of problems with the labels y, points w and last points (a column each): values and gradients (rows) of
+    sum(max(0, 1 - y (w . x))^2) and, where it changed, (column, change of half the Hessian) since the last point. The Hessian of a ``fresh`` one was 0."""
     slack = 1 - y * (x @ w)
-    active = slack > 0
-    x, r = x[active], (y * slack)[active]
-    return np.concatenate([[r @ r], -2 * (r @ x), 2 * (x.T @ x)[corner]])
+    active, was = slack > 0, (1 - y * (x @ last) > 0) & ~fresh
+    r = np.where(active, y * slack, 0.0)
+    whole = None
+    changes = []
+    for j in range(y.shape[1]):
+        moved = np.flatnonzero(active[:, j] != was[:, j])
+        if not len(moved):
+            continue
+        if len(moved) == len(x) and active[:, j].all():  # at zero all classes hold all rows
+            whole = x.T @ x if whole is None else whole
+            changes.append((j, whole))
+        else:
+            part = x[moved]
+            changes.append((j, part.T @ (part * np.where(active[moved, j], 1.0, -1.0)[:, None])))
+    return np.einsum("ij,ij->j", r, r), -2 * (r.T @ x), changes
 
 
 def solve(rows: DataFrame, views: Views, problems: list[Problem], dims: dict[int, int], c: float | dict[Problem, float] = 1.0,
@@ -89,33 +103,50 @@ def solve(rows: DataFrame, views: Views, problems: list[Problem], dims: dict[int
     step: dict[Problem, tuple[np.ndarray, float]] = {}  # direction and value of the best point
     first: dict[Problem, float] = {}
     trial, out = dict(at), {}
+    last: dict[Problem, np.ndarray] = {}  # the points that the Hessians are of
+    corners: dict[Problem, np.ndarray] = {}  # the Hessians' upper halves, without cost and penalty
     for _ in range(max_iter):
         if not trial:
             break
         asked = list(trial.items())
+        groups: dict[int, dict[str, list[int]]] = {}
+        for i, (p, _) in enumerate(asked):
+            groups.setdefault(p.model, {}).setdefault(p.target, []).append(i)
 
-        def parts(batch, asked=asked):
+        def parts(batch, asked=asked, groups=groups, last=dict(last)):
             for view in views(batch):
+                if view.model not in groups:
+                    continue
                 x = with_constant(view.features[view.trained])
                 corner = np.triu_indices(x.shape[1])
-                known = {t: v[view.trained] for t, v in view.targets.items()}
-                for i, (p, w) in enumerate(asked):
-                    if p.model == view.model:
-                        has = ~np.isnan(known[p.target])
-                        yield i, _terms(x[has], np.where(known[p.target][has] == p.label, 1.0, -1.0), w, corner)
+                for target, mine in groups[view.model].items():
+                    known = view.targets[target][view.trained]
+                    has = ~np.isnan(known)
+                    rows_ = x if has.all() else x[has]
+                    y = np.where(known[has][:, None] == [asked[i][0].label for i in mine], 1.0, -1.0)
+                    w = np.stack([asked[i][1] for i in mine], axis=1)
+                    before = np.stack([last.get(*asked[i]) for i in mine], axis=1)
+                    value, gradient, changes = _terms(rows_, y, w, before, np.array([asked[i][0] not in last for i in mine]))
+                    for j, i in enumerate(mine):
+                        yield i, np.append(value[j], gradient[j])
+                    for j, change in changes:
+                        yield len(asked) + mine[j], 2 * change[corner]
 
         found = summed(rows, parts)
         for i, (p, w) in enumerate(asked):
             d = len(w)
-            v = found.get(i, np.zeros(1 + d + d * (d + 1) // 2)) * cost[p]
-            value, gradient = w @ w / 2 + v[0], w + v[1:d + 1]
+            v = found.get(i, np.zeros(1 + d)) * cost[p]
+            corners[p] = found.get(len(asked) + i, np.zeros(d * (d + 1) // 2)) + (corners[p] if p in last else 0.0)
+            last[p] = w
+            value, gradient = w @ w / 2 + v[0], w + v[1:]
             if p in step and value > step[p][1] + 1e-12 * abs(step[p][1]):
                 direction = step[p][0] / 2
                 step[p] = direction, step[p][1]
                 trial[p] = at[p] + direction
+                del last[p]
                 continue
             hessian = np.zeros((d, d))
-            hessian[np.triu_indices(d)] = v[d + 1:]
+            hessian[np.triu_indices(d)] = corners[p] * cost[p]
             hessian = hessian + np.triu(hessian, 1).T + np.eye(d)
             at[p] = w
             size = float(np.abs(gradient).max())

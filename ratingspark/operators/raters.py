@@ -84,12 +84,12 @@ def counted(df: DataFrame, columns: list, fold=None, text_col: str = "text") ->
 
 def vocabularies(rows: DataFrame, left_out: list[int | None], k: int) -> list[tuple[int, list[str], np.ndarray]]:
     """For every model (all rows, or all but the fold left out): rows, its ``k`` most frequent terms (ties by term), and
-    their idf. One aggregate serves all models: their counts are totals minus the fold's."""
+    their idf. One stored aggregate serves all models: their counts are totals minus the fold's."""
     of = {f: F.col(FOLD) == f for f in left_out if f is not None}
     per_fold = [x for f, here in of.items() for x in (F.sum(F.when(here, F.col("n")).otherwise(0)).alias(f"n_{f}"),
                                                       F.count_if(here).alias(f"df_{f}"))]
-    stats = (rows.select(FOLD, F.inline("_counts")).groupBy("value")
-             .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df"), *per_fold))
+    stats = _stored(rows.select(FOLD, F.inline("_counts")).groupBy("value")
+                    .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df"), *per_fold), "term_stats")
 
     def minus(name: str, f: int | None):
         return F.col(name) if f is None else F.col(name) - F.col(f"{name}_{f}")
@@ -182,18 +182,27 @@ def fit_spaces(rows: DataFrame, left_out: list[int | None], max_features: int =
 
 
 def _views(spaces: list[Space], left_out: list[int | None], union: list[str], targets: list[str]) -> L.Views:
-    """Batches (fold, _at, _n, targets...) as every model sees them."""
+    """Batches (fold, _at, _n, targets...) as every model sees them. A model's idf is part of its axes here, laid out over the union of
+    terms: one product projects a block for all models (as :meth:`Space.project` does), and one gives the rows' lengths."""
     place = {t: i for i, t in enumerate(union)}
-    columns = [np.array([place[t] for t in s.terms], np.int64) for s in spaces]
+    ends = np.append(0, np.cumsum([s.axes.shape[1] for s in spaces]))
+    axes, squares = np.zeros((len(union), ends[-1])), np.zeros((len(union), len(spaces)))
+    for m, s in enumerate(spaces):
+        at = [place[t] for t in s.terms]
+        axes[at, ends[m]:ends[m + 1]], squares[at, m] = s.idf[:, None] * s.axes, s.idf**2
+    shifts = [s.mean @ s.axes for s in spaces]
 
     def views(b: pa.RecordBatch) -> Iterator[L.View]:
         fold = b.column(0).to_numpy()
         known = {t: L.target_values(b.column(3 + i)) for i, t in enumerate(targets)}
         for lo, counts in _blocks(b.column(1), b.column(2), len(union)):
             cut = slice(lo, lo + len(counts))
-            for m, (s, f) in enumerate(zip(spaces, left_out, strict=True)):
+            projected, norms = counts @ axes, np.sqrt(counts**2 @ squares)
+            norms[norms == 0] = 1.0
+            for m, f in enumerate(left_out):
                 trained = np.ones(len(counts), bool) if f is None else fold[cut] != f
-                yield L.View(m, s.project(counts[:, columns[m]]), trained, {t: v[cut] for t, v in known.items()})
+                features = projected[:, ends[m]:ends[m + 1]] / norms[:, m:m + 1] - shifts[m]
+                yield L.View(m, features, trained, {t: v[cut] for t, v in known.items()})
 
     return views
 

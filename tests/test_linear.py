@@ -194,3 +194,37 @@ def test_predictions_with_and_without_spark_vectors_agree(spark):
     one = {r.doc_id: r.y_pred for r in RT.predict(rater, feats, "a_score").collect()}
     two = {r.doc_id: r.y_pred for r in RT.fit_predict(df, df.limit(0), "doc_id", ("a",), with_train=True, max_features=40, pca_k=7).collect()}
     assert one == two
+
+
+def test_a_hessian_changes_by_the_rows_that_moved():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(200, 4)), np.where(rng.random((200, 3)) < 0.5, 1.0, -1.0)
+    last = rng.normal(size=(4, 3))
+    now = last + [[0.1, 0, 1]] * np.ones((4, 1))
+
+    def half(w, j):
+        a = x[1 - y[:, j] * (x @ w[:, j]) > 0]
+        return a.T @ a
+
+    value, gradient, changes = L._terms(x, y, now, last, np.zeros(3, bool))
+    assert [j for j, _ in changes] == [0, 2]  # the second stayed where it was: nothing is added up for it
+    for j, change in changes:
+        assert np.abs(change - half(now, j) + half(last, j)).max() < 1e-10
+    for j in range(3):
+        r = np.maximum(0, 1 - y[:, j] * (x @ now[:, j]))
+        assert abs(value[j] - r @ r) < 1e-10 and np.abs(gradient[j] + 2 * x.T @ (y[:, j] * r)).max() < 1e-10
+    zero = np.zeros((4, 3))
+    anew = L._terms(x, y, now, zero, np.ones(3, bool))[2]
+    assert all(np.abs(change - half(now, j)).max() < 1e-10 for j, change in anew) and len(anew) == 3
+
+
+def test_term_counts_are_added_up_once_for_all_models(spark, monkeypatch):
+    made = []
+    stored = RT._stored
+    monkeypatch.setattr(RT, "_stored", lambda df, name: made.append(name) or stored(df, name))
+    df = spark.createDataFrame(_texts(3), SCHEMA)
+    models = RT.vocabularies(RT.counted(df, ["doc_id"], "fold"), [0, 1, None], 30)
+    assert made == ["term_counts", "term_stats"]  # the models read the stored sums
+    for f, (n, terms, _) in zip([0, 1, None], models, strict=True):
+        counts = [tokens(r[1]) for r in _texts(3) if f is None or r[4] != f]
+        assert n == len(counts) and terms == dense_space(counts, 30, 2)[0]
