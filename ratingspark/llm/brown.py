@@ -23,7 +23,6 @@ every token then has the base model's probability of an unknown one.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 from typing import NamedTuple
@@ -31,6 +30,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,15 +41,19 @@ HEAD, HEAD_BYTES, UNITS, ENDINGS, CLASSES, PASSES = 200_000, 64, 480, 96, 40, 12
 LEAST, SWEEPS, BATCHES, ENOUGH = 5, 12, 4, 0.002
 #: Neighbours that a task sums up before it hands them on, words whose moves are weighed at once, and counts looked up.
 PENDING, CHUNK, SMALL = 4_000_000, 512, 16
-#: Words that a counting task holds before it hands its counts on.
-HELD = 1_000_000
 #: Lines scored at a time.
 ROWS = 256
 
 
-def words(text: str | None) -> list[bytes]:
-    """A-Z lower-cased words in UTF-8: bytes methods know ASCII letters and the six ASCII white-space characters only."""
-    return (text or "").encode().lower().split()
+def all_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The A-Z lower-cased words of all texts in UTF-8, one after the other, and how many each text has. Arrow's ASCII functions know
+    those letters and the six ASCII white-space characters only."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = lists.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)  # white space at the ends of a text leaves empty words there
+    upto = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))
+    offsets = lists.offsets.to_numpy()
+    return flat.filter(full).cast(pa.binary()), np.diff(upto[offsets - offsets[0]])
 
 
 def held_out(key: Column, fold: int = 1, folds: int = 5) -> Column:
@@ -57,17 +61,12 @@ def held_out(key: Column, fold: int = 1, folds: int = 5) -> Column:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over all rows of (text); counted per task before the shuffle."""
+    """(word, n) over all rows of (text); counted per batch, and combined before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
         for b in batches:
-            for t in b.column(0):
-                held.update(words(t.as_py()))
-                if len(held) > HELD:
-                    yield pa.RecordBatch.from_pydict({"word": pa.array(held.keys(), pa.binary()), "n": pa.array(held.values(), pa.int64())})
-                    held.clear()
-        yield pa.RecordBatch.from_pydict({"word": pa.array(held.keys(), pa.binary()), "n": pa.array(held.values(), pa.int64())})
+            found = pc.value_counts(all_words(b.column(0))[0])
+            yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["word", "n"])
 
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -121,22 +120,36 @@ class Units:
 
     def of(self, text: list[bytes]) -> tuple[dict[bytes, list[int]], np.ndarray]:
         """Where the words stand that have no unit among those of the head, and the unit of every word."""
-        get = self.place.get
-        at = np.array([get(w, -1) for w in text], np.int64)
-        unit = self.head_unit[at] if len(at) else np.zeros(0, np.int32)
-        tail: dict[bytes, list[int]] = {}
-        for i in np.flatnonzero((at < 0) | (unit > self.head)).tolist():
-            tail.setdefault(text[i], []).append(i)
-        if tail:
-            own = np.array([self.first_ending + self.ending(w) for w in tail], np.int32)
-            if len(self.keys):
-                key = np.array([word_key(w) for w in tail], np.int64)
-                found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                known = self.keys[found] == key
-                own[known] = 1 + self.head + found[known]
-            for u, places in zip(own.tolist(), tail.values(), strict=True):
-                unit[places] = u
-        return tail, unit
+        unit, tails = self.of_all(pa.array(text, pa.binary()), np.array([len(text)]))
+        return {x["word"]: x["at"] for x in tails[0].as_py()}, unit
+
+    def of_all(self, flat: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """The unit of every word of a batch of texts (:func:`all_words`), and for each text its words that have no unit among
+        those of the head, in the order they come, with their places. A word's key and ending are made once a batch."""
+        at = pc.fill_null(pc.index_in(flat, value_set=pa.array([w for w, _ in self.counts], pa.binary())), -1).to_numpy()
+        unit = self.head_unit[at]
+        left = np.flatnonzero((at < 0) | (unit > self.head))
+        coded = flat.take(pa.array(left)).dictionary_encode()
+        code, kinds = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        own = np.array([self.first_ending + self.ending(w) for w in kinds], np.int32)
+        if len(self.keys) and kinds:
+            key = np.array([word_key(w) for w in kinds], np.int64)
+            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[found] == key
+            own[known] = 1 + self.head + found[known]
+        unit[left] = own[code] if kinds else 0
+
+        row = np.repeat(np.arange(len(sizes)), sizes)[left]
+        _, first, group, times = np.unique(row * max(1, len(kinds)) + code, return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(first)  # groups by text and first place
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        place = (left - np.repeat(np.cumsum(sizes) - sizes, sizes)[left])[np.argsort(rank[group], kind="stable")]
+        places = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(times[order])), pa.int32()), pa.array(place, pa.int32()))
+        names = coded.dictionary.take(pa.array(code[first[order]]))
+        per_row = np.bincount(row[first], minlength=len(sizes))
+        return unit, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per_row)), pa.int32()),
+                                              pa.StructArray.from_arrays([names, places], ["word", "at"]))
 
 
 def other_keys(counts: DataFrame, units) -> tuple[np.ndarray, np.ndarray]:
@@ -154,9 +167,6 @@ def other_keys(counts: DataFrame, units) -> tuple[np.ndarray, np.ndarray]:
     return keys, found.column("ending").to_numpy()[first].astype(np.int64)
 
 
-TAIL = pa.list_(pa.struct([("word", pa.binary()), ("at", pa.list_(pa.int32()))]))
-
-
 def encoded(rows: DataFrame, units) -> DataFrame:
     """Per row of (id, text): its id; ``line``, the units of its words and the end token, 4 bytes each; and ``tail``, the
     words without a unit in the head with their places. All later steps read these instead of the texts."""
@@ -164,9 +174,12 @@ def encoded(rows: DataFrame, units) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = units.value
         for b in batches:
-            found = [u.of(words(t.as_py())) for t in b.column(1)]
-            lines = pa.array([np.append(unit, 0).astype("<i4").tobytes() for _, unit in found], pa.binary())
-            tails = pa.array([[{"word": w, "at": at} for w, at in tail.items()] for tail, _ in found], TAIL)
+            flat, sizes = all_words(b.column(1))
+            unit, tails = u.of_all(flat, sizes)
+            line = np.zeros(len(unit) + len(sizes), "<i4")  # 0 is the end token
+            line[np.arange(len(unit)) + np.repeat(np.arange(len(sizes)), sizes)] = unit
+            offsets = (4 * np.append(0, np.cumsum(sizes + 1))).astype(np.int32)
+            lines = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(line)])
             yield pa.RecordBatch.from_arrays([b.column(0), lines, tails], ["id", "line", "tail"])
 
     kind = rows.schema["id"].dataType.simpleString()
