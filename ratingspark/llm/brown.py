@@ -14,7 +14,8 @@ probabilities of all next tokens sum to one.
 
 Words are looked up in a broadcast head of at most ``HEAD`` frequent words; a text's other words travel as (word, count)
 rows and join the table of all counts. The driver and each worker hold a hash, a class and a batch number for each
-clustered word (some 11 bytes a word), never the words themselves beyond the head.
+clustered word (some 11 bytes a word), never the words themselves beyond the head. A task takes its Arrow batches in
+pieces of some ``PIECE`` bytes and holds bounded sums between them, so its memory does not follow the size of a batch or partition.
 
 Defined results: a null or empty text is the end token alone; white space around words does not matter; rows with
 null ids are trained on; repeated rows count and are scored as often as they occur; an empty training set knows nothing:
@@ -39,12 +40,26 @@ from ratingspark.llm.common import stored
 HEAD, HEAD_BYTES, UNITS, ENDINGS, CLASSES, PASSES = 200_000, 64, 480, 96, 40, 12
 #: Words seen so often are clustered one by one; every word moves once a sweep, together with its batch.
 LEAST, SWEEPS, BATCHES, ENOUGH = 5, 12, 4, 0.002
-#: Neighbours that a task sums up before it hands them on, words whose moves are weighed at once, and counts looked up.
-PENDING, CHUNK, SMALL = 4_000_000, 512, 16
+#: Neighbours and words that a task sums up before it hands them on, words whose moves are weighed at once, and counts looked up.
+PENDING, WORDS, CHUNK, SMALL = 1_000_000, 500_000, 256, 16
+#: Bytes of text, or of what was made of it, that a task takes at a time.
+PIECE = 1 << 21
 #: Lines scored at a time.
 ROWS = 256
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, in slices of some ``PIECE`` bytes of a column (strings or binaries); a longer value is not cut. After
+    the last one Arrow's unused memory goes back, as the worker stays while Spark's own steps need the executor's memory."""
+    for b in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy().astype(np.int64))
+        edges = [0, *(np.flatnonzero(np.diff(upto // PIECE)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if hi > lo:
+                yield b.slice(lo, hi - lo)
+    pa.default_memory_pool().release_unused()
+
+
 def all_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The A-Z lower-cased words of all texts in UTF-8, one after the other, and how many each text has. Arrow's ASCII functions know
     those letters and the six ASCII white-space characters only."""
@@ -61,12 +76,25 @@ def held_out(key: Column, fold: int = 1, folds: int = 5) -> Column:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over all rows of (text); counted per batch, and combined before the shuffle."""
+    """(word, n) over all rows of (text); counted by pieces, summed up in the task, and combined before the shuffle."""
+
+    def summed(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        held, pending = [], 0
+        for b in pieces(batches, 0):
             found = pc.value_counts(all_words(b.column(0))[0])
-            yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["word", "n"])
+            held.append(pa.table({"word": found.field(0), "n": found.field(1)}))
+            pending += len(found)
+            if pending > WORDS:
+                held = [summed(held)]
+                pending = held[0].num_rows
+                if pending > WORDS // 2:
+                    yield from held[0].to_batches()
+                    held, pending = [], 0
+        if held:
+            yield from summed(held).to_batches()
 
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -85,8 +113,8 @@ def head_words(counts: DataFrame, limit: int = HEAD) -> list[tuple[bytes, int]]:
         least = r.level
     if least is None:
         return []
-    found = short.filter(level >= least).collect()
-    return sorted(((bytes(r.word), r.n) for r in found), key=lambda x: (-x[1], x[0]))
+    found = short.filter(level >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    return list(zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True))
 
 
 def word_key(word: bytes) -> int:
@@ -98,9 +126,9 @@ class Units:
     keys, and the groups of endings."""
 
     def __init__(self, head: list[tuple[bytes, int]], seeds: int = UNITS, endings: int = ENDINGS):
-        self.head, self.counts, self.endings = len(head), head, endings
-        self.place = {w: i for i, (w, _) in enumerate(head)}
-        self.alone = np.array([n >= LEAST for _, n in head], bool)
+        self.head, self.endings = len(head), endings
+        self.words, self.counts = pa.array([w for w, _ in head], pa.binary()), np.array([n for _, n in head], np.int64)
+        self.alone = self.counts >= LEAST
         self.seeds = min(seeds, int(self.alone.sum()))  # the head comes by falling counts
         self.head_ending = np.array([self.ending(w) for w, _ in head], np.int64)
         self.with_keys(np.zeros(0, np.int64))
@@ -126,7 +154,7 @@ class Units:
     def of_all(self, flat: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, pa.Array]:
         """The unit of every word of a batch of texts (:func:`all_words`), and for each text its words that have no unit among
         those of the head, in the order they come, with their places. A word's key and ending are made once a batch."""
-        at = pc.fill_null(pc.index_in(flat, value_set=pa.array([w for w, _ in self.counts], pa.binary())), -1).to_numpy()
+        at = pc.fill_null(pc.index_in(flat, value_set=self.words), -1).to_numpy()
         unit = self.head_unit[at]
         left = np.flatnonzero((at < 0) | (unit > self.head))
         coded = flat.take(pa.array(left)).dictionary_encode()
@@ -158,7 +186,7 @@ def other_keys(counts: DataFrame, units) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = units.value
         for b in batches:
-            found = [w for w in b.column(0).to_pylist() if w not in u.place]
+            found = b.column(0).filter(pc.invert(pc.is_in(b.column(0), value_set=u.words))).to_pylist()
             yield pa.RecordBatch.from_pydict({"key": pa.array([word_key(w) for w in found], pa.int64()),
                                               "ending": pa.array([u.ending(w) for w in found], pa.int16())})
 
@@ -173,7 +201,7 @@ def encoded(rows: DataFrame, units) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = units.value
-        for b in batches:
+        for b in pieces(batches, 1):
             flat, sizes = all_words(b.column(1))
             unit, tails = u.of_all(flat, sizes)
             line = np.zeros(len(unit) + len(sizes), "<i4")  # 0 is the end token
@@ -204,7 +232,7 @@ def class_bigrams(lines: DataFrame, label: np.ndarray, classes: int) -> np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(classes * classes, np.int64)
-        for b in batches:
+        for b in pieces(batches, 0):
             line = shared.value[_line(b)].astype(np.int64)
             n += np.bincount(line[:-1] * classes + line[1:], minlength=len(n))
         at = np.flatnonzero(n)
@@ -224,6 +252,10 @@ def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def _summed_all(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return _summed(*map(np.concatenate, zip(*held, strict=True)))
+
+
 def neighbours(lines: DataFrame, state, batch: int, classes: int) -> DataFrame:
     """(unit, bag) of the batch's words, summed per task, a row for each unit: its bag holds pairs (at, n) of 4 bytes
     each. at is the class of the next unit, ``classes`` + that of the one before, or 2 * ``classes`` where a unit follows itself."""
@@ -232,8 +264,7 @@ def neighbours(lines: DataFrame, state, batch: int, classes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label, group = state.value
 
-        def handed_on(held):
-            key, n = _summed(*map(np.concatenate, zip(*held, strict=True)))
+        def handed_on(key, n):
             unit, at = np.divmod(key, width)
             first = np.flatnonzero(np.diff(unit, prepend=-1))
             data = pa.py_buffer(np.stack([at, n], axis=1).astype("<i4"))
@@ -242,7 +273,7 @@ def neighbours(lines: DataFrame, state, batch: int, classes: int) -> DataFrame:
                                                pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, data])], ["unit", "bag"])
 
         held, pending = [], 0
-        for b in batches:
+        for b in pieces(batches, 0):
             line = _line(b)
             kind, here = label[line].astype(np.int64), group[line] == batch
             same = line[:-1] == line[1:]
@@ -252,41 +283,56 @@ def neighbours(lines: DataFrame, state, batch: int, classes: int) -> DataFrame:
             held.append(np.unique(key, return_counts=True))
             pending += len(held[-1][0])
             if pending > PENDING:
-                yield handed_on(held)
-                held, pending = [], 0
+                held = [_summed_all(held)]
+                pending = len(held[0][0])
+                if pending > PENDING // 2:
+                    yield handed_on(*held[0])
+                    held, pending = [], 0
         if held:
-            yield handed_on(held)
+            yield handed_on(*_summed_all(held))
 
     return lines.mapInArrow(run, "unit int, bag binary")
 
 
 def moves(found: DataFrame, state, n: np.ndarray) -> DataFrame:
-    """(unit, class, gain) of the units that gain by another class. found: neighbours; all rows of a unit meet in one task."""
+    """(unit, class, gain) of the units that gain by another class. found: neighbours; all rows of a unit meet in one task, one
+    after the other."""
     classes = len(n)
+    width = 2 * classes + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label, _ = state.value
-        held = []
-        for b in batches:
+    def whole_units(batches):
+        held = []  # of the unit that the next rows may belong to
+        for b in pieces(batches, 1):
             bag, ends = _ints(b.column(1))
             unit = np.repeat(b.column(0).to_numpy().astype(np.int64), np.diff(ends) // 2)
-            held.append((unit * (2 * classes + 1) + bag[::2], bag[1::2].astype(np.int64)))
-        if not held:
-            return
-        key, times = _summed(*map(np.concatenate, zip(*held, strict=True)))
-        unit, at = np.divmod(key, 2 * classes + 1)
-        starts = np.flatnonzero(np.diff(unit, prepend=-1))
-        weigh = Gains(n)
-        for i in range(0, len(starts), CHUNK):
-            part = slice(starts[i], starts[i + CHUNK] if i + CHUNK < len(starts) else len(unit))
-            names = unit[starts[i:i + CHUNK]]
-            old = label[names].astype(np.int64)
-            new, gain = weigh.best(np.searchsorted(names, unit[part]), at[part], times[part].astype(float), old)
-            left = new != old
-            yield pa.RecordBatch.from_pydict({"unit": names[left].astype(np.int32), "class": new[left].astype(np.int32),
-                                              "gain": gain[left].astype(np.float32)})
-
-    return found.repartition("unit").mapInArrow(run, "unit int, class int, gain float")
+            key, times = unit * width + bag[::2], bag[1::2].astype(np.int64)
+            last = np.searchsorted(unit, unit[-1])
+            if held and held[0][0][0] // width < unit[-1]:
+                yield _summed_all([*held, (key[:last], times[:last])])
+                held = []
+            elif last:
+                yield _summed(key[:last], times[:last])
+            held.append((key[last:], times[last:]))
+        if held:
+            yield _summed_all(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, _ = state.value
+        weigh = None
+        for key, times in whole_units(batches):
+            weigh = weigh or Gains(n)
+            unit, at = np.divmod(key, width)
+            starts = np.flatnonzero(np.diff(unit, prepend=-1))
+            for i in range(0, len(starts), CHUNK):
+                part = slice(starts[i], starts[i + CHUNK] if i + CHUNK < len(starts) else len(unit))
+                names = unit[starts[i:i + CHUNK]]
+                old = label[names].astype(np.int64)
+                new, gain = weigh.best(np.searchsorted(names, unit[part]), at[part], times[part].astype(float), old)
+                left = new != old
+                yield pa.RecordBatch.from_pydict({"unit": names[left].astype(np.int32), "class": new[left].astype(np.int32),
+                                                  "gain": gain[left].astype(np.float32)})
+
+    return found.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "unit int, class int, gain float")
 
 
 class Gains:
@@ -432,7 +478,9 @@ def unit_table(counts: DataFrame) -> tuple[Units, np.ndarray]:
     """The units of the counted words, and the groups of endings of those clustered outside the head."""
     clustered = counts.filter(F.col("n") >= LEAST).count()
     units = Units(head_words(counts, HEAD), max(UNITS, 8 * (class_number(clustered) - CLASSES)))
-    keys, ending = other_keys(counts, counts.sparkSession.sparkContext.broadcast(units))
+    shared = counts.sparkSession.sparkContext.broadcast(units)
+    keys, ending = other_keys(counts, shared)
+    shared.destroy()
     return units.with_keys(keys), ending
 
 
@@ -455,7 +503,7 @@ def fit(lines: DataFrame, counts: DataFrame, units: Units, ending: np.ndarray) -
     ends = lines.count()
     n, v = total.n + ends, total.v + (ends > 0)
     classes = class_number(total.clustered)
-    head, keys = units.counts, units.keys
+    keys = units.keys
 
     # Seed units: the end token, the most frequent words, the groups of endings.
     seed = 1 + units.seeds + np.concatenate([[0], units.head_ending, ending, np.arange(units.endings)]).astype(np.int64)
@@ -463,14 +511,14 @@ def fit(lines: DataFrame, counts: DataFrame, units: Units, ending: np.ndarray) -
     seeds = 1 + units.seeds + units.endings
     label = exchange(class_bigrams(lines, seed.astype(np.int32), seeds), classes)[seed].astype(np.uint16)
     group = np.full(units.size, BATCHES, np.uint8)  # the end token and the endings are in no batch
-    group[1:1 + units.head] = [word_key(w) % BATCHES for w, _ in head]
+    group[1:1 + units.head] = [word_key(w) % BATCHES for w in units.words.to_pylist()]
     group[1 + units.head:units.first_ending] = keys % BATCHES
     label, follows = cluster(lines, label, group, classes)
     of_class = follows.sum(0)
     chance = (follows + 0.5) / (follows.sum(1, keepdims=True) + 0.5 * classes)
     denominator = n + 0.5 * (v + 1)
     step = np.log10(chance) - np.log10(np.maximum(of_class, 1))[None, :]
-    many = np.array([c for _, c in head] or [1], float)
+    many = units.counts.astype(float) if units.head else np.ones(1)
     return Model(units, label, step, np.log10(many), np.log10((many + 0.5) / denominator), n, denominator, ends)
 
 
@@ -486,7 +534,7 @@ def measure(lines: DataFrame, model, head: int) -> DataFrame:
         end = (np.log10((m.end_count + 0.5) / m.denominator), known + np.log10(m.end_count) if m.end_count else unknown)
         base_of = np.append(end[0], m.head_base[:head])
         score_of = np.append(end[1], m.head_log[:head] + known)
-        for b in batches:
+        for b in pieces(batches, 1):
             for lo in range(0, b.num_rows, ROWS):
                 yield part(b.slice(lo, ROWS), m, base_of, score_of)
 
@@ -524,10 +572,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     learned = rows.filter(~held_out(F.col("id"))).select("text")
     counts = stored(word_counts(learned), "brown-counts")
     units, ending = unit_table(counts)
-    lines = stored(encoded(rows, docs.sparkSession.sparkContext.broadcast(units)), "brown-lines")
+    names = docs.sparkSession.sparkContext.broadcast(units)
+    lines = stored(encoded(rows, names), "brown-lines")
+    names.destroy()
     model = fit(lines.filter(~held_out(F.col("id"))).select("line"), counts, units, ending)
     shared = docs.sparkSession.sparkContext.broadcast(model._replace(units=None))
     parts = stored(measure(lines, shared, units.head).withColumn("row", F.monotonically_increasing_id()), "brown-parts")
+    shared.destroy()
 
     d = model.denominator
     tail = parts.select("row", F.explode("tail").alias("t")).select("row", "t.*")

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from llm_cases import awkward, docs, sentences
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ratingspark.llm import bpe, brown, compression, urls
 from ratingspark.llm.queries import tokenizer_path
@@ -370,3 +371,98 @@ def test_brown_units_of_a_batch_equal_those_word_by_word():
     for t, tail in zip(plain, tails.to_pylist(), strict=True):
         out = list(dict.fromkeys(w for w in t if unit(w) > len(head)))
         assert tail == [{"word": w, "at": [i for i, x in enumerate(t) if x == w]} for w in out]
+
+
+class Inside:
+    """Stands in for a DataFrame: keeps the function given to mapInArrow, to be called here on batches of the test's."""
+
+    def __init__(self, shared=None):
+        self.value, self.sparkSession, self.sparkContext = shared, self, self
+        self.schema = StructType([StructField("id", LongType())])
+
+    def __getattr__(self, name):
+        return lambda *args, **kwargs: self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def test_brown_takes_large_batches_in_pieces(spark, monkeypatch):
+    """One batch of all rows: no step holds all of it at a time, and the sums are those of the whole."""
+    rng = np.random.default_rng(4)
+    names = np.array([f"w{i}" for i in range(400)])
+    texts = [None, "", *(" ".join(rng.choice(names, 60)) for _ in range(300))]
+    batch = pa.RecordBatch.from_pydict({"id": np.arange(len(texts)), "text": texts})
+    units = brown.Units([(n.encode(), 900 - i) for i, n in enumerate(names[:300])], 20)
+    flat, sizes = brown.all_words(batch.column(1))
+    unit, tails = units.of_all(flat, sizes)
+    seen = []
+    real = brown.all_words
+    monkeypatch.setattr(brown, "all_words", lambda x: seen.append(x.nbytes) or real(x))
+    monkeypatch.setattr(brown, "PIECE", 2000, raising=False)
+    monkeypatch.setattr(brown, "WORDS", 700, raising=False)
+
+    got = Counter()
+    brown.word_counts(counter := Inside())
+    for b in counter.run(iter([batch.select(["text"])])):
+        for r in b.to_pylist():
+            got[r["word"]] += r["n"]
+    assert got == Counter(flat.to_pylist())
+    brown.encoded(coder := Inside(), Inside(units))
+    lines = pa.Table.from_batches(coder.run(iter([batch])))
+    assert max(seen) < 10 * 2000 and len(seen) > 20
+    assert lines.column("id").to_pylist() == list(range(len(texts))) and lines.column("tail").to_pylist() == tails.to_pylist()
+    line = np.frombuffer(b"".join(lines.column("line").to_pylist()), "<i4")
+    assert line[line > 0].tolist() == unit.tolist() and (line == 0).sum() == len(texts)
+
+
+def test_brown_sums_of_a_large_batch_stay_small():
+    """16 million units in one batch: the arrays of a step are under two copies of the batch, and the sums are right."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    line = rng.integers(1, 1000, 1 << 24).astype("<i4")
+    line[1023::1024] = 0  # lines of 1023 words
+    offsets = pa.py_buffer(np.arange(0, 4 * len(line) + 1, 4096, dtype=np.int32))
+    batch = pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(line) // 1024, [None, offsets, pa.py_buffer(line)])], ["line"])
+    label, group = rng.integers(1, 20, 1000).astype(np.uint16), rng.integers(0, 4, 1000).astype(np.uint8)
+    label[0], group[0] = 0, 4
+    width = 41
+    brown.neighbours(step := Inside(), Inside((label, group)), 1, 20)
+    tracemalloc.start()
+    found = list(step.run(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 128e6
+
+    got = np.zeros(1000 * width, np.int64)
+    for b in found:
+        for u, bag in zip(*(b.column(i).to_pylist() for i in (0, 1)), strict=True):
+            at, n = np.frombuffer(bag, "<i4").reshape(-1, 2).T
+            got[u * width + at] += n
+    before, after = np.append(0, line[:-1]), line
+    same = before == after
+    left, right = group[before] == 1, (group[after] == 1) & ~same
+    key = np.concatenate([before[left] * width + np.where(same[left], 40, label[after[left]]), after[right] * width + 20 + label[before[right]]])
+    assert (got == np.bincount(key, minlength=len(got))).all()
+
+
+def test_brown_moves_of_units_that_span_batches(monkeypatch):
+    """Rows sorted by unit, cut anywhere into batches: each unit is weighed once, with all its neighbours."""
+    rng = np.random.default_rng(9)
+    units, classes = 40, 6
+    n = rng.integers(50, 90, (classes, classes))
+    label = rng.integers(1, classes, units).astype(np.uint16)
+    bags = [(u, np.stack([np.sort(rng.choice(2 * classes, 5, replace=False)), rng.integers(1, 9, 5)], axis=1).astype("<i4").tobytes())
+            for u in range(units) for _ in range(30 if u in (0, 7, 39) else rng.integers(1, 4))]
+    rows = pa.RecordBatch.from_arrays([pa.array([u for u, _ in bags], pa.int32()), pa.array([b for _, b in bags], pa.binary())], ["unit", "bag"])
+
+    def moved(cuts):
+        brown.moves(step := Inside(), Inside((label, None)), n)
+        return [r for b in step.run(rows.slice(lo, hi - lo) for lo, hi in zip([0, *cuts], [*cuts, len(bags)], strict=True)) for r in b.to_pylist()]
+
+    whole = moved([])
+    assert whole and moved(range(1, len(bags))) == whole and moved([5, 17, 31, 60]) == whole
+    monkeypatch.setattr(brown, "PIECE", 100, raising=False)
+    assert moved([]) == whole
